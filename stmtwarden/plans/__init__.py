@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports"]
+MODULES = ["reports", "normalise", "lists"]
 
 
 def load_all() -> None:
