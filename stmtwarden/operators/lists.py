@@ -78,29 +78,35 @@ def _anchor_length(n: Column) -> Column:
     return expr
 
 
+def _pieces(text: Column, length: int) -> Column:
+    """Every run of ``length`` characters of a text, once each."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (length - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(length))))
+
+
 def _contains_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(key, pattern_id) for each text that contains a pattern, for lists too
+    """(key, pattern_id): the first pattern each text contains, for lists too
     long to ride in the plan.
 
     A text that contains a pattern also contains the pattern's last few
     characters, so both sides meet on that piece and the pair is verified.
+    Equal texts are cut up once.
     """
     pats = patterns.select("pattern_id", F.lower("pattern").alias("pattern")).withColumn("_len", _anchor_length(F.length("pattern")))
     pats = pats.withColumn("piece", F.expr("right(pattern, _len)"))
     texts = texts.select("key", F.lower("text").alias("text"))
-    low = F.col("text")
-    pieces = [
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (a - 1), F.lit(1))), lambda i, a=a: F.substring(low, i, F.lit(a)))
-        )
-        for a in _ANCHORS
-    ]
-    exploded = texts.select("key", "text", F.explode(F.array_distinct(F.concat(*pieces))).alias("piece"))
-    met = exploded.join(pats.filter(F.length("pattern") > 0), "piece").filter(F.contains(F.col("text"), F.col("pattern")))
+    once = texts.select("text").distinct()
+    pieces = F.array_distinct(F.concat(*[_pieces(F.col("text"), a) for a in _ANCHORS]))
+    met = (
+        once.select("text", F.explode(pieces).alias("piece"))
+        .join(pats.filter(F.length("pattern") > 0), "piece")
+        .filter(F.contains(F.col("text"), F.col("pattern")))
+        .groupBy("text")
+        .agg(F.min("pattern_id").alias("pattern_id"))
+    )
     # An empty pattern is in every text; only the first such entry can win.
     blank = pats.filter(F.length("pattern") == 0).agg(F.min("pattern_id")).scalar()
-    every = texts.select("key", blank.alias("pattern_id")).filter("pattern_id IS NOT NULL")
-    return met.select("key", "pattern_id").unionByName(every)
+    return texts.join(met, "text", "left").select("key", F.least("pattern_id", blank).alias("pattern_id")).filter("pattern_id IS NOT NULL")
 
 
 def _joined_matches(statements: DataFrame, blocklist: DataFrame) -> DataFrame:

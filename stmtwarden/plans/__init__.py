@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "normalise", "lists"]
+MODULES = ["reports", "normalise", "lists", "sources", "merge", "score", "series"]
 
 
 def load_all() -> None:
