@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "normalise", "lists", "sources", "merge", "score", "series"]
+MODULES = ["reports", "normalise", "lists", "sources", "merge", "score", "series", "lint"]
 
 
 def load_all() -> None:

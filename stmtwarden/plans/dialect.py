@@ -50,3 +50,68 @@ def json_md5(**fields: str) -> str:
             text = f"REPLACE({text}, '{raw}', '{esc}')"
         parts.append(f"'\"' || {text} || '\"'")
     return "MD5(" + " || ".join(parts) + " || '}')"
+
+
+def predicate(sql: str) -> str:
+    """A rule's Spark predicate in the checking engine's words."""
+    import re
+
+    sql = re.sub(r"regexp_count\((\w+), r'([^']*)'\)", r"len(regexp_extract_all(\1, '\2'))", sql)
+    sql = re.sub(r"regexp_replace\((\w+), r'([^']*)', ''\)", r"regexp_replace(\1, '\2', '', 'g')", sql)
+    sql = sql.replace("regexp_like(", "regexp_matches(").replace("startswith(", "starts_with(").replace("octet_length(", "strlen(")
+    return sql.replace(" r'", " '")
+
+
+def _names(lists: str) -> str:
+    parts = f"string_split(array_to_string({lists}, ','), ',')"
+    bare = f"list_transform({parts}, lambda x: regexp_extract(x, '^[ `]*([A-Z0-9_$]+)', 1))"
+    return f"list_distinct(list_filter({bare}, lambda x: x <> ''))"
+
+
+def text_features(source: str) -> str:
+    """CTEs f0-f4 with the features of the text rules."""
+    from stmtwarden.lint import text_rules as R
+
+    outer = "masked"
+    for _ in range(12):
+        outer = f"regexp_replace({outer}, {plain(R.PARENS)}, '~', 'g')"
+    node = "{{'t': {}, 'open': '', 'cur': 0, 'top': 0}}"
+    depth = (
+        f"list_reduce(list_prepend({node.format(chr(39) * 2)}, list_transform(regexp_extract_all(masked, {plain(R.DEPTH_TOKEN)}), lambda t: {node.format('t')})), "
+        "lambda a, x: {'t': '', 'open': CASE WHEN x.t = ')' THEN a.open[2:] WHEN ends_with(x.t, 'SELECT') THEN 'S' || a.open ELSE 'P' || a.open END, "
+        "'cur': CASE WHEN x.t = ')' THEN a.cur - CASE WHEN a.open[1:1] = 'S' THEN 1 ELSE 0 END WHEN ends_with(x.t, 'SELECT') THEN a.cur + 1 ELSE a.cur END, "
+        "'top': CASE WHEN ends_with(x.t, 'SELECT') THEN greatest(a.top, a.cur + 1) ELSE a.top END}).top"
+    )
+    every = lambda pat, g=0, col="masked": f"regexp_extract_all({col}, {plain(pat)}, {g})"
+    clauses = ", ".join(f"trim(regexp_extract(outer_text, {plain(p)}, 1)) AS {name}" for name, p in R.CLAUSES.items())
+    return f"""
+f0 AS (SELECT *, {code_text('sql_text')} AS code, {masked_text('sql_text')} AS masked FROM {source}),
+f1 AS (SELECT *, regexp_extract(masked, {plain(R.KIND)}, 1) AS kind, regexp_extract(masked, {plain(R.WHERE_ALL)}, 1) AS where_all,
+  {outer} AS outer_text, {depth} AS select_depth,
+  len(list_filter({every(T.STRING, 0, 'code')}, lambda s: regexp_matches(s, '^[''"] | [''"]$'))) > 0 AS padded_literal,
+  list_transform({every(R.TABLE, 1)}, lambda t: replace(t, '`', '')) AS table_names,
+  COALESCE(list_max(list_transform(list_filter({every(R.IN_LIST, 1)}, lambda x: NOT regexp_matches(x, '^ ?SELECT ')), lambda x: len(string_split(x, ',')))), 0) AS in_list_max,
+  {_names(f"list_concat({every(R.INDEX_COLUMNS, 1)}, {every(R.INLINE_KEY, 1)})")} AS index_columns, {_names(every(R.NOT_NULL, 1))} AS not_null_columns FROM f0),
+f2 AS (SELECT *, {clauses} FROM f1),
+f3 AS (SELECT *, CASE WHEN kind = 'UPDATE' THEN update_list ELSE from_list END AS tables_part,
+  TRY_CAST(CASE WHEN contains(limit_text, ',') THEN regexp_extract(limit_text, '^([0-9]+)', 1) ELSE regexp_extract(limit_text, 'OFFSET ([0-9]+)', 1) END AS BIGINT) AS limit_offset,
+  TRY_CAST(CASE WHEN contains(limit_text, ',') THEN regexp_extract(limit_text, '([0-9]+)$', 1) ELSE regexp_extract(limit_text, '^([0-9]+)', 1) END AS BIGINT) AS limit_count,
+  COALESCE(list_max(list_transform(table_names, lambda t: len(list_filter(table_names, lambda x: x = t)))), 0) AS table_uses_max,
+  len(list_distinct(table_names)) AS table_count, len(list_filter(index_columns, lambda x: NOT list_contains(not_null_columns, x))) AS nullable_index_columns,
+  len(index_columns) AS index_column_count, len(list_filter(table_names, lambda t: NOT contains(t, '.'))) > 0 AS bare_table FROM f2)"""
+
+
+def violations(source: str, rules, *keys: str) -> str:
+    """SELECT of keys, rule_name, level for every rule a row of ``source`` breaks."""
+    import re
+
+    parts = []
+    for r in rules:
+        test = re.sub(r"\bouter\b", "outer_text", predicate(r.sql()))
+        parts.append(f"CASE WHEN {test} THEN '{r.name}:{r.level}' END")
+    listed = "list_filter([" + ",\n ".join(parts) + "], lambda v: v IS NOT NULL)"
+    cols = ", ".join(keys)
+    return (
+        f"SELECT {cols}, split_part(v, ':', 1) AS rule_name, split_part(v, ':', 2) AS level "
+        f"FROM (SELECT {cols}, UNNEST({listed}) AS v FROM {source}) y"
+    )

@@ -31,7 +31,7 @@ SHAPES = [
     "SELECT c_name FROM customer WHERE c_name = ' padded#'",
     "SELECT c_name FROM customer WHERE c_custkey = (SELECT MAX(o_custkey) FROM orders WHERE o_orderkey = #)",
     "SELECT c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey > # LIMIT 3)",
-    "SELECT a FROM t1 WHERE b IN (SELECT b FROM t2 WHERE c IN (SELECT c FROM t3 WHERE d IN (SELECT d FROM t4 WHERE e IN (SELECT e FROM t5 WHERE f IN (SELECT f FROM t6 WHERE g = #)))))",
+    "SELECT a FROM t1 WHERE b IN (SELECT b FROM t2 WHERE c IN (SELECT c FROM t3 WHERE d IN (SELECT d FROM t4 WHERE e IN (SELECT e FROM t5 WHERE f IN (SELECT f FROM t6 WHERE g IN (SELECT g FROM t7 WHERE h = #))))))",
     "SELECT c_name FROM customer WHERE c_custkey = # FOR UPDATE",
     "SELECT c_name FROM customer WHERE c_custkey = # UNION SELECT s_name FROM supplier WHERE s_suppkey = #",
     "SELECT c_name FROM customer WHERE c_custkey = # UNION ALL SELECT s_name FROM supplier WHERE s_suppkey = #",
@@ -56,7 +56,7 @@ SHAPES = [
     "DROP INDEX idx_a ON t#",
     "DROP INDEX `PRIMARY` ON t#",
     "CREATE TABLE t# (id BIGINT UNSIGNED NOT NULL AUTO_INCREMENT PRIMARY KEY, name VARCHAR(20))",
-    "CREATE TABLE IF NOT EXISTS t# (id INT NULL, KEY idx_id (id)) TABLESPACE ts1",
+    "CREATE TABLE IF NOT EXISTS t# (id INT NULL, KEY idx_id (id)) TABLESPACE innodb_system",
     "CREATE TEMPORARY TABLE work# (id INT)",
     "CREATE TEMPORARY TABLE tmp_# (id INT NOT NULL, KEY idx_id (id))",
     "CREATE VIEW v# AS SELECT c_name FROM customer",
