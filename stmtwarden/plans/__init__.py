@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "normalise", "lists", "sources", "merge", "score", "series", "lint"]
+MODULES = ["reports", "normalise", "lists", "sources", "merge", "score", "series", "profile", "lint", "advice"]
 
 
 def load_all() -> None:

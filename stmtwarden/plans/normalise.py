@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stmtwarden.functions import keys, text
+from stmtwarden.functions.statement_columns import statement_columns
 from stmtwarden.plans import dialect as D
 from stmtwarden.registry import query
 
@@ -68,3 +69,8 @@ FROM (SELECT id, regexp_replace(UNNEST(regexp_extract_all(regexp_replace({D.code
 def _(t):
     s = t.statement_corpus.select("id", "sql_text", F.lit("cur").alias("schema_name"))
     return text.referenced_tables(s)
+
+
+@query("n9_statement_columns", "SELECT * FROM statement_columns")
+def _(t):
+    return statement_columns(t.statement_corpus)

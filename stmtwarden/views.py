@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stmtwarden.shape_columns import ROWS as SHAPE_COLUMNS
 from stmtwarden.shapes import SHAPE_COUNT, SHAPE_VALUES
 
 BASE_TABLES = (
@@ -200,14 +201,14 @@ SELECT CONCAT(CASE WHEN p_partkey % 200 % 19 = 0 THEN 'Tab' ELSE 't' END, p_part
   CASE WHEN p_size % 10 = 0 THEN 'on update CURRENT_TIMESTAMP' ELSE '' END AS extra,
   CASE WHEN p_size % 4 = 0 THEN '' ELSE p_name END AS column_comment,
   CASE WHEN p_size % 7 = 0 THEN 'latin1' WHEN p_size % 14 IN (3, 4, 5) THEN 'utf8mb4' ELSE NULL END AS charset,
-  CASE WHEN p_size % 7 = 0 THEN 'latin1_swedish_ci' WHEN p_size % 14 IN (3, 4, 5) THEN 'utf8mb4_0900_ai_ci' ELSE NULL END AS collation
+  CASE WHEN p_size % 7 = 0 THEN 'latin1_swedish_ci' WHEN p_size % 14 IN (3, 4, 5) THEN 'utf8mb4_0900_ai_ci' ELSE NULL END AS collation_name
 FROM {part}
 """
 
 VIEWS["schema_tables"] = """
 SELECT CONCAT(CASE WHEN n % 19 = 0 THEN 'Tab' ELSE 't' END, n) AS table_name, CASE WHEN n % 3 = 0 THEN 'shop_DB' ELSE 'shop' END AS schema_name,
   CASE WHEN n % 8 = 0 THEN 'MyISAM' ELSE 'InnoDB' END AS engine, CASE WHEN n % 9 = 0 THEN 'latin1' ELSE 'utf8mb4' END AS charset,
-  CASE WHEN n % 9 = 0 THEN 'latin1_swedish_ci' ELSE 'utf8mb4_0900_ai_ci' END AS collation,
+  CASE WHEN n % 9 = 0 THEN 'latin1_swedish_ci' ELSE 'utf8mb4_0900_ai_ci' END AS collation_name,
   CASE WHEN n % 5 = 0 THEN '' ELSE 'described' END AS table_comment, n % 13 = 0 AS is_partitioned, n % 12 AS auto_increment_start,
   n * 97777 AS table_rows, n * 23 AS size_mb, n % 15 = 0 AS has_foreign_key
 FROM (SELECT DISTINCT p_partkey % 200 AS n FROM {part}) AS x
@@ -295,6 +296,69 @@ FROM {orders}
 """
 
 
+def _values(rows) -> str:
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return "TRUE" if v else "FALSE"
+        return str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+    return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows) + ")"
+
+
+# Columns of the statements in ``statement_corpus``.
+VIEWS["statement_columns"] = f"""
+SELECT o.o_orderkey AS id, v.table_name, v.column_name, v.clause, v.position, v.operator, v.func AS function, v.literal_kind, v.other_table, v.other_column, v.with_or
+FROM {{orders}} o JOIN {_values(SHAPE_COLUMNS)}
+  AS v(k, table_name, column_name, clause, position, operator, func, literal_kind, other_table, other_column, with_or) ON o.o_orderkey % {SHAPE_COUNT} = v.k
+"""
+
+# Catalogue of the tables those statements name.
+VIEWS["corpus_columns"] = "SELECT * FROM " + _values([
+    ("customer", "c_custkey", "bigint", 20, True, True, None, None),
+    ("customer", "c_name", "varchar", 2500, False, False, "utf8mb4", "utf8mb4_0900_ai_ci"),
+    ("customer", "c_nationkey", "int", 10, False, False, None, None),
+    ("customer", "c_acctbal", "decimal", 12, False, False, None, None),
+    ("orders", "o_orderkey", "bigint", 20, True, False, None, None),
+    ("orders", "o_custkey", "varchar", 20, False, False, "latin1", "latin1_swedish_ci"),
+    ("orders", "o_orderpriority", "varchar", 15, False, False, "latin1", "latin1_swedish_ci"),
+    ("orders", "o_totalprice", "decimal", 12, False, False, None, None),
+    ("orders", "o_comment", "text", 3000, False, False, "utf8mb4", "utf8mb4_0900_ai_ci"),
+    ("lineitem", "l_orderkey", "bigint", 20, False, False, None, None),
+    ("lineitem", "l_partkey", "int", 10, False, False, None, None),
+    ("part", "p_partkey", "int", 10, True, False, None, None),
+    ("part", "p_name", "varchar", 55, False, False, "utf8mb4", "utf8mb4_0900_ai_ci"),
+    ("t", "a", "int", 10, False, False, None, None),
+    ("t", "b", "int", 10, False, False, None, None),
+    ("t", "c", "json", 0, False, False, None, None),
+]) + " AS v(table_name, column_name, data_type, column_width, is_primary_key, is_auto_increment, charset, collation_name)"
+
+VIEWS["corpus_indexes"] = "SELECT * FROM " + _values([
+    ("customer", "PRIMARY", 1, "c_custkey", True),
+    ("customer", "idx_bal_name", 1, "c_acctbal", False),
+    ("customer", "idx_bal_name", 2, "c_name", False),
+    ("orders", "PRIMARY", 1, "o_orderkey", True),
+    ("orders", "idx_cust_price", 1, "o_custkey", False),
+    ("orders", "idx_cust_price", 2, "o_totalprice", False),
+    ("part", "PRIMARY", 1, "p_partkey", True),
+    ("t", "idx_b", 1, "b", False),
+    ("t", "idx_b", 2, "a", False),
+]) + " AS v(table_name, index_name, seq, column_name, is_unique)"
+
+VIEWS["corpus_selectivity"] = "SELECT table_name, column_name, CAST(selectivity AS DOUBLE) AS selectivity FROM " + _values([
+    ("customer", "c_custkey", 100.0), ("customer", "c_name", 60.0), ("customer", "c_nationkey", 1.5), ("customer", "c_acctbal", 40.0),
+    ("orders", "o_orderkey", 100.0), ("orders", "o_custkey", 30.0), ("orders", "o_orderpriority", 5.0), ("orders", "o_totalprice", 90.0),
+    ("orders", "o_comment", 95.0), ("lineitem", "l_orderkey", 25.0), ("lineitem", "l_partkey", 20.0), ("part", "p_partkey", 100.0),
+    ("part", "p_name", 80.0), ("t", "a", 50.0), ("t", "b", 70.0), ("t", "c", 90.0),
+]) + " AS v(table_name, column_name, selectivity)"
+
+# Every statement but each seventh scans.
+VIEWS["corpus_plans"] = """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'ref' WHEN o_orderkey % 7 = 1 THEN 'index' ELSE 'ALL' END AS access_type FROM {orders}
+"""
+
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
