@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtwarden.functions.text import STRING, code_text
+from stmtwarden.session import spread
 
 _NAME = r"[A-Za-z_`][A-Za-z0-9_$`]*(?:\.[A-Za-z_`][A-Za-z0-9_$`]*)*"
 _OP = r"<=>|<=|>=|<>|!=|=|<|>|NOT\s+IN\b|IN\b|NOT\s+LIKE\b|LIKE\b|IS\s+NOT\s+NULL\b|IS\s+NULL\b|NOT\s+BETWEEN\b|BETWEEN\b"
@@ -24,6 +25,7 @@ JOINS = r"(?i),|\b(?:(?:LEFT|RIGHT|INNER|CROSS|FULL|NATURAL|OUTER)\s+)*JOIN\b|\b
 TABLE_ITEM = rf"(?i)^\s*({_NAME})(?:\s+(?:AS\s+)?([A-Za-z_][A-Za-z0-9_]*))?"
 SELECT_ITEM = rf"(?i)^\s*(?:DISTINCT\s+)?({_NAME})(?:\s+(?:AS\s+)?([A-Za-z_][A-Za-z0-9_]*))?\s*$"
 STAR_ITEM = rf"(?i)^\s*(?:DISTINCT\s+)?(?:{_NAME}\.)?\*\s*$"
+SET_ITEM = rf"(?i)(?:^|\n)\s*({_NAME})\s*=\s*({_RIGHT})?"
 TARGET = rf"(?i)^(?:INSERT|REPLACE)\b.*?\bINTO\s+({_NAME})"
 DATA_STATEMENT = r"(?i)^[\s(]*(?:SELECT|WITH|INSERT|REPLACE|UPDATE|DELETE)\b"
 ORDER_ITEM = rf"(?i)^\s*({_NAME})(?:\s+(ASC|DESC))?\s*$"
@@ -102,20 +104,23 @@ def _row(tables: Column, name: Column | None, clause: str, position=None, operat
     )
 
 
+def _pieces(text: Column, pattern: str, groups: int, when: Column) -> Column:
+    """Matches of a pattern as structs of their groups g1, g2 ..."""
+    found = F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda x: F.struct(*[F.regexp_extract(x, pattern, n + 1).alias(f"g{n + 1}") for n in range(groups)]))
+
+
 def _predicates(text: Column, clause: str, tables: Column) -> Column:
     """Rows of the conditions in a text: plain, function-wrapped and computed."""
-    group = lambda pattern: (lambda x, g: F.regexp_extract(x, pattern, g))
-    all_of = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    p, w, k = group(PLAIN), group(WRAPPED), group(COMPUTED)
-    plain = F.filter(all_of(PLAIN), lambda x: ~F.upper(p(x, 1)).isin(*NOT_COLUMN))
-    wrapped = F.filter(all_of(WRAPPED), lambda x: ~F.upper(w(x, 1)).isin(*NOT_FUNCTION))
-    either = text.rlike(r"(?i)\b(?:OR|XOR)\b")
+    some = text != ""
+    plain = F.filter(_pieces(text, PLAIN, 3, some), lambda x: ~F.upper(x["g1"]).isin(*NOT_COLUMN))
+    wrapped = F.filter(_pieces(text, WRAPPED, 4, F.contains(text, F.lit("("))), lambda x: ~F.upper(x["g1"]).isin(*NOT_FUNCTION))
+    computed = _pieces(text, COMPUTED, 4, text.rlike("[-+*/%]"))
+    either = some & text.rlike(r"(?i)\b(?:OR|XOR)\b")
     return F.concat(
-        F.transform(plain, lambda x, n: _row(tables, p(x, 1), clause, n, operator=p(x, 2), right=p(x, 3), with_or=either)),
-        F.transform(wrapped, lambda x: _row(tables, w(x, 2), clause, operator=w(x, 3), function=w(x, 1), right=w(x, 4), with_or=either)),
-        F.transform(
-            all_of(COMPUTED), lambda x: _row(tables, k(x, 1), clause, operator=k(x, 3), function=k(x, 2), right=k(x, 4), with_or=either)
-        ),
+        F.transform(plain, lambda x, n: _row(tables, x["g1"], clause, n, operator=x["g2"], right=x["g3"], with_or=either)),
+        F.transform(wrapped, lambda x: _row(tables, x["g2"], clause, operator=x["g3"], function=x["g1"], right=x["g4"], with_or=either)),
+        F.transform(computed, lambda x: _row(tables, x["g1"], clause, operator=x["g3"], function=x["g2"], right=x["g4"], with_or=either)),
     )
 
 
@@ -125,11 +130,17 @@ def _items(text: Column) -> Column:
     return F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(F.split(folded, ","))
 
 
+def _numbered(items: str, pattern: str) -> Column:
+    """Items of a list with their place and the two groups of a pattern."""
+    group = lambda x, g: F.regexp_extract(x, pattern, g).alias(f"g{g}")
+    return F.transform(items, lambda x, k: F.struct(k.cast("int").alias("n"), group(x, 1), group(x, 2)))
+
+
 def statement_tables(statements: DataFrame) -> DataFrame:
     """Statements with ``tables``: array of (name, alias) of the outermost level."""
     c = F.col
     code = code_text(c("sql_text"))
-    df = statements.withColumn("bare", F.regexp_replace(code, STRING, "''")).filter(c("bare").rlike(DATA_STATEMENT))
+    df = spread(statements).withColumn("bare", F.regexp_replace(code, STRING, "''")).filter(c("bare").rlike(DATA_STATEMENT))
     # Each round folds every innermost sub-query, so as many rounds as there are sub-queries do.
     count = F.regexp_count("bare", F.lit(r"(?i)\(\s*SELECT\b"))
     rounds = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
@@ -174,30 +185,37 @@ def statement_columns(statements: DataFrame) -> DataFrame:
         }
     )
     t = c("tables")
-    i = lambda pattern: (lambda x, g: F.regexp_extract(x, pattern, g))
-    so, oo, w = i(SELECT_ITEM), i(ORDER_ITEM), i(WRAPPED)
-    into = F.array(F.struct(_bare(_part(b, TARGET)).alias("name"), F.lit(None).cast("string").alias("alias"), F.lit(0).alias("slot")))
-    chosen = F.transform(_items(c("_select")), lambda x: F.lower(_bare(so(x, 1))))
-    starred = F.filter(_items(c("_select")), lambda x: x.rlike(STAR_ITEM))
-    listed = lambda text, pick, make: F.transform(
-        F.filter(F.transform(_items(c(text)), lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda s: pick(s["x"]) != ""), make
+    # Lists and their names are cut out once, in columns of their own.
+    listed = {"_order": ORDER_ITEM, "_group": ORDER_ITEM, "_select": SELECT_ITEM, "_insert": SELECT_ITEM}
+    df = df.withColumns({f"{n}_items": _items(c(n)) for n in listed})
+    df = df.withColumns(
+        {
+            f"{n}_named": F.filter(
+                _numbered(f"{n}_items", pattern), lambda s: s["g1"] != ""
+            )
+            for n, pattern in listed.items()
+        }
     )
-    set_items = F.filter(_items(c("_set")), lambda x: x.rlike(rf"(?i)^\s*{_NAME}\s*="))
-    in_select = F.filter(F.regexp_extract_all(c("_select"), F.lit(WRAPPED), F.lit(0)), lambda x: ~F.upper(w(x, 1)).isin(*NOT_FUNCTION))
+    t = c("tables")
+    into = F.array(F.struct(_bare(_part(b, TARGET)).alias("name"), F.lit(None).cast("string").alias("alias"), F.lit(0).alias("slot")))
+    chosen = F.transform("_select_named", lambda s: F.lower(_bare(s["g1"])))
+    starred = F.filter("_select_items", lambda x: x.rlike(STAR_ITEM))
+    set_items = _pieces(F.array_join(_items(c("_set")), "\n"), SET_ITEM, 2, c("_set") != "")
+    in_select = F.filter(_pieces(c("_select"), WRAPPED, 2, F.contains(c("_select"), F.lit("("))), lambda x: ~F.upper(x["g1"]).isin(*NOT_FUNCTION))
+    each = lambda n, make: F.transform(f"{n}_named", make)
+    aliased = F.filter("_select_named", lambda s: s["g2"] != "")
+    in_star = lambda x, y: F.coalesce(F.lower(_qualifier(x)).isin("", F.lower(y["name"]), F.lower(y["alias"])), F.lit(True))
     rows = F.concat(
         _predicates(c("_where"), "where", t),
         _predicates(c("_on"), "join", t),
-        F.transform(set_items, lambda x: _row(t, F.regexp_extract(x, rf"^\s*({_NAME})\s*=", 1), "set", right=F.regexp_extract(x, rf"=\s*({_RIGHT})", 1))),
-        listed("_order", lambda x: oo(x, 1), lambda s: _row(t, oo(s["x"], 1), "order", s["n"], operator=F.coalesce(F.nullif(oo(s["x"], 2), F.lit("")), F.lit("ASC")))),
-        listed("_group", lambda x: oo(x, 1), lambda s: _row(t, oo(s["x"], 1), "group", s["n"])),
-        listed("_select", lambda x: so(x, 1), lambda s: _row(t, so(s["x"], 1), "select", s["n"])),
-        listed("_select", lambda x: so(x, 2), lambda s: _row(t, so(s["x"], 2), "alias", s["n"], other=F.get(F.filter(chosen, lambda x: x == F.lower(so(s["x"], 2))), F.lit(0)))),
-        F.flatten(F.transform(starred, lambda x: F.transform(
-            F.filter(t, lambda y: F.coalesce(F.lower(_qualifier(x)).isin("", F.lower(y["name"]), F.lower(y["alias"])), F.lit(True))),
-            lambda y: _row(t, F.lit("*"), "select", table=y),
-        ))),
+        F.transform(set_items, lambda x: _row(t, x["g1"], "set", right=x["g2"])),
+        each("_order", lambda s: _row(t, s["g1"], "order", s["n"], operator=F.when(s["g2"] == "", "ASC").otherwise(s["g2"]))),
+        each("_group", lambda s: _row(t, s["g1"], "group", s["n"])),
+        each("_select", lambda s: _row(t, s["g1"], "select", s["n"])),
+        F.transform(aliased, lambda s: _row(t, s["g2"], "alias", s["n"], other=F.get(F.filter(chosen, lambda x: x == F.lower(s["g2"])), F.lit(0)))),
+        F.flatten(F.transform(starred, lambda x: F.transform(F.filter(t, lambda y: in_star(x, y)), lambda y: _row(t, F.lit("*"), "select", table=y)))),
         F.transform(t, lambda y: _row(t, None, "table", y["slot"], table=y)),
-        F.transform(in_select, lambda x: _row(t, w(x, 2), "select", function=w(x, 1))),
-        listed("_insert", lambda x: so(x, 1), lambda s: _row(into, so(s["x"], 1), "insert", s["n"])),
+        F.transform(in_select, lambda x: _row(t, x["g2"], "select", function=x["g1"])),
+        each("_insert", lambda s: _row(into, s["g1"], "insert", s["n"])),
     )
     return df.select("id", F.explode(rows.cast(f"array<{SCHEMA}>")).alias("_r")).select("id", "_r.*")

@@ -65,16 +65,19 @@ def strip_comments(sql: Column) -> Column:
 
 def code_text(sql: Column) -> Column:
     """Statement without comments and final ``;``, string literals kept."""
-    bare = F.regexp_replace(sql, STRING_OR_COMMENT, "$1 ")
+    may_comment = F.contains(sql, F.lit("--")) | F.contains(sql, F.lit("/*")) | F.contains(sql, F.lit("#"))
+    bare = F.when(may_comment, F.regexp_replace(sql, STRING_OR_COMMENT, "$1 ")).otherwise(sql)
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"[;\s]+$", ""))
 
 
-def masked_text(sql: Column) -> Column:
+def masked_code(code: Column) -> Column:
     """Upper-cased code with each string literal emptied, so that patterns
     never match inside a literal or a comment."""
-    bare = F.regexp_replace(sql, STRING_OR_COMMENT, "$1 ")
-    emptied = F.regexp_replace(bare, STRING, "''")
-    return F.upper(F.trim(F.regexp_replace(F.regexp_replace(emptied, r"\s+", " "), r"[;\s]+$", "")))
+    return F.upper(F.regexp_replace(code, STRING, "''"))
+
+
+def masked_text(sql: Column) -> Column:
+    return masked_code(code_text(sql))
 
 
 def sql_kind(sql: Column) -> Column:

@@ -39,7 +39,7 @@ ROW_RULES: list[Rule] = [
     *both("sorting on a long column", "clause IN ('order', 'group') AND column_width > {p}",
           ("dml_check_order_by_field_length", "error", "2000"), (97, "error", "100")),
     *both("condition or sort column without an index", "clause IN ('where', 'group', 'order') AND data_type IS NOT NULL AND NOT indexed", None, (110, "warn")),
-    *both("condition column that leads no index", "clause IN ('where', 'join') AND data_type IS NOT NULL AND NOT leading", None, (218, "warn")),
+    *both("condition column that leads no index", "clause IN ('where', 'join') AND data_type IS NOT NULL AND NOT leads_any", None, (218, "warn")),
 ]
 
 # Tested on the uses of one column, of one table, and on the whole statement.
@@ -83,7 +83,7 @@ def enrich(columns: DataFrame, catalog: DataFrame, indexes: DataFrame) -> DataFr
         "collation_name",
     )
     known = known.join(of_index, ["_t", "_c"], "left").select(
-        "*", *[F.coalesce(a, F.lit(False)).alias(b) for a, b in (("_ix", "indexed"), ("_lead", "leading"), ("_single", "leads_single"), ("_composite", "leads_composite"))]
+        "*", *[F.coalesce(a, F.lit(False)).alias(b) for a, b in (("_ix", "indexed"), ("_lead", "leads_any"), ("_single", "leads_single"), ("_composite", "leads_composite"))]
     ).drop("_ix", "_lead", "_single", "_composite")
     other = known.select(
         c("_t").alias("_ot"), c("_c").alias("_oc"), c("data_type").alias("other_type"), c("charset").alias("other_charset"), c("collation_name").alias("other_collation")

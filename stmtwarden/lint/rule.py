@@ -102,9 +102,41 @@ def violations(df: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
 # Pieces of predicates.
 
 
+def needed(pattern: str) -> str | None:
+    """A word every match of the pattern must hold, if one is plain to see.
+
+    Searching for a word is much cheaper than running a pattern, and most
+    statements lack it.
+    """
+    runs, run, depth, i = [], "", 0, 0
+    if pattern.startswith("(?"):
+        return None
+    while i < len(pattern):
+        ch = pattern[i]
+        after = pattern[i + 1 : i + 2]
+        if depth == 0 and ch == "|":
+            return None
+        if ch == "[":
+            i = pattern.index("]", i + 2)
+            ch = ""
+        elif ch == "\\":
+            i += 1
+            ch = ""
+        depth += {"(": 1, ")": -1}.get(ch, 0)
+        if depth == 0 and ch and (ch.isupper() or ch == "_") and after not in ("?", "*", "{"):
+            run += ch
+        else:
+            runs, run = [*runs, run], ""
+        i += 1
+    best = max([*runs, run], key=len)
+    return best if len(best) >= 3 else None
+
+
 def m(column: str, pattern: str) -> str:
     """The column matches."""
-    return f"regexp_like({column}, r'{pattern}')"
+    test = f"regexp_like({column}, r'{pattern}')"
+    word = needed(pattern)
+    return f"(contains({column}, '{word}') AND {test})" if word else test
 
 
 def n(column: str, pattern: str) -> str:

@@ -15,21 +15,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stmtwarden.functions.text import STRING, code_text, masked_text
+from stmtwarden.functions.text import STRING, code_text, masked_code
 from stmtwarden.lint.rule import Rule, both, broken, configure, m, n, violations
+from stmtwarden.session import spread
 
 _TAIL = r"\bGROUP BY\b|\bORDER BY\b|\bHAVING\b|\bLIMIT\b|\bFOR UPDATE\b|\bUNION\b"
 
-# Name of each clause with the pattern that cuts it out of ``outer``.
+# Name of each clause with a word it needs and the pattern that cuts it out of ``outer``.
 CLAUSES = {
-    "where_outer": rf"\bWHERE\b(.*?)(?:{_TAIL}|$)",
-    "sel_list": r"^(?:WITH .*? )?SELECT (?:DISTINCT )?(.*?)(?: FROM\b|$)",
-    "from_list": rf"\bFROM\b(.*?)(?:\bWHERE\b|{_TAIL}|$)",
-    "group_list": r"\bGROUP BY\b(.*?)(?:\bHAVING\b|\bORDER BY\b|\bLIMIT\b|\bFOR UPDATE\b|\bUNION\b|$)",
-    "order_list": r"\bORDER BY\b(.*?)(?:\bLIMIT\b|\bFOR UPDATE\b|\bUNION\b|$)",
-    "update_list": r"^UPDATE (.*?) SET\b",
-    "values_list": r"\bVALUES?\b(.*?)(?:\bON DUPLICATE\b|$)",
-    "limit_text": r"\bLIMIT ([0-9]+(?: ?, ?[0-9]+| OFFSET [0-9]+)?)",
+    "where_outer": ("WHERE", rf"\bWHERE\b(.*?)(?:{_TAIL}|$)"),
+    "sel_list": ("SELECT", r"^(?:WITH .*? )?SELECT (?:DISTINCT )?(.*?)(?: FROM\b|$)"),
+    "from_list": ("FROM", rf"\bFROM\b(.*?)(?:\bWHERE\b|{_TAIL}|$)"),
+    "group_list": ("GROUP", r"\bGROUP BY\b(.*?)(?:\bHAVING\b|\bORDER BY\b|\bLIMIT\b|\bFOR UPDATE\b|\bUNION\b|$)"),
+    "order_list": ("ORDER", r"\bORDER BY\b(.*?)(?:\bLIMIT\b|\bFOR UPDATE\b|\bUNION\b|$)"),
+    "update_list": ("UPDATE", r"^UPDATE (.*?) SET\b"),
+    "values_list": ("VALUE", r"\bVALUES?\b(.*?)(?:\bON DUPLICATE\b|$)"),
+    "limit_text": ("LIMIT", r"\bLIMIT ([0-9]+(?: ?, ?[0-9]+| OFFSET [0-9]+)?)"),
 }
 KIND = r"^[( ]*([A-Z]+)"
 WHERE_ALL = r"\bWHERE\b(.*)"
@@ -71,6 +72,10 @@ def _outer(masked: Column, depth: Column) -> Column:
     return F.aggregate(rounds, masked, lambda text, _: F.regexp_replace(text, PARENS, "~"))
 
 
+def _clause(word: str, pattern: str) -> Column:
+    return F.when(F.contains(F.col("outer"), F.lit(word)), F.trim(F.regexp_extract("outer", pattern, 1))).otherwise("")
+
+
 def _names(lists: Column) -> Column:
     """Column names of a list of comma-separated lists, bare and upper-cased."""
     parts = F.split(F.array_join(lists, ","), ",")
@@ -81,28 +86,35 @@ def _names(lists: Column) -> Column:
 def features(statements: DataFrame) -> DataFrame:
     """Statements with the columns the text rules read."""
     c = F.col
-    every = lambda col, pattern, g: F.regexp_extract_all(c(col), F.lit(pattern), F.lit(g))
-    df = statements.withColumns({"code": code_text(c("sql_text")), "masked": masked_text(c("sql_text"))})
+    df = spread(statements).withColumn("code", code_text(c("sql_text")))
+    df = df.withColumn("masked", masked_code(c("code")))
+    none = F.array().cast("array<string>")
+    nested = F.contains(c("masked"), F.lit("("))
+    # The lists below cost a pass each, so they are made only where they can hold something.
+    every = lambda col, pattern, g, when: F.when(when, F.regexp_extract_all(c(col), F.lit(pattern), F.lit(g))).otherwise(none)
+    creates = F.startswith(c("masked"), F.lit("CREATE"))
+    lists = every("masked", IN_LIST, 1, F.contains(c("masked"), F.lit("IN (")) | F.contains(c("masked"), F.lit("IN(")))
     df = df.withColumns(
         {
             "kind": F.regexp_extract("masked", KIND, 1),
-            "where_all": F.regexp_extract("masked", WHERE_ALL, 1),
-            "paren_depth": _paren_depth(c("masked")),
-            "select_depth": _select_depth(c("masked")),
-            "padded_literal": F.exists(every("code", STRING, 0), lambda s: s.rlike("^['\"] | ['\"]$")),
-            "table_names": F.transform(every("masked", TABLE, 1), lambda t: F.replace(t, F.lit("`"), F.lit(""))),
+            "where_all": F.when(F.contains(c("masked"), F.lit("WHERE")), F.regexp_extract("masked", WHERE_ALL, 1)).otherwise(""),
+            "paren_depth": F.when(nested, _paren_depth(c("masked"))).otherwise(0),
+            "select_depth": F.when(nested & F.contains(c("masked"), F.lit("SELECT")), _select_depth(c("masked"))).otherwise(0),
+            "padded_literal": F.exists(every("code", STRING, 0, F.contains(c("code"), F.lit("' ")) | F.contains(c("code"), F.lit(" '"))
+                                             | F.contains(c("code"), F.lit('"'))), lambda s: s.rlike("^['\"] | ['\"]$")),
+            "table_names": F.transform(every("masked", TABLE, 1, ~creates), lambda t: F.replace(t, F.lit("`"), F.lit(""))),
             "in_list_max": F.coalesce(
-                F.array_max(F.transform(F.filter(every("masked", IN_LIST, 1), lambda x: ~x.rlike("^ ?SELECT ")), lambda x: F.size(F.split(x, ",")))),
-                F.lit(0),
+                F.array_max(F.transform(F.filter(lists, lambda x: ~x.rlike("^ ?SELECT ")), lambda x: F.size(F.split(x, ",")))), F.lit(0)
             ),
-            "index_columns": _names(F.concat(every("masked", INDEX_COLUMNS, 1), every("masked", INLINE_KEY, 1))),
-            "not_null_columns": _names(every("masked", NOT_NULL, 1)),
+            "index_columns": _names(F.concat(every("masked", INDEX_COLUMNS, 1, creates), every("masked", INLINE_KEY, 1, creates))),
+            "not_null_columns": _names(every("masked", NOT_NULL, 1, creates)),
         }
     )
     df = df.withColumn("outer", _outer(c("masked"), c("paren_depth")))
-    df = df.withColumns({name: F.trim(F.regexp_extract("outer", pattern, 1)) for name, pattern in CLAUSES.items()})
+    df = df.withColumns({name: _clause(*spec) for name, spec in CLAUSES.items()})
     names = c("table_names")
     uses = F.transform(F.array_distinct(names), lambda t: F.size(F.filter(names, lambda x: x == t)))
+    df = df.withColumns({name: F.expr(sql) for name, sql in CONDITIONS.items()})
     return df.withColumns(
         {
             "tables_part": F.when(c("kind") == "UPDATE", c("update_list")).otherwise(c("from_list")),
@@ -121,25 +133,27 @@ def features(statements: DataFrame) -> DataFrame:
     )
 
 
-# Conditions several rules share.
-SELECT = f"(kind IN ('SELECT', 'WITH') AND NOT {m('outer', chr(92) + 'bUNION' + chr(92) + 'b')})"
-UNION = "(kind IN ('SELECT', 'WITH') AND " + m("outer", r"\bUNION\b") + ")"
-DML = "kind IN ('SELECT', 'WITH', 'INSERT', 'REPLACE', 'UPDATE', 'DELETE')"
-DDL = "kind IN ('CREATE', 'ALTER', 'DROP', 'TRUNCATE', 'RENAME')"
-CHANGE = "kind IN ('UPDATE', 'DELETE')"
-FROM = "(" + m("outer", r"\bFROM\b") + " AND NOT " + m("outer", r"\bFROM DUAL\b") + ")"
-WHERE = m("outer", r"\bWHERE\b")
-LIMIT = m("outer", r"\bLIMIT\b")
-ORDER = m("outer", r"\bORDER BY\b")
-GROUP = m("outer", r"\bGROUP BY\b")
-COUNT_ONLY = m("sel_list", r"^COUNT ?~( (AS )?[A-Z0-9_`]+)?$")
+# Conditions several rules share, each computed once per statement.
 _EQUAL_NUMBERS = r"^([0-9]+) ?= ?([0-9]+)$"
-# Always true: no name and no sub-part in the condition, and not two unlike numbers.
-CONSTANT = (
-    "(NOT " + m(r"regexp_replace(where_outer, r'\b(TRUE|AND|OR|XOR|IS|NOT|NULL|LIKE|IN|BETWEEN)\b', '')", r"[A-Z_`~@?]")
-    + f" AND regexp_extract(where_outer, r'{_EQUAL_NUMBERS}', 1) = regexp_extract(where_outer, r'{_EQUAL_NUMBERS}', 2))"
-)
-NO_FILTER = f"(NOT {WHERE} OR {CONSTANT})"
+_NO_NAMES = "NOT " + m(r"regexp_replace(where_outer, r'\b(TRUE|AND|OR|XOR|IS|NOT|NULL|LIKE|IN|BETWEEN)\b', '')", r"[A-Z_`~@?]")
+CONDITIONS = {
+    "is_union": "kind IN ('SELECT', 'WITH') AND " + m("outer", r"\bUNION\b"),
+    "is_select": "kind IN ('SELECT', 'WITH') AND NOT " + m("outer", r"\bUNION\b"),
+    "is_dml": "kind IN ('SELECT', 'WITH', 'INSERT', 'REPLACE', 'UPDATE', 'DELETE')",
+    "is_ddl": "kind IN ('CREATE', 'ALTER', 'DROP', 'TRUNCATE', 'RENAME')",
+    "is_change": "kind IN ('UPDATE', 'DELETE')",
+    "has_from": m("outer", r"\bFROM\b") + " AND NOT " + m("outer", r"\bFROM DUAL\b"),
+    "has_where": m("outer", r"\bWHERE\b"),
+    "has_limit": m("outer", r"\bLIMIT\b"),
+    "has_order": m("outer", r"\bORDER BY\b"),
+    "has_group": m("outer", r"\bGROUP BY\b"),
+    "count_only": m("sel_list", r"^COUNT ?~( (AS )?[A-Z0-9_`]+)?$"),
+    # Always true: no name and no sub-part in the condition, and not two unlike numbers.
+    "no_filter": "NOT " + m("outer", r"\bWHERE\b")
+    + f" OR ({_NO_NAMES} AND regexp_extract(where_outer, r'{_EQUAL_NUMBERS}', 1) = regexp_extract(where_outer, r'{_EQUAL_NUMBERS}', 2))",
+}
+SELECT, UNION, DML, DDL, CHANGE = "is_select", "is_union", "is_dml", "is_ddl", "is_change"
+FROM, WHERE, LIMIT, ORDER, GROUP, COUNT_ONLY, NO_FILTER = "has_from", "has_where", "has_limit", "has_order", "has_group", "count_only", "no_filter"
 _ITEMS = n("order_list", ",") + " + 1"
 _JOINS = f"({n('tables_part', r'(?:^|[^A-Z_])(?:STRAIGHT_)?JOIN(?:[^A-Z_]|$)')} + {n('tables_part', ',')})"
 _AGGREGATES = r"\b(COUNT|SUM|AVG|MAX|MIN|GROUP_CONCAT|STD|STDDEV|VARIANCE|BIT_AND|BIT_OR|BIT_XOR|JSON_ARRAYAGG|JSON_OBJECTAGG) ?\("

@@ -64,41 +64,59 @@ def three_star_index(
     """
     c = F.col
     low = lambda n: F.lower(c(n)).alias(n)
-    rows = columns.join(scanning.select("id"), "id", "left_semi").filter(c("clause").isin("where", "order", "select", "table"))
-    # Only SELECTs name tables together with selected columns; the driving table is the first.
-    driving = rows.groupBy("id").agg(
-        F.min_by(F.lower("table_name"), F.when(c("clause") == "table", c("position"))).alias("driving"),
-        F.max(F.when(c("clause") == "where", c("with_or"))).alias("using_or"),
-        F.count_if(c("clause") == "order").alias("order_count"),
-        F.count_if((c("clause") == "order") & (c("operator") == "DESC")).alias("desc_count"),
-        F.count_if(c("clause") == "select").alias("select_count"),
-    )
     known = catalog.select(low("table_name"), low("column_name"), low("data_type"), "is_primary_key").join(
         selectivity.select(low("table_name"), low("column_name"), "selectivity"), ["table_name", "column_name"]
     )
-    used = rows.filter((c("column_name") != "*") & c("function").isNull()).select(
-        "id", low("table_name"), low("column_name"), "clause", "position", "operator", "literal_kind"
+    item = F.struct(
+        (-c("selectivity")).alias("rank"), c("column_name").alias("name"), c("selectivity").alias("sel"), c("data_type").isin(*UNFIT_TYPES).alias("unfit")
+    )
+    # One row per table: its columns (few) and its indexes.
+    tables = (
+        known.groupBy("table_name")
+        .agg(F.collect_list(item).alias("_cols"), F.max(F.when(c("is_primary_key"), c("column_name"))).alias("pk"))
+        .join(index_lists(indexes), "table_name", "left")
     )
-    starred = rows.filter(c("column_name") == "*").select("id", low("table_name"), "clause", "operator", "literal_kind")
-    starred = starred.join(known.select("table_name", "column_name", F.lit(None).cast("int").alias("position")), "table_name")
+    clause = c("clause")
     cls = (
-        F.when((c("clause") == "where") & (c("operator") == "=") & c("literal_kind").isin(*_CONSTANT), "equal")
-        .when((c("clause") == "where") & c("operator").isin("<", "<=", ">", ">=") & c("literal_kind").isin(*_CONSTANT), "range")
-        .when((c("clause") == "where") & c("operator").isin("IN", "NOT IN"), "range")
-        .when(c("clause") == "order", "order")
-        .when(c("clause") == "select", "field")
+        F.when((clause == "where") & (c("operator") == "=") & c("literal_kind").isin(*_CONSTANT), "equal")
+        .when((clause == "where") & c("operator").isin("<", "<=", ">", ">=") & c("literal_kind").isin(*_CONSTANT), "range")
+        .when((clause == "where") & c("operator").isin("IN", "NOT IN"), "range")
+        .when(clause == "order", "order")
+        .when(clause == "select", "field")
     )
-    described = used.unionByName(starred).withColumn("cls", cls).filter("cls IS NOT NULL").join(known, ["table_name", "column_name"])
-    item = F.struct(
-        (-c("selectivity")).alias("rank"), c("column_name").alias("name"), c("selectivity").alias("sel"), c("data_type").isin(*UNFIT_TYPES).alias("unfit")
+    used = (
+        columns.filter(clause.isin("where", "order", "select", "table"))
+        .withColumns({"table_name": F.lower("table_name"), "column_name": F.lower("column_name"), "cls": F.when(c("function").isNull(), cls)})
+        .join(scanning.select("id"), "id", "left_semi")
+        .join(tables, "table_name", "left")
+        # A star stands for all columns of its table.
+        .withColumn("_item", F.explode_outer(F.when(c("column_name") == "*", c("_cols")).otherwise(F.filter("_cols", lambda x: x["name"] == c("column_name")))))
     )
-    of = lambda k: F.sort_array(F.collect_set(F.when(c("cls") == k, item))).alias(k)
+    of = lambda k: F.sort_array(F.collect_set(F.when(c("cls") == k, c("_item")))).alias(k)
+    per_table = used.groupBy("id", "table_name").agg(
+        of("equal"),
+        of("range"),
+        of("order"),
+        of("field"),
+        F.any_value("pk").alias("pk"),
+        F.any_value("indexes").alias("indexes"),
+        F.min(F.when(clause == "table", c("position"))).alias("_place"),
+        F.bool_or(F.when(clause == "where", c("with_or"))).alias("using_or"),
+        F.count_if(clause == "order").alias("order_count"),
+        F.count_if((clause == "order") & (c("operator") == "DESC")).alias("desc_count"),
+        F.count_if(clause == "select").alias("select_count"),
+    )
+    # The driving table is the first one named; only SELECTs select columns.
+    parts = ("table_name", "equal", "range", "order", "field", "pk", "indexes")
     grouped = (
-        described.groupBy("id", "table_name")
-        .agg(of("equal"), of("range"), of("order"), of("field"), F.max(F.when(c("is_primary_key"), c("column_name"))).alias("pk"))
-        .join(driving, "id")
-        .filter((c("table_name") == c("driving")) & (c("select_count") > 0))
-        .join(index_lists(indexes), "table_name", "left")
+        per_table.groupBy("id")
+        .agg(
+            F.min_by(F.struct(*parts), "_place").alias("_d"),
+            F.bool_or("using_or").alias("using_or"),
+            *[F.sum(n).alias(n) for n in ("order_count", "desc_count", "select_count")],
+        )
+        .filter("select_count > 0 AND _d.table_name IS NOT NULL")
+        .select("id", "_d.*", "using_or", "order_count", "desc_count")
     )
     every = F.array_distinct(F.concat("equal", "range", "order", "field"))
     # A result in primary-key order needs no primary key in the index.
@@ -108,7 +126,7 @@ def three_star_index(
     )
     weak = lambda x: (x["sel"] <= min_selectivity) | x["unfit"]
     g = g.withColumn("cover", (F.size("range") <= 1) & ~F.exists("possible", weak) & (F.size("possible") <= max_columns))
-    g = g.filter((F.size("possible") > 0) & (~F.coalesce("using_or", F.lit(False)) | c("cover")))
+    may = (F.size("possible") > 0) & (~F.coalesce("using_or", F.lit(False)) | c("cover"))
     fit = lambda group: F.filter(
         group, lambda x: F.array_contains(c("possible"), x) & ~F.array_contains(c("range"), x) & ~weak(x)
     )
@@ -130,9 +148,13 @@ def three_star_index(
     g = g.withColumn("_c", F.when(c("cover"), F.concat("_b", more)).otherwise(c("_b")))
     spare = F.array_except(first(c("range"), 1), c("_c"))
     g = g.withColumn("_d", F.when(F.size("_c") < max_columns, F.concat("_c", spare)).otherwise(c("_c")))
-    g = g.withColumn("columns", _names(c("_d")))
-    return g.filter((F.size("columns") > 0) & ~_covered(c("columns"), c("indexes"))).select(
-        "id", "table_name", "columns", F.lit("three-star index").alias("reason")
+    g = g.withColumn("_advised", _names(c("_d")))
+    # Rows are dropped by an empty explode: a filter would be pushed below every
+    # step above and repeat all of its expressions there.
+    good = may & (F.size("_advised") > 0) & ~_covered(c("_advised"), c("indexes"))
+    none = F.array().cast("array<array<string>>")
+    return g.select(
+        "id", "table_name", F.explode(F.when(good, F.array("_advised")).otherwise(none)).alias("columns"), F.lit("three-star index").alias("reason")
     )
 
 

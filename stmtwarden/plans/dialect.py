@@ -23,14 +23,16 @@ def fingerprint(x: str, upper_names: bool = False) -> str:
 
 
 def code_text(x: str) -> str:
-    bare = f"regexp_replace({x}, {plain(T.STRING_OR_COMMENT)}, '\\1 ', 'g')"
+    bare = (
+        f"CASE WHEN contains({x}, '--') OR contains({x}, '/*') OR contains({x}, '#') "
+        f"THEN regexp_replace({x}, {plain(T.STRING_OR_COMMENT)}, '\\1 ', 'g') ELSE {x} END"
+    )
     return f"trim(regexp_replace(regexp_replace({bare}, '\\s+', ' ', 'g'), '[;\\s]+$', ''))"
 
 
 def masked_text(x: str) -> str:
-    bare = f"regexp_replace({x}, {plain(T.STRING_OR_COMMENT)}, '\\1 ', 'g')"
-    empty = f"regexp_replace({bare}, {plain(T.STRING)}, '''''', 'g')"
-    return f"upper(trim(regexp_replace(regexp_replace({empty}, '\\s+', ' ', 'g'), '[;\\s]+$', '')))"
+    empty = "'" * 6  # the literal of two quotes
+    return f"upper(regexp_replace({code_text(x)}, {plain(T.STRING)}, {empty}, 'g'))"
 
 
 def sql_kind(x: str) -> str:
@@ -52,6 +54,9 @@ def json_md5(**fields: str) -> str:
     return "MD5(" + " || ".join(parts) + " || '}')"
 
 
+OUTER = r"\bouter\b"
+
+
 def predicate(sql: str) -> str:
     """A rule's Spark predicate in the checking engine's words."""
     import re
@@ -70,6 +75,8 @@ def _names(lists: str) -> str:
 
 def text_features(source: str) -> str:
     """CTEs f0-f4 with the features of the text rules."""
+    import re
+
     from stmtwarden.lint import text_rules as R
 
     outer = "masked"
@@ -83,13 +90,14 @@ def text_features(source: str) -> str:
         "'top': CASE WHEN ends_with(x.t, 'SELECT') THEN greatest(a.top, a.cur + 1) ELSE a.top END}).top"
     )
     every = lambda pat, g=0, col="masked": f"regexp_extract_all({col}, {plain(pat)}, {g})"
-    clauses = ", ".join(f"trim(regexp_extract(outer_text, {plain(p)}, 1)) AS {name}" for name, p in R.CLAUSES.items())
+    clauses = ", ".join(f"trim(regexp_extract(outer_text, {plain(p)}, 1)) AS {name}" for name, (_, p) in R.CLAUSES.items())
+    conditions = ", ".join(f"{re.sub(OUTER, 'outer_text', predicate(sql))} AS {name}" for name, sql in R.CONDITIONS.items())
     return f"""
 f0 AS (SELECT *, {code_text('sql_text')} AS code, {masked_text('sql_text')} AS masked FROM {source}),
 f1 AS (SELECT *, regexp_extract(masked, {plain(R.KIND)}, 1) AS kind, regexp_extract(masked, {plain(R.WHERE_ALL)}, 1) AS where_all,
   {outer} AS outer_text, {depth} AS select_depth,
   len(list_filter({every(T.STRING, 0, 'code')}, lambda s: regexp_matches(s, '^[''"] | [''"]$'))) > 0 AS padded_literal,
-  list_transform({every(R.TABLE, 1)}, lambda t: replace(t, '`', '')) AS table_names,
+  CASE WHEN starts_with(masked, 'CREATE') THEN CAST([] AS VARCHAR[]) ELSE list_transform({every(R.TABLE, 1)}, lambda t: replace(t, '`', '')) END AS table_names,
   COALESCE(list_max(list_transform(list_filter({every(R.IN_LIST, 1)}, lambda x: NOT regexp_matches(x, '^ ?SELECT ')), lambda x: len(string_split(x, ',')))), 0) AS in_list_max,
   {_names(f"list_concat({every(R.INDEX_COLUMNS, 1)}, {every(R.INLINE_KEY, 1)})")} AS index_columns, {_names(every(R.NOT_NULL, 1))} AS not_null_columns FROM f0),
 f2 AS (SELECT *, {clauses} FROM f1),
@@ -98,7 +106,8 @@ f3 AS (SELECT *, CASE WHEN kind = 'UPDATE' THEN update_list ELSE from_list END A
   TRY_CAST(CASE WHEN contains(limit_text, ',') THEN regexp_extract(limit_text, '([0-9]+)$', 1) ELSE regexp_extract(limit_text, '^([0-9]+)', 1) END AS BIGINT) AS limit_count,
   COALESCE(list_max(list_transform(table_names, lambda t: len(list_filter(table_names, lambda x: x = t)))), 0) AS table_uses_max,
   len(list_distinct(table_names)) AS table_count, len(list_filter(index_columns, lambda x: NOT list_contains(not_null_columns, x))) AS nullable_index_columns,
-  len(index_columns) AS index_column_count, len(list_filter(table_names, lambda t: NOT contains(t, '.'))) > 0 AS bare_table FROM f2)"""
+  len(index_columns) AS index_column_count, len(list_filter(table_names, lambda t: NOT contains(t, '.'))) > 0 AS bare_table,
+  {conditions} FROM f2)"""
 
 
 def violations(source: str, rules, *keys: str) -> str:
@@ -107,7 +116,7 @@ def violations(source: str, rules, *keys: str) -> str:
 
     parts = []
     for r in rules:
-        test = re.sub(r"\bouter\b", "outer_text", predicate(r.sql()))
+        test = re.sub(OUTER, "outer_text", predicate(r.sql()))
         parts.append(f"CASE WHEN {test} THEN '{r.name}:{r.level}' END")
     listed = "list_filter([" + ",\n ".join(parts) + "], lambda v: v IS NOT NULL)"
     cols = ", ".join(keys)

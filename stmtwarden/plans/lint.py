@@ -19,12 +19,12 @@ def _(t):
 
 _KNOWN = """
 widths AS (SELECT table_name, index_name, MAX(seq) AS w FROM corpus_indexes GROUP BY 1, 2),
-ix AS (SELECT i.table_name, i.column_name, BOOL_OR(i.seq = 1) AS leading, BOOL_OR(i.seq = 1 AND w.w = 1) AS leads_single,
+ix AS (SELECT i.table_name, i.column_name, BOOL_OR(i.seq = 1) AS leads_any, BOOL_OR(i.seq = 1 AND w.w = 1) AS leads_single,
     BOOL_OR(i.seq = 1 AND w.w > 1) AS leads_composite
   FROM corpus_indexes i JOIN widths w ON w.table_name = i.table_name AND w.index_name = i.index_name GROUP BY 1, 2),
-known AS (SELECT k.*, ix.table_name IS NOT NULL AS indexed, COALESCE(leading, FALSE) AS leading, COALESCE(leads_single, FALSE) AS leads_single,
+known AS (SELECT k.*, ix.table_name IS NOT NULL AS indexed, COALESCE(leads_any, FALSE) AS leads_any, COALESCE(leads_single, FALSE) AS leads_single,
   COALESCE(leads_composite, FALSE) AS leads_composite FROM corpus_columns k LEFT JOIN ix ON ix.table_name = k.table_name AND ix.column_name = k.column_name),
-e AS (SELECT s.*, k.data_type, k.column_width, k.is_primary_key, k.is_auto_increment, k.charset, k.collation_name, k.indexed, k.leading, k.leads_single,
+e AS (SELECT s.*, k.data_type, k.column_width, k.is_primary_key, k.is_auto_increment, k.charset, k.collation_name, k.indexed, k.leads_any, k.leads_single,
     k.leads_composite, o.data_type AS other_type, o.charset AS other_charset, o.collation_name AS other_collation,
     s.clause = 'where' AND s.function IS NULL AND s.operator IS NOT NULL AND (s.operator NOT IN ('LIKE', 'NOT LIKE') OR s.with_or) AS counted
   FROM statement_columns s LEFT JOIN known k ON k.table_name = s.table_name AND k.column_name = s.column_name

@@ -39,3 +39,15 @@ def bounded_rows(df: DataFrame, limit: int = LIST_ROWS_MAX):
     """
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Input of a CPU-bound text job over at least as many tasks as there are cores.
+
+    A table of a few small files is read by a few tasks; only then are its rows
+    dealt out again. With as many input splits as cores, the normal case on a
+    cluster, nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
