@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "normalise", "lists", "sources", "merge", "score", "series", "profile", "lint", "advice"]
+MODULES = ["reports", "normalise", "lists", "sources", "merge", "score", "series", "profile", "lint", "advice", "streaming", "flagship"]
 
 
 def load_all() -> None:
