@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtwarden.lint.rule import Rule, both, configure, violations
+from stmtwarden.lint.rule import VIOLATIONS, Rule, both, broken, configure
 
 # Types compared as text and as numbers.
 TEXT_TYPES = ("char", "varchar", "tinytext", "text", "mediumtext", "longtext", "enum", "set")
@@ -95,32 +95,57 @@ def enrich(columns: DataFrame, catalog: DataFrame, indexes: DataFrame) -> DataFr
 
 
 def audit_columns(columns: DataFrame, catalog: DataFrame, indexes: DataFrame, settings=None) -> DataFrame:
-    """L2: violations by statement, each rule once per statement."""
+    """L2: violations by statement, each rule once per statement.
+
+    Column uses are read once and shuffled once, by statement. The uses of a
+    column, of a table and of the whole statement are then rolled up one after
+    the other inside the same partition, carrying the rules broken so far.
+    """
     c = F.col
-    rows = enrich(columns, catalog, indexes)
     where = c("clause") == "where"
     plain = where & c("function").isNull() & c("operator").isNotNull()
+    known = where & c("data_type").isNotNull()
     # LIKE alone does not count as a use of an index column, under OR it does.
     counted = plain & (~c("operator").isin("LIKE", "NOT LIKE") | c("with_or"))
-    per_column = rows.filter(where & c("data_type").isNotNull()).groupBy("id", "_t", "column_name").agg(
-        F.bool_or("leads_composite").alias("leads_composite"),
-        F.count_if(counted).alias("conditions"),
-        F.count_if(counted & (c("operator") == "=")).alias("equalities"),
-        F.bool_or("with_or").alias("with_or"),
+    no = lambda x: F.coalesce(x, F.lit(False))
+    test = lambda rules: F.concat("_v", broken(configure(rules, settings)))
+    gather = F.array_distinct(F.flatten(F.collect_list("_v"))).alias("_v")
+    rows = enrich(columns, catalog, indexes).withColumn("_v", F.array().cast(VIOLATIONS)).withColumn("_v", test(ROW_RULES))
+    per_column = (
+        rows.repartition("id")
+        .groupBy("id", "_t", "column_name")
+        .agg(
+            gather,
+            no(F.bool_or(known & c("leads_composite"))).alias("leads_composite"),
+            F.count_if(counted).alias("conditions"),
+            F.count_if(counted & (c("operator") == "=")).alias("equalities"),
+            no(F.bool_or(where & c("with_or"))).alias("with_or"),
+            no(F.bool_or(where)).alias("_where"),
+            no(F.bool_or(counted & c("indexed"))).alias("_indexed"),
+            no(F.bool_or(counted & c("leads_single"))).alias("_single"),
+            F.min(F.when(counted & c("position").isNotNull(), F.struct("position", no(c("leads_composite")).alias("leads")))).alias("_first"),
+            F.count_if(c("clause") == "table").alias("uses"),
+        )
+        .withColumn("_v", test(COLUMN_RULES))
+    )
+    per_table = (
+        per_column.groupBy("id", "_t")
+        .agg(
+            gather,
+            F.bool_or("_indexed").alias("any_indexed"),
+            F.bool_or("_single").alias("any_single"),
+            no(F.min("_first")["leads"]).alias("first_leads"),
+            F.sum("uses").alias("uses"),
+            F.bool_or("_where").alias("_where"),
+            F.bool_or("with_or").alias("with_or"),
+        )
+        .withColumn("_v", test(TABLE_RULES))
     )
-    per_table = rows.groupBy("id", "_t").agg(
-        F.coalesce(F.bool_or(F.when(counted, c("indexed"))), F.lit(False)).alias("any_indexed"),
-        F.coalesce(F.bool_or(F.when(counted, c("leads_single"))), F.lit(False)).alias("any_single"),
-        F.coalesce(F.min_by("leads_composite", F.when(counted, c("position"))), F.lit(False)).alias("first_leads"),
-        F.count_if(c("clause") == "table").alias("uses"),
+    per_statement = (
+        per_table.groupBy("id")
+        .agg(gather, F.bool_or("with_or").alias("with_or"), F.count_if(c("_where") & c("_t").isNotNull()).alias("condition_tables"))
+        .withColumn("_v", test(STATEMENT_RULES))
     )
-    per_statement = rows.groupBy("id").agg(
-        F.coalesce(F.bool_or(F.when(where, c("with_or"))), F.lit(False)).alias("with_or"),
-        F.count_distinct(F.when(where, c("_t"))).alias("condition_tables"),
+    return per_statement.select("id", F.explode(F.array_distinct("_v")).alias("_x")).select(
+        "id", "_x.rule_name", "_x.level", "_x.message", F.lit(False).alias("execution_failed")
     )
-    found = violations(rows, configure(ROW_RULES, settings), "id")
-    for df, rules in ((per_column, COLUMN_RULES), (per_table, TABLE_RULES), (per_statement, STATEMENT_RULES)):
-        chosen = configure(rules, settings)
-        if chosen:
-            found = found.unionByName(violations(df, chosen, "id"))
-    return found.distinct()

@@ -80,6 +80,9 @@ def settings_from(gated: DataFrame, limit: int = 1000) -> dict[str, Setting]:
     return {r["rule_name"]: Setting(r["level"], r["params"]) for r in rows}
 
 
+VIOLATIONS = "array<struct<rule_name:string,level:string,message:string>>"
+
+
 def broken(rules: Iterable[Rule]) -> Column:
     """Array of (rule_name, level, message) of the rules a row breaks.
 
@@ -89,6 +92,8 @@ def broken(rules: Iterable[Rule]) -> Column:
     for r in rules:
         groups.setdefault(r.sql(), []).append(r)
     entry = lambda r: F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.level).alias("level"), F.lit(r.message()).alias("message"))
+    if not groups:
+        return F.array().cast(VIOLATIONS)
     cases = [F.when(F.expr(sql), F.array(*[entry(r) for r in same])) for sql, same in groups.items()]
     return F.flatten(F.array_compact(F.array(*cases)))
 

@@ -42,12 +42,16 @@ def bounded_rows(df: DataFrame, limit: int = LIST_ROWS_MAX):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Input of a CPU-bound text job over at least as many tasks as there are cores.
+    """Input of a CPU-bound text job over as many tasks as there are cores.
 
     A table of a few small files is read by a few tasks; only then are its rows
-    dealt out again. With as many input splits as cores, the normal case on a
-    cluster, nothing is shuffled.
+    dealt out again. What decides is the size of the sources as the optimizer
+    knows it, so nothing runs here, and what is shuffled never exceeds one
+    split per core. Larger inputs, the normal case on a cluster, stay as read.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores) if size < split * cores else df
