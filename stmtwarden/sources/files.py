@@ -11,12 +11,8 @@ LINE_END = r";[ \t\r]*(?:\n|$)"
 
 def read_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, content) of all files under a folder; one row per file."""
-    return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(path)
-        .select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(
+        F.input_file_name().alias("path"), F.col("value").alias("content")
     )
 
 
