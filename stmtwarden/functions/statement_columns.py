@@ -7,6 +7,8 @@ lint and advice jobs as a table of the same shape.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def _row(tables: Column, name: Column | None, clause: str, position=None, operat
     null = F.lit(None).cast("string")
     kind = _kind(right) if right is not None else null
     mine = _slot(name, tables) if table is None else table
-    theirs = _slot(right, tables) if right is not None else None
+    theirs = F.when(kind == "column", _slot(right, tables)) if right is not None else None
     column = null if name is None else _bare(name)
     other_table = null if right is None else F.when(kind == "column", theirs["name"])
     other_column = (null if other is None else other) if right is None else F.when(kind == "column", _bare(right))
@@ -142,7 +144,7 @@ def statement_tables(statements: DataFrame) -> DataFrame:
     code = code_text(c("sql_text"))
     df = spread(statements).withColumn("bare", F.regexp_replace(code, STRING, "''")).filter(c("bare").rlike(DATA_STATEMENT))
     # Each round folds every innermost sub-query, so as many rounds as there are sub-queries do.
-    count = F.regexp_count("bare", F.lit(r"(?i)\(\s*SELECT\b"))
+    count = F.when(F.contains(c("bare"), F.lit("(")), F.regexp_count("bare", F.lit(r"(?i)\(\s*SELECT\b"))).otherwise(0)
     rounds = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("bare", F.aggregate(rounds, c("bare"), lambda text, _: F.regexp_replace(text, SUBQUERY, "(@)")))
     part = (
@@ -173,29 +175,37 @@ def statement_columns(statements: DataFrame) -> DataFrame:
     c = F.col
     df = statement_tables(statements)
     b = c("bare")
+    df = df.withColumn("_up", F.upper("bare"))
+    # A clause is cut out only where its word occurs.
+    cut = lambda word, pattern: F.when(F.contains(c("_up"), F.lit(word)), _part(b, pattern)).otherwise("")
+    joins = F.regexp_extract_all(b, F.lit(rf"(?i)\bON\b(.*?)(?:\b(?:LEFT|RIGHT|INNER|CROSS|NATURAL|STRAIGHT_JOIN|JOIN)\b|{_END})"), F.lit(1))
     df = df.withColumns(
         {
-            "_where": _part(b, rf"(?i)\bWHERE\b(.*?)(?:\bGROUP\s+BY\b|\bORDER\s+BY\b|\bHAVING\b|\bLIMIT\b|\bFOR\s+UPDATE\b|\bUNION\b|$)"),
-            "_on": F.array_join(F.regexp_extract_all(b, F.lit(rf"(?i)\bON\b(.*?)(?:\b(?:LEFT|RIGHT|INNER|CROSS|NATURAL|STRAIGHT_JOIN|JOIN)\b|{_END})"), F.lit(1)), " AND "),
-            "_set": F.when(b.rlike(r"(?i)^UPDATE\b"), _part(b, rf"(?i)\bSET\b(.*?)(?:{_END})")).otherwise(""),
-            "_order": _part(b, r"(?i)\bORDER\s+BY\b(.*?)(?:\bLIMIT\b|\bFOR\s+UPDATE\b|\bUNION\b|$)"),
-            "_group": _part(b, r"(?i)\bGROUP\s+BY\b(.*?)(?:\bHAVING\b|\bORDER\s+BY\b|\bLIMIT\b|\bFOR\s+UPDATE\b|\bUNION\b|$)"),
-            "_select": _part(b, r"(?i)^\s*SELECT\b(.*?)\bFROM\b"),
-            "_insert": _part(b, rf"(?i)\bINTO\s+{_NAME}\s*\(([^()]*)\)"),
+            "_where": cut("WHERE", r"(?i)\bWHERE\b(.*?)(?:\bGROUP\s+BY\b|\bORDER\s+BY\b|\bHAVING\b|\bLIMIT\b|\bFOR\s+UPDATE\b|\bUNION\b|$)"),
+            "_on": F.when(F.contains(c("_up"), F.lit("JOIN")), F.array_join(joins, " AND ")).otherwise(""),
+            "_set": F.when(F.startswith(c("_up"), F.lit("UPDATE")), _part(b, rf"(?i)\bSET\b(.*?)(?:{_END})")).otherwise(""),
+            "_order": cut("ORDER", r"(?i)\bORDER\s+BY\b(.*?)(?:\bLIMIT\b|\bFOR\s+UPDATE\b|\bUNION\b|$)"),
+            "_group": cut("GROUP", r"(?i)\bGROUP\s+BY\b(.*?)(?:\bHAVING\b|\bORDER\s+BY\b|\bLIMIT\b|\bFOR\s+UPDATE\b|\bUNION\b|$)"),
+            "_select": F.when(F.startswith(c("_up"), F.lit("SELECT")), _part(b, r"(?i)^\s*SELECT\b(.*?)\bFROM\b")).otherwise(""),
+            "_insert": cut("INTO", rf"(?i)\bINTO\s+{_NAME}\s*\(([^()]*)\)"),
         }
     )
-    t = c("tables")
     # Lists and their names are cut out once, in columns of their own.
     listed = {"_order": ORDER_ITEM, "_group": ORDER_ITEM, "_select": SELECT_ITEM, "_insert": SELECT_ITEM}
     df = df.withColumns({f"{n}_items": _items(c(n)) for n in listed})
-    df = df.withColumns(
-        {
-            f"{n}_named": F.filter(
-                _numbered(f"{n}_items", pattern), lambda s: s["g1"] != ""
-            )
-            for n, pattern in listed.items()
-        }
-    )
+    df = df.withColumns({f"{n}_named": F.filter(_numbered(f"{n}_items", p), lambda s: s["g1"] != "") for n, p in listed.items()})
+    return df.select("id", F.explode(_rows_of(df.sparkSession.sparkContext.applicationId)).alias("_r")).select("id", "_r.*")
+
+
+@lru_cache(maxsize=1)
+def _rows_of(application: str) -> Column:
+    """Array of all rows of a statement, over the columns cut out before.
+
+    Building the expression takes longer than planning it, so it is built once
+    per Spark application.
+    """
+    c = F.col
+    b = c("bare")
     t = c("tables")
     into = F.array(F.struct(_bare(_part(b, TARGET)).alias("name"), F.lit(None).cast("string").alias("alias"), F.lit(0).alias("slot")))
     chosen = F.transform("_select_named", lambda s: F.lower(_bare(s["g1"])))
@@ -218,4 +228,4 @@ def statement_columns(statements: DataFrame) -> DataFrame:
         F.transform(in_select, lambda x: _row(t, x["g2"], "select", function=x["g1"])),
         each("_insert", lambda s: _row(into, s["g1"], "insert", s["n"])),
     )
-    return df.select("id", F.explode(rows.cast(f"array<{SCHEMA}>")).alias("_r")).select("id", "_r.*")
+    return rows.cast(f"array<{SCHEMA}>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtwarden.lint.rule import Rule, both, configure, violations
+from stmtwarden.lint.rule import Rule, both, configure, violations, violations_by
 
 # Access levels a plan may use.
 ALLOWED_LEVELS = "range,ref,const,eq_ref,system,NULL"
@@ -37,7 +37,7 @@ def audit_plans(plan_rows: DataFrame, tables: DataFrame, settings=None) -> DataF
     ``tables``: table_name, size_mb.
     """
     sized = plan_rows.join(tables.select("table_name", "size_mb"), "table_name", "left")
-    return violations(sized, configure(ROW_RULES, settings), "sql_id").distinct()
+    return violations_by(sized, configure(ROW_RULES, settings), "sql_id")
 
 
 def audit_plan_texts(plan_texts: DataFrame, settings=None) -> DataFrame:

@@ -104,6 +104,21 @@ def violations(df: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
     return found.select(*keys, "_v.rule_name", "_v.level", "_v.message", F.lit(False).alias("execution_failed"))
 
 
+def violations_by(df: DataFrame, rules: list[Rule], key: str) -> DataFrame:
+    """Violations of each key with at least one row that breaks the rule.
+
+    One flag per predicate is or-ed map-side, so a task sends one narrow row
+    per key, and the names are attached after the shuffle.
+    """
+    groups: dict[str, list[Rule]] = {}
+    for r in rules:
+        groups.setdefault(r.sql(), []).append(r)
+    flags = {f"_f{i}": (sql, same) for i, (sql, same) in enumerate(groups.items())}
+    reduced = df.groupBy(key).agg(*[F.bool_or(F.expr(sql)).alias(name) for name, (sql, _) in flags.items()])
+    named = [replace(r, predicate=name, param=None, what=r.message()) for name, (_, same) in flags.items() for r in same]
+    return violations(reduced, named, key)
+
+
 # Pieces of predicates.
 
 

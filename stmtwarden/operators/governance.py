@@ -9,12 +9,13 @@ from stmtwarden.functions import keys
 from stmtwarden.functions.text import fingerprint
 from stmtwarden.lint.text_rules import audited, is_supported
 from stmtwarden.operators import lists, merge, score
+from stmtwarden.session import spread
 
 
 def queue_rows(log: DataFrame, source: str, plan_id: str) -> DataFrame:
     """Log rows with fingerprint and statement id, as queue rows."""
     c = F.col
-    with_fp = log.withColumn("sql_fingerprint", fingerprint(c("sql_text")))
+    with_fp = spread(log).withColumn("sql_fingerprint", fingerprint(c("sql_text")))
     return with_fp.withColumn(
         "sql_id", keys.sql_id(c("project_id"), c("sql_fingerprint"), c("schema_name"), c("instance_id"), F.lit(source), F.lit(plan_id))
     ).withColumn("source", F.lit(source))

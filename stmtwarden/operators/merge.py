@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtwarden.functions.text import code_text
+from stmtwarden.session import spread
 
 
 def newest(column: str, *order: str) -> Column:
@@ -107,7 +108,7 @@ def merge_candidates(statements: DataFrame) -> DataFrame:
     has to sort all ALTERs of a table.
     """
     table = F.lower(F.regexp_replace(F.regexp_extract(code_text(F.col("sql_text")), ALTERED_TABLE, 1), "`", ""))
-    alters = statements.select("id", "task_id", table.alias("table_name")).filter("table_name <> ''")
+    alters = spread(statements).select("id", "task_id", table.alias("table_name")).filter("table_name <> ''")
     first = alters.groupBy("task_id", "table_name").agg(F.min("id").alias("first_id"), F.count("*").alias("alter_count"))
     return alters.join(first.filter("alter_count > 1"), ["task_id", "table_name"]).filter(F.col("id") > F.col("first_id"))
 

@@ -49,6 +49,8 @@ def spread(df: DataFrame) -> DataFrame:
     knows it, so nothing runs here, and what is shuffled never exceeds one
     split per core. Larger inputs, the normal case on a cluster, stay as read.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stmtwarden.session import spread
+
 _MARK, _END = "\x01", "\x02"
 LINE_END = r";[ \t\r]*(?:\n|$)"
 
@@ -27,7 +29,7 @@ def sql_file_scan(files: DataFrame) -> DataFrame:
     numbered = F.array_join(
         F.transform(lines, lambda line, i: F.concat(F.lit(_MARK), (i + 1).cast("string"), F.lit(_END), line)), "\n"
     )
-    pieces = files.select("path", F.posexplode(F.split(numbered, LINE_END)).alias("_pos", "_piece"))
+    pieces = spread(files).select("path", F.posexplode(F.split(numbered, LINE_END)).alias("_pos", "_piece"))
     start = F.regexp_extract("_piece", f"{_MARK}([0-9]+){_END}[ \\t\\r]*[^\\s{_MARK}]", 1)
     text = F.regexp_replace(F.regexp_replace("_piece", f"{_MARK}[0-9]+{_END}", ""), r"^\s+|[\s;]+$", "")
     return pieces.select("path", F.col("_pos"), text.alias("sql_text"), start.try_cast("bigint").alias("start_line")).filter(
@@ -54,7 +56,7 @@ def _mapper_text(body: Column) -> Column:
 def mapper_xml_scan(files: DataFrame) -> DataFrame:
     """Statements of mapper XML files by tag, dynamic tags flattened."""
     found = [_tagged(tag) for tag in MAPPER_TAGS]
-    return files.select("path", F.explode(F.concat(*found)).alias("_s")).select(
+    return spread(files).select("path", F.explode(F.concat(*found)).alias("_s")).select(
         "path", F.col("_s.tag").alias("tag"), _mapper_text(F.col("_s.body")).alias("sql_text")
     )
 
