@@ -19,10 +19,10 @@ def _(t):
 
 
 @query("w2_workflow_daily_counts", """
-SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS workflow_count FROM workflows
+SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, COUNT(*) AS workflow_count FROM workflows
 WHERE created_at BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1""")
 def _(t):
-    return R.workflow_daily_counts(t.workflows, "1995-01-01", "1996-12-31")
+    return R.workflow_daily_counts(t.workflows, "1995-01-01", "1996-12-31").withColumn("day", F.col("day").cast("string"))
 
 
 @query("w3_workflow_range_count", """
@@ -182,9 +182,9 @@ def _(t):
 
 
 @query("w20_custom_rule_types", """
-SELECT rule_type, COUNT(*) AS rule_count, MIN(created_on) AS first_created FROM custom_rules GROUP BY 1""")
+SELECT rule_type, COUNT(*) AS rule_count, CAST(MIN(created_on) AS VARCHAR) AS first_created FROM custom_rules GROUP BY 1""")
 def _(t):
-    return R.custom_rule_types(t.custom_rules)
+    return R.custom_rule_types(t.custom_rules).withColumn("first_created", F.col("first_created").cast("string"))
 
 
 @query("w21_workflow_count_by_project", "SELECT project_id, COUNT(DISTINCT id) AS workflow_count FROM workflows GROUP BY 1")
@@ -217,9 +217,9 @@ def _(t):
     return R.unsuccessful_collections(t.scan_plans)
 
 
-@query("w25_changed_since", "SELECT id, updated_on, is_deleted FROM scan_plans WHERE updated_on > DATE '2024-02-15'")
+@query("w25_changed_since", "SELECT id, CAST(updated_on AS VARCHAR) AS updated_on, is_deleted FROM scan_plans WHERE updated_on > DATE '2024-02-15'")
 def _(t):
-    return R.changed_since(t.scan_plans, "2024-02-15").select("id", "updated_on", "is_deleted")
+    return R.changed_since(t.scan_plans, "2024-02-15").select("id", F.col("updated_on").cast("string").alias("updated_on"), "is_deleted")
 
 
 @query("w26_due_workflows", """

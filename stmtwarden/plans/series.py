@@ -124,9 +124,9 @@ def _(t):
     return R.expired_tasks(tasks, t.workflows.filter("status = 'finished'"), t.audit_records.filter("creator = 'u5'"), "2025-01-01").select("id")
 
 
-@query("r3_expired_raw", "SELECT CAST(ts AS DATE) AS day, COUNT(*) AS removed_count FROM statement_log WHERE ts < TIMESTAMP '2024-01-10 12:00:00' GROUP BY 1")
+@query("r3_expired_raw", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, COUNT(*) AS removed_count FROM statement_log WHERE ts < TIMESTAMP '2024-01-10 12:00:00' GROUP BY 1")
 def _(t):
-    return R.expired_raw(t.statement_log, "2024-01-10 12:00:00")
+    return R.expired_raw(t.statement_log, "2024-01-10 12:00:00").withColumn("day", c("day").cast("string"))
 
 
 @query("r4_expired_files", """
