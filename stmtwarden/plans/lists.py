@@ -6,7 +6,7 @@ from stmtwarden.functions.text import fingerprint
 from stmtwarden.operators import lists as L
 from stmtwarden.operators import search as S
 from stmtwarden.plans import dialect as D
-from stmtwarden.registry import query
+from stmtwarden.registry import query, texts
 
 c = F.col
 
@@ -50,14 +50,14 @@ def statements(t):
     )
 
 
-@query("f1_blocklist_match", f"SELECT id, CAST(matched_id AS BIGINT) AS matched_id FROM ({_BLOCKED}) x")
+@query("f1_blocklist_match", f"SELECT id, CAST(matched_id AS VARCHAR) AS matched_id FROM ({_BLOCKED}) x")
 def _(t):
-    return L.blocklist_match(statements(t), blocklist(t)).select("id", "matched_id")
+    return texts(L.blocklist_match(statements(t), blocklist(t)).select("id", "matched_id"), "matched_id")
 
 
-@query("f1_blocklist_match_long_list", f"SELECT id, CAST(matched_id AS BIGINT) AS matched_id FROM ({_BLOCKED}) x")
+@query("f1_blocklist_match_long_list", f"SELECT id, CAST(matched_id AS VARCHAR) AS matched_id FROM ({_BLOCKED}) x")
 def _(t):
-    return L.blocklist_match(statements(t), blocklist(t), limit=0).select("id", "matched_id")
+    return texts(L.blocklist_match(statements(t), blocklist(t), limit=0).select("id", "matched_id"), "matched_id")
 
 
 @query("f2_blocklist_ip", f"""SELECT id, CAST(matched_id AS BIGINT) AS matched_id FROM ({_BLOCKED}) x WHERE matched_id IN (1, 2, 7)""")
@@ -82,9 +82,9 @@ _ALLOWED = f"""SELECT s.id, s.ts, GREATEST(CASE WHEN UPPER(TRIM(sql_text)) = 'DE
   CASE WHEN {D.fingerprint('sql_text')} = 'SELECT * FROM orders WHERE o_custkey = ?' THEN 2 END) AS allowed_by FROM statement_log s"""
 
 
-@query("f4_allowlist_match", f"SELECT id, CAST(allowed_by AS BIGINT) AS allowed_by FROM ({_ALLOWED}) x")
+@query("f4_allowlist_match", f"SELECT id, CAST(allowed_by AS VARCHAR) AS allowed_by FROM ({_ALLOWED}) x")
 def _(t):
-    return L.allowlist_match(statements(t), allowlist(t)).select("id", "allowed_by")
+    return texts(L.allowlist_match(statements(t), allowlist(t)).select("id", "allowed_by"), "allowed_by")
 
 
 @query("f4_allowlist_counters", f"""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from stmtwarden.functions import keys, text
 from stmtwarden.functions.statement_columns import statement_columns
 from stmtwarden.plans import dialect as D
-from stmtwarden.registry import query
+from stmtwarden.registry import query, texts
 
 c = F.col
 
@@ -71,6 +71,6 @@ def _(t):
     return text.referenced_tables(s)
 
 
-@query("n9_statement_columns", "SELECT * FROM statement_columns")
+@query("n9_statement_columns", "SELECT * REPLACE (CAST(position AS VARCHAR) AS position, CAST(with_or AS VARCHAR) AS with_or) FROM statement_columns")
 def _(t):
-    return statement_columns(t.statement_corpus)
+    return texts(statement_columns(t.statement_corpus), "position", "with_or")

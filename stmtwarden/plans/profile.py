@@ -6,7 +6,7 @@ from stmtwarden.lint.text_rules import features
 from stmtwarden.functions.statement_columns import statement_columns
 from stmtwarden.operators import profile as P
 from stmtwarden.plans import dialect as D
-from stmtwarden.registry import query
+from stmtwarden.registry import query, texts
 
 c = F.col
 COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -85,11 +85,11 @@ def _(t):
 
 
 @query("p10_affected_rows", """
-SELECT sql_id, CASE WHEN f OR s > 100000 THEN last END AS affected_rows, NOT (f OR s > 100000) AS needs_count FROM (
+SELECT sql_id, CAST(CASE WHEN f OR s > 100000 THEN last END AS VARCHAR) AS affected_rows, NOT (f OR s > 100000) AS needs_count FROM (
   SELECT sql_id, BOOL_OR(access_type = 'ALL') AS f, SUM(rows_est) AS s, MAX(rows_est) FILTER (WHERE select_id = m) AS last
   FROM (SELECT *, MAX(select_id) OVER (PARTITION BY sql_id) AS m FROM plan_rows) p GROUP BY 1) x""")
 def _(t):
-    return P.affected_rows_by_plan(t.plan_rows)
+    return texts(P.affected_rows_by_plan(t.plan_rows), "affected_rows")
 
 
 @query("p10_affected_rows_count", "SELECT COUNT(*) AS affected_rows FROM lineitem WHERE l_quantity > 40 AND l_returnflag = 'A'")
@@ -113,8 +113,8 @@ def _(t):
 
 
 @query("p12_table_meta", """
-SELECT k.table_name, k.column_name, k.ordinal, k.data_type, k.is_nullable, k.default_value, i.index_name, i.seq, i.is_unique, i.cardinality
+SELECT k.table_name, k.column_name, k.ordinal, k.data_type, k.is_nullable, k.default_value, i.index_name, CAST(i.seq AS VARCHAR) AS seq, CAST(i.is_unique AS VARCHAR) AS is_unique, CAST(i.cardinality AS VARCHAR) AS cardinality
 FROM schema_columns k LEFT JOIN schema_indexes i ON i.table_name = k.table_name AND i.column_name = k.column_name""")
 def _(t):
     meta = P.table_meta(t.schema_columns, t.schema_indexes)
-    return meta.select("table_name", "column_name", "ordinal", "data_type", "is_nullable", "default_value", "index_name", "seq", "is_unique", "cardinality")
+    return texts(meta, "seq", "is_unique", "cardinality").select("table_name", "column_name", "ordinal", "data_type", "is_nullable", "default_value", "index_name", "seq", "is_unique", "cardinality")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stmtwarden.operators import reports as R
-from stmtwarden.registry import query
+from stmtwarden.registry import query, texts
 
 _STATUS_COUNTS = ", ".join(f"COUNT(*) FILTER (WHERE status = '{s}') AS {s}" for s in R.WORKFLOW_STATUSES)
 
@@ -195,11 +195,11 @@ def _(t):
 @query("w22_workflow_step_summary", """
 WITH runs AS (SELECT workflow_id, instance_id, MIN(execution_assignee) AS e, BOOL_AND(is_executed) AS is_executed
   FROM workflow_instances GROUP BY 1, 2)
-SELECT w.id, r.instance_id, w.status, r.is_executed,
+SELECT w.id, CAST(r.instance_id AS VARCHAR) AS instance_id, w.status, CAST(r.is_executed AS VARCHAR) AS is_executed,
   CASE WHEN w.status = 'rejected' THEN w.creator WHEN w.status = 'wait_for_execution' THEN r.e ELSE s.assignee END AS current_assignee
 FROM step_workflows w LEFT JOIN workflow_steps s ON s.id = w.current_step_id LEFT JOIN runs r ON r.workflow_id = w.id""")
 def _(t):
-    return R.workflow_step_summary(t.step_workflows, t.workflow_instances, t.workflow_steps)
+    return texts(R.workflow_step_summary(t.step_workflows, t.workflow_instances, t.workflow_steps), "instance_id", "is_executed")
 
 
 @query("w23_percentages", """

@@ -6,7 +6,7 @@ from stmtwarden.functions import keys
 from stmtwarden.operators import retention as R
 from stmtwarden.operators import series as X
 from stmtwarden.plans import dialect as D
-from stmtwarden.registry import query
+from stmtwarden.registry import query, texts
 
 c = F.col
 _IN_RANGE = "record_begin_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'"
@@ -17,11 +17,12 @@ def plan_rows(t):
 
 
 @query("x1_metric_range", f"""
-SELECT m.record_id, m.metric_name, CAST(m.metric_value AS DOUBLE) AS metric_value, p.select_id, p.access_type, p.rows_est FROM metric_records m
+SELECT m.record_id, m.metric_name, CAST(m.metric_value AS DOUBLE) AS metric_value, CAST(p.select_id AS VARCHAR) AS select_id, p.access_type, CAST(p.rows_est AS VARCHAR) AS rows_est FROM metric_records m
 LEFT JOIN plan_rows p ON p.sql_id = m.record_id WHERE m.sql_id = 's5' AND {_IN_RANGE}""")
 def _(t):
     found = X.metric_range(t.metric_records, plan_rows(t), "s5", "2024-01-05", "2024-01-25")
-    return found.select("record_id", "metric_name", c("metric_value").cast("double").alias("metric_value"), "select_id", "access_type", "rows_est")
+    shown = found.select("record_id", "metric_name", c("metric_value").cast("double").alias("metric_value"), "select_id", "access_type", "rows_est")
+    return texts(shown, "select_id", "rows_est")
 
 
 @query("x2_metric_peak", f"""

@@ -27,6 +27,11 @@ def query(key: str, oracle: str | None = None):
     return wrap
 
 
+def texts(df: DataFrame, *names: str) -> DataFrame:
+    """Columns that may be null as text, which both engines print alike."""
+    return df.withColumns({n: df[n].cast("string") for n in names})
+
+
 def expand(text: str) -> str:
     names = [n for n in VIEWS if re.search(rf"\b{n}\b", text)]
     ctes = with_clause(names)
