@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stmtwarden.functions.text import code_text
 from stmtwarden.session import spread
 
 
-def newest(column: str, *order: str) -> Column:
-    """Value of ``column`` in the row that is last by ``order``."""
-    return F.max_by(column, F.struct(*order)).alias(column)
-
-
 def fingerprint_rollup(queue: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """A1: per sql_id the counters summed, text and time of the newest arrival.
 
@@ -22,12 +17,10 @@ def fingerprint_rollup(queue: DataFrame, carry: tuple[str, ...] = ()) -> DataFra
     the rollup of the whole, which is what streaming relies on.
     """
     counter = F.sum("counter") if "counter" in queue.columns else F.count("*")
-    return queue.groupBy("sql_id").agg(
-        counter.alias("counter"),
-        *[newest(n, "ts", "id") for n in ("sql_text", *carry)],
-        F.max("ts").alias("ts"),
-        newest("id", "ts", "id"),
-    )
+    # One comparison per row finds the newest arrival with all that is kept of it.
+    kept = ("sql_text", *carry, "ts", "id")
+    newest = F.max_by(F.struct(*kept), F.struct("ts", "id")).alias("_newest")
+    return queue.groupBy("sql_id").agg(counter.alias("counter"), newest).select("sql_id", "counter", "_newest.*")
 
 
 def last_snapshot_wins(snapshots: DataFrame, values: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from stmtwarden.operators import lists as L
 from stmtwarden.operators import search as S
 from stmtwarden.plans import dialect as D
 from stmtwarden.registry import query, texts
+from stmtwarden.session import spread
 
 c = F.col
 
@@ -45,7 +46,7 @@ def allowlist(t):
 
 
 def statements(t):
-    return t.statement_log.select(
+    return spread(t.statement_log).select(
         "*", F.array(F.expr(_END)).alias("endpoints"), fingerprint(c("sql_text")).alias("sql_fingerprint")
     )
 

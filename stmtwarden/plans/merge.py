@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from stmtwarden.functions import keys
-from stmtwarden.functions.text import fingerprint
 from stmtwarden.operators import merge as M
+from stmtwarden.operators.governance import queue_rows
 from stmtwarden.plans import dialect as D
 from stmtwarden.registry import query
 
@@ -15,19 +14,10 @@ _QUEUE = "SELECT *, " + D.json_md5(
 ) + " AS sql_id FROM statement_log"
 
 
-def queue(log):
-    """Log rows with the key of the statement they belong to."""
-    fp = fingerprint(c("sql_text"))
-    with_fp = log.withColumn("sql_fingerprint", fp)
-    return with_fp.withColumn(
-        "sql_id", keys.sql_id(c("project_id"), c("sql_fingerprint"), c("schema_name"), c("instance_id"), F.lit("slow_log"), F.lit("1"))
-    )
-
-
 @query("a1_fingerprint_rollup", f"""
 SELECT sql_id, COUNT(*) AS counter, ARG_MAX(sql_text, id) AS sql_text, MAX(ts) AS last_receive_timestamp FROM ({_QUEUE}) q GROUP BY 1""")
 def _(t):
-    rolled = M.fingerprint_rollup(queue(t.statement_log))
+    rolled = M.fingerprint_rollup(queue_rows(t.statement_log, "slow_log", "1"))
     return rolled.select("sql_id", "counter", "sql_text", c("ts").alias("last_receive_timestamp"))
 
 

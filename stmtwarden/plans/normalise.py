@@ -6,31 +6,32 @@ from stmtwarden.functions import keys, text
 from stmtwarden.functions.statement_columns import statement_columns
 from stmtwarden.plans import dialect as D
 from stmtwarden.registry import query, texts
+from stmtwarden.session import spread
 
 c = F.col
 
 
 @query("n1_fingerprint", f"SELECT id, {D.fingerprint('sql_text')} AS sql_fingerprint FROM statement_corpus")
 def _(t):
-    return t.statement_corpus.select("id", text.fingerprint(c("sql_text")).alias("sql_fingerprint"))
+    return spread(t.statement_corpus).select("id", text.fingerprint(c("sql_text")).alias("sql_fingerprint"))
 
 
 @query("n1_fingerprint_upper_names", f"SELECT id, {D.fingerprint('sql_text', True)} AS sql_fingerprint FROM statement_corpus")
 def _(t):
-    return t.statement_corpus.select("id", text.fingerprint(c("sql_text"), upper_names=True).alias("sql_fingerprint"))
+    return spread(t.statement_corpus).select("id", text.fingerprint(c("sql_text"), upper_names=True).alias("sql_fingerprint"))
 
 
 @query("n2_sql_id", "SELECT id, " + D.json_md5(ProjectId="project_id", Fingerprint=D.fingerprint("sql_text"), Schema="schema_name",
        InstID="instance_id", Source="'slow_log'", AuditPlanID="user_id") + " AS sql_id FROM (SELECT s.*, e.user_id FROM statement_log s JOIN events e ON e.event_id = s.id) x")
 def _(t):
-    s = t.statement_log.join(t.events.select(c("event_id").alias("id"), "user_id"), "id")
+    s = spread(t.statement_log).join(t.events.select(c("event_id").alias("id"), "user_id"), "id")
     fp = text.fingerprint(c("sql_text"))
     return s.select("id", keys.sql_id(c("project_id"), fp, c("schema_name"), c("instance_id"), F.lit("slow_log"), c("user_id")).alias("sql_id"))
 
 
 @query("n3_record_key", "SELECT id, " + D.json_md5(Fingerprint=D.fingerprint("sql_text"), Schema="'db'") + " AS record_key FROM statement_corpus")
 def _(t):
-    return t.statement_corpus.select("id", keys.record_key(text.fingerprint(c("sql_text")), F.lit("db")).alias("record_key"))
+    return spread(t.statement_corpus).select("id", keys.record_key(text.fingerprint(c("sql_text")), F.lit("db")).alias("record_key"))
 
 
 @query("n4_schema_meta_id", "SELECT table_name, column_name, " + D.json_md5(ProjectId="'p1'", Schema="'shop'", InstName="'i1'", Source="'schema_meta'",
@@ -46,7 +47,7 @@ def _(t):
 
 @query("n5_audit_fingerprint", f"SELECT id, MD5(CONCAT('[warn]x', {D.fingerprint('sql_text')})) AS audit_fingerprint FROM statement_corpus")
 def _(t):
-    return t.statement_corpus.select("id", keys.audit_fingerprint(F.lit("[warn]x"), text.fingerprint(c("sql_text"))).alias("audit_fingerprint"))
+    return spread(t.statement_corpus).select("id", keys.audit_fingerprint(F.lit("[warn]x"), text.fingerprint(c("sql_text"))).alias("audit_fingerprint"))
 
 
 @query("n6_strip_comments", """
@@ -58,7 +59,7 @@ def _(t):
 
 @query("n7_sql_kind", f"SELECT id, {D.sql_kind('sql_text')} AS sql_kind FROM statement_corpus")
 def _(t):
-    return t.statement_corpus.select("id", text.sql_kind(c("sql_text")).alias("sql_kind"))
+    return spread(t.statement_corpus).select("id", text.sql_kind(c("sql_text")).alias("sql_kind"))
 
 
 @query("n8_referenced_tables", f"""
