@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from stmtwarden import registry
 from tests.compare import check, connect
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 # At this size these have no rows to show.
 MAY_BE_EMPTY = {"f15_lock_search", "p9_table_size"}
