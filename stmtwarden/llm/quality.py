@@ -93,11 +93,11 @@ def fences(rows: DataFrame) -> DataFrame:
 
     one = quartiles(sketches, ["lang", "source"], "_s")
     lang = saved(quartiles(sketches, ["lang"], "_l"), "langs")
-    whole = saved(quartiles(sketches.withColumn("all", F.lit(0)), ["all"], "_a"), "whole")
-    out = joined_small(joined_small(one.withColumn("all", F.lit(0)), whole, ["all"]), lang, ["lang"])
+    whole = quartiles(sketches.withColumn("all", F.lit(0)), ["all"], "_a").first()
+    out = joined_small(one, lang, ["lang"])
 
     def leaning(r: str, p: str) -> Column:
-        up = (F.col(f"{r}_{p}_l") * F.col("n_l") + F.col(f"{r}_{p}_a") * LEAN) / (F.col("n_l") + LEAN)
+        up = (F.col(f"{r}_{p}_l") * F.col("n_l") + F.lit(whole[f"{r}_{p}_a"] if whole else None) * LEAN) / (F.col("n_l") + LEAN)
         return (F.col(f"{r}_{p}_s") * F.col("n_s") + up * LEAN) / (F.col("n_s") + LEAN)
 
     cols = []
