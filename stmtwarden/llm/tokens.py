@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
 
 #: Splits texts of Latin letters as the file's own pre-tokeniser does; texts with other characters go to the library whole.
 LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -12,31 +11,41 @@ OTHER = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers. Words are encoded by the library once and remembered, up to a bound."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    Words are encoded by the library once and remembered. Memory is bounded:
+    when ``words`` of them are known they become the older generation, from
+    which those that occur again are taken over.
+    """
 
-    def __init__(self, path: str, words: int = 300_000):
+    def __init__(self, path: str, words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.known = words, {}
+        self.words, self.known, self.older = words, {}, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if OTHER.search(text):
             return self._library([text])[0]
-        parts, known = LATIN.findall(text), self.known
+        parts = LATIN.findall(text)
         try:
-            return b"".join(map(known.__getitem__, parts))
+            return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
-            new = [w for w in set(parts) if w not in known]
-            if len(known) + len(new) > self.words:
-                known.clear()
-                new = list(set(parts))
+            need = set(parts)
+            if len(self.known) > self.words:
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
+            new = [w for w in need if w not in known]
+            for w in new:
+                if w in older:
+                    known[w] = older[w]
+            new = [w for w in new if w not in known]
             known.update(zip(new, self._library(new), strict=True))
             return b"".join(map(known.__getitem__, parts))
 
