@@ -73,8 +73,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc, end, out = encoder(tokenizer), int(end_id).to_bytes(4, "little"), []
         step = 4 * capacity
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = enc.encode(text) + end
+        for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
+            ids += end
             for at in range(0, len(ids), step):
                 part = ids[at : at + step]
                 out.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part if with_ids else None))

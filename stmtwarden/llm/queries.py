@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwarden.llm import chosen_path, packing, pii, quality
+from stmtwarden.llm import chosen_path, packing, pii, quality, repeats
 from stmtwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,9 @@ def op4(spark, sf_dir):
 @query("op9_packing")
 def op9(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query("op7_repeated_passages")
+def op7(spark, sf_dir):
+    out = repeats.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -10,12 +10,22 @@ LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹
 OTHER = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level files write for bytes: printable Latin-1 stands for itself, the rest follows from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    Words are encoded by the library once and remembered. Memory is bounded:
-    when ``words`` of them are known they become the older generation, from
-    which those that occur again are taken over.
+    Words are encoded by the library's model once and remembered. Memory is
+    bounded: when ``words`` of them are known they become the older generation,
+    from which those that occur again are taken over.
     """
 
     def __init__(self, path: str, words: int = 200_000):
@@ -25,29 +35,39 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.words, self.known, self.older = words, {}, {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, need: set[str]) -> None:
+        if len(self.known) > self.words:
+            self.known, self.older = {}, self.known
+        known, older, tokenize = self.known, self.older, self.tokenizer.model.tokenize
+        for w in need.difference(known):
+            ids = older.get(w)
+            if ids is None:
+                ids = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+            known[w] = ids
+
+    def encode_many(self, texts: list[str | None], chunk: int = 1 << 20) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
+            parts, need, size = [], set(), 0
+            while at < len(texts) and (size < chunk or not parts):
+                text = texts[at] or ""
+                if OTHER.search(text):
+                    parts.append(text)
+                else:
+                    parts.append(words := LATIN.findall(text))
+                    need.update(words)
+                size, at = size + len(text), at + 1
+            self._learn(need)
+            get = self.known.__getitem__
+            for p in parts:
+                if isinstance(p, str):
+                    out.append(array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes())
+                else:
+                    out.append(b"".join(map(get, p)))
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if OTHER.search(text):
-            return self._library([text])[0]
-        parts = LATIN.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            need = set(parts)
-            if len(self.known) > self.words:
-                self.known, self.older = {}, self.known
-            known, older = self.known, self.older
-            new = [w for w in need if w not in known]
-            for w in new:
-                if w in older:
-                    known[w] = older[w]
-            new = [w for w in new if w not in known]
-            known.update(zip(new, self._library(new), strict=True))
-            return b"".join(map(known.__getitem__, parts))
+        return self.encode_many([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
