@@ -6,8 +6,9 @@ independent trees a node picks one or two of the 64 positions at random (1.25 =
 there; documents of similarity s stay together with probability s at each
 choice, so a pair at the threshold is kept alive by the branching while
 dissimilar ones part. Nodes of few documents are compared exhaustively; larger
-ones also compare all with one pivot, so that a mass of near copies becomes one
-class, and are split further until they are small or of one class.
+ones compare all with one pivot, so that a mass of near copies becomes one
+class. A large node that is one class but for a few compares those with all of
+it; the rest is split further.
 
 Unequal sets only: equal sets are collapsed first. Links are confirmed on full
 sets. A pair at exactly 0.8 is missed by one tree with probability below 0.36
@@ -160,6 +161,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
             active = active.withColumn("label", F.col("sid"))
         active = saved(active, "active")
         pivot = F.min(F.struct(F.xxhash64("node", "sid").alias("h"), "sid"))
+        # of repeated (node, sid) rows any may be the pivot
         pivots = saved(active.where(F.col("size") > limit).groupBy("node").agg(pivot.alias("m")).select("node", F.col("m.sid").alias("pivot")), "pivots")
         if items is None:
             ids = saved(sets.join(active.select("sid").distinct(), "sid").select("doc_id", "sid"), "needed")
@@ -183,18 +185,27 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
         labels = components(links)
         la, lb = (labels.select(F.col("v").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
         apart = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        apart = saved(apart.join(best, ["a", "b"], "left_anti"), "apart")
+        apart = apart.join(best, ["a", "b"], "left_anti")
+        deeper = None
+        if not top:
+            # in a large node that is one class but for a few, those few meet all of it; the pivot stands for the class
+            wide = active.where(F.col("size") > limit).join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
+            wide = saved(wide.select("node", "sid", "n", "sketch", "label").join(pivots, "node"), "wide")
+            main = wide.where(F.col("sid") == F.col("pivot")).select("node", F.col("label").alias("main")).distinct()
+            wide = saved(wide.join(main, "node"), "wide")
+            others = saved(wide.where("label <> main").groupBy("node").agg(F.count("*").alias("others")), "others")
+            few = wide.join(others.where(F.col("others") <= 4 * limit), "node")
+            x = few.where("label <> main").select("node", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("label").alias("la"))
+            y = few.select("node", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("label").alias("lb"))
+            apart = apart.union(x.join(y, "node").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+            deeper = wide.join(others.where(F.col("others") > 4 * limit).select("node"), "node")
+        apart = saved(apart.distinct(), "apart")
         if not apart.isEmpty():
             links = links.union(saved(confirmed(apart, items, percent), "links"))
             labels = components(links)
-        if top:
-            break
-        wide = active.where(F.col("size") > limit).join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
-        wide = saved(wide.select("node", "sid", "n", "sketch", "label"), "wide")
-        mixed = saved(wide.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node"), "mixed")
-        if mixed.isEmpty():
+        if deeper is None or deeper.isEmpty():
             break
-        nodes = next_nodes(wide.join(mixed, "node").join(sets.select("sid", "sig"), "sid"), step)
+        nodes = next_nodes(deeper.join(sets.select("sid", "sig"), "sid"), step)
         level += step
     at = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left")
     at = saved(at.withColumn("root", F.coalesce("root", "sid")), "classes")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import importlib.util
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwarden.llm import chat, chosen_path, packing, pii, quality, repeats
+from stmtwarden.llm import bpe, chat, chosen_path, packing, pii, quality, repeats, warc
 from stmtwarden.llm.common import table
+from stmtwarden.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,22 @@ def op10(spark, sf_dir):
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op2_byte_bpe")
+def op2(spark, sf_dir):
+    return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), importlib.import_module("public_tokenizers").PATTERN)
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM m
+"""
+
+
+@query("op8_warc", OP8_SQL)
+def op8(spark, sf_dir):
+    out = warc.deduplicated(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

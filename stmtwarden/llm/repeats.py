@@ -260,7 +260,7 @@ def repeats(docs: DataFrame, *, width: int = 200, text_out: bool = False) -> Dat
     if width < PERIOD + 17:
         raise ValueError(f"width must be at least {PERIOD + 17}")
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 16)
     own = [f for f in docs.schema.fields if f.name != "text"]
     inner = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)], F.col("text").cast("string").alias("_text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
