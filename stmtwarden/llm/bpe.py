@@ -23,6 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stmtwarden.llm.common import map_arrow, small_batches
+from stmtwarden.llm.tokens import LATIN, OTHER
+
+#: The pattern for which LATIN is a faster equivalent on texts without OTHER characters.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,70 +49,113 @@ def merged(ranks: dict[bytes, int], word: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+NODE, LAST = (1 << 20) - 1, (1 << 18) - 1
+
+
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], states: int = 60_000, pairs: int = 400_000):
+    """States and hypotheses are numbers, to keep some hundred thousand of them small.
+
+    A hypothesis is (pending output << 38 | last token << 20 | trie node); a
+    state is the packed list of its hypotheses.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], states: int = 300_000, pairs: int = 300_000):
+        if len(ranks) >= LAST:
+            raise ValueError(f"at most {LAST - 1} tokens")
         self.ranks, self.max_states, self.max_pairs = ranks, states, pairs
         self.tokens = {r: t for t, r in ranks.items()}
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.child: dict[int, int] = {}
+        self.token_at, inner = [-1], [True]
+        for text, rank in ranks.items():
+            node = 0
+            for byte in text:
+                inner[node] = True
+                to = self.child.get(node << 8 | byte)
+                if to is None:
+                    to = self.child[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    inner.append(False)
+                node = to
+            self.token_at[node] = rank
+        if len(self.token_at) > NODE:
+            raise ValueError(f"at most {NODE} distinct beginnings of tokens")
+        self.inner = bytes(inner)
         self.own: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        #: per state: its hypotheses (pending output, last token, bytes since), and by byte the next state and what is emitted
-        self.hypotheses: list[tuple] = [(((), -1, b""),)]
-        self.known = {self.hypotheses[0]: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-
-    def follows(self, last: int, token: int, text: bytes) -> bool:
+        self.pending: list[tuple[int, ...]] = [()]
+        self.pending_id: dict[tuple[int, ...], int] = {(): 0}
+        start = array("Q", [LAST << 20]).tobytes()
+        self.states, self.known = [start], {start: 0}
+        #: state << 8 | byte -> next state, or (next state, what is emitted)
+        self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
+
+    def follows(self, last: int, token: int) -> bool:
         own = self.own.get(token)
         if own is None:
-            own = self.own[token] = merged(self.ranks, text) == [token]
-        if not own or last < 0:
+            own = self.own[token] = merged(self.ranks, self.tokens[token]) == [token]
+        if not own or last == LAST:
             return own
-        ok = self.pairs.get((last, token))
+        key = last << 18 | token
+        ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
-            ok = self.pairs[last, token] = merged(self.ranks, self.tokens[last] + text) == [last, token]
+            ok = self.pairs[key] = merged(self.ranks, self.tokens[last] + self.tokens[token]) == [last, token]
         return ok
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        out = []
-        for pending, last, since in self.hypotheses[state]:
-            text = since + bytes((byte,))
-            token = self.ranks.get(text)
-            if token is not None and self.follows(last, token, text):
-                out.append(((*pending, token), token, b""))
-            if text in self.prefixes:
-                out.append((pending, last, text))
-        agreed = 0
-        first = out[0][0]
-        least = min(len(h[0]) for h in out)
-        while agreed < least and all(h[0][agreed] == first[agreed] for h in out):
+    def move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        out: list[tuple[tuple[int, ...], int]] = []
+        for h in array("Q", self.states[state]):
+            node = self.child.get((h & NODE) << 8 | byte)
+            if node is None:
+                continue
+            pending, last, token = self.pending[h >> 38], h >> 20 & LAST, self.token_at[node]
+            if token >= 0 and self.follows(last, token):
+                out.append(((*pending, token), token << 20))
+            if self.inner[node]:
+                out.append((pending, last << 20 | node))
+        first, agreed = out[0][0], 0
+        least = min(len(p) for p, _ in out)
+        while agreed < least and all(p[agreed] == first[agreed] for p, _ in out):
             agreed += 1
-        key = tuple((h[0][agreed:], h[1], h[2]) for h in out)
+        packed = array("Q")
+        for p, h in out:
+            p = p[agreed:]
+            i = self.pending_id.get(p)
+            if i is None:
+                i = self.pending_id[p] = len(self.pending)
+                self.pending.append(p)
+            packed.append(i << 38 | h)
+        key = packed.tobytes()
         to = self.known.get(key)
         if to is None:
-            to = self.known[key] = len(self.hypotheses)
-            self.hypotheses.append(key)
-            self.moves.append({})
-        self.moves[state][byte] = move = (to, first[:agreed])
-        return move
+            to = self.known[key] = len(self.states)
+            self.states.append(key)
+        found = (to, first[:agreed]) if agreed else to
+        self.moves[state << 8 | byte] = found
+        return found
 
     def encode(self, word: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         if word in self.ranks:
             return [self.ranks[word]]
-        if len(self.hypotheses) > self.max_states:
+        if len(self.states) > self.max_states:
             self.reset()
         out, state, moves = [], 0, self.moves
         for byte in word:
-            found = moves[state].get(byte)
-            state, emitted = found if found is not None else self.move(state, byte)
-            if emitted:
-                out += emitted
-        out += next(h[0] for h in self.hypotheses[state] if not h[2])
+            found = moves.get(state << 8 | byte)
+            if found is None:
+                found = self.move(state, byte)
+            if type(found) is int:
+                state = found
+            else:
+                state = found[0]
+                out += found[1]
+        if word:
+            out += next(self.pending[h >> 38] for h in array("Q", self.states[state]) if not h & NODE)
         return out
 
 
@@ -140,18 +187,19 @@ class Utf8Stream:
 class Codec:
     """Encoding and decoding of texts; words are remembered up to a bound."""
 
-    def __init__(self, path: str, pattern: str, words: int = 150_000):
+    def __init__(self, path: str, pattern: str, words: int = 100_000):
         import regex
 
         self.ranks = read_ranks(path)
         self.machine, self.split, self.words = Transducer(self.ranks), regex.compile(pattern), words
+        self.latin = pattern == PATTERN
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
         self.table = [self.machine.tokens.get(i, b"") for i in range(max(self.machine.tokens, default=-1) + 1)]
 
     def pieces(self, text: str) -> list[tuple[bytes, bytes]]:
         """Per match its decimal ids, a comma after each, and its ids as 32-bit integers."""
-        words = self.split.findall(text)
+        words = (self.split if not self.latin or OTHER.search(text) else LATIN).findall(text)
         if len(self.known) > self.words:
             self.known, self.older = {}, self.known
         known, older, encode = self.known, self.older, self.machine.encode
