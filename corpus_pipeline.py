@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwarden.llm import chosen_path, packing, pii, quality
+from stmtwarden.llm import chosen_path, packing, pii, quality, repeats
 from stmtwarden.llm.common import saved, table
 from stmtwarden.llm.queries import tokenizer_file
 
@@ -26,6 +26,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.dropDuplicates(["doc_id", "text"])
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of passages of 200 bytes that occur elsewhere; documents left without a word go."""
+    out = repeats.repeats(docs, width=200, text_out=True)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType))
+    return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms in place of personal data."""
     return pii.pseudonymised(docs)
@@ -36,7 +44,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("personal data", personal_data), ("packing", packed)]
+STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("personal data", personal_data), ("packing", packed)]
 
 #: SQL cannot express the stages' methods; tests hold them against brute-force versions.
 ORACLE_SQL = None

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwarden.llm import bpe, chat, chosen_path, packing, pii, quality, repeats, warc
+from stmtwarden.llm import bpe, chat, chosen_path, forest, packing, pii, quality, repeats, warc
 from stmtwarden.llm.common import table
 from stmtwarden.session import fresh_dir
 
@@ -105,3 +105,20 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WH
 def op8(spark, sf_dir):
     out = warc.deduplicated(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM ok UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links,
+  coalesce((SELECT min(b) FROM reach WHERE reach.a = v.vec_id), v.vec_id) AS component_id,
+  v.vec_id = coalesce((SELECT min(b) FROM reach WHERE reach.a = v.vec_id), v.vec_id) AS kept
+FROM v
+"""
+
+
+@query("op5_embedding_dedup", OP5_SQL)
+def op5(spark, sf_dir):
+    return forest.similar(table(spark, sf_dir, "embeddings"))
