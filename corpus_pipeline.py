@@ -27,11 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of passages of 200 bytes that occur elsewhere; documents left without a word go."""
-    out = repeats.repeats(docs, width=200, text_out=True)
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType))
-    return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Texts without the bytes of passages of 200 bytes that occur elsewhere; every document stays."""
+    return repeats.repeats(docs, width=200, text_out=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ there; documents of similarity s stay together with probability s at each
 choice, so a pair at the threshold is kept alive by the branching while
 dissimilar ones part. Nodes of few documents are compared exhaustively; larger
 ones compare all with one pivot, so that a mass of near copies becomes one
-class. A large node that is one class but for a few compares those with all of
-it; the rest is split further.
+class. Larger nodes of up to some thousand documents then compare those outside
+that class with all, in blocks of full sets; still larger ones are split on.
 
 Unequal sets only: equal sets are collapsed first. Links are confirmed on full
 sets. A pair at exactly 0.8 is missed by one tree with probability below 0.36
@@ -135,7 +135,73 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * inter >= percent * union).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: int = 12, first: int = 3, step: int = 3, limit: int = 24) -> DataFrame:
+def _spanning(table: pa.Table, percent: int) -> pa.Table:
+    """Confirmed links between the two sides of a pair of blocks (or within one block), one for each union of classes they make."""
+    sid, label = table["sid"].to_numpy(), table["label"].to_numpy()
+    items, side = table["items"].combine_chunks(), table["side"].to_numpy()
+    cut = items.offsets.to_numpy()
+    flat, size = items.flatten().to_numpy(), np.diff(cut)
+    owner = np.repeat(np.arange(len(sid)), size)
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero((side == 0) | (side == 2))
+    place = np.zeros((2, len(sid)), np.int64)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    fresh = np.append(True, flat[1:] != flat[:-1]) if len(flat) else np.empty(0, bool)
+    number = np.cumsum(fresh) - 1
+    shared = np.bincount(number)[number] > 1 if len(flat) else fresh
+    owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
+    inter = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(number.max()) + 1 if len(number) else 0, 2048):
+        some = (number >= at) & (number < at + 2048)
+        o, v = owner[some], number[some] - at
+        a, b = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+        la, rb = side[o] <= 1, side[o] != 1
+        a[place[0, o[la]], v[la]] = 1
+        b[place[1, o[rb]], v[rb]] = 1
+        inter += a @ b.T
+    union = size[left][:, None] + size[right][None, :] - inter
+    i, j = np.nonzero((100 * inter >= percent * union) & (label[left][:, None] != label[right][None, :]))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
+        p, q = find(int(label[x])), find(int(label[y]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((int(sid[x]), int(sid[y])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def spanning(percent: int):
+    return lambda rows: _spanning(rows, percent)
+
+
+def within_groups(group: DataFrame, items: DataFrame, percent: int, block: int = 400) -> DataFrame:
+    """Links between sets of different classes in a group (main, sid, label), confirmed on full sets.
+
+    The sets outside the main class are cut into blocks, and so is the main
+    class; each block of others meets each block in a task of its own, with the
+    sets of two blocks in memory. Members of the main class do not meet.
+    """
+    other = F.col("label") != F.col("main")
+    sizes = group.groupBy("main").agg(F.ceil(F.sum(F.when(other, 1).otherwise(0)) / block).alias("others"), F.ceil(F.sum(F.when(other, 0).otherwise(1)) / block).alias("rest"))
+    g = group.join(saved(sizes, "blocks"), "main")
+    nth = F.when(other, F.pmod(F.xxhash64("sid"), F.col("others"))).otherwise(F.col("others") + F.pmod(F.xxhash64("sid", F.lit(1)), F.greatest("rest", F.lit(1))))
+    last = F.when(other, F.col("others") + F.col("rest") - 1).otherwise(F.col("others") - 1)
+    g = g.withColumn("nth", nth).where("others > 0").withColumn("meets", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    side = F.when(F.col("nth") == F.col("meets"), 0).when(F.col("nth") < F.col("meets"), 1).otherwise(2)
+    g = g.select(F.concat_ws(",", "main", F.least("nth", "meets").cast("string"), F.greatest("nth", "meets").cast("string")).alias("pair"), "sid", "label", side.alias("side"))
+    rows = g.join(items.dropDuplicates(["sid"]), "sid")
+    return rows.groupBy("pair").applyInArrow(spanning(percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: int = 12, first: int = 3, step: int = 3, limit: int = 24, whole: int = 4000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the smallest doc_id of the near-duplicate class, and
@@ -188,20 +254,20 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
         apart = apart.join(best, ["a", "b"], "left_anti")
         deeper = None
         if not top:
-            # in a large node that is one class but for a few, those few meet all of it; the pivot stands for the class
+            # of a large node only members of different classes still matter; the pivot stands for the main class
             wide = active.where(F.col("size") > limit).join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
-            wide = saved(wide.select("node", "sid", "n", "sketch", "label").join(pivots, "node"), "wide")
+            wide = saved(wide.select("node", "size", "sid", "n", "sketch", "label").join(pivots, "node"), "wide")
             main = wide.where(F.col("sid") == F.col("pivot")).select("node", F.col("label").alias("main")).distinct()
-            wide = saved(wide.join(main, "node"), "wide")
-            others = saved(wide.where("label <> main").groupBy("node").agg(F.count("*").alias("others")), "others")
-            few = wide.join(others.where(F.col("others") <= 4 * limit), "node")
-            x = few.where("label <> main").select("node", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("label").alias("la"))
-            y = few.select("node", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("label").alias("lb"))
-            apart = apart.union(x.join(y, "node").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            deeper = wide.join(others.where(F.col("others") > 4 * limit).select("node"), "node")
-        apart = saved(apart.distinct(), "apart")
-        if not apart.isEmpty():
-            links = links.union(saved(confirmed(apart, items, percent), "links"))
+            mixed = wide.where("sid <> pivot").join(main, "node").groupBy("node").agg(F.first("main").alias("main"), F.max(F.col("label") != F.col("main")).alias("mixed")).where("mixed").select("node", "main")
+            wide = saved(wide.join(saved(mixed, "mixed"), "node"), "wide")
+            group = wide.where(F.col("size") <= whole).groupBy("main", "sid").agg(F.first("label").alias("label"))
+            deeper = wide.where(F.col("size") > whole)
+        more = confirmed(apart, items, percent)
+        if not top:
+            more = more.union(within_groups(saved(group, "group"), items, percent))
+        more = saved(more, "links")
+        if not more.isEmpty():
+            links = links.union(more)
             labels = components(links)
         if deeper is None or deeper.isEmpty():
             break
