@@ -187,7 +187,7 @@ class Utf8Stream:
 class Codec:
     """Encoding and decoding of texts; words are remembered up to a bound."""
 
-    def __init__(self, path: str, pattern: str, words: int = 100_000):
+    def __init__(self, path: str, pattern: str, words: int = 250_000):
         import regex
 
         self.ranks = read_ranks(path)
@@ -203,16 +203,13 @@ class Codec:
         if len(self.known) > self.words:
             self.known, self.older = {}, self.known
         known, older, encode = self.known, self.older, self.machine.encode
-        try:
-            return list(map(known.__getitem__, words))
-        except KeyError:
-            for w in set(words).difference(known):
-                found = older.get(w)
-                if found is None:
-                    ids = encode(w.encode("utf-8", "surrogatepass"))
-                    found = ("".join([f"{i}," for i in ids]).encode(), array("I", ids).tobytes())
-                known[w] = found
-            return list(map(known.__getitem__, words))
+        for w in set(words).difference(known):
+            found = older.get(w)
+            if found is None:
+                ids = encode(w.encode("utf-8", "surrogatepass"))
+                found = ("".join([f"{i}," for i in ids]).encode(), array("I", ids).tobytes())
+            known[w] = found
+        return list(map(known.__getitem__, words))
 
     def decode(self, ids: Iterable[int], portion: int = 4096) -> Iterator[str]:
         stream, ids = Utf8Stream(), list(ids)
