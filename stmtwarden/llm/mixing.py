@@ -213,13 +213,13 @@ def encode(ids: np.ndarray, size: int = BLOCK_IDS) -> list[bytes]:
     lengths = np.array(_blocks(len(ids), size), np.int64)
     if not len(lengths):
         return []
-    grid = np.zeros((len(lengths), size), np.int64)
+    grid = np.zeros((len(lengths), size), np.int32)
     grid.reshape(-1)[: len(ids)] = ids
     coder, model = RangeCoder(len(lengths), ids=size), Model(len(lengths))
     last, before = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for t in range(int(lengths.max())):
         lane = np.flatnonzero(lengths > t)
-        now = grid[lane, t]
+        now = grid[lane, t].astype(np.int64)
         coder.reserve()
         model.step(coder, lane, last[lane], before[lane], now)
         before[lane], last[lane] = last[lane], now
@@ -234,7 +234,7 @@ def decode(blocks: list[bytes], n: int, size: int = BLOCK_IDS) -> np.ndarray:
     if not n:
         return np.empty(0, np.int64)
     coder, model = RangeCoder(len(blocks), [np.frombuffer(b, np.uint16) for b in blocks]), Model(len(blocks))
-    grid = np.zeros((len(blocks), size), np.int64)
+    grid = np.zeros((len(blocks), size), np.int32)
     last, before = np.zeros(len(blocks), np.int64), np.zeros(len(blocks), np.int64)
     for t in range(int(lengths.max())):
         lane = np.flatnonzero(lengths > t)

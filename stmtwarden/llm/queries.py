@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwarden.llm import bpe, chat, chosen_path, forest, packing, pii, quality, repeats, warc
+from stmtwarden.llm import bpe, chat, chosen_path, forest, packing, pii, quality, repeats, token_files, warc
 from stmtwarden.llm.common import table
 from stmtwarden.session import fresh_dir
 
@@ -122,3 +122,10 @@ FROM v
 @query("op5_embedding_dedup", OP5_SQL)
 def op5(spark, sf_dir):
     return forest.similar(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_token_files")
+def op6(spark, sf_dir):
+    path = fresh_dir(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), path, end_id=2)
+    return token_files.read_tokens(spark, path)
