@@ -96,14 +96,15 @@ def events_of(conversations: DataFrame) -> DataFrame:
     """The log behind finished conversations (conv_id, turn, role, text): a start and a delta for each row.
 
     Rows that share a turn are messages of their own, repeated rows too: each
-    gets an id made of its turn and a number within it.
+    gets an id made of its turn and a number within it. Rows without a turn
+    come first; those without conv_id are one conversation.
     """
     w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     rows = rows.withColumn("msg_id", F.struct("turn", F.row_number().over(w).alias("nth")))
-    empty = F.lit(None).cast("string")
+    empty, at = F.lit(None).cast("string"), F.coalesce(2 * F.col("turn"), F.lit(-(1 << 62)))
     both = F.array(
-        F.struct((2 * F.col("turn")).alias("seq"), F.lit("start").alias("kind"), "role", empty.alias("text")),
-        F.struct((2 * F.col("turn") + 1).alias("seq"), F.lit("delta").alias("kind"), empty.alias("role"), "text"),
+        F.struct(at.alias("seq"), F.lit("start").alias("kind"), "role", empty.alias("text")),
+        F.struct((at + 1).alias("seq"), F.lit("delta").alias("kind"), empty.alias("role"), "text"),
     )
     return rows.select("conv_id", "msg_id", F.explode(both).alias("e")).select("conv_id", "msg_id", "e.*")

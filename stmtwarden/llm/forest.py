@@ -20,11 +20,7 @@ from stmtwarden.llm.common import components, map_arrow, mix, saved, small_batch
 
 #: Vectors that fit the trees' splits; all vectors are indexed. This bounds what the driver gathers and what is sent to tasks.
 SAMPLE_ROWS = 8192
-LAST_LEVEL = 24
-
-
-def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+LAST_LEVEL = 40
 
 
 class Forest:
@@ -88,14 +84,19 @@ class Forest:
         return np.concatenate(out_names), np.concatenate(out_rows)
 
 
+def unit_of(data: bytes) -> np.ndarray:
+    """The unit vector in doubles of stored components; they are stored as single floats where those hold them exactly."""
+    v = np.frombuffer(data[1:], np.float32 if data[:1] == b"f" else np.float64).astype(np.float64)
+    v = v / np.abs(v).max()
+    return v / np.sqrt(v @ v)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors stored as the bytes of their doubles."""
-    data = column.to_pylist()
-    return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+    return np.array([unit_of(d) for d in column.to_pylist()])
 
 
 def vectors_of(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): the unit vector's bytes, null where there is none: null, empty, zero, or with a null or non-finite component."""
+    """(vec_id, v): the stored components, null where there is no direction: null, empty, zero, or with a null or non-finite component."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -103,61 +104,85 @@ def vectors_of(rows: DataFrame) -> DataFrame:
             v = np.array([np.nan if c is None else c for c in e], np.float64) if e else np.empty(0)
             ok = len(v) and np.isfinite(v).all() and np.any(v)
             if ok:
-                v = v / np.abs(v).max()
-                v = v / np.sqrt(v @ v)
-            out.append(v.tobytes() if ok else None)
+                with np.errstate(over="ignore"):
+                    single = v.astype(np.float32)
+                v = b"f" + single.tobytes() if (single.astype(np.float64) == v).all() else b"d" + v.tobytes()
+            out.append(v if ok else None)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "v"])
 
     return map_arrow(rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")), run, "vec_id long, v binary")
 
 
 def compared(table: pa.Table, least: float) -> pa.Table:
-    """Pairs of one leaf with cosine at or above ``least``, block by block."""
-    x, keys = _matrix(table["v"].combine_chunks()), table["key"].to_numpy()
-    out_a, out_b = [], []
-    for at in range(0, len(x), 512):
-        part = x[at : at + 512]
-        i, j = np.nonzero(np.einsum("ik,jk->ij", part, x[at:], optimize=True) >= least)
-        some = j > i
-        a, b = keys[at + i[some]], keys[at + j[some]]
-        out_a.append(np.minimum(a, b))
-        out_b.append(np.maximum(a, b))
-    a, b = np.concatenate(out_a or [np.empty(0, np.int64)]), np.concatenate(out_b or [np.empty(0, np.int64)])
-    return pa.table({"a": a[a != b], "b": b[a != b]})
+    """One leaf, or two blocks of one: a row (a, null, n) per vector with n links first found here, and spanning links (a, b, null).
+
+    ``leaves`` lists all leaves of a vector; two vectors that share several
+    are counted in the one with the smallest name.
+    """
+    x, keys, copies = _matrix(table["v"].combine_chunks()), table["key"].to_numpy(), table["copies"].to_numpy()
+    side, here = table["side"].to_numpy(), table["node"][0].as_py()
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
+    near = np.einsum("ik,jk->ij", x[left], x[right], optimize=True) >= least
+    near &= keys[left][:, None] != keys[right][None, :]
+    leaves = table["leaves"].combine_chunks()
+    names, owner = leaves.flatten().to_numpy(), np.repeat(np.arange(len(keys)), np.diff(leaves.offsets.to_numpy()))
+    owner, names = owner[names < here], names[names < here]
+    if near.any() and len(names):
+        number = np.unique(names, return_inverse=True)[1]
+        for at in range(0, int(number.max()) + 1, 2048):
+            some = (number >= at) & (number < at + 2048)
+            has = np.zeros((len(keys), 2048), np.float32)
+            has[owner[some], number[some] - at] = 1
+            near &= has[left] @ has[right].T == 0
+    n = np.zeros(len(keys), np.int64)
+    n[left] += near @ copies[right]
+    n[right[side[right] == 2]] += (copies[left] @ near)[side[right] == 2]
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while root.get(k, k) != k:
+            k = root[k]
+        return k
+
+    out = []
+    i, j = np.nonzero(near)
+    for a, b in zip(keys[left[i]].tolist(), keys[right[j]].tolist(), strict=True):
+        p, q = find(a), find(b)
+        if p != q:
+            root[p] = q
+            out.append((a, b))
+    some = np.flatnonzero(n)
+    a = pa.array([*keys[some].tolist(), *[p for p, _ in out]], pa.int64())
+    return pa.table({"a": a, "b": pa.array([None] * len(some) + [q for _, q in out], pa.int64()), "n": pa.array([*n[some].tolist(), *[None] * len(out)], pa.int64())})
 
 
 def comparing(least: float):
     return lambda rows: compared(rows, least)
 
 
-def similar(rows: DataFrame, *, least: float = 0.95, trees: int = 24, leaf: int = 24, spill: float = 0.02, limit: int = 400) -> DataFrame:
+def similar(rows: DataFrame, *, least: float = 0.95, trees: int = 16, leaf: int = 24, spill: float = 0.01, limit: int = 1000) -> DataFrame:
     """Per row of ``rows`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors with cosine of at least ``least`` are linked where a leaf of some
-    tree holds both. Equal vectors (up to scale) are one point of the search
-    and each other's links. Vectors that are null, empty, zero or hold null or
-    non-finite components have no links and are kept. A null vec_id counts as a
-    vector but is never the smallest. Vectors of different length never meet.
-    Other columns are not read.
+    tree holds both. Equal vectors are one point of the search and each other's
+    links. Vectors that are null, empty, zero or hold null or non-finite
+    components have no links and are kept. A null vec_id counts as a vector but
+    is never the smallest. Vectors of different length never meet. Other
+    columns are not read. Links are counted where they are found, not listed.
     """
     spark = rows.sparkSession
     small_batches(spark, 4000)
-    points = saved(vectors_of(rows), "vectors")
-    points = saved(points.withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("v"))), "points")
+    points = saved(vectors_of(rows).withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("v"))), "points")
     unique = saved(points.where("v is not null").groupBy("key").agg(F.first("v").alias("v"), F.count("*").alias("copies")), "unique")
     widths = [r[0] for r in unique.select(F.length("v").alias("w")).distinct().limit(1001).collect()]
     if len(widths) > 1000:
         raise ValueError("more than 1000 different vector lengths")
-    links = None
+    found = spark.createDataFrame([], "a long, b long, n long")
     for width in widths:
-        found = _links(unique.where(F.length("v") == width), least, trees, leaf, spill, limit)
-        links = found if links is None else links.unionByName(found)
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-    links = saved(links.distinct(), "links")
-    roots = components(links).select(F.col("v").alias("key"), "root")
-    both = links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(links.select("b", "a"))
-    near = both.join(unique.select(F.col("key").alias("other"), "copies"), "other").groupBy("key").agg(F.sum("copies").alias("near"))
+        found = found.unionByName(_links(unique.where(F.length("v") == width), least, trees, leaf, spill, limit))
+    found = saved(found, "links")
+    roots = components(found.where("n is null").select("a", "b")).select(F.col("v").alias("key"), "root")
+    near = found.where("n is not null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("near"))
     known = unique.select("key", "copies").join(near, "key", "left").join(roots, "key", "left")
     known = saved(known.select("key", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"), F.coalesce("root", "key").alias("root")), "known")
     out = saved(points.select("vec_id", "key").join(known, "key", "left"), "joined")
@@ -166,45 +191,39 @@ def similar(rows: DataFrame, *, least: float = 0.95, trees: int = 24, leaf: int
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(unique: DataFrame, least: float, trees: int, leaf: int, spill: float, limit: int) -> DataFrame:
+def _links(unique: DataFrame, least: float, trees: int, leaf: int, spill: float, limit: int, block: int = 1000) -> DataFrame:
     spark = unique.sparkSession
     sample = unique.orderBy(F.xxhash64("key")).select("v").limit(SAMPLE_ROWS).collect()
-    forest = Forest(np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float64).reshape(len(sample), -1), trees, leaf, spill)
+    forest = Forest(np.array([unit_of(bytes(r[0])) for r in sample]), trees, leaf, spill)
     sent = spark.sparkContext.broadcast(forest)
-    shape = "node long, key long, v binary"
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, row = sent.value.leaves_of(_matrix(batch.column(1)))
-        take = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], names=["node", "key", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), batch.column(0).take(pa.array(row))], names=["node", "key"])
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, row = sent.value.deeper(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2)))
         take = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], names=["node", "key", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), batch.column(1).take(take), batch.column(3).take(take)], names=["node", "key", "was"])
 
-    nodes, out = saved(map_arrow(unique.select("key", "v"), place, shape), "leaves"), None
+    nodes = map_arrow(unique.select("key", "v"), place, "node long, key long").withColumn("was", F.lit(None).cast("long"))
+    done = None
     for level in range(LAST_LEVEL + 1):
-        sizes = saved(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        ready = nodes.join(sizes.where(F.col("size") <= limit).select("node"), "node")
-        found = saved(ready.groupBy("node").applyInArrow(comparing(least), "a long, b long").distinct(), "pairs")
-        out = found if out is None else out.union(found)
-        large = sizes.where(F.col("size") > limit).select("node")
+        nodes = saved(nodes.distinct(), "leaves")
+        sizes = saved(nodes.groupBy("node").agg(F.count("*").alias("size"), F.max("was").alias("before")).where("size > 1"), "sizes")
+        # a leaf that a split hardly makes smaller is a mass of near copies: no use in splitting it further
+        more = (F.col("size") > limit) & ~F.coalesce(F.col("size") > 0.8 * F.col("before"), F.lit(False)) & F.lit(level < LAST_LEVEL)
+        ready = nodes.join(sizes.where(~more).select("node", "size"), "node").select("node", "key", "size")
+        done = ready if done is None else done.union(ready)
+        large = sizes.where(more).select("node", "size")
         if large.isEmpty():
             break
-        rest = nodes.join(large, "node")
-        if level == LAST_LEVEL:
-            out = out.union(_in_blocks(rest, least))
-            break
-        nodes = saved(map_arrow(rest.select("node", "key", "v"), split, shape), "leaves")
-    return out
-
-
-def _in_blocks(rest: DataFrame, least: float, rows_per_block: int = 1000) -> DataFrame:
-    """Pairs within leaves that no split parts: each leaf is cut into blocks, and each pair of blocks is compared in a task of its own."""
-    sizes = saved(rest.groupBy("node").agg(F.ceil(F.count("*") / rows_per_block).alias("blocks")), "blocks")
-    cut = rest.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks")))
-    # a row meets block j as its own side of the pair (block, j)
-    meets = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = meets.select(F.concat_ws(",", "node", F.least("block", "j").cast("string"), F.greatest("block", "j").cast("string")).alias("pair"), "key", "v").distinct()
-    return pair.groupBy("pair").applyInArrow(comparing(least), "a long, b long")
+        rest = nodes.select("node", "key").join(large, "node").join(unique.select("key", "v"), "key")
+        nodes = map_arrow(rest.select("node", "key", "v", F.col("size").alias("was")), split, "node long, key long, was long")
+    leaves = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "size"))).alias("at"))
+    rows = unique.join(leaves, "key").select("key", "v", "copies", F.col("at.node").alias("leaves"), F.explode("at").alias("x"))
+    blocks = F.ceil(F.col("x.size") / block)
+    rows = rows.withColumns({"node": F.col("x.node"), "nth": F.pmod(F.xxhash64("key"), blocks), "meets": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    side = F.when(F.col("nth") == F.col("meets"), 0).when(F.col("nth") < F.col("meets"), 1).otherwise(2)
+    rows = rows.select("node", F.least("nth", "meets").alias("i"), F.greatest("nth", "meets").alias("j"), side.alias("side"), "key", "v", "copies", "leaves")
+    return rows.groupBy("node", "i", "j").applyInArrow(comparing(least), "a long, b long, n long")

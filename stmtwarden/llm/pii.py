@@ -152,7 +152,7 @@ def pseudonym(value: Column, key: str) -> Column:
     out = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("new"))
     tests = {
         "email": value.contains("@"), "secret": value.rlike(r"^[A-Za-z]"), "ip": value.rlike(f"^(?:{IP})$"), "date": value.rlike(f"^(?:{DATE})$"),
-        "ssn": value.rlike(f"^(?:{SSN})$"), "card": value.rlike(f"^(?:{CARD})$"), "phone": F.lit(True),
+        "ssn": value.rlike(f"^(?:{SSN})$"), "card": value.rlike(f"^(?:{CARD})$"), "phone": value.rlike(f"^(?:{PHONE})$"),
     }
     for kind in reversed(KINDS):
         new = MAKERS[kind][1](value, key)

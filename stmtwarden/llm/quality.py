@@ -29,7 +29,7 @@ RATIOS = {
 }
 SKETCH_K = 400
 #: So many documents of the level above count towards a group's fences.
-LEAN = 50
+LEAN = 10
 #: Fences lie so many quartile distances outside the quartiles.
 REACH = 3.0
 
