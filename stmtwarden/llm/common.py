@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -103,12 +105,20 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(window_hashes(h, k))
 
 
+def trim() -> None:
+    """Gives memory that a finished task used back to the machine; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = fn(batch)
             if out is not None and out.num_rows:
                 yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

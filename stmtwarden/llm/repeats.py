@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtwarden.llm.common import mix, saved, small_batches, text_bytes
+from stmtwarden.llm.common import mix, saved, small_batches, text_bytes, trim
 from stmtwarden.session import fresh_dir
 
 #: A perfect difference set modulo 133 (every shift occurs once).
 PERIOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
@@ -45,7 +45,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(21, n.bit_length())
+        size = 1 << max(20, n.bit_length())
         have = np.full(size, base, np.uint64)
         have[0] = 1
         _powers[base] = have = np.multiply.accumulate(have)
@@ -244,6 +244,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                 kept.append((rest, texts, first, len(texts) - first))
         if kept:
             yield packed(kept)
+        trim()
 
     return docs.mapInArrow(run, "data binary, lengths binary, rest binary")
 
@@ -260,13 +261,14 @@ def repeats(docs: DataFrame, *, width: int = 200, text_out: bool = False) -> Dat
     if width < PERIOD + 17:
         raise ValueError(f"width must be at least {PERIOD + 17}")
     spark = docs.sparkSession
-    small_batches(spark, 16)
+    small_batches(spark, 200)
     own = [f for f in docs.schema.fields if f.name != "text"]
     inner = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)], F.col("text").cast("string").alias("_text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"blocks_{uuid.uuid4().hex}", fresh_dir(spark, "blocks")
     rows = blocks_of(inner).withColumn("block", F.monotonically_increasing_id())
     rows.write.bucketBy(parts, "block").option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).saveAsTable(name)
+    small_batches(spark, 4)
     blocks = spark.table(name)
     total = blocks.select(F.sum(F.length("data"))).first()[0] or 0
     # names of a bucket fit in memory many times over, at any size of the corpus
@@ -297,6 +299,7 @@ def repeats(docs: DataFrame, *, width: int = 200, text_out: bool = False) -> Dat
                     found = stepped(data, lengths, *replies)
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["block", "bucket", "names"])
+            trim()
 
         names = joined().select("block", "data", "lengths", *given).mapInArrow(emit, "block long, bucket int, names binary")
         shape = "block long, bucket int, " + ("same binary, wanted binary" if kind == "second" else "bits binary")
@@ -331,6 +334,7 @@ def repeats(docs: DataFrame, *, width: int = 200, text_out: bool = False) -> Dat
                     out["kept"] = pa.array(left, pa.binary())
                     out["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield from pa.table(out).combine_chunks().to_batches(500)
+        trim()
 
     out = joined().select("data", "lengths", "rest", "r0", "r1", "r2").mapInArrow(finish, shape)
     out = out.select(*[F.col(f"c{i}").alias(f.name) for i, f in others], *[c for c in out.columns if not c[1:].isdigit()])
