@@ -80,11 +80,16 @@ def masked_text(sql: Column) -> Column:
     return masked_code(code_text(sql))
 
 
+#: A statement with common tables whose verb, after the last of them, changes rows.
+WITH_CHANGE = r"^\s*WITH\b.*\)\s*(INSERT|UPDATE|DELETE|REPLACE)\b"
+
+
 def sql_kind(sql: Column) -> Column:
     """DQL for queries, DML for changes of rows, else DDL."""
-    text = F.upper(code_text(sql))
+    text = masked_text(sql)
     return (
-        F.when(text.rlike(r"^[\s(]*(SELECT|WITH)\b"), "DQL")
+        F.when(text.rlike(WITH_CHANGE), "DML")
+        .when(text.rlike(r"^[\s(]*(SELECT|WITH)\b"), "DQL")
         .when(text.rlike(r"^\s*(INSERT|UPDATE|DELETE|REPLACE)\b"), "DML")
         .otherwise("DDL")
     )

@@ -70,13 +70,9 @@ def configure(rules: Iterable[Rule], settings: dict[str, Setting] | None) -> lis
     return chosen
 
 
-def settings_from(gated: DataFrame, limit: int = 1000) -> dict[str, Setting]:
-    """Settings out of the rule gate's output, a table no longer than the catalogues."""
-    from stmtwarden.session import bounded_rows
-
-    rows = bounded_rows(gated.select("rule_name", "level", "params"), limit)
-    if rows is None:
-        raise ValueError("more settings than rules: filter the gate by template and database type")
+def settings_from(gated: DataFrame) -> dict[str, Setting]:
+    """Settings out of the rule gate's output: one row per rule of a template, as its author wrote them."""
+    rows = gated.select("rule_name", "level", "params").collect()
     return {r["rule_name"]: Setting(r["level"], r["params"]) for r in rows}
 
 

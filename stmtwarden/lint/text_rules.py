@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from stmtwarden.functions.text import STRING, code_text, masked_code
 from stmtwarden.lint.rule import Rule, both, broken, configure, m, n, violations
-from stmtwarden.session import spread
 
 _TAIL = r"\bGROUP BY\b|\bORDER BY\b|\bHAVING\b|\bLIMIT\b|\bFOR UPDATE\b|\bUNION\b"
 
@@ -86,7 +85,7 @@ def _names(lists: Column) -> Column:
 def features(statements: DataFrame) -> DataFrame:
     """Statements with the columns the text rules read."""
     c = F.col
-    df = spread(statements).withColumn("code", code_text(c("sql_text")))
+    df = statements.withColumn("code", code_text(c("sql_text")))
     df = df.withColumn("masked", masked_code(c("code")))
     none = F.array().cast("array<string>")
     nested = F.contains(c("masked"), F.lit("("))
@@ -306,7 +305,7 @@ RULES: list[Rule] = [
     *both("COUNT of a whole table", f"{DML} AND NOT {WHERE} AND " + m("sel_list", r"\bCOUNT ?~") + " AND " + m("masked", r"\bCOUNT ?\( ?(\*|[0-9]+) ?\)"), None, (220, "warn")),
 ]
 
-SUPPORTED = r"^\(*\s*(SELECT|WITH|INSERT|REPLACE|UPDATE|DELETE|CREATE|ALTER|DROP|TRUNCATE|RENAME|SET|GRANT|REVOKE)\b"
+SUPPORTED = r"^\(*\s*(SELECT|WITH|INSERT|REPLACE|UPDATE|DELETE|CREATE|ALTER|DROP|TRUNCATE|RENAME|SET|GRANT|REVOKE|VALUES|TABLE|COMMIT|ROLLBACK|BEGIN|START|SAVEPOINT|RELEASE|USE|SHOW|EXPLAIN|DESCRIBE|DESC|CALL|DO|LOCK|UNLOCK|ANALYZE|OPTIMIZE|CHECK|CHECKSUM|REPAIR|FLUSH|KILL|LOAD|HANDLER|PREPARE|EXECUTE|DEALLOCATE|XA|COMMENT|MERGE|EXEC)\b"
 
 
 def is_supported() -> Column:

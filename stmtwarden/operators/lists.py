@@ -8,66 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtwarden.functions import ipv4
-from stmtwarden.session import LIST_ROWS_MAX, bounded_rows
 
 # Order in which kinds of entries are tried.
 ENDPOINT, TEXT, FINGERPRINT, INSTANCE, USER = range(5)
 
 
-def _entry_array(entries: list[tuple]) -> Column | None:
-    if not entries:
-        return None
-    return F.array(*[F.struct(*[F.lit(v).alias(f"f{n}") for n, v in enumerate(e)]) for e in entries])
-
-
-def _first(entries: list[tuple], test) -> Column:
-    """Id of the first entry (in list order) that passes ``test``."""
-    arr = _entry_array(entries)
-    if arr is None:
-        return F.lit(None).cast("bigint")
-    return F.get(F.filter(arr, test), F.lit(0))["f0"].cast("bigint")
-
-
-def _cidr(content: str) -> tuple[int, int]:
-    ip, bits = content.split("/")
-    a, b, c, d = (int(x) for x in ip.split("."))
-    value = a << 24 | b << 16 | c << 8 | d
-    return value >> (32 - int(bits)), 32 - int(bits)
-
-
-def matched_entry(rows, endpoints: Column, text: Column, fp: Column, instance: Column, user: Column) -> Column:
-    """Id of the entry that blocks a statement, as one expression of its row.
-
-    The entries ride in the expression, so matching needs no join and no
-    shuffle; use it only for rows of a checked number.
-    """
-    of: dict[str, list[tuple]] = {}
-    for r in sorted(rows, key=lambda r: r["id"]):
-        of.setdefault(r["filter_type"], []).append((int(r["id"]), r["content"]))
-    lowered = {k: [(i, c.lower()) for i, c in of.get(k, [])] for k in ("sql", "fp_sql", "host")}
-    cidrs = [(i, *_cidr(c)) for i, c in of.get("cidr", [])]
-
-    def equal(kind: str, value: Column) -> Column:
-        return _first(of.get(kind, []), lambda e: e["f1"] == value)
-
-    def holds(kind: str, value: Column) -> Column:
-        low = F.lower(value)
-        return _first(lowered[kind], lambda e: F.contains(low, e["f1"]))
-
-    def endpoint_entry(e: Column) -> Column:
-        in_net = _first(cidrs, lambda c: F.call_function("shiftright", ipv4.to_long(e), c["f2"]) == c["f1"])
-        return F.when(ipv4.is_ip(e), F.coalesce(equal("ip", e), in_net)).otherwise(holds("host", e))
-
-    hits = F.filter(F.transform(endpoints, endpoint_entry), lambda h: h.isNotNull())
-    return F.coalesce(
-        F.get(hits, F.lit(0)),
-        holds("sql", text),
-        holds("fp_sql", fp),
-        equal("instance", instance),
-        F.when(user != "", equal("db_user", user)),
-    )
-
-
 _ANCHORS = (12, 4, 1)
 
 
@@ -85,8 +30,7 @@ def _pieces(text: Column, length: int) -> Column:
 
 
 def _contains_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(key, pattern_id): the first pattern each text contains, for lists too
-    long to ride in the plan.
+    """(key, pattern_id): the first pattern each text contains.
 
     A text that contains a pattern also contains the pattern's last few
     characters, so both sides meet on that piece and the pair is verified.
@@ -110,7 +54,8 @@ def _contains_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def _joined_matches(statements: DataFrame, blocklist: DataFrame) -> DataFrame:
-    """(id, matched_id) by joins on keys, for a block list of any length."""
+    """(id, matched_id) by joins on keys."""
+    blocklist = blocklist.filter("content IS NOT NULL")
     kind = lambda *k: blocklist.filter(F.col("filter_type").isin(*k))
     ends = statements.select(F.col("id").alias("key"), F.posexplode("endpoints").alias("pos", "text"))
     hit = lambda df, rank, pos=F.lit(0), sub=F.lit(0): df.select(
@@ -119,19 +64,12 @@ def _joined_matches(statements: DataFrame, blocklist: DataFrame) -> DataFrame:
     entry = lambda df, name: df.select(F.col("id").alias("pattern_id"), F.col("content").alias(name))
     ips = ends.filter(ipv4.is_ip(F.col("text")))
     by_ip = ips.join(entry(kind("ip"), "text"), "text")
-    nets = entry(kind("cidr"), "cidr").select(
-        "pattern_id",
-        F.split_part("cidr", F.lit("/"), F.lit(2)).cast("int").alias("bits"),
-        ipv4.to_long(F.split_part("cidr", F.lit("/"), F.lit(1))).alias("_net"),
-    )
-    nets = nets.withColumn("net", ipv4.network(F.col("_net"), F.col("bits")))
-    # Every address has 33 prefixes, so an address meets its networks on (bits, prefix).
-    prefixes = (
-        ips.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(32))))
-        .withColumn("net", ipv4.network(ipv4.to_long(F.col("text")), F.col("bits")))
-        .filter("net IS NOT NULL")
-    )
-    by_net = prefixes.join(nets.select("pattern_id", "bits", "net"), ["bits", "net"])
+    nets = entry(kind("cidr"), "cidr").select("pattern_id", ipv4.network_bits(F.col("cidr")).alias("net")).filter("net IS NOT NULL")
+    # Every address has 33 or 129 prefixes, so an address meets its networks on the prefix; equal addresses are cut once.
+    bits = ips.select("text").distinct().withColumn("bits", ipv4.address_bits(F.col("text"))).filter("bits IS NOT NULL")
+    prefixes = bits.select("text", F.explode(F.sequence(F.lit(2), F.length("bits"))).alias("n"), "bits").select("text", F.substr("bits", F.lit(1), F.col("n")).alias("net"))
+    within = prefixes.join(nets, "net").groupBy("text").agg(F.min("pattern_id").alias("pattern_id"))
+    by_net = ips.join(within, "text")
     hosts = ends.filter(~ipv4.is_ip(F.col("text"))).select(F.struct("key", "pos").alias("key"), "text")
     by_host = _contains_pairs(hosts, entry(kind("host"), "pattern")).select(F.col("key.key").alias("key"), F.col("key.pos").alias("pos"), "pattern_id")
     texts = statements.select(F.col("id").alias("key"), F.col("sql_text").alias("text"))
@@ -154,20 +92,21 @@ def _joined_matches(statements: DataFrame, blocklist: DataFrame) -> DataFrame:
     return union.groupBy("key").agg(F.min("hit")["id"].alias("matched_id")).withColumnRenamed("key", "id")
 
 
-def blocklist_match(statements: DataFrame, blocklist: DataFrame, limit: int = LIST_ROWS_MAX) -> DataFrame:
+def blocklist_match(statements: DataFrame, blocklist: DataFrame) -> DataFrame:
     """statements with ``matched_id``, the entry that blocks each.
 
     ``statements``: id, endpoints (array), sql_text, sql_fingerprint,
-    instance_id, db_user. ``blocklist``: id, filter_type, content. A list of at
-    most ``limit`` rows becomes an expression; a longer one is joined on keys.
+    instance_id, db_user. ``blocklist``: id, filter_type, content. Lists of any
+    length go the same way: they meet statements on keys. Entries without
+    content, and networks that are none (see :func:`bad_entries`), match nothing.
     """
-    entries = bounded_rows(blocklist.select("id", "filter_type", "content"), limit)
-    if entries is None:
-        return statements.join(_joined_matches(statements, blocklist), "id", "left")
-    c = F.col
-    return statements.withColumn(
-        "matched_id", matched_entry(entries, c("endpoints"), c("sql_text"), c("sql_fingerprint"), c("instance_id"), c("db_user"))
-    )
+    return statements.join(_joined_matches(statements, blocklist), "id", "left")
+
+
+def bad_entries(blocklist: DataFrame) -> DataFrame:
+    """Entries that can never match: no content, or a network that cannot be read."""
+    broken = (F.col("filter_type") == "cidr") & ipv4.network_bits(F.col("content")).isNull()
+    return blocklist.filter(F.col("content").isNull() | broken)
 
 
 def blocklist_counters(matched: DataFrame, blocklist: DataFrame, time_column: str = "ts") -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stmtwarden.functions.text import code_text
-from stmtwarden.session import spread
 
 
 def fingerprint_rollup(queue: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -53,9 +52,17 @@ def schema_snapshot_merge(stored: DataFrame, seen: DataFrame, key: str = "meta_i
     )
 
 
-def record_upsert(stored: DataFrame, incoming: DataFrame, key: str = "sql_id") -> DataFrame:
-    """A5: stored records with incoming ones put in, replacing equal keys."""
-    return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+def record_upsert(stored: DataFrame, incoming: DataFrame, key: str = "sql_id", newest_by: str | None = None) -> DataFrame:
+    """A5: stored records with incoming ones put in, replacing equal keys.
+
+    The result has one row per incoming key: of several, the one with the
+    greatest ``newest_by``, or any one if no column is named.
+    """
+    if newest_by is None:
+        once = incoming.dropDuplicates([key])
+    else:
+        once = incoming.groupBy(key).agg(F.max_by(F.struct(*incoming.columns), newest_by).alias("_n")).select("_n.*")
+    return stored.join(once.select(key), key, "left_anti").unionByName(once)
 
 
 def process_insert_if_absent(states: DataFrame, records: DataFrame) -> DataFrame:
@@ -101,7 +108,7 @@ def merge_candidates(statements: DataFrame) -> DataFrame:
     has to sort all ALTERs of a table.
     """
     table = F.lower(F.regexp_replace(F.regexp_extract(code_text(F.col("sql_text")), ALTERED_TABLE, 1), "`", ""))
-    alters = spread(statements).select("id", "task_id", table.alias("table_name")).filter("table_name <> ''")
+    alters = statements.select("id", "task_id", table.alias("table_name")).filter("table_name <> ''")
     first = alters.groupBy("task_id", "table_name").agg(F.min("id").alias("first_id"), F.count("*").alias("alter_count"))
     return alters.join(first.filter("alter_count > 1"), ["task_id", "table_name"]).filter(F.col("id") > F.col("first_id"))
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PLAN_ROWS_LIMIT = 100000
 
 
 def column_profile(df: DataFrame, columns: list[str], table_name: str = "") -> DataFrame:
@@ -97,15 +96,15 @@ def table_size(targets: DataFrame, tables: DataFrame, limit_mb: int = 1024) -> D
 def affected_rows_by_plan(plan_rows: DataFrame) -> DataFrame:
     """P10: rows a statement would touch, as far as its plan decides it.
 
-    With a full scan, or with more than 100 000 rows over all steps, the last
-    step's estimate stands; otherwise ``needs_count`` asks for a real count.
+    ``affected_rows`` is the last step's estimate, ``total_rows`` the sum over
+    all steps, ``full_scan`` tells of a step that reads a whole table. Whether
+    the estimate will do or a count is worth its price is the caller's choice.
     """
     step = F.struct("select_id", "rows_est")
     per = plan_rows.groupBy("sql_id").agg(
         F.bool_or(F.col("access_type") == "ALL").alias("_full"), F.sum("rows_est").alias("_total"), F.max_by("rows_est", step).alias("_last")
     )
-    by_plan = F.col("_full") | (F.col("_total") > PLAN_ROWS_LIMIT)
-    return per.select("sql_id", F.when(by_plan, F.col("_last")).alias("affected_rows"), (~by_plan).alias("needs_count"))
+    return per.select("sql_id", F.col("_last").alias("affected_rows"), F.col("_total").alias("total_rows"), F.col("_full").alias("full_scan"))
 
 
 def affected_rows_by_count(target: DataFrame, condition: str | None, limit: int | None = None) -> DataFrame:

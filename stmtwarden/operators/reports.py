@@ -189,7 +189,7 @@ def latest_report_score(reports: DataFrame) -> DataFrame:
 
 
 def instance_health(instances: DataFrame, latest_scores: DataFrame, below: int = 60) -> DataFrame:
-    """Per database type the healthy and unhealthy instances.
+    """Per database type and instance whether it is unhealthy.
 
     ``instances`` has one row per workflow and instance with its status. One
     failed workflow or a low newest score makes an instance unhealthy.
@@ -198,11 +198,7 @@ def instance_health(instances: DataFrame, latest_scores: DataFrame, below: int =
     signals = instances.select("db_type", "instance_name", bad.alias("bad")).unionByName(
         latest_scores.select("db_type", "instance_name", (F.col("score") < below).alias("bad"))
     )
-    state = signals.groupBy("db_type", "instance_name").agg(F.bool_or("bad").alias("unhealthy"))
-    return state.groupBy("db_type").agg(
-        F.sort_array(F.collect_set(F.when(F.col("unhealthy"), F.col("instance_name")))).alias("unhealthy_instances"),
-        F.sort_array(F.collect_set(F.when(~F.col("unhealthy"), F.col("instance_name")))).alias("healthy_instances"),
-    )
+    return signals.groupBy("db_type", "instance_name").agg(F.bool_or("bad").alias("unhealthy"))
 
 
 def project_score(workflows: DataFrame, reports: DataFrame) -> DataFrame:

@@ -47,7 +47,8 @@ def expired_files(files: DataFrame, workflow_tasks: DataFrame, now: str) -> Data
 
 
 def orphan_cleanup(records: DataFrame, sources: DataFrame, now: str) -> DataFrame:
-    """Records with ``deleted_at`` set where their source is gone."""
+    """Records with ``deleted_at`` set where their source is gone; an earlier time of deletion stays."""
     live = sources.filter(~F.col("is_deleted")).select(F.col("id").alias("source_id")).distinct().withColumn("_live", F.lit(True))
     gone = F.when(F.col("_live").isNull(), F.lit(now).cast("timestamp_ntz"))
-    return records.join(live, "source_id", "left").withColumn("deleted_at", gone).drop("_live")
+    before = F.col("deleted_at") if "deleted_at" in records.columns else F.lit(None)
+    return records.join(live, "source_id", "left").withColumn("deleted_at", F.coalesce(before.cast("timestamp_ntz"), gone)).drop("_live")

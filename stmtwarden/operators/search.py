@@ -56,9 +56,9 @@ def contains_text(column: str):
 
 def page(df: DataFrame, order, limit: int | None, offset: int = 0) -> DataFrame:
     df = df.orderBy(*order)
-    if limit:
-        df = df.offset(offset).limit(limit) if offset else df.limit(limit)
-    return df
+    if offset:
+        df = df.offset(offset)
+    return df.limit(limit) if limit else df
 
 
 def total(df: DataFrame) -> DataFrame:

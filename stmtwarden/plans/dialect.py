@@ -36,9 +36,9 @@ def masked_text(x: str) -> str:
 
 
 def sql_kind(x: str) -> str:
-    c = f"upper({code_text(x)})"
+    c = masked_text(x)
     return (
-        f"CASE WHEN regexp_matches({c}, '^[\\s(]*(SELECT|WITH)\\b') THEN 'DQL' "
+        f"CASE WHEN regexp_matches({c}, {plain(T.WITH_CHANGE)}) THEN 'DML' WHEN regexp_matches({c}, '^[\\s(]*(SELECT|WITH)\\b') THEN 'DQL' "
         f"WHEN regexp_matches({c}, '^\\s*(INSERT|UPDATE|DELETE|REPLACE)\\b') THEN 'DML' ELSE 'DDL' END"
     )
 

@@ -12,7 +12,7 @@ from stmtwarden.registry import query
 from stmtwarden.session import fresh_dir
 
 # The block list on the plain endpoint of each row.
-_OPEN = PL._BLOCKED.replace(PL._END + " AS e", "endpoint AS e").replace("CASE WHEN id % 10 = 0 THEN NULL ELSE 16777216", "CASE WHEN FALSE THEN NULL ELSE 16777216")
+_OPEN = PL._BLOCKED.replace(PL._END + " AS e", "endpoint AS e").replace("CASE WHEN id % 5 = 0 THEN NULL ELSE 16777216", "CASE WHEN FALSE THEN NULL ELSE 16777216")
 _WEIGHTS = " + ".join([f"p * {S.PASS_WEIGHT}"] + [f"(1.0 - {n}) * {w}" for n, w, _, _ in S.SCORE_WEIGHTS]
                       + [f"CASE WHEN {n} = 0 THEN {b} ELSE 0 END" for n, _, b, _ in S.SCORE_WEIGHTS]
                       + [f"CASE WHEN {n} < 0.1 THEN {b} ELSE 0 END" for n, _, _, b in S.SCORE_WEIGHTS])

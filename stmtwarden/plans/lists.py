@@ -7,31 +7,31 @@ from stmtwarden.operators import lists as L
 from stmtwarden.operators import search as S
 from stmtwarden.plans import dialect as D
 from stmtwarden.registry import query, texts
-from stmtwarden.session import spread
 
 c = F.col
 
 BLOCK = (
     "(VALUES (1,'cidr','10.0.1.0/24'), (2,'ip','10.0.2.2'), (3,'sql','order by rand()'), (4,'fp_sql','DELETE FROM'), (5,'instance','i3'), "
-    "(6,'db_user','u7'), (7,'host','Local')) AS b(id, filter_type, content)"
+    "(6,'db_user','u7'), (7,'host','Local'), (8,'cidr','fe80::/10'), (9,'cidr','10.0.0.0/33')) AS b(id, filter_type, content)"
 )
 ALLOW = "(VALUES (1,'exact_match','delete from lineitem'), (2,'fp_match','SELECT * FROM orders WHERE o_custkey = 1')) AS a(id, match_type, value)"
 
-# Every tenth endpoint is a host name, so that host entries are tried too.
-_END = "CASE WHEN id % 10 = 0 THEN 'db.LOCAL.net' ELSE endpoint END"
+# Every tenth endpoint is a host name, every tenth a longer address, so that all kinds of entries are tried.
+_END = "CASE WHEN id % 10 = 0 THEN 'db.LOCAL.net' WHEN id % 10 = 5 THEN CONCAT(CASE WHEN id % 4 = 1 THEN 'fe9' ELSE 'fd0' END, '0::', id % 10, ':1') ELSE endpoint END"
 
 _BLOCKED = f"""
 SELECT s.id, s.ts, (SELECT FIRST(b.id ORDER BY CASE b.filter_type WHEN 'sql' THEN 1 WHEN 'fp_sql' THEN 2 WHEN 'instance' THEN 3 WHEN 'db_user' THEN 4 ELSE 0 END,
     CASE WHEN b.filter_type = 'cidr' THEN 1 ELSE 0 END, b.id) FROM {BLOCK}
   WHERE (b.filter_type = 'ip' AND s.e = b.content)
     OR (b.filter_type = 'cidr' AND s.n BETWEEN 167772416 AND 167772671)
-    OR (b.filter_type = 'host' AND s.n IS NULL AND contains(lower(s.e), lower(b.content)))
+    OR (b.id = 8 AND starts_with(s.e, 'fe90:'))
+    OR (b.filter_type = 'host' AND s.n IS NULL AND NOT contains(s.e, ':') AND contains(lower(s.e), lower(b.content)))
     OR (b.filter_type = 'sql' AND contains(lower(s.sql_text), lower(b.content)))
     OR (b.filter_type = 'fp_sql' AND contains(lower(s.fp), lower(b.content)))
     OR (b.filter_type = 'instance' AND s.instance_id = b.content)
     OR (b.filter_type = 'db_user' AND s.db_user = b.content)) AS matched_id
 FROM (SELECT *, {_END} AS e, {D.fingerprint('sql_text')} AS fp,
-  CASE WHEN id % 10 = 0 THEN NULL ELSE 16777216 * CAST(split_part(endpoint, '.', 1) AS BIGINT) + 65536 * CAST(split_part(endpoint, '.', 2) AS BIGINT)
+  CASE WHEN id % 5 = 0 THEN NULL ELSE 16777216 * CAST(split_part(endpoint, '.', 1) AS BIGINT) + 65536 * CAST(split_part(endpoint, '.', 2) AS BIGINT)
     + 256 * CAST(split_part(endpoint, '.', 3) AS BIGINT) + CAST(split_part(endpoint, '.', 4) AS BIGINT) END AS n FROM statement_log) s"""
 
 
@@ -46,7 +46,7 @@ def allowlist(t):
 
 
 def statements(t):
-    return spread(t.statement_log).select(
+    return t.statement_log.select(
         "*", F.array(F.expr(_END)).alias("endpoints"), fingerprint(c("sql_text")).alias("sql_fingerprint")
     )
 
@@ -58,10 +58,10 @@ def _(t):
 
 @query("f1_blocklist_match_long_list", f"SELECT id, CAST(matched_id AS VARCHAR) AS matched_id FROM ({_BLOCKED}) x")
 def _(t):
-    return texts(L.blocklist_match(statements(t), blocklist(t), limit=0).select("id", "matched_id"), "matched_id")
+    return texts(L.blocklist_match(statements(t), blocklist(t)).select("id", "matched_id"), "matched_id")
 
 
-@query("f2_blocklist_ip", f"""SELECT id, CAST(matched_id AS BIGINT) AS matched_id FROM ({_BLOCKED}) x WHERE matched_id IN (1, 2, 7)""")
+@query("f2_blocklist_ip", f"""SELECT id, CAST(matched_id AS BIGINT) AS matched_id FROM ({_BLOCKED}) x WHERE matched_id IN (1, 2, 7, 8)""")
 def _(t):
     only = blocklist(t).filter("filter_type IN ('ip', 'cidr', 'host')")
     return L.blocklist_match(statements(t), only).filter("matched_id IS NOT NULL").select("id", "matched_id")

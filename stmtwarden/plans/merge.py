@@ -55,11 +55,14 @@ def _(t):
 
 
 @query("a5_record_upsert", """
-SELECT o_orderkey AS sql_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS audit_level, o_totalprice AS price FROM orders
-WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+SELECT o_orderkey AS sql_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS audit_level, o_totalprice AS price FROM orders""")
 def _(t):
     row = lambda level: [c("o_orderkey").alias("sql_id"), F.lit(level).alias("audit_level"), c("o_totalprice").alias("price")]
-    return M.record_upsert(t.orders.filter("o_orderkey % 2 = 0").select(row("old")), t.orders.filter("o_orderkey % 3 = 0").select(row("new")))
+    stored = t.orders.filter("o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0").select(row("old"))
+    new = t.orders.filter("o_orderkey % 3 = 0").select(row("new"))
+    # each record comes in twice, the second time with its price
+    twice = new.withColumn("price", F.lit(0).cast(new.schema["price"].dataType)).unionByName(new)
+    return M.record_upsert(stored, twice, newest_by="price")
 
 
 @query("a6_process_insert_if_absent", """

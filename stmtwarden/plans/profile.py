@@ -28,9 +28,13 @@ def _(t):
     return P.column_selectivity(profile(t))
 
 
-@query("p1_column_selectivity_approx")
+@query("p1_column_selectivity_approx", _each("COUNT(*) AS row_count, TRUE AS within_error"))
 def _(t):
-    return P.approx_profile(t.lineitem, COLUMNS, "lineitem")
+    error = 0.02
+    near = P.approx_profile(t.lineitem, COLUMNS, "lineitem", error).withColumnRenamed("distinct_count", "guess")
+    exact = profile(t).select("column_name", "distinct_count")
+    within = F.abs(F.col("guess") - F.col("distinct_count")) <= 3 * error * F.col("distinct_count") + 1
+    return near.join(exact, "column_name").select("table_name", "column_name", "row_count", within.alias("within_error"))
 
 
 @query("p2_column_skewness", _each(_TOP + " AS skewness"))
@@ -85,11 +89,11 @@ def _(t):
 
 
 @query("p10_affected_rows", """
-SELECT sql_id, CAST(CASE WHEN f OR s > 100000 THEN last END AS VARCHAR) AS affected_rows, NOT (f OR s > 100000) AS needs_count FROM (
+SELECT sql_id, CAST(last AS VARCHAR) AS affected_rows, CAST(s AS VARCHAR) AS total_rows, f AS full_scan FROM (
   SELECT sql_id, BOOL_OR(access_type = 'ALL') AS f, SUM(rows_est) AS s, MAX(rows_est) FILTER (WHERE select_id = m) AS last
   FROM (SELECT *, MAX(select_id) OVER (PARTITION BY sql_id) AS m FROM plan_rows) p GROUP BY 1) x""")
 def _(t):
-    return texts(P.affected_rows_by_plan(t.plan_rows), "affected_rows")
+    return texts(P.affected_rows_by_plan(t.plan_rows), "affected_rows", "total_rows")
 
 
 @query("p10_affected_rows_count", "SELECT COUNT(*) AS affected_rows FROM lineitem WHERE l_quantity > 40 AND l_returnflag = 'A'")

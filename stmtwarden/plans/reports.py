@@ -145,9 +145,7 @@ signals AS (
   FROM workflow_instances i LEFT JOIN workflows w ON w.id = i.workflow_id
   UNION ALL SELECT db_type, instance_name, score < 60 FROM newest),
 state AS (SELECT db_type, instance_name, BOOL_OR(bad) AS bad FROM signals GROUP BY 1, 2)
-SELECT db_type, COALESCE(STRING_AGG(instance_name, ',' ORDER BY instance_name) FILTER (WHERE bad), '') AS unhealthy_instances,
-  COALESCE(STRING_AGG(instance_name, ',' ORDER BY instance_name) FILTER (WHERE NOT bad), '') AS healthy_instances
-FROM state GROUP BY 1""")
+SELECT db_type, instance_name, bad AS unhealthy FROM state""")
 def _(t):
     runs = t.workflow_instances.join(
         t.workflows.select(F.col("id").alias("workflow_id"), "status"), "workflow_id", "left"
@@ -156,12 +154,7 @@ def _(t):
         F.concat(F.lit("i"), F.col("instance_id")).alias("instance_name"),
         "status",
     )
-    health = R.instance_health(runs, R.latest_report_score(t.reports))
-    return health.select(
-        "db_type",
-        F.array_join("unhealthy_instances", ",").alias("unhealthy_instances"),
-        F.array_join("healthy_instances", ",").alias("healthy_instances"),
-    )
+    return R.instance_health(runs, R.latest_report_score(t.reports))
 
 
 @query("w18_project_score", """

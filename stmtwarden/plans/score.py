@@ -43,7 +43,7 @@ def _(t):
 
 @query("l9_unsupported_fallback", f"""
 SELECT id, 'warn' AS level FROM statement_corpus WHERE NOT regexp_matches({D.masked_text('sql_text')},
-  '^\\(*\\s*(SELECT|WITH|INSERT|REPLACE|UPDATE|DELETE|CREATE|ALTER|DROP|TRUNCATE|RENAME|SET|GRANT|REVOKE)\\b')""")
+  '^\\(*\\s*(SELECT|WITH|INSERT|REPLACE|UPDATE|DELETE|CREATE|ALTER|DROP|TRUNCATE|RENAME|SET|GRANT|REVOKE|VALUES|TABLE|COMMIT|ROLLBACK|BEGIN|START|SAVEPOINT|RELEASE|USE|SHOW|EXPLAIN|DESCRIBE|DESC|CALL|DO|LOCK|UNLOCK|ANALYZE|OPTIMIZE|CHECK|CHECKSUM|REPAIR|FLUSH|KILL|LOAD|HANDLER|PREPARE|EXECUTE|DEALLOCATE|XA|COMMENT|MERGE|EXEC)\\b')""")
 def _(t):
     from stmtwarden.lint.text_rules import features, is_supported
 

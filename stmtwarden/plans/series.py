@@ -140,7 +140,8 @@ def _(t):
 
 
 @query("r5_orphan_cleanup", """
-SELECT r.id, CASE WHEN NOT EXISTS (SELECT 1 FROM scan_plans p WHERE p.id = r.source_id AND NOT p.is_deleted) THEN TIMESTAMP '2024-02-01' END AS deleted_at
+SELECT r.id, CASE WHEN r.id % 7 = 0 THEN TIMESTAMP '2024-01-05' WHEN NOT EXISTS (SELECT 1 FROM scan_plans p WHERE p.id = r.source_id AND NOT p.is_deleted) THEN TIMESTAMP '2024-02-01' END AS deleted_at
 FROM sql_records r""")
 def _(t):
-    return R.orphan_cleanup(t.sql_records, t.scan_plans, "2024-02-01").select("id", "deleted_at")
+    records = t.sql_records.withColumn("deleted_at", F.when(F.col("id") % 7 == 0, F.lit("2024-01-05").cast("timestamp_ntz")))
+    return R.orphan_cleanup(records, t.scan_plans, "2024-02-01").select("id", "deleted_at")

@@ -35,9 +35,8 @@ def _(t):
 
 
 @query("s3_audit_log_window", """
-SELECT id, ts, db_user FROM statement_log WHERE ts > TIMESTAMP '2023-12-20 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'""")
+SELECT id, ts, db_user FROM statement_log WHERE ts > TIMESTAMP '2023-10-22 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'""")
 def _(t):
-    # 90 days are asked for, 31 are taken.
     return P.log_window(t.statement_log, NOW, first_hours=24 * 90).select("id", "ts", "db_user")
 
 

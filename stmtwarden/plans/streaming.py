@@ -30,6 +30,7 @@ def log_stream(t):
 def _rolled_up(t):
     out, checkpoint = fresh_dir(t.spark, "rollup"), fresh_dir(t.spark, "rollup-checkpoint")
     J.stream_rollup(log_stream(t), out, checkpoint).awaitTermination()
+    J.compact(t.spark, out, J.rolled_up)
     return J.current_records(t.spark, out)
 
 
@@ -90,12 +91,16 @@ def _(t):
 
 @query("t4_stream_high_water", "SELECT id, ts, sql_text FROM statement_log")
 def _(t):
-    return J.drain_to(J.stream_high_water(log_stream(t)), t.spark, "high-water").select("id", "ts", "sql_text")
+    out = fresh_dir(t.spark, "high-water")
+    J.stream_high_water(log_stream(t), out, fresh_dir(t.spark, "high-water-checkpoint")).awaitTermination()
+    return J.read_batches(t.spark, out).select("id", "ts", "sql_text")
 
 
 @query("t5_stream_window_counts", f"""
-SELECT window_start, sql_id, statement_count FROM (SELECT date_trunc('hour', ts) AS window_start, sql_id, COUNT(*) AS statement_count FROM ({_QUEUE}) q GROUP BY 1, 2) w
-WHERE window_start + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM statement_log) - INTERVAL 1 HOUR""")
+SELECT date_trunc('hour', ts) AS window_start, sql_id, COUNT(*) AS statement_count FROM ({_QUEUE}) q GROUP BY 1, 2""")
 def _(t):
+    out = fresh_dir(t.spark, "windows")
     queue = governance.queue_rows(log_stream(t), "slow_log", "1")
-    return J.drain_to(J.stream_window_counts(queue), t.spark, "windows")
+    J.stream_window_counts(queue, out, fresh_dir(t.spark, "windows-checkpoint")).awaitTermination()
+    J.compact(t.spark, out, J.summed_windows)
+    return J.window_counts(t.spark, out)

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR_CONF = "spark.checkpoint.dir"
 
-#: A configuration list (block list, priority conditions ...) of at most this
-#: many rows may travel inside the plan; longer ones are joined on a key.
-LIST_ROWS_MAX = 1000
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests on one machine) is a local
-    temporary folder made and recorded in the session.
+    A session on one machine that has no such setting gets a temporary folder,
+    recorded in the session; on a cluster a missing setting is an error, since
+    executors would each write to a disk of their own.
     """
     base = spark.conf.get(CHECKPOINT_DIR_CONF, "") or spark.sparkContext.getConf().get(CHECKPOINT_DIR_CONF, "")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_DIR_CONF} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="stmtwarden-")
         spark.conf.set(CHECKPOINT_DIR_CONF, base)
     return base.rstrip("/")
@@ -30,30 +29,3 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def bounded_rows(df: DataFrame, limit: int = LIST_ROWS_MAX):
-    """The rows of a configuration list, or None if it has more than ``limit``.
-
-    The limit bounds what reaches the driver, whatever the size of the list.
-    """
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Input of a CPU-bound text job over as many tasks as there are cores.
-
-    A table of a few small files is read by a few tasks; only then are its rows
-    dealt out again. What decides is the size of the sources as the optimizer
-    knows it, so nothing runs here, and what is shuffled never exceeds one
-    split per core. Larger inputs, the normal case on a cluster, stay as read.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores) if size < split * cores else df

@@ -7,9 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Look-back of a first run in hours, and its cap.
+# Fixed value: look-back of a first run in hours.
 FIRST_HOURS = 24
-MAX_FIRST_HOURS = 31 * 24
 
 # Schemas whose sessions are the server's own.
 SYSTEM_SCHEMAS = ("information_schema", "performance_schema", "mysql", "sys")
@@ -22,7 +21,7 @@ def pull_start(now: datetime, last_end: datetime | None, first_hours: int = FIRS
     """Where a pull begins: at the last end, or some hours back on a first run."""
     if last_end is not None:
         return last_end
-    return now - timedelta(hours=min(first_hours or FIRST_HOURS, MAX_FIRST_HOURS))
+    return now - timedelta(hours=first_hours or FIRST_HOURS)
 
 
 def log_window(

@@ -2,9 +2,11 @@
 
 Each micro-batch is reduced before it is written, and is written under its
 batch id in overwrite mode, so a batch that runs twice leaves one result. What
-is stored merges by the same aggregation (``fingerprint_rollup`` of rollups),
-so the state is a set of small appended tables instead of a table rewritten
-for every batch; ``compact`` folds them now and then.
+is stored merges by the same aggregation (``fingerprint_rollup`` of rollups,
+sums of counts), so the state is a set of small appended tables instead of a
+table rewritten for every batch. ``compact`` folds them now and then: the fold
+is written under the last batch id it holds, and once it is complete readers
+leave those batches out, whether they are deleted yet or not.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stmtwarden.operators import governance, lists, merge
-from stmtwarden.session import fresh_dir
 
 CARRY = ("sql_fingerprint", "project_id", "schema_name", "instance_id")
 
@@ -43,8 +44,46 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _complete(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the finished tables ``name=number`` in a folder, ascending."""
+    fs, where = _fs(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    found = sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{name}="))
+    return [n for n in found if fs.exists(_fs(spark, f"{path}/{name}={n}/_SUCCESS")[1])]
+
+
+def read_batches(spark: SparkSession, path: str, but: int | None = None) -> DataFrame | None:
+    """All that is stored: the newest fold and the batches after it, without batch ``but``; None if there is nothing."""
+    folds = _complete(spark, path, "folded")
+    upto = folds[-1] if folds else -1
+    batches = [n for n in _complete(spark, path, "batch_id") if n > upto and n != but]
+    parts = [f"{path}/folded={upto}"] * bool(folds) + [f"{path}/batch_id={n}" for n in batches]
+    return spark.read.parquet(*parts) if parts else None
+
+
+def compact(spark: SparkSession, path: str, merge_rows: Callable[[DataFrame], DataFrame]) -> None:
+    """Folds what is stored into one table and deletes what it holds.
+
+    Runs beside the stream: batches that end meanwhile have larger numbers.
+    A run that is cut off leaves either the old tables or the complete fold.
+    """
+    batches, folds = _complete(spark, path, "batch_id"), _complete(spark, path, "folded")
+    newer = [n for n in batches if not folds or n > folds[-1]]
+    if newer:
+        rows = spark.read.parquet(*[f"{path}/folded={n}" for n in folds[-1:]], *[f"{path}/batch_id={n}" for n in newer])
+        merge_rows(rows).write.mode("overwrite").parquet(f"{path}/folded={newer[-1]}")
+    upto = newer[-1] if newer else (folds[-1] if folds else -1)
+    old = [f"{path}/batch_id={n}" for n in batches if n <= upto] + [f"{path}/folded={n}" for n in folds if n < upto]
+    for one in old:
+        fs, where = _fs(spark, one)
+        fs.delete(where, True)
 
 
 def stream_rollup(log: DataFrame, out: str, checkpoint: str, source: str = "slow_log", plan_id: str = "1", every: str | None = None):
@@ -59,12 +98,11 @@ def stream_rollup(log: DataFrame, out: str, checkpoint: str, source: str = "slow
 
 def current_records(spark: SparkSession, out: str) -> DataFrame:
     """The records all stored batches add up to."""
-    return merge.fingerprint_rollup(read_batches(spark, out), CARRY)
+    return rolled_up(read_batches(spark, out))
 
 
-def compact(spark: SparkSession, out: str, target: str) -> None:
-    """Stored batches folded into one table, for readers to start from."""
-    current_records(spark, out).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+def rolled_up(rows: DataFrame) -> DataFrame:
+    return merge.fingerprint_rollup(rows, CARRY)
 
 
 def stream_audit(log: DataFrame, out: str, checkpoint: str, source: str = "slow_log", plan_id: str = "1", settings=None, every: str | None = None):
@@ -114,32 +152,42 @@ def blocklist_counts(spark: SparkSession, counts: str) -> DataFrame:
     )
 
 
-def with_event_time(log: DataFrame, delay: str) -> DataFrame:
-    """Log with a watermark on ``event_time``, the log's own time."""
-    return log.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
+def stream_high_water(log: DataFrame, out: str, checkpoint: str, every: str | None = None):
+    """T4: rows once each, however late they come and however often.
+
+    The checkpoint remembers what was read. Rows that a source sends again are
+    found among the stored ones by id; equal ids have equal times, so only
+    what is stored from the batch's oldest time on is read.
+    """
 
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh, stored = batch.dropDuplicates(["id"]), read_batches(spark, out, but=batch_id)
+        oldest = batch.agg(F.min("ts")).first()[0]
+        if stored is not None:
+            since = F.col("ts").isNull()
+            if oldest is not None:
+                since = since | (F.col("ts") >= F.lit(oldest).cast("timestamp_ntz"))
+            fresh = fresh.join(stored.where(since).select("id"), "id", "left_anti")
+        write_batch(fresh, out, batch_id)
 
-def stream_high_water(log: DataFrame, delay: str = "1 day") -> DataFrame:
-    """T4: rows once each; rows later than the delay behind the newest are lost.
+    return run_batches(log, work, checkpoint, every)
 
-    The checkpoint remembers what was read; the watermark bounds the ids kept.
-    """
-    return with_event_time(log, delay).dropDuplicatesWithinWatermark(["id"])
 
+def stream_window_counts(queue: DataFrame, out: str, checkpoint: str, width: str = "1 hour", every: str | None = None):
+    """T5: per batch, rows per statement and tumbling window; windows fill up as batches come, late ones included."""
 
-def stream_window_counts(queue: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """T5: rows per statement and tumbling window, each window out once."""
-    return (
-        with_event_time(queue, delay)
-        .groupBy(F.window("event_time", width).alias("_w"), "sql_id")
-        .agg(F.count("*").alias("statement_count"))
-        .select(F.col("_w.start").cast("timestamp_ntz").alias("window_start"), "sql_id", "statement_count")
-    )
+    def work(batch: DataFrame, batch_id: int) -> None:
+        start = F.window("ts", width)["start"].cast("timestamp_ntz").alias("window_start")
+        write_batch(batch.groupBy(start, "sql_id").agg(F.count("*").alias("statement_count")), out, batch_id)
+
+    return run_batches(queue, work, checkpoint, every)
+
+
+def summed_windows(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("window_start", "sql_id").agg(F.sum("statement_count").alias("statement_count"))
 
 
-def drain_to(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
-    """Run an append stream until its input is used up and read what it wrote."""
-    out, checkpoint = fresh_dir(spark, label), fresh_dir(spark, f"{label}-checkpoint")
-    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def window_counts(spark: SparkSession, out: str) -> DataFrame:
+    """T5: the counts all stored batches add up to."""
+    return summed_windows(read_batches(spark, out))

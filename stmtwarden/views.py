@@ -382,6 +382,10 @@ def with_clause(names) -> list[tuple[str, str]]:
     return list(done.items())
 
 
+INPUT_PARTITIONS_CONF = "spark.stmtwarden.inputPartitions"
+SPREAD_TABLES = ("events",)
+
+
 class Tables:
     """Base tables of one folder and the views over them, as attributes."""
 
@@ -395,7 +399,10 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in BASE_TABLES:
-                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                # for small tables in one file, which Spark cannot cut; unset, tables stay as read
+                parts = self.spark.conf.get(INPUT_PARTITIONS_CONF, "")
+                self._cache[name] = table.repartition(int(parts)) if parts and name in SPREAD_TABLES else table
             else:
                 text = VIEWS[name]
                 self._cache[name] = self.spark.sql(text, **{r: getattr(self, r) for r in references(text)})

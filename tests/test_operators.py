@@ -1,5 +1,6 @@
 """Lists, scores, profiles, merges and files on small hand-made inputs."""
 
+import ipaddress
 import random
 
 import pytest
@@ -13,10 +14,10 @@ BLOCK_SCHEMA = "id long, filter_type string, content string"
 STATEMENT_SCHEMA = "id long, endpoints array<string>, sql_text string, sql_fingerprint string, instance_id string, db_user string"
 
 
-def match(spark, entries, rows, limit=1000):
+def match(spark, entries, rows):
     block = spark.createDataFrame(entries, BLOCK_SCHEMA)
     df = spark.createDataFrame(rows, STATEMENT_SCHEMA)
-    return {r["id"]: r["matched_id"] for r in lists.blocklist_match(df, block, limit).collect()}
+    return {r["id"]: r["matched_id"] for r in lists.blocklist_match(df, block).collect()}
 
 
 ENTRIES = [
@@ -39,12 +40,57 @@ ROWS = [
 EXPECTED = {1: 1, 2: None, 3: 2, 4: 3, 5: 4, 6: 5, 7: 6, 8: 7, 9: None, 10: 9, 11: None}
 
 
-@pytest.mark.parametrize("limit", [1000, 0], ids=["expression", "joins"])
-def test_blocklist_order_and_kinds(spark, limit):
-    assert match(spark, ENTRIES, ROWS, limit) == EXPECTED
+def test_blocklist_order_and_kinds(spark):
+    assert match(spark, ENTRIES, ROWS) == EXPECTED
 
 
-def test_long_and_short_lists_agree(spark):
+NETWORKS = ["fe80::/10", "2001:db8::/33", "::/0", "10.0.0.0/8", "0.0.0.0/0", "1.2.3.4/32", "::ffff:1.2.3.4/128", "1:2:3:4:5:6:7:8/127", "::1/128"]
+BAD = ["10.0.0.0/33", "10.0.0.0", "10.0.0/8", "fe80::/129", "x/8", "1::2::3/8", "1:2:3/16", "010.0.0.0/8", "1.2.3.4/-1", "fe80::/", ":::/8", None]
+ADDRESSES = ["fe80::1", "FEBF::1", "fec0::1", "2001:db8:7fff::", "2001:db8:8000::1", "10.255.0.1", "11.0.0.1", "1.2.3.4", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:9", "1:2:3:4:5:6:7:a", "::1", "::", "1::2::3", "12:3"]
+
+
+@pytest.mark.parametrize("network", NETWORKS)
+def test_networks_of_both_versions(spark, network):
+    net = ipaddress.ip_network(network, strict=False)
+
+    def inside(a):
+        try:
+            return ipaddress.ip_address(a) in net
+        except ValueError:
+            return False
+
+    got = match(spark, [(1, "cidr", network)], [(n, [a], "x", "x", "i", "u") for n, a in enumerate(ADDRESSES)])
+    assert {ADDRESSES[n] for n, m in got.items() if m} == {a for a in ADDRESSES if inside(a)}
+
+
+def test_bad_entries_match_nothing_and_are_reported(spark):
+    entries = [(n, "cidr", x) for n, x in enumerate(BAD)] + [(50, "sql", None), (51, "cidr", "1.2.3.4/32")]
+    assert match(spark, entries, [(n, [a], "x", "x", "i", "u") for n, a in enumerate(ADDRESSES)]) == {n: 51 if a == "1.2.3.4" else None for n, a in enumerate(ADDRESSES)}
+    assert {r.id for r in lists.bad_entries(spark.createDataFrame(entries, BLOCK_SCHEMA)).collect()} == {*range(len(BAD)), 50}
+
+
+def first_match(entries, row):
+    """The rule itself: endpoints in turn (address, then network, or host), then text, fingerprint, instance and user."""
+    _, ends, text, fp, instance, user = row
+
+    def first(kind, test):
+        return next((i for i, k, c in sorted(entries) if k == kind and test(c)), None)
+
+    for e in ends:
+        try:
+            ip = ipaddress.ip_address(e)
+            hit = first("ip", lambda c: c == e) or first("cidr", lambda c: ip in ipaddress.ip_network(c, strict=False))
+        except ValueError:
+            hit = first("host", lambda c: c.lower() in e.lower())
+        if hit:
+            return hit
+    return (
+        first("sql", lambda c: c.lower() in text.lower()) or first("fp_sql", lambda c: c.lower() in fp.lower())
+        or first("instance", lambda c: c == instance) or (first("db_user", lambda c: c == user) if user else None)
+    )
+
+
+def test_lists_of_all_kinds(spark):
     rnd = random.Random(7)
     words = ["alpha", "beta", "gamma delta", "x", "select", "from t where", "", "ab"]
     kinds = ["sql", "fp_sql", "ip", "cidr", "host", "instance", "db_user"]
@@ -56,7 +102,7 @@ def test_long_and_short_lists_agree(spark):
          f"i{rnd.randint(0, 6)}", rnd.choice(["", "u1", "u9"]))
         for n in range(200)
     ]
-    assert match(spark, entries, rows) == match(spark, entries, rows, 0)
+    assert match(spark, entries, rows) == {r[0]: first_match(entries, r) for r in rows}
 
 
 def test_allowlist_takes_the_last_entry(spark):
@@ -157,5 +203,30 @@ def test_pull_start():
 
     now = datetime(2024, 3, 1)
     assert pull.pull_start(now, None) == now - timedelta(hours=24)
-    assert pull.pull_start(now, None, 10_000) == now - timedelta(days=31)
+    assert pull.pull_start(now, None, 10_000) == now - timedelta(hours=10_000)
     assert pull.pull_start(now, datetime(2023, 1, 1)) == datetime(2023, 1, 1)
+
+
+def test_pages_upserts_and_orphans(spark):
+    from stmtwarden.operators import retention, search
+
+    df = spark.createDataFrame([(i,) for i in range(5)], "id int")
+    assert [r.id for r in search.page(df, ["id"], None, 3).collect()] == [3, 4]
+    assert [r.id for r in search.page(df, ["id"], 2, 1).collect()] == [1, 2]
+    stored = spark.createDataFrame([("a", 1), ("b", 1)], "sql_id string, v int")
+    new = spark.createDataFrame([("a", 2), ("a", 3), ("c", 4)], "sql_id string, v int")
+    assert sorted((r.sql_id, r.v) for r in merge.record_upsert(stored, new, newest_by="v").collect()) == [("a", 3), ("b", 1), ("c", 4)]
+    assert merge.record_upsert(stored, new).count() == 3
+    records = spark.createDataFrame([(1, 1, "2024-01-01"), (2, 9, "2024-01-02"), (3, 9, None), (4, 1, None)], "id int, source_id int, t string")
+    records = records.select("id", "source_id", F.col("t").cast("timestamp_ntz").alias("deleted_at"))
+    sources = spark.createDataFrame([(1, False)], "id int, is_deleted boolean")
+    got = {r.id: str(r.deleted_at)[:10] for r in retention.orphan_cleanup(records, sources, "2024-02-01").collect()}
+    assert got == {1: "2024-01-01", 2: "2024-01-02", 3: "2024-02-01", 4: "None"}
+
+
+def test_kind_of_changes_with_common_tables(spark):
+    from stmtwarden.functions.text import sql_kind
+
+    cases = {"WITH x AS (SELECT 1) DELETE FROM t": "DML", "with x as (select ')' ), y as (select 2) update t set a = 1": "DML", "WITH x AS (SELECT ') DELETE') SELECT 1": "DQL", "(SELECT 1)": "DQL", "DROP TABLE t": "DDL"}
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    assert {r.s: r.k for r in df.select("s", sql_kind(F.col("s")).alias("k")).collect()} == cases

@@ -46,18 +46,31 @@ def test_rollup_over_batches_equals_batch(spark, log, tmp_path):
 
     # Nothing is read twice after a restart, and compaction changes nothing.
     jobs.stream_rollup(stream(spark, path, events), out, checkpoint).awaitTermination()
-    jobs.compact(spark, out, str(tmp_path / "compact"))
-    got = {(r.sql_id, r.counter, r.sql_text) for r in jobs.current_records(spark, str(tmp_path / "compact")).collect()}
-    assert got == want
+    for _ in range(2):
+        jobs.compact(spark, out, jobs.rolled_up)
+        assert {(r.sql_id, r.counter, r.sql_text) for r in jobs.current_records(spark, out).collect()} == want
+    assert jobs._complete(spark, out, "batch_id") == [] and jobs._complete(spark, out, "folded") == [3]
+
+    # Batches after a fold add to it; one that the fold holds already does not, even if it is still there.
+    for n in (2, 4):
+        jobs.write_batch(spark.createDataFrame(rows, again.schema), out, n)
+    more = {r.sql_id: r.counter for r in spark.createDataFrame(rows, again.schema).collect()}
+    assert {r.sql_id: r.counter for r in jobs.current_records(spark, out).collect()} == {i: c + more.get(i, 0) for i, c, _ in want}
 
 
-def test_rows_beyond_the_delay_are_lost(spark, tmp_path):
-    schema = "id long, ts timestamp_ntz"
+def test_late_and_repeated_rows(spark, tmp_path):
     path = str(tmp_path / "in")
-    for n, rows in enumerate([[(1, "2024-01-10 00:00:00")], [(2, "2024-01-09 23:30:00"), (1, "2024-01-10 00:00:00")], [(3, "2024-01-01 00:00:00")]]):
+    for rows in [[(1, "2024-01-10 00:00:00")], [(2, "2024-01-09 23:30:00"), (1, "2024-01-10 00:00:00")], [(3, "2024-01-01 00:00:00")], [(3, "2024-01-01 00:00:00"), (4, None), (4, None)], [(4, None)]]:
         df = spark.createDataFrame(rows, "id long, t string").select("id", F.col("t").cast("timestamp_ntz").alias("ts"))
         df.coalesce(1).write.mode("append").parquet(path)
     schema = spark.read.parquet(path).schema
-    out = jobs.drain_to(jobs.stream_high_water(jobs.read_stream(spark, path, schema, files_per_trigger=1), "1 hour"), spark, "late")
-    assert sorted(r.id for r in out.collect()) in ([1, 2], [1, 2, 3])
-    assert out.filter("id = 1").count() == 1
+    out, windows = str(tmp_path / "out"), str(tmp_path / "windows")
+    read = lambda: jobs.read_stream(spark, path, schema, files_per_trigger=1)
+    jobs.stream_high_water(read(), out, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.id for r in jobs.read_batches(spark, out).collect()) == [1, 2, 3, 4]
+
+    queue = read().where("ts IS NOT NULL").withColumn("sql_id", F.lit("s"))
+    jobs.stream_window_counts(queue, windows, str(tmp_path / "cp2")).awaitTermination()
+    assert sorted((str(r.window_start), r.statement_count) for r in jobs.window_counts(spark, windows).collect()) == [
+        ("2024-01-01 00:00:00", 2), ("2024-01-09 23:00:00", 1), ("2024-01-10 00:00:00", 2),
+    ]
