@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtwarden.llm.common import components, ids_filter, in_filter, map_arrow, mix, saved, shingle_set, small_batches
+from stmtwarden.llm.common import components, ids_filter, in_filter, map_arrow, mix, saved, saved_by, shingle_set, small_batches
 
 POSITIONS = 64
 _RNG = np.random.default_rng(20240229)
@@ -123,13 +123,15 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 40)).alias("h"))
     found = map_arrow(rows, run, "doc_id long, sid long, items array<long>")
-    wanted = ids.select(F.col("doc_id").alias("_d"), F.col("sid").alias("_s"))
-    return found.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("sid") == F.col("_s")), "left_semi").select("sid", "items")
+    # the difference keeps the join on sid alone, so that rows come out dealt by sid
+    same = F.coalesce("doc_id", F.lit(-1)) - F.coalesce("_d", F.lit(-1)) == 0
+    return found.join(ids.select(F.col("doc_id").alias("_d"), "sid"), "sid").where(same).select("sid", "items")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("sid").alias("b"), F.col("items").alias("bi")), "b").join(sets.select(F.col("sid").alias("a"), F.col("items").alias("ai")), "a")
+def confirmed(pairs: DataFrame, sets: tuple[DataFrame, DataFrame], percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets reach the similarity. ``a`` may be a pivot of many pairs."""
+    bucketed, plain = sets
+    both = pairs.join(bucketed.select(F.col("sid").alias("b"), F.col("items").alias("bi")), "b").join(plain.select(F.col("sid").alias("a"), F.col("items").alias("ai")), "a")
     inter = F.size(F.array_intersect("ai", "bi"))
     union = F.size("ai") + F.size("bi") - inter
     return both.where(100 * inter >= percent * union).select("a", "b")
@@ -231,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
         pivots = saved(active.where(F.col("size") > limit).groupBy("node").agg(pivot.alias("m")).select("node", F.col("m.sid").alias("pivot")), "pivots")
         if items is None:
             ids = saved(sets.join(active.select("sid").distinct(), "sid").select("doc_id", "sid"), "needed")
-            items = saved(full_sets(docs, ids, k), "items")
+            items = saved_by(full_sets(docs, ids, k), "items", "sid")
         top = level >= LAST_LEVEL
         group = active if top else active.where(F.col("size") <= limit)
         a, b = (group.select("node", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
@@ -264,7 +266,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
             deeper = wide.where(F.col("size") > whole)
         more = confirmed(apart, items, percent)
         if not top:
-            more = more.union(within_groups(saved(group, "group"), items, percent))
+            more = more.union(within_groups(saved(group, "group"), items[0], percent))
         more = saved(more, "links")
         if not more.isEmpty():
             links = links.union(more)

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -35,6 +36,15 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_by(df: DataFrame, label: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """The saved rows twice: bucketed by ``key`` for joins that need no exchange of them, and plain for joins whose hot keys Spark is to split."""
+    spark = df.sparkSession
+    path, name = fresh_dir(spark, label), f"{label}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name), spark.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Makes the session ready for Python tasks: the package is sent to the executors, and long texts go in small Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
