@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +30,13 @@ def collect_records(log: DataFrame, blocklist: DataFrame, source: str, plan_id:
     return merge.fingerprint_rollup(open_rows, carry=("sql_fingerprint", "project_id", "schema_name", "instance_id"))
 
 
-def audit_records(records: DataFrame, allowlist: DataFrame | None = None, settings=None) -> DataFrame:
+def audit_records(records: DataFrame, allowlist: DataFrame | None = None, settings=None, found: Sequence[DataFrame] = (), key: str = "sql_id") -> DataFrame:
     """F4, L1, L6, L9, F5 on records: results, level and priority.
 
-    All text rules read the record itself, so its results come together in the
-    row and nothing is shuffled but the allow-list join.
+    All text rules read the record itself, so their results come together in
+    the row. ``found`` brings what the other lint jobs say of the same records
+    (L2-L5 and index advice, as key, rule_name, level, message); a record has
+    at most one result per rule of a job, which bounds its list.
     """
     c = F.col
     rows = records if allowlist is None else lists.allowlist_match(records, allowlist)
@@ -41,10 +46,16 @@ def audit_records(records: DataFrame, allowlist: DataFrame | None = None, settin
     entry = lambda level, message: F.array(
         F.struct(F.lit("").alias("rule_name"), F.lit(level).alias("level"), F.lit(message).alias("message"))
     )
+    said = c("violations")
+    if found:
+        every = reduce(DataFrame.unionByName, [f.select(key, "rule_name", "level", "message") for f in found])
+        more = every.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("rule_name", "level", "message"))).alias("_more"))
+        checked = checked.join(more, key, "left")
+        said = F.when(c("_more").isNull(), said).otherwise(F.concat(said, "_more"))
     results = (
         F.when(c("allowed_by").isNotNull(), entry("normal", "excluded by the allow list"))
         .when(~is_supported(), entry("warn", score.UNSUPPORTED_MESSAGE))
-        .otherwise(c("violations"))
+        .otherwise(said)
     )
     with_results = checked.select(*rows.columns, results.alias("audit_results"))
     top = F.coalesce(F.array_max(F.transform("audit_results", lambda r: lists.level_rank(r["level"]))), F.lit(0))
@@ -52,6 +63,14 @@ def audit_records(records: DataFrame, allowlist: DataFrame | None = None, settin
     return lists.high_priority(leveled)
 
 
+def audit_task(statements: DataFrame, found: Sequence[DataFrame] = (), settings=None) -> tuple[DataFrame, DataFrame]:
+    """L1-L9 for submitted statements (id, task_id, sql_text): each with its results, and per task pass rate and score."""
+    rows = statements if "counter" in statements.columns else statements.withColumn("counter", F.lit(1).cast("bigint"))
+    done = audit_records(rows, settings=settings, found=found, key="id")
+    rates = score.task_pass_rate(done.select(F.col("task_id").alias("id")).distinct(), done)
+    return done, rates.join(score.task_score(done.select("task_id", "audit_level")).select("task_id", "score"), "task_id", "left")
+
+
 def top_statements(audited_records: DataFrame, top_n: int) -> DataFrame:
     """L8 and a top-k: the most frequent records with the score of their project.
 

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from stmtwarden.lint import text_rules
+from stmtwarden.functions.statement_columns import statement_columns
+from stmtwarden.lint import column_rules, text_rules
 from stmtwarden.operators import governance as G
 from stmtwarden.operators import score as S
 from stmtwarden.plans import dialect as D
+from stmtwarden.plans import lint as LP
 from stmtwarden.plans import lists as PL
 from stmtwarden.plans.merge import _QUEUE
 from stmtwarden.registry import query
@@ -40,3 +42,21 @@ def _(t):
     return top.select(
         "project_id", "sql_id", "sql_fingerprint", "counter", "audit_level", F.size("audit_results").cast("bigint").alias("result_count"), "project_score"
     )
+
+
+_TASK_VIOLATIONS = f"""SELECT id, level FROM (WITH {LP.TEXT} {D.violations('f3', text_rules.RULES, 'id')}) l1
+UNION ALL SELECT id, level FROM (WITH {LP._KNOWN} {LP.COLUMN_VIOLATIONS}) l2"""
+
+
+@query("task_audit", f"""
+WITH v AS ({_TASK_VIOLATIONS}),
+k AS (SELECT id, MAX(CASE level WHEN 'error' THEN 3 WHEN 'warn' THEN 2 WHEN 'notice' THEN 1 ELSE 0 END) AS k FROM v GROUP BY 1),
+a AS (SELECT s.id % 20 AS task_id, COALESCE(k.k, 0) AS k FROM statement_corpus s LEFT JOIN k ON k.id = s.id),
+s AS (SELECT task_id, COUNT(*) AS statements, ROUND(AVG(CASE WHEN k <= 0 THEN 1.0 ELSE 0.0 END), 4) AS p, AVG(CASE WHEN k >= 3 THEN 1.0 ELSE 0.0 END) AS e,
+  AVG(CASE WHEN k >= 2 THEN 1.0 ELSE 0.0 END) AS w, AVG(CASE WHEN k >= 1 THEN 1.0 ELSE 0.0 END) AS n, MAX(k) AS top FROM a GROUP BY 1)
+SELECT task_id, p AS pass_rate, CASE top WHEN 3 THEN 'error' WHEN 2 THEN 'warn' WHEN 1 THEN 'notice' ELSE 'normal' END AS audit_level,
+  CAST(FLOOR({_WEIGHTS}) AS INTEGER) AS score FROM s""")
+def _(t):
+    statements = t.statement_corpus.withColumn("task_id", F.col("id") % 20)
+    columns = column_rules.audit_columns(statement_columns(statements), t.corpus_columns, t.corpus_indexes)
+    return G.audit_task(statements, [columns])[1]

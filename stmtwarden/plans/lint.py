@@ -38,9 +38,12 @@ per_statement AS (SELECT id, COALESCE(BOOL_OR(with_or) FILTER (WHERE clause = 'w
   COUNT(DISTINCT table_name) FILTER (WHERE clause = 'where') AS condition_tables FROM e GROUP BY 1)"""
 
 
-@query("l2_audit_columns", f"WITH {_KNOWN} SELECT DISTINCT id, rule_name, level FROM (" + " UNION ALL ".join([
+COLUMN_VIOLATIONS = "SELECT DISTINCT id, rule_name, level FROM (" + " UNION ALL ".join([
     D.violations("e", column_rules.ROW_RULES, "id"), D.violations("per_column", column_rules.COLUMN_RULES, "id"),
-    D.violations("per_table", column_rules.TABLE_RULES, "id"), D.violations("per_statement", column_rules.STATEMENT_RULES, "id")]) + ") z")
+    D.violations("per_table", column_rules.TABLE_RULES, "id"), D.violations("per_statement", column_rules.STATEMENT_RULES, "id")]) + ") z"
+
+
+@query("l2_audit_columns", f"WITH {_KNOWN} {COLUMN_VIOLATIONS}")
 def _(t):
     found = column_rules.audit_columns(statement_columns(t.statement_corpus), t.corpus_columns, t.corpus_indexes)
     return found.select("id", "rule_name", "level")
@@ -103,7 +106,7 @@ def _(t):
     return plan_rules.audit_plans(t.plan_rows, t.schema_tables).select("sql_id", "rule_name", "level")
 
 
-_PLAN_TEXTS = """SELECT o_orderkey AS sql_id, CASE WHEN o_orderkey % 6 = 0 THEN 'Cannot use index due to type or collation_name conversion on field a'
+_PLAN_TEXTS = """SELECT o_orderkey AS sql_id, CASE WHEN o_orderkey % 6 = 0 THEN 'Cannot use index due to type or collation conversion on field a'
   WHEN o_orderkey % 6 = 1 THEN NULL ELSE 'none' END AS warnings, REPEAT('-> Filter: (a > 1)', CAST(o_orderkey % 5 AS INTEGER)) AS tree FROM {orders}"""
 
 
