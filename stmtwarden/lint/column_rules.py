@@ -91,6 +91,8 @@ def enrich(columns: DataFrame, catalog: DataFrame, indexes: DataFrame) -> DataFr
     rows = columns.withColumns(
         {"_t": F.lower("table_name"), "_c": F.lower("column_name"), "_ot": F.lower("other_table"), "_oc": F.lower("other_column")}
     )
+    # most rows are no join conditions: keys that match nothing spread them instead of the one null key
+    rows = rows.withColumn("_ot", F.coalesce("_ot", F.concat(F.lit("\0"), F.pmod(F.xxhash64("id"), F.lit(9973)).cast("string"))))
     return rows.join(known, ["_t", "_c"], "left").join(other, ["_ot", "_oc"], "left").drop("_ot", "_oc", "_c")
 
 

@@ -51,7 +51,8 @@ UNION ALL SELECT id, level FROM (WITH {LP._KNOWN} {LP.COLUMN_VIOLATIONS}) l2"""
 @query("task_audit", f"""
 WITH v AS ({_TASK_VIOLATIONS}),
 k AS (SELECT id, MAX(CASE level WHEN 'error' THEN 3 WHEN 'warn' THEN 2 WHEN 'notice' THEN 1 ELSE 0 END) AS k FROM v GROUP BY 1),
-a AS (SELECT s.id % 20 AS task_id, COALESCE(k.k, 0) AS k FROM statement_corpus s LEFT JOIN k ON k.id = s.id),
+a AS (SELECT s.id % 20 AS task_id, CASE WHEN NOT regexp_matches({D.masked_text('s.sql_text')}, {D.plain(text_rules.SUPPORTED)}) THEN 2 ELSE COALESCE(k.k, 0) END AS k
+  FROM statement_corpus s LEFT JOIN k ON k.id = s.id),
 s AS (SELECT task_id, COUNT(*) AS statements, ROUND(AVG(CASE WHEN k <= 0 THEN 1.0 ELSE 0.0 END), 4) AS p, AVG(CASE WHEN k >= 3 THEN 1.0 ELSE 0.0 END) AS e,
   AVG(CASE WHEN k >= 2 THEN 1.0 ELSE 0.0 END) AS w, AVG(CASE WHEN k >= 1 THEN 1.0 ELSE 0.0 END) AS n, MAX(k) AS top FROM a GROUP BY 1)
 SELECT task_id, p AS pass_rate, CASE top WHEN 3 THEN 'error' WHEN 2 THEN 'warn' WHEN 1 THEN 'notice' ELSE 'normal' END AS audit_level,
