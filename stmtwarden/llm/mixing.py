@@ -74,9 +74,9 @@ class RangeCoder:
             self.out = np.pad(self.out, ((0, 0), (0, self.width // 2 + 64 * 16)))
             self._flatten()
 
-    def _settle(self, lane: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
+    def _settle(self, lane: np.ndarray, low: np.ndarray, span: np.ndarray, where: np.ndarray | slice) -> None:
         """Stores the interval and shifts out the words that no longer change."""
-        self.low[lane], self.range[lane] = low, span
+        self.low[where], self.range[where] = low, span
         ready = ((low ^ (low + span)) < TOP) | (span < BOTTOM)
         while ready.any():
             some = np.flatnonzero(ready)
@@ -93,13 +93,13 @@ class RangeCoder:
             self.low[lane], self.range[lane] = low, span
             ready = ((low ^ (low + span)) < TOP) | (span < BOTTOM)
 
-    def bit(self, lane: np.ndarray, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Codes a yes or no whose yes has probability p / 4096."""
-        low, span = self.low[lane], self.range[lane]
+    def bit(self, lane: np.ndarray, p: np.ndarray, bit: np.ndarray | None, where: np.ndarray | slice) -> np.ndarray:
+        """Codes a yes or no whose yes has probability p / 4096. ``where`` names the same lanes, as a slice if they are the first ones."""
+        low, span = self.low[where], self.range[where]
         part = (span >> np.uint64(12)) * p.astype(np.uint64)
         if bit is None:
-            bit = ((self.code[lane] - low) & LOW) < part
-        self._settle(lane, np.where(bit, low, (low + part) & LOW), np.where(bit, part, span - part))
+            bit = ((self.code[where] - low) & LOW) < part
+        self._settle(lane, np.where(bit, low, (low + part) & LOW), np.where(bit, part, span - part), where)
         return bit
 
     def symbol(self, lane: np.ndarray, upto: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
@@ -114,7 +114,7 @@ class RangeCoder:
         flat = upto.reshape(-1)
         end = flat[row].astype(np.uint64)
         begin = np.where(symbol > 0, flat[row - 1], 0).astype(np.uint64)
-        self._settle(lane, (low + begin * unit) & LOW, (end - begin) * unit)
+        self._settle(lane, (low + begin * unit) & LOW, (end - begin) * unit, lane)
         return symbol
 
     def finish(self) -> list[bytes]:
@@ -135,19 +135,19 @@ class Mixed:
         self.p = [np.full(lanes * n, 1 << 15, np.int64) for n in self.SIZES]
         self.w = [np.full(lanes, 1 << 14, np.int64) for _ in self.SIZES]
 
-    def code(self, coder: RangeCoder, lane: np.ndarray, contexts: tuple[np.ndarray, ...], bit: np.ndarray | None) -> np.ndarray:
+    def code(self, coder: RangeCoder, lane: np.ndarray, where: np.ndarray | slice, contexts: tuple[np.ndarray, ...], bit: np.ndarray | None) -> np.ndarray:
         places = [lane * n + c for n, c in zip(self.SIZES, contexts, strict=True)]
         probs = [p[at] for p, at in zip(self.p, places, strict=True)]
         logits = [STRETCH[x >> 4] for x in probs]
-        weights = [w[lane] for w in self.w]
+        weights = [w[where] for w in self.w]
         mixed = (logits[0] * weights[0] + logits[1] * weights[1] + logits[2] * weights[2]) >> 15
         p = SQUASH[np.clip(mixed, -2047, 2047) + 2047].clip(16, 4080)
-        bit = coder.bit(lane, p, bit)
+        bit = coder.bit(lane, p, bit, where)
         yes = bit.astype(np.int64)
         err = (yes << 12) - p
         for i in range(3):
             self.p[i][places[i]] = probs[i] + ((yes * 65535 - probs[i]) >> 4)
-            self.w[i][lane] = weights[i] + ((logits[i] * err) >> 9)
+            self.w[i][where] = weights[i] + ((logits[i] * err) >> 9)
         return bit
 
 
@@ -156,6 +156,7 @@ class Model:
         self.two, self.one = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
         self.first, self.second = Mixed(lanes), Mixed(lanes)
         self.counts = [np.ones((lanes * n, 16), np.uint16) for n in NIBBLES]
+        self.flat = [c.reshape(-1) for c in self.counts]
         self.recent = np.zeros(lanes, np.int64)
 
     @staticmethod
@@ -167,18 +168,19 @@ class Model:
         table[place] = new.astype(np.uint32)
 
     def step(self, coder: RangeCoder, lane: np.ndarray, last: np.ndarray, before: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Codes one id per lane after the ids ``before`` and ``last``."""
+        """Codes one id in each of the first lanes, after the ids ``before`` and ``last``."""
         at2 = lane * SLOTS + ((before * 40503 + last * 60493 >> 4) & (SLOTS - 1))
         at1 = lane * SLOTS + ((last * 40503 >> 3) & (SLOTS - 1))
         e2, e1 = self.two[at2].astype(np.int64), self.one[at1].astype(np.int64)
         p2, c2, p1, c1 = e2 & 0xFFFF, e2 >> 16, e1 & 0xFFFF, e1 >> 16
-        recent = self.recent[lane]
-        hit = self.first.code(coder, lane, (c2, c1 * 2 + (p1 == p2), recent), None if ids is None else ids == p2)
+        whole = slice(0, len(lane))
+        recent = self.recent[whole]
+        hit = self.first.code(coder, lane, whole, (c2, c1 * 2 + (p1 == p2), recent), None if ids is None else ids == p2)
         out = np.where(hit, p2, 0)
         try_one = np.flatnonzero(~hit & (p1 != p2))
         done = hit.copy()
         if len(try_one):
-            got = self.second.code(coder, lane[try_one], (c1[try_one], c2[try_one] * 2, recent[try_one]), None if ids is None else ids[try_one] == p1[try_one])
+            got = self.second.code(coder, lane[try_one], lane[try_one], (c1[try_one], c2[try_one] * 2, recent[try_one]), None if ids is None else ids[try_one] == p1[try_one])
             some = try_one[got]
             out[some] = p1[some]
             done[some] = True
@@ -190,17 +192,17 @@ class Model:
                 rows = self.counts[n][place]
                 want = None if ids is None else ids[left] >> (12 - 4 * n) & 15
                 got = coder.symbol(mine, (rows.astype(np.float32) @ UPTO).astype(np.int32), want)
-                row = np.arange(len(left))
-                rows[row, got] += 24
-                full = rows[row, got] > LIMIT // 4
-                if full.any():
-                    rows[full] = (rows[full] >> 1) | 1
-                self.counts[n][place] = rows
+                at = place * 16 + got
+                new = self.flat[n][at] + np.uint16(24)
+                self.flat[n][at] = new
+                full = np.flatnonzero(new > LIMIT // 4)
+                if len(full):
+                    self.counts[n][place[full]] = (self.counts[n][place[full]] >> 1) | 1
                 made = made * 16 + got
             out[left] = made
         self._learn(self.two, at2, e2, out, out == p2)
         self._learn(self.one, at1, e1, out, out == p1)
-        self.recent[lane] = (recent << 1 | done) & 7
+        self.recent[whole] = (recent << 1 | done) & 7
         return out
 
 
@@ -217,12 +219,13 @@ def encode(ids: np.ndarray, size: int = BLOCK_IDS) -> list[bytes]:
     grid.reshape(-1)[: len(ids)] = ids
     coder, model = RangeCoder(len(lengths), ids=size), Model(len(lengths))
     last, before = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    every = np.arange(len(lengths))
     for t in range(int(lengths.max())):
-        lane = np.flatnonzero(lengths > t)
-        now = grid[lane, t].astype(np.int64)
+        n = len(lengths) - (lengths[-1] <= t)
+        now = grid[:n, t].astype(np.int64)
         coder.reserve()
-        model.step(coder, lane, last[lane], before[lane], now)
-        before[lane], last[lane] = last[lane], now
+        model.step(coder, every[:n], last[:n], before[:n], now)
+        before[:n], last[:n] = last[:n], now
     return coder.finish()
 
 
@@ -236,11 +239,12 @@ def decode(blocks: list[bytes], n: int, size: int = BLOCK_IDS) -> np.ndarray:
     coder, model = RangeCoder(len(blocks), [np.frombuffer(b, np.uint16) for b in blocks]), Model(len(blocks))
     grid = np.zeros((len(blocks), size), np.int32)
     last, before = np.zeros(len(blocks), np.int64), np.zeros(len(blocks), np.int64)
+    every = np.arange(len(lengths))
     for t in range(int(lengths.max())):
-        lane = np.flatnonzero(lengths > t)
-        now = model.step(coder, lane, last[lane], before[lane], None)
-        grid[lane, t] = now
-        before[lane], last[lane] = last[lane], now
+        m = len(lengths) - (lengths[-1] <= t)
+        now = model.step(coder, every[:m], last[:m], before[:m], None)
+        grid[:m, t] = now
+        before[:m], last[:m] = last[:m], now
     return grid.reshape(-1)[:n]
 
 
