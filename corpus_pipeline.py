@@ -21,9 +21,15 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id."""
     found = chosen_path.near_duplicates(docs, k=5, percent=80)
-    kept = saved(found.where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"])
+    ids = saved(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows")), "ids")
+    gone = saved(ids.where("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
+    more = saved(ids.where("rows > 1").select(F.col("doc_id").alias("_more")), "more")
+    doc_id = docs["doc_id"].cast("long")
+    kept = docs.join(gone, doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    # rows that share a doc_id are few or none; of equal ones one stays
+    once = kept.join(more, doc_id.eqNullSafe(F.col("_more")), "left_anti")
+    twice = kept.join(more, doc_id.eqNullSafe(F.col("_more")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(twice)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtwarden.llm.common import components, ids_filter, in_filter, map_arrow, mix, saved, saved_by, shingle_set, small_batches
+from stmtwarden.llm.common import components, discard, ids_filter, in_filter, map_arrow, mark, mix, saved, saved_by, shingle_set, small_batches
 
 POSITIONS = 64
 _RNG = np.random.default_rng(20240229)
@@ -131,6 +131,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: tuple[DataFrame, DataFrame], percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the similarity. ``a`` may be a pivot of many pairs."""
     bucketed, plain = sets
+    plain = plain.join(pairs.select(F.col("a").alias("sid")).distinct(), "sid", "left_semi")
     both = pairs.join(bucketed.select(F.col("sid").alias("b"), F.col("items").alias("bi")), "b").join(plain.select(F.col("sid").alias("a"), F.col("items").alias("ai")), "a")
     inter = F.size(F.array_intersect("ai", "bi"))
     union = F.size("ai") + F.size("bi") - inter
@@ -214,6 +215,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
     their texts make them. Other columns of ``docs`` are not read.
     """
     small_batches(docs.sparkSession)
+    since = mark()
     rows = saved(describe(docs, k), "minwise")
     sets = saved(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sig").alias("sig")), "sets")
     level, links, labels, items = first, None, None, None
@@ -278,5 +280,6 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
     at = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left")
     at = saved(at.withColumn("root", F.coalesce("root", "sid")), "classes")
     least = saved(at.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    discard(docs.sparkSession, since, 2)
     out = at.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -23,6 +23,7 @@ MASK = (1 << 64) - 1
 SMALL_ROWS = 20_000
 BLOOM_BITS = 1 << 25
 _sent: set[str] = set()
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared folder and read again: cuts lineage, survives lost executors."""
     path = fresh_dir(df.sparkSession, label)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -40,11 +42,26 @@ def saved_by(df: DataFrame, label: str, key: str) -> tuple[DataFrame, DataFrame]
     """The saved rows twice: bucketed by ``key`` for joins that need no exchange of them, and plain for joins whose hot keys Spark is to split."""
     spark = df.sparkSession
     path, name = fresh_dir(spark, label), f"{label}_{uuid.uuid4().hex}"
+    _written.append(path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(name)
     return spark.table(name), spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in the list of written tables, for :func:`discard`."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int, keep: int) -> None:
+    """Deletes the tables written since a mark, but for the last ``keep``, which the result still reads."""
+    gone = _written[since : len(_written) - keep]
+    del _written[since:]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Makes the session ready for Python tasks: the package is sent to the executors, and long texts go in small Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -85,3 +85,11 @@ def test_pipeline(spark, sf_dir):
     assert counts[0] > counts[1] > counts[2] == counts[3] == counts[4]
     whole = corpus_pipeline.run(spark, sf_dir)
     assert whole.count() == counts[5] and whole.select("doc_id").distinct().count() == counts[4]
+
+
+def test_dedup_stage_keeps_one_of_equal_rows(spark, docs_of, sf_dir):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    docs = docs_of([a, a, a, b, b, None, None, ""], ids=[3, 3, 5, None, None, 8, 8, 9])
+    out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == [(-1, b), (3, a), (8, ""), (9, "")]
