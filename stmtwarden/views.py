@@ -383,7 +383,7 @@ def with_clause(names) -> list[tuple[str, str]]:
 
 
 INPUT_PARTITIONS_CONF = "spark.stmtwarden.inputPartitions"
-SPREAD_TABLES = ("events",)
+SPREAD_TABLES = ("events", "orders")
 
 
 class Tables:
