@@ -27,7 +27,7 @@ RATIOS = {
     "symbols": ("n_symbols", "n_words", 0.25, False),
     "dup_lines": ("n_dup_lines", "n_lines", 0.40, False),
 }
-SKETCH_K = 400
+SKETCH_K = 4096
 #: So many documents of the level above count towards a group's fences.
 LEAN = 10
 #: Fences lie so many quartile distances outside the quartiles.
