@@ -66,9 +66,13 @@ def read_segments(content: bytes) -> Iterator[tuple[int, int, list[tuple[int | N
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
-    """Writes the ids of all documents, each followed by ``end_id``, in ascending order of doc_id (null first), then text."""
+    """Writes the ids of all documents, each followed by ``end_id``, in ascending order of doc_id (null first).
+
+    Rows that share a doc_id follow in the order of a hash of their texts: the
+    exchange samples its sort keys through the driver, so texts are none.
+    """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, part, number = encoder(tokenizer), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId(), 0
