@@ -13,7 +13,7 @@ from stmtwarden.functions import ipv4
 ENDPOINT, TEXT, FINGERPRINT, INSTANCE, USER = range(5)
 
 
-_ANCHORS = (12, 4, 1)
+_ANCHORS = (4, 1)
 
 
 def _anchor_length(n: Column) -> Column:
