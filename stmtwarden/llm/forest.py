@@ -1,14 +1,18 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Each tree splits recursively along random directions at the median of a bounded
-sample, with spill: vectors near a split go to both sides. Below the sample's
-reach, leaves that are still large are split on along directions drawn from the
-leaf's name, through the sample's centre, so depth follows the data. Vectors
-are compared within leaves, all in double precision; found pairs are united.
+sample, with spill: vectors near a split go to both sides, the more of them the
+denser a node is beside the distance of linked vectors. A node that such a split
+hardly makes smaller is a mass of near vectors and stays one leaf of any size.
+Below the sample's reach, other leaves that are still large are split on along
+directions drawn from the leaf's name, through the centre of the fitted leaf's
+sample, so depth follows the data. Vectors are compared within leaves, large
+ones in blocks, all in double precision; found pairs are united.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,64 +25,105 @@ from stmtwarden.llm.common import components, map_arrow, mix, saved, small_batch
 #: Vectors that fit the trees' splits; all vectors are indexed. This bounds what the driver gathers and what is sent to tasks.
 SAMPLE_ROWS = 8192
 LAST_LEVEL = 40
+#: A split may part this share of the pairs at the threshold. After twelve splits a pair is kept by a tree with probability 0.6, and missed by 16 trees with about 1e-6.
+LOST = 0.04
+#: A split that sends a larger share than this to one side saves no comparisons: twice its square is 1.
+HARDLY = 0.7
+_AT = np.arange(0, 8, 1 / 64)
+_TAIL = np.array([math.erfc(x / math.sqrt(2)) / 2 for x in _AT])
+
+
+def _above(x: np.ndarray) -> np.ndarray:
+    """The probability that a standard normal value exceeds x."""
+    return np.interp(x, _AT, _TAIL)
 
 
 class Forest:
-    """The fitted part: per tree arrays of directions, offsets and children (a child below zero is leaf -child - 1)."""
+    """The fitted part: per tree arrays of directions, offsets, spills and children (a child below zero is leaf -child - 1).
+
+    A pair at the threshold differs along a random direction by about
+    ``sigma``. A node's spill is the smallest, ``spill`` at least, with which
+    its split parts a share of at most LOST of such pairs placed at its members.
+    Where that sends more than HARDLY of them to one side, the node is a mass of
+    near vectors and stays one leaf.
+    """
 
-    def __init__(self, sample: np.ndarray, trees: int, leaf: int, spill: float, seed: int = 11):
-        self.spill, self.seed, self.trees = spill, seed, []
-        self.centre = sample.mean(axis=0) if len(sample) else np.zeros(0)
+    def __init__(self, sample: np.ndarray, trees: int, leaf: int, spill: float, least: float, seed: int = 11):
+        self.seed, self.trees = seed, []
+        self.sigma = float(np.sqrt(max(2 - 2 * least, 0) / max(sample.shape[-1], 1)))
+        #: Unfitted splits see no sample: with this spill they part few pairs at the threshold wherever they fall.
+        self.wide = max(spill, 0.75 * self.sigma)
+        spills = [spill, *[k * self.sigma for k in np.arange(0.2, 1.55, 0.1) if k * self.sigma > spill]]
+        #: By name of a fitted leaf: the centre of its sample, and whether it is a mass.
+        self.centre: dict[int, np.ndarray] = {}
+        self.mass: dict[int, bool] = {}
         for t in range(trees):
             rng = np.random.default_rng((seed, t))
-            directions, offsets, children = [], [], []
+            directions, offsets, widths, children = [], [], [], []
             self.leaves = 0
 
+            def end(rows: np.ndarray, mass: bool) -> int:
+                self.leaves += 1
+                name = int(self._names(np.array([self.leaves]), t)[0])
+                self.centre[name] = sample[rows].mean(axis=0) if len(rows) else np.zeros(sample.shape[-1])
+                self.mass[name] = mass
+                return -self.leaves
+
             def grow(rows: np.ndarray) -> int:
                 if len(rows) <= leaf:
-                    self.leaves += 1
-                    return -self.leaves
+                    return end(rows, False)
                 d = rng.standard_normal(sample.shape[1])
                 d /= np.sqrt(d @ d)
                 x = sample[rows] @ d
                 cut = float(np.median(x))
                 left, right = rows[x <= cut], rows[x > cut]
                 if not len(left) or not len(right):
-                    self.leaves += 1
-                    return -self.leaves
+                    return end(rows, False)
+                far = np.abs(x - cut)
+                for width in spills:
+                    if not self.sigma or np.where(far > width, _above((far + width) / self.sigma), 0).mean() <= LOST:
+                        break
+                if max((x <= cut + width).sum(), (x > cut - width).sum()) > HARDLY * len(rows):
+                    return end(rows, True)
                 at = len(offsets)
                 directions.append(d)
                 offsets.append(cut)
+                widths.append(width)
                 children.append(None)
                 children[at] = (grow(left), grow(right))
                 return at
 
             root = grow(np.arange(len(sample)))
-            self.trees.append((np.array(directions).reshape(len(offsets), sample.shape[1] if len(sample) else 0), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), root))
+            shape = (len(offsets), sample.shape[1] if len(sample) else 0)
+            self.trees.append((np.array(directions).reshape(shape), np.array(offsets), np.array(widths), np.array(children, np.int64).reshape(-1, 2), root))
+
+    @staticmethod
+    def _names(leaf: np.ndarray, t: int) -> np.ndarray:
+        return mix(leaf.astype(np.uint64) + np.uint64((t + 1) << 40))
 
     def leaves_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(leaf name, row) of unit vectors in all trees; a row may lie in several leaves of a tree."""
         names, rows = [], []
-        for t, (directions, offsets, children, root) in enumerate(self.trees):
+        for t, (directions, offsets, widths, children, root) in enumerate(self.trees):
             row, node = np.arange(len(x)), np.full(len(x), root)
             while len(row):
                 done = node < 0
-                names.append(mix((-node[done]).astype(np.uint64) + np.uint64((t + 1) << 40)))
+                names.append(self._names(-node[done], t))
                 rows.append(row[done])
                 row, node = row[~done], node[~done]
                 far = np.einsum("ij,ij->i", x[row], directions[node]) - offsets[node] if len(row) else np.empty(0)
-                left, right = far <= self.spill, far > -self.spill
+                left, right = far <= widths[node], far > -widths[node]
                 row, node = np.concatenate([row[left], row[right]]), np.concatenate([children[node[left], 0], children[node[right], 1]])
         return np.concatenate(names), np.concatenate(rows)
 
-    def deeper(self, names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One more split of unfitted leaves: (name, row)."""
+    def deeper(self, names: np.ndarray, tops: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One more split of unfitted leaves, through the centres of the fitted ones (``tops``) they come from: (name, row)."""
         out_names, out_rows = [], []
         for name in np.unique(names):
             row = np.flatnonzero(names == name)
             d = np.random.default_rng((self.seed, int(name))).standard_normal(x.shape[1])
-            far = (x[row] - self.centre) @ (d / np.sqrt(d @ d))
-            for side, some in enumerate((far <= self.spill, far > -self.spill)):
+            far = (x[row] - self.centre[int(tops[row[0]])]) @ (d / np.sqrt(d @ d))
+            for side, some in enumerate((far <= self.wide, far > -self.wide)):
                 out_rows.append(row[some])
                 out_names.append(np.full(int(some.sum()), mix(np.array([name + np.uint64(side + 1)], np.uint64))[0]))
         return np.concatenate(out_names), np.concatenate(out_rows)
@@ -194,19 +239,22 @@ def similar(rows: DataFrame, *, least: float = 0.95, trees: int = 16, leaf: int
 def _links(unique: DataFrame, least: float, trees: int, leaf: int, spill: float, limit: int, block: int = 1000) -> DataFrame:
     spark = unique.sparkSession
     sample = unique.orderBy(F.xxhash64("key")).select("v").limit(SAMPLE_ROWS).collect()
-    forest = Forest(np.array([unit_of(bytes(r[0])) for r in sample]), trees, leaf, spill)
+    forest = Forest(np.array([unit_of(bytes(r[0])) for r in sample]), trees, leaf, spill, least)
     sent = spark.sparkContext.broadcast(forest)
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, row = sent.value.leaves_of(_matrix(batch.column(1)))
-        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), batch.column(0).take(pa.array(row))], names=["node", "key"])
+        # a mass counts as one that a split did not make smaller
+        was = pa.array([0 if sent.value.mass[n] else None for n in names.tolist()], pa.int64())
+        node = pa.array(names.view(np.int64))
+        return pa.RecordBatch.from_arrays([node, batch.column(0).take(pa.array(row)), was, node], names=["node", "key", "was", "top"])
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, row = sent.value.deeper(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2)))
+        names, row = sent.value.deeper(batch.column(0).to_numpy().view(np.uint64), batch.column(4).to_numpy().view(np.uint64), _matrix(batch.column(2)))
         take = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), batch.column(1).take(take), batch.column(3).take(take)], names=["node", "key", "was"])
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *[batch.column(i).take(take) for i in (1, 3, 4)]], names=["node", "key", "was", "top"])
 
-    nodes = map_arrow(unique.select("key", "v"), place, "node long, key long").withColumn("was", F.lit(None).cast("long"))
+    nodes = map_arrow(unique.select("key", "v"), place, "node long, key long, was long, top long")
     done = None
     for level in range(LAST_LEVEL + 1):
         nodes = saved(nodes.distinct(), "leaves")
@@ -218,8 +266,8 @@ def _links(unique: DataFrame, least: float, trees: int, leaf: int, spill: float,
         large = sizes.where(more).select("node", "size")
         if large.isEmpty():
             break
-        rest = nodes.select("node", "key").join(large, "node").join(unique.select("key", "v"), "key")
-        nodes = map_arrow(rest.select("node", "key", "v", F.col("size").alias("was")), split, "node long, key long, was long")
+        rest = nodes.select("node", "key", "top").join(large, "node").join(unique.select("key", "v"), "key")
+        nodes = map_arrow(rest.select("node", "key", "v", F.col("size").alias("was"), "top"), split, "node long, key long, was long, top long")
     leaves = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "size"))).alias("at"))
     rows = unique.join(leaves, "key").select("key", "v", "copies", F.col("at.node").alias("leaves"), F.explode("at").alias("x"))
     blocks = F.ceil(F.col("x.size") / block)

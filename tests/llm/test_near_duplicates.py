@@ -110,3 +110,17 @@ def test_mass_of_near_copies_is_compared_in_blocks(spark):
     want = forest_truth(rows)
     assert n == {i: v[0] for i, v in want.items() if v[0]}
     assert brute.classes([r[0] for r in rows], [(r["a"], r["b"]) for r in found if r["n"] is None]) == {i: v[1] for i, v in want.items()}
+
+
+def test_dense_group_of_unequal_vectors_keeps_its_links(spark):
+    """A third of the rows around one direction, pairs on both sides of the threshold, with the default parameters."""
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(64)
+    group = centre / np.linalg.norm(centre) + rng.standard_normal((900, 64)) * np.sqrt(0.045 / 0.955 / 64)
+    x = np.vstack([group, rng.standard_normal((1800, 64))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in forest.similar(df).collect()}
+    missed = int(want.sum()) - sum(got.values())
+    assert [got[i] for i in range(len(x))] == want.tolist(), f"{missed // 2} of {want.sum() // 2} links missed"
