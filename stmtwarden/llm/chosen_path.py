@@ -8,11 +8,15 @@ choice, so a pair at the threshold is kept alive by the branching while
 dissimilar ones part. Nodes of few documents are compared exhaustively; larger
 ones compare all with one pivot, so that a mass of near copies becomes one
 class. Larger nodes of up to some thousand documents then compare those outside
-that class with all, in blocks of full sets; still larger ones are split on.
+that class with all, in blocks of full sets; still larger ones are split on, now
+always along two positions, so that pairs at the threshold multiply faster than
+they part. Nodes that such splits hardly make smaller are compared in blocks too.
 
 Unequal sets only: equal sets are collapsed first. Links are confirmed on full
-sets. A pair at exactly 0.8 is missed by one tree with probability below 0.36
-three levels down and 0.53 six down: below 1e-4 for the default twelve trees.
+sets. A pair that agrees in 0.8 of the positions is missed by all twelve trees
+with probability 4e-6 three levels down and below 1e-5 at any depth. Averaged
+over the agreement that pairs of similarity 0.8 have in 64 positions, that is
+6e-5 three levels down, 1.9e-4 six down and below 3e-4 at any depth.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ _XOR = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
 FAR_BITS = 22
 #: The last level at which nodes are split; what is larger there is compared by a join with no limit.
 LAST_LEVEL = 40
+#: Three levels along two positions make eight nodes of one; above this share of its size each, they hold as many pairs as it has.
+HARDLY = 0.35
 
 
 def minwise(values: np.ndarray) -> np.ndarray:
@@ -59,12 +65,12 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, sid long, sig binary")
 
 
-def descend(node: np.ndarray, row: np.ndarray, sig: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sends (node, row) pairs down some levels; the choice of positions depends on the node alone."""
+def descend(node: np.ndarray, row: np.ndarray, sig: np.ndarray, levels: int, both: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sends (node, row) pairs down some levels, along one or two positions or always ``both``; the choice depends on the node alone."""
     for _ in range(levels):
         u = mix(node)
         p1 = (u & np.uint64(63)).astype(np.int64)
-        two = (u >> np.uint64(6)) & np.uint64(3) == 0
+        two = np.full(len(u), True) if both else (u >> np.uint64(6)) & np.uint64(3) == 0
         p2 = (p1 + 1 + ((u >> np.uint64(8)) % np.uint64(63)).astype(np.int64)) % POSITIONS
         at = np.concatenate([p1, p2[two]])
         row = np.concatenate([row, row[two]])
@@ -95,15 +101,15 @@ def first_nodes(sets: DataFrame, trees: int, levels: int) -> DataFrame:
 
 
 def next_nodes(rows: DataFrame, levels: int) -> DataFrame:
-    """The same rows (with ``sig``) some levels further down."""
+    """The same rows (with ``sig``) some levels further down, and the ``size`` of the nodes they come from."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sig = _signatures(batch.column(4))
-        node, row = descend(batch.column(0).to_numpy().view(np.uint64), np.arange(len(sig)), sig, levels)
+        node, row = descend(batch.column(0).to_numpy().view(np.uint64), np.arange(len(sig)), sig, levels, both=True)
         take = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *[batch.column(i).take(take) for i in (1, 2, 3)]], names=["node", "sid", "n", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *[batch.column(i).take(take) for i in (1, 2, 3, 5)]], names=["node", "sid", "n", "sketch", "was"])
 
-    return map_arrow(rows.select("node", "sid", "n", "sketch", "sig"), run, "node long, sid long, n long, sketch long")
+    return map_arrow(rows.select("node", "sid", "n", "sketch", "sig", "size"), run, "node long, sid long, n long, sketch long, was long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -219,7 +225,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
     rows = saved(describe(docs, k), "minwise")
     sets = saved(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sig").alias("sig")), "sets")
     level, links, labels, items = first, None, None, None
-    nodes = first_nodes(sets, trees, first)
+    nodes = first_nodes(sets, trees, first).withColumn("was", F.lit(None).cast("long"))
     while True:
         nodes = saved(nodes, "nodes")
         stats = nodes.groupBy("node").agg(F.count("*").alias("size"))
@@ -260,12 +266,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
         if not top:
             # of a large node only members of different classes still matter; the pivot stands for the main class
             wide = active.where(F.col("size") > limit).join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
-            wide = saved(wide.select("node", "size", "sid", "n", "sketch", "label").join(pivots, "node"), "wide")
+            wide = saved(wide.select("node", "size", "was", "sid", "n", "sketch", "label").join(pivots, "node"), "wide")
             main = wide.where(F.col("sid") == F.col("pivot")).select("node", F.col("label").alias("main")).distinct()
             mixed = wide.where("sid <> pivot").join(main, "node").groupBy("node").agg(F.first("main").alias("main"), F.max(F.col("label") != F.col("main")).alias("mixed")).where("mixed").select("node", "main")
             wide = saved(wide.join(saved(mixed, "mixed"), "node"), "wide")
-            group = wide.where(F.col("size") <= whole).groupBy("main", "sid").agg(F.first("label").alias("label"))
-            deeper = wide.where(F.col("size") > whole)
+            split = (F.col("size") > whole) & ~F.coalesce(F.col("size") > HARDLY * F.col("was"), F.lit(False))
+            group = wide.where(~split).groupBy("main", "sid").agg(F.first("label").alias("label"))
+            deeper = wide.where(split)
         more = confirmed(apart, items, percent)
         if not top:
             more = more.union(within_groups(saved(group, "group"), items[0], percent))

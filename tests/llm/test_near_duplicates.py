@@ -124,3 +124,17 @@ def test_dense_group_of_unequal_vectors_keeps_its_links(spark):
     got = {r["vec_id"]: r["n_links"] for r in forest.similar(df).collect()}
     missed = int(want.sum()) - sum(got.values())
     assert [got[i] for i in range(len(x))] == want.tolist(), f"{missed // 2} of {want.sum() // 2} links missed"
+
+
+def test_pairs_at_the_threshold_meet_at_every_depth():
+    """Signatures that agree in each position with probability 0.8, in the default trees down to level nine."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << 32, (600, 64), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+    roots = chosen_path.mix(np.arange(1, 13, dtype=np.uint64) * np.uint64(0x51ED27))
+    found = []
+    for sig in (a, b):
+        node, row = chosen_path.descend(np.tile(roots, len(sig)), np.repeat(np.arange(len(sig)), len(roots)), sig, 3)
+        node, row = chosen_path.descend(node, row, sig, 6, both=True)
+        found.append(set(zip(row.tolist(), node.tolist(), strict=True)))
+    assert len({row for row, _ in found[0] & found[1]}) >= 598
