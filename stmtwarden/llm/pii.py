@@ -24,7 +24,9 @@ ROUNDS = 10
 FIRST_DAY, DAY_GROUPS = "1700-01-01", (365, 400)
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+"
-SECRET = r"(?i:(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))[\"']?\s{0,4}+[=:]\s{0,4}+[\"']?[A-Za-z0-9_/+.-]{12,256}+"
+#: After a password's key any value counts: to the quote or the line's end, or unquoted to the next space, quote or angle bracket. After the other keys, 12 characters or more of the alphabet of tokens.
+PASSWORD = r"(?i:(?<![A-Za-z0-9])(?:password|passwd))[\"']?\s{0,4}+[=:]\s{0,4}+(?:[\"'][^\"'\r\n]++|[^\s\"'<>]++)"
+SECRET = rf"(?:{PASSWORD}|(?i:(?<![A-Za-z0-9])(?:token|secret|api[_-]?key|access[_-]?key))[\"']?\s{{0,4}}+[=:]\s{{0,4}}+[\"']?[A-Za-z0-9_/+.-]{{12,}}+)"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -137,10 +139,10 @@ def email(value: Column, key: str) -> Column:
 
 
 def secret(value: Column, key: str) -> Column:
-    """The value after the sign, replaced by as many keyed hexadecimal digits."""
-    parts = r"^(.*?[=:]\s*[\"']?)([A-Za-z0-9_/+.-]+)$"
+    """The value after the sign, whatever its length, replaced by as many keyed hexadecimal digits."""
+    parts = r"(?s)^([^=:]*[=:]\s*[\"']?)(.+)$"
     head, body = F.regexp_extract(value, parts, 1), F.regexp_extract(value, parts, 2)
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.sha2(F.concat(F.lit(f"{key}|secret|"), i.cast("string"), body), 256))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.length(body) / 64).cast("int")), lambda i: F.sha2(F.concat(F.lit(f"{key}|secret|"), i.cast("string"), body), 256))
     return F.concat(head, F.substr(F.array_join(chunks, ""), F.lit(1), F.length(body)))
 
 
@@ -151,7 +153,7 @@ def pseudonym(value: Column, key: str) -> Column:
     """struct (kind, new): the pseudonym of one found string, or nulls when no check passes."""
     out = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("new"))
     tests = {
-        "email": value.contains("@"), "secret": value.rlike(r"^[A-Za-z]"), "ip": value.rlike(f"^(?:{IP})$"), "date": value.rlike(f"^(?:{DATE})$"),
+        "email": value.contains("@") & ~value.rlike("[=:]"), "secret": value.rlike("[=:]"), "ip": value.rlike(f"^(?:{IP})$"), "date": value.rlike(f"^(?:{DATE})$"),
         "ssn": value.rlike(f"^(?:{SSN})$"), "card": value.rlike(f"^(?:{CARD})$"), "phone": value.rlike(f"^(?:{PHONE})$"),
     }
     for kind in reversed(KINDS):

@@ -99,6 +99,17 @@ def test_what_fails_its_check_stays(docs_of):
     assert pseudonyms(docs_of, texts) == texts
 
 
+def test_whole_secrets_are_replaced(docs_of):
+    long = "".join(random.Random(5).choice("ghijkLMNOP_-.") for _ in range(600))
+    values = [("token: ", long, ""), ('"api_key" = "', long[:300], '", x'), ("password=", "hunT", " b"), ("Passwd: '", "p@sS: w=rd", "' c"), ("password: ", "q@mail.example", "")]
+    docs = docs_of([head + value + tail for head, value, tail in values])
+    got = pii.pseudonymised(docs, counts="n").orderBy("doc_id").collect()
+    for (head, value, tail), row in zip(values, got, strict=True):
+        new = row["text"][len(head) : len(row["text"]) - len(tail)]
+        assert row["text"] == head + new + tail and len(new) == len(value) and set(new) <= set("0123456789abcdef")
+        assert row["n"]["secret"] == 1 and row["n"]["email"] == 0
+
+
 def test_secrets_and_other_columns(docs_of):
     docs = docs_of(['x token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" y', "no"])
     out = pii.pseudonymised(docs, counts="n")
