@@ -157,19 +157,20 @@ def stream_high_water(log: DataFrame, out: str, checkpoint: str, every: str | No
 
     The checkpoint remembers what was read. Rows that a source sends again are
     found among the stored ones by id; equal ids have equal times, so only
-    what is stored from the batch's oldest time on is read.
+    what is stored from the batch's oldest time on is read. Rows without an id
+    are told apart by nothing; each of them is stored.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh, stored = batch.dropDuplicates(["id"]), read_batches(spark, out, but=batch_id)
+        fresh, stored = batch.where("id IS NOT NULL").dropDuplicates(["id"]), read_batches(spark, out, but=batch_id)
         oldest = batch.agg(F.min("ts")).first()[0]
         if stored is not None:
             since = F.col("ts").isNull()
             if oldest is not None:
                 since = since | (F.col("ts") >= F.lit(oldest).cast("timestamp_ntz"))
             fresh = fresh.join(stored.where(since).select("id"), "id", "left_anti")
-        write_batch(fresh, out, batch_id)
+        write_batch(fresh.unionByName(batch.where("id IS NULL")), out, batch_id)
 
     return run_batches(log, work, checkpoint, every)
 

@@ -74,3 +74,13 @@ def test_late_and_repeated_rows(spark, tmp_path):
     assert sorted((str(r.window_start), r.statement_count) for r in jobs.window_counts(spark, windows).collect()) == [
         ("2024-01-01 00:00:00", 2), ("2024-01-09 23:00:00", 1), ("2024-01-10 00:00:00", 2),
     ]
+
+
+def test_rows_without_id_all_stay(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in [[(None, "a"), (None, "b"), (1, "c"), (1, "c")], [(None, "d"), (None, "a"), (1, "c")]]:
+        df = spark.createDataFrame(rows, "id long, sql_text string").withColumn("ts", F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+        df.coalesce(1).write.mode("append").parquet(path)
+    read = jobs.read_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+    jobs.stream_high_water(read, out, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.sql_text for r in jobs.read_batches(spark, out).collect()) == ["a", "a", "b", "c", "d"]
