@@ -169,6 +169,7 @@ def _spanning(table: pa.Table, percent: int) -> pa.Table:
         a[place[0, o[la]], v[la]] = 1
         b[place[1, o[rb]], v[rb]] = 1
         inter += a @ b.T
+    inter = inter.astype(np.int64)
     union = size[left][:, None] + size[right][None, :] - inter
     i, j = np.nonzero((100 * inter >= percent * union) & (label[left][:, None] != label[right][None, :]))
     root: dict[int, int] = {}

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stmtwarden.llm import chosen_path, forest
@@ -138,3 +139,11 @@ def test_pairs_at_the_threshold_meet_at_every_depth():
         node, row = chosen_path.descend(node, row, sig, 6, both=True)
         found.append(set(zip(row.tolist(), node.tolist(), strict=True)))
     assert len({row for row, _ in found[0] & found[1]}) >= 598
+
+
+def test_very_long_sets_are_decided_in_integers():
+    """100 times the shared count, which lies between two single floats, equals 80 times the union."""
+    m = 671_089
+    items = pa.ListArray.from_arrays(pa.array([0, 5 * m, 9 * m], pa.int32()), pa.array(np.concatenate([np.arange(5 * m), np.arange(4 * m)])))
+    table = pa.table({"sid": [1, 2], "label": [1, 2], "side": [0, 0], "items": items})
+    assert chosen_path._spanning(table, 80).num_rows == 1
