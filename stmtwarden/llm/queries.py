@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwarden.llm import bpe, chat, chosen_path, forest, packing, pii, quality, repeats, token_files, warc
+from stmtwarden.llm import bpe, chat, chosen_path, forest, packing, pii, prefix_trie, quality, repeats, search, token_counts, token_files, warc
 from stmtwarden.llm.common import table
 from stmtwarden.session import fresh_dir
 
@@ -129,3 +129,58 @@ def op6(spark, sf_dir):
     path = fresh_dir(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), path, end_id=2)
     return token_files.read_tokens(spark, path)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t, row_number() OVER () AS r FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS rep FROM i GROUP BY ALL),
+s AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term), s),
+m AS (SELECT r, doc_id, 25 + (75 * len(t) * docs) // total AS m FROM d, s WHERE len(t) > 0),
+scores AS (SELECT item_id, r, doc_id, CAST(sum(rep * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11(spark, sf_dir):
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_token_counts")
+def op13(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+OP12_SQL = """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS nth, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, count(*) AS own, c - c % 100 AS base,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h FROM t GROUP BY c),
+named AS (SELECT a.c, a.base, a.h, least(a.h, coalesce(b.own, 0)) AS taken FROM convs a LEFT JOIN convs b ON b.c = a.base),
+r AS (SELECT n.c, t.nth AS pos, role, text FROM named n JOIN t ON t.c = n.base AND t.nth < n.h
+  UNION ALL SELECT n.c, t.nth - n.h + n.taken, role, text FROM named n JOIN t ON t.c = n.c AND t.nth >= n.h),
+ways AS (SELECT c, pos + 1 AS depth, length(text) AS chars, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY c ORDER BY pos)) AS k FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+linked AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY c) AS ends FROM ways),
+nodes AS (SELECT k, min(up) AS up, min(depth) AS depth, min(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM linked GROUP BY k),
+born AS (SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT a.k AS k, b.k AS u FROM ways a JOIN ways b ON a.c = b.c AND b.depth >= a.depth),
+sums AS (SELECT below.k, sum(CASE WHEN born.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved_tokens
+  FROM below JOIN nodes x ON x.k = below.u LEFT JOIN born ON born.up = below.u GROUP BY below.k)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(born.n, 0) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (k) LEFT JOIN born ON born.up = n.k LEFT JOIN nodes p ON p.k = n.up
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))

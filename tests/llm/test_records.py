@@ -68,7 +68,7 @@ def test_query_matches_sql(spark, sf_dir, key):
     assert check(spark, connect(sf_dir), QUERIES[key], ORACLES[key], sf_dir) is None
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_every_operator_has_one_query(n):
     assert len([q for q in QUERIES if q.startswith(f"op{n}_")]) == 1
 
