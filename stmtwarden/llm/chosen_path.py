@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtwarden.llm.common import components, discard, ids_filter, in_filter, map_arrow, mark, mix, saved, saved_by, shingle_set, small_batches
+from stmtwarden.llm.common import Run, components, forget, ids_filter, in_filter, map_arrow, mix, saved, saved_by, shingle_set, small_batches
 
 POSITIONS = 64
 _RNG = np.random.default_rng(20240229)
@@ -221,73 +221,86 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
     ``component_id`` is null. Rows that share a doc_id share no more than
     their texts make them. Other columns of ``docs`` are not read.
     """
-    small_batches(docs.sparkSession)
-    since = mark()
-    rows = saved(describe(docs, k), "minwise")
-    sets = saved(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sig").alias("sig")), "sets")
-    level, links, labels, items = first, None, None, None
-    nodes = first_nodes(sets, trees, first).withColumn("was", F.lit(None).cast("long"))
-    while True:
-        nodes = saved(nodes, "nodes")
-        stats = nodes.groupBy("node").agg(F.count("*").alias("size"))
-        stats = saved(stats.where("size > 1"), "stats")
-        active = nodes.join(stats, "node")
-        if labels is not None:
-            active = active.join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
-        else:
-            active = active.withColumn("label", F.col("sid"))
-        active = saved(active, "active")
-        pivot = F.min(F.struct(F.xxhash64("node", "sid").alias("h"), "sid"))
-        # of repeated (node, sid) rows any may be the pivot
-        pivots = saved(active.where(F.col("size") > limit).groupBy("node").agg(pivot.alias("m")).select("node", F.col("m.sid").alias("pivot")), "pivots")
-        if items is None:
-            ids = saved(sets.join(active.select("sid").distinct(), "sid").select("doc_id", "sid"), "needed")
-            items = saved_by(full_sets(docs, ids, k), "items", "sid")
-        top = level >= LAST_LEVEL
-        group = active if top else active.where(F.col("size") <= limit)
-        a, b = (group.select("node", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-        near = (F.col("la") != F.col("lb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= FAR_BITS) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        dist = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))).alias("dist")
-        found = a.join(b, "node").where((F.col("a") < F.col("b")) & near).select("a", "b", dist)
-        if not top:
-            p = active.where(F.col("size") > limit).select("node", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("label").alias("lb")).join(pivots, "node")
-            q = p.where(F.col("b") == F.col("pivot")).select("node", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("sb").alias("sa"), F.col("lb").alias("la")).distinct()
-            star = p.join(saved(q, "pivot"), "node").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), dist)
-            found = found.union(star)
-        pairs = saved(found.groupBy("a", "b").agg(F.min("dist").alias("dist")), "pairs")
-        # first each set's most promising partner, then what is still apart
-        best = pairs.groupBy("b").agg(F.min(F.struct("dist", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        sure = saved(confirmed(best, items, percent), "links")
-        links = sure if links is None else links.union(sure)
-        labels = components(links)
-        la, lb = (labels.select(F.col("v").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-        apart = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        apart = apart.join(best, ["a", "b"], "left_anti")
-        deeper = None
-        if not top:
-            # of a large node only members of different classes still matter; the pivot stands for the main class
-            wide = active.where(F.col("size") > limit).join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
-            wide = saved(wide.select("node", "size", "was", "sid", "n", "sketch", "label").join(pivots, "node"), "wide")
-            main = wide.where(F.col("sid") == F.col("pivot")).select("node", F.col("label").alias("main")).distinct()
-            mixed = wide.where("sid <> pivot").join(main, "node").groupBy("node").agg(F.first("main").alias("main"), F.max(F.col("label") != F.col("main")).alias("mixed")).where("mixed").select("node", "main")
-            wide = saved(wide.join(saved(mixed, "mixed"), "node"), "wide")
-            split = (F.col("size") > whole) & ~F.coalesce(F.col("size") > HARDLY * F.col("was"), F.lit(False))
-            group = wide.where(~split).groupBy("main", "sid").agg(F.first("label").alias("label"))
-            deeper = wide.where(split)
-        more = confirmed(apart, items, percent)
-        if not top:
-            more = more.union(within_groups(saved(group, "group"), items[0], percent))
-        more = saved(more, "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-        if deeper is None or deeper.isEmpty():
-            break
-        nodes = next_nodes(deeper.join(sets.select("sid", "sig"), "sid"), step)
-        level += step
-    at = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left")
-    at = saved(at.withColumn("root", F.coalesce("root", "sid")), "classes")
-    least = saved(at.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
-    discard(docs.sparkSession, since, 2)
+    spark = docs.sparkSession
+    small_batches(spark)
+    with Run(spark) as run:
+        rows = saved(describe(docs, k), "minwise")
+        sets = saved(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sig").alias("sig")), "sets")
+        labels = _classes(docs, sets, k, percent, trees, first, step, limit, whole)
+        at = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left")
+        at = saved(at.withColumn("root", F.coalesce("root", "sid")), "classes")
+        least = saved(at.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+        run.keep(at, least)
     out = at.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _classes(docs: DataFrame, sets: DataFrame, k: int, percent: int, trees: int, first: int, step: int, limit: int, whole: int) -> DataFrame:
+    """(v, root) of the sets that have links. Each level deletes its own tables but for links, classes and the nodes of the next one."""
+    spark, level, links, labels, items = docs.sparkSession, first, None, None, None
+    nodes = saved(first_nodes(sets, trees, first).withColumn("was", F.lit(None).cast("long")), "nodes")
+    while nodes is not None:
+        with Run(spark) as run:
+            stats = nodes.groupBy("node").agg(F.count("*").alias("size"))
+            stats = saved(stats.where("size > 1"), "stats")
+            active = nodes.join(stats, "node")
+            if labels is not None:
+                active = active.join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
+            else:
+                active = active.withColumn("label", F.col("sid"))
+            active = saved(active, "active")
+            forget(nodes)
+            pivot = F.min(F.struct(F.xxhash64("node", "sid").alias("h"), "sid"))
+            # of repeated (node, sid) rows any may be the pivot
+            pivots = saved(active.where(F.col("size") > limit).groupBy("node").agg(pivot.alias("m")).select("node", F.col("m.sid").alias("pivot")), "pivots")
+            if items is None:
+                ids = saved(sets.join(active.select("sid").distinct(), "sid").select("doc_id", "sid"), "needed")
+                items = saved_by(full_sets(docs, ids, k), "items", "sid")
+                run.keep(*items)
+            top = level >= LAST_LEVEL
+            group = active if top else active.where(F.col("size") <= limit)
+            a, b = (group.select("node", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
+            near = (F.col("la") != F.col("lb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= FAR_BITS) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+            dist = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))).alias("dist")
+            found = a.join(b, "node").where((F.col("a") < F.col("b")) & near).select("a", "b", dist)
+            if not top:
+                p = active.where(F.col("size") > limit).select("node", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("label").alias("lb")).join(pivots, "node")
+                q = p.where(F.col("b") == F.col("pivot")).select("node", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("sb").alias("sa"), F.col("lb").alias("la")).distinct()
+                star = p.join(saved(q, "pivot"), "node").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), dist)
+                found = found.union(star)
+            pairs = saved(found.groupBy("a", "b").agg(F.min("dist").alias("dist")), "pairs")
+            # first each set's most promising partner, then what is still apart
+            best = pairs.groupBy("b").agg(F.min(F.struct("dist", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+            sure = saved(confirmed(best, items, percent), "links")
+            run.keep(sure)
+            links = sure if links is None else links.union(sure)
+            labels = components(links)
+            la, lb = (labels.select(F.col("v").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+            apart = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+            apart = apart.join(best, ["a", "b"], "left_anti")
+            deeper = None
+            if not top:
+                # of a large node only members of different classes still matter; the pivot stands for the main class
+                wide = active.where(F.col("size") > limit).join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
+                wide = saved(wide.select("node", "size", "was", "sid", "n", "sketch", "label").join(pivots, "node"), "wide")
+                main = wide.where(F.col("sid") == F.col("pivot")).select("node", F.col("label").alias("main")).distinct()
+                mixed = wide.where("sid <> pivot").join(main, "node").groupBy("node").agg(F.first("main").alias("main"), F.max(F.col("label") != F.col("main")).alias("mixed")).where("mixed").select("node", "main")
+                wide = saved(wide.join(saved(mixed, "mixed"), "node"), "wide")
+                split = (F.col("size") > whole) & ~F.coalesce(F.col("size") > HARDLY * F.col("was"), F.lit(False))
+                group = wide.where(~split).groupBy("main", "sid").agg(F.first("label").alias("label"))
+                deeper = wide.where(split)
+            more = confirmed(apart, items, percent)
+            if not top:
+                more = more.union(within_groups(saved(group, "group"), items[0], percent))
+            more = saved(more, "links")
+            run.keep(more)
+            if not more.isEmpty():
+                links = links.union(more)
+                labels = components(links)
+            run.keep(labels)
+            nodes = None
+            if deeper is not None and not deeper.isEmpty():
+                nodes = saved(next_nodes(deeper.join(sets.select("sid", "sig"), "sid"), step), "nodes")
+                run.keep(nodes)
+                level += step
+    return labels

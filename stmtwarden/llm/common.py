@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -23,43 +25,88 @@ MASK = (1 << 64) - 1
 SMALL_ROWS = 20_000
 BLOOM_BITS = 1 << 25
 _sent: set[str] = set()
-_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Run:
+    """The tables written while it is entered; what is not kept is deleted when it ends.
+
+    Each query enters a run of its own, so that queries in other threads are
+    not touched. A run inside another hands what it keeps to the outer one.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Run:
+        self.token = _run.set(self)
+        self.outer = self.token.old_value if isinstance(self.token.old_value, Run) else None
+        self.kept: set[str] = set()
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Tables, as :func:`saved` gave them, that are still read after the run."""
+        for t in tables:
+            self.kept.update(paths_of(t))
+
+    def __exit__(self, kind, *_) -> None:
+        _run.reset(self.token)
+        kept = self.kept if kind is None else set()
+        if self.outer:
+            self.outer.paths += [p for p in self.paths if p in kept]
+        _delete(self.spark, [p for p in self.paths if p not in kept])
+        # shuffle files go when the driver has forgotten the plans that wrote them
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+_run: contextvars.ContextVar[Run | None] = contextvars.ContextVar("run", default=None)
+
+
+def paths_of(df: DataFrame) -> list[str]:
+    return getattr(df, "_paths", [])
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a saved table that nothing reads any more."""
+    _delete(df.sparkSession, paths_of(df))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _noted(df: DataFrame, path: str) -> DataFrame:
+    df._paths = [path]
+    if run := _run.get():
+        run.paths.append(path)
+    return df
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared folder and read again: cuts lineage, survives lost executors."""
     path = fresh_dir(df.sparkSession, label)
-    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _noted(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
-def saved_by(df: DataFrame, label: str, key: str) -> tuple[DataFrame, DataFrame]:
+def saved_by(df: DataFrame, label: str, key: str, parts: int | None = None, **options: int) -> tuple[DataFrame, DataFrame]:
     """The saved rows twice: bucketed by ``key`` for joins that need no exchange of them, and plain for joins whose hot keys Spark is to split."""
     spark = df.sparkSession
     path, name = fresh_dir(spark, label), f"{label}_{uuid.uuid4().hex}"
-    _written.append(path)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), spark.read.schema(df.schema).parquet(path)
-
-
-def mark() -> int:
-    """A point in the list of written tables, for :func:`discard`."""
-    return len(_written)
-
-
-def discard(spark: SparkSession, since: int, keep: int) -> None:
-    """Deletes the tables written since a mark, but for the last ``keep``, which the result still reads."""
-    gone = _written[since : len(_written) - keep]
-    del _written[since:]
-    for path in gone:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    writer = df.write.bucketBy(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd")
+    for option, value in options.items():
+        writer = writer.option(option.replace("_", "."), value)
+    writer.saveAsTable(name)
+    bucketed = spark.table(name)
+    # the relation is resolved, and the files stay: the catalogue need not keep the name
+    spark.sql(f"DROP TABLE {name}")
+    return _noted(bucketed, path), _noted(spark.read.schema(df.schema).parquet(path), path)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -175,27 +222,30 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     pointers until they reach roots, and contracts the links to roots. Every
     round at least halves what is left; nothing is collected.
     """
-    spark = edges.sparkSession
-    edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
-    roots = None
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        parent = saved(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("p")), label)
-        while True:
-            up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            jumped = saved(parent.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), label)
-            parent = jumped.select("v", "p")
-            if jumped.where("moved").isEmpty():
-                break
-        if roots is None:
-            roots = parent.select("v", F.col("p").alias("root"))
-        else:
-            up = parent.select(F.col("v").alias("root"), "p")
-            roots = saved(roots.join(up, "root", "left").select("v", F.coalesce("p", "root").alias("root")), label)
-        a = parent.select(F.col("v").alias("a"), F.col("p").alias("pa"))
-        b = parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        left = edges.join(a, "a").join(b, "b").where("pa <> pb")
-        edges = saved(left.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), label)
+    spark, roots = edges.sparkSession, None
+    with Run(spark) as run:
+        edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
+        while not edges.isEmpty():
+            both = edges.select("a", "b").union(edges.select("b", "a"))
+            parent = saved(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("p")), label)
+            while True:
+                up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+                jumped = saved(parent.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), label)
+                parent = jumped.select("v", "p")
+                if jumped.where("moved").isEmpty():
+                    break
+            if roots is None:
+                roots = parent.select("v", F.col("p").alias("root"))
+                roots._paths = paths_of(jumped)
+            else:
+                up = parent.select(F.col("v").alias("root"), "p")
+                roots = saved(roots.join(up, "root", "left").select("v", F.coalesce("p", "root").alias("root")), label)
+            a = parent.select(F.col("v").alias("a"), F.col("p").alias("pa"))
+            b = parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+            left = edges.join(a, "a").join(b, "b").where("pa <> pb")
+            edges = saved(left.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), label)
+        if roots is not None:
+            run.keep(roots)
     return roots if roots is not None else spark.createDataFrame([], "v long, root long")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtwarden.llm.common import components, map_arrow, mix, saved, small_batches
+from stmtwarden.llm.common import Run, components, map_arrow, mix, saved, small_batches
 
 #: Vectors that fit the trees' splits; all vectors are indexed. This bounds what the driver gathers and what is sent to tasks.
 SAMPLE_ROWS = 8192
@@ -182,20 +182,19 @@ def compared(table: pa.Table, least: float) -> pa.Table:
     n = np.zeros(len(keys), np.int64)
     n[left] += near @ copies[right]
     n[right[side[right] == 2]] += (copies[left] @ near)[side[right] == 2]
-    root: dict[int, int] = {}
-
-    def find(k: int) -> int:
-        while root.get(k, k) != k:
-            k = root[k]
-        return k
-
-    out = []
+    # one link to the smallest member for each class that the block makes: minima spread along links until none moves
+    name = np.arange(len(keys))
     i, j = np.nonzero(near)
-    for a, b in zip(keys[left[i]].tolist(), keys[right[j]].tolist(), strict=True):
-        p, q = find(a), find(b)
-        if p != q:
-            root[p] = q
-            out.append((a, b))
+    a, b = left[i], right[j]
+    while True:
+        low = name.copy()
+        np.minimum.at(low, a, name[b])
+        np.minimum.at(low, b, low[a])
+        low = low[low]
+        if (low == name).all():
+            break
+        name = low
+    out = [(int(keys[v]), int(keys[name[v]])) for v in np.flatnonzero(name != np.arange(len(keys)))]
     some = np.flatnonzero(n)
     a = pa.array([*keys[some].tolist(), *[p for p, _ in out]], pa.int64())
     return pa.table({"a": a, "b": pa.array([None] * len(some) + [q for _, q in out], pa.int64()), "n": pa.array([*n[some].tolist(), *[None] * len(out)], pa.int64())})
@@ -217,6 +216,16 @@ def similar(rows: DataFrame, *, least: float = 0.95, trees: int = 16, leaf: int
     """
     spark = rows.sparkSession
     small_batches(spark, 4000)
+    with Run(spark) as run:
+        out, least_id = _linked(rows, least, trees, leaf, spill, limit)
+        run.keep(out, least_id)
+    out = out.join(least_id, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least")))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _linked(rows: DataFrame, least: float, trees: int, leaf: int, spill: float, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Saved rows (vec_id, n, root) and the smallest vec_id of each root."""
+    spark = rows.sparkSession
     points = saved(vectors_of(rows).withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("v"))), "points")
     unique = saved(points.where("v is not null").groupBy("key").agg(F.first("v").alias("v"), F.count("*").alias("copies")), "unique")
     widths = [r[0] for r in unique.select(F.length("v").alias("w")).distinct().limit(1001).collect()]
@@ -231,9 +240,7 @@ def similar(rows: DataFrame, *, least: float = 0.95, trees: int = 16, leaf: int
     known = unique.select("key", "copies").join(near, "key", "left").join(roots, "key", "left")
     known = saved(known.select("key", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"), F.coalesce("root", "key").alias("root")), "known")
     out = saved(points.select("vec_id", "key").join(known, "key", "left"), "joined")
-    least_id = saved(out.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least")), "least")
-    out = out.join(least_id, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least")))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out, saved(out.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least")), "least")
 
 
 def _links(unique: DataFrame, least: float, trees: int, leaf: int, spill: float, limit: int, block: int = 1000) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from stmtwarden.llm.common import map_arrow, saved, small_batches
+from stmtwarden.llm.common import Run, map_arrow, saved, small_batches
 from stmtwarden.llm.tokens import encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -95,15 +95,8 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = saved(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
-    sizes = saved(rows.groupBy("length", "salt").agg(F.count("*").alias("c")), "sizes")
-    counts = {r["length"]: r["c"] for r in sizes.groupBy("length").agg(F.sum("c").alias("c")).collect()}
-    before = F.sum("c").over(Window.partitionBy("length").orderBy("salt")) - F.col("c")
-    firsts = saved(sizes.select(F.col("length").alias("l"), F.col("salt").alias("s"), before.alias("before")), "firsts")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1)
-    ranked = ranked.join(firsts, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("before") + F.col("r"))
+    with Run(spark) as run:
+        ranked, counts = _ranked(pieces(docs, tokenizer, capacity, end_id, with_ids), run)
 
     keys, first_of, each, base, sequence = [], [], [], [], 0
     seen = dict.fromkeys(counts, 0)
@@ -131,3 +124,18 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
     out = ranked.withColumn("at", place("length", "rank"))
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("at.sequence_id"), F.col("at.offset")]
     return out.select(*cols, *(["ids"] if with_ids else []))
+
+
+def _ranked(found: DataFrame, run: Run) -> tuple[DataFrame, dict[int, int]]:
+    """Pieces with their rank among those of equal length, and the number of pieces of each length."""
+    spark, stored = found.sparkSession, saved(found, "pieces")
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    sizes = saved(rows.groupBy("length", "salt").agg(F.count("*").alias("c")), "sizes")
+    counts = {r["length"]: r["c"] for r in sizes.groupBy("length").agg(F.sum("c").alias("c")).collect()}
+    before = F.sum("c").over(Window.partitionBy("length").orderBy("salt")) - F.col("c")
+    firsts = saved(sizes.select(F.col("length").alias("l"), F.col("salt").alias("s"), before.alias("before")), "firsts")
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1)
+    ranked = ranked.join(firsts, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("before") + F.col("r"))
+    run.keep(stored, firsts)
+    return ranked, counts

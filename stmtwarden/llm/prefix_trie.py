@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stmtwarden.llm.common import joined_small, saved, small_batches, trim
+from stmtwarden.llm.common import Run, joined_small, saved, small_batches, trim
 
 #: Turns taken over from the conversation that others start from are fewer than this.
 HEADS = 6
@@ -245,6 +245,17 @@ def prefix_trie(turns: DataFrame, *, small: int = 20_000) -> DataFrame:
     ends is one pass over their sorted numbers, held by no task whole.
     """
     small_batches(turns.sparkSession)
+    with Run(turns.sparkSession) as run:
+        nodes, sums, ends = _tables(turns, small)
+        run.keep(nodes, sums, ends)
+    up = nodes.select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.col("conv").alias("parent_conv_id"))
+    out = nodes.join(sums, ["k1", "k2"]).join(ends, ["k1", "k2"], "left").join(up, (F.col("p1") == F.col("u1")) & (F.col("p2") == F.col("u2")), "left")
+    digest = F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    return out.select(F.col("conv").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", *BELOW, digest)
+
+
+def _tables(turns: DataFrame, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Saved nodes, sums over their subtrees and digests of their ends."""
     said, convs = rebuilt(turns)
     said = saved(running(said, "conv", ["depth"], {"x1": F.col("h1"), "x2": F.col("h2")}), "said")
     ways = said.join(convs, "conv").select("conv", "depth", "chars", F.col("x1").alias("k1"), F.col("x2").alias("k2"), F.col("x1").bitwiseXOR(F.col("h1")).alias("p1"), F.col("x2").bitwiseXOR(F.col("h2")).alias("p2"), (F.col("size") - F.col("depth") + 1).alias("left"))
@@ -258,8 +269,4 @@ def prefix_trie(turns: DataFrame, *, small: int = 20_000) -> DataFrame:
     nodes = nodes.join(born, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left").drop("c1", "c2").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     nodes = saved(nodes.withColumn("own_n_leaves", (F.col("n_children") == 0).cast("long")).withColumn("own_saved_tokens", (F.col("n_convs") - 1) * F.col("chars")), "nodes")
     sums = saved(rolled_up(nodes.select("k1", "k2", "p1", "p2", "conv", "depth", "below", *[f"own_{c}" for c in BELOW]), ways, small), "sums")
-    ends = saved(digests(ways.where(F.col("left") == 1)), "ends")
-    up = nodes.select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.col("conv").alias("parent_conv_id"))
-    out = nodes.join(sums, ["k1", "k2"]).join(ends, ["k1", "k2"], "left").join(up, (F.col("p1") == F.col("u1")) & (F.col("p2") == F.col("u2")), "left")
-    digest = F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
-    return out.select(F.col("conv").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", *BELOW, digest)
+    return nodes, sums, saved(digests(ways.where(F.col("left") == 1)), "ends")

@@ -23,7 +23,6 @@ blocks lie in a table bucketed by block, so texts are never shuffled.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtwarden.llm.common import mix, saved, small_batches, text_bytes, trim
-from stmtwarden.session import fresh_dir
+from stmtwarden.llm.common import mix, saved, saved_by, small_batches, text_bytes, trim
 
 #: A perfect difference set modulo 133 (every shift occurs once).
 PERIOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
@@ -265,11 +263,9 @@ def repeats(docs: DataFrame, *, width: int = 200, text_out: bool = False) -> Dat
     own = [f for f in docs.schema.fields if f.name != "text"]
     inner = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)], F.col("text").cast("string").alias("_text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, path = f"blocks_{uuid.uuid4().hex}", fresh_dir(spark, "blocks")
     rows = blocks_of(inner).withColumn("block", F.monotonically_increasing_id())
-    rows.write.bucketBy(parts, "block").option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).saveAsTable(name)
+    blocks, _ = saved_by(rows, "blocks", "block", parquet_block_size=16 << 20)
     small_batches(spark, 4)
-    blocks = spark.table(name)
     total = blocks.select(F.sum(F.length("data"))).first()[0] or 0
     # names of a bucket fit in memory many times over, at any size of the corpus
     buckets = max(2 * parts, int(total * len(COVER) / PERIOD * 4 / (4 << 20)) + 1)

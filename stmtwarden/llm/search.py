@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stmtwarden.llm.common import map_arrow, saved, small_batches, text_bytes, trim
+from stmtwarden.llm.common import Run, map_arrow, saved, small_batches, text_bytes, trim
 
 #: ASCII digits and letters and all bytes of other characters; equal to the terms of the decoded text.
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -266,12 +266,15 @@ def ranked(docs: DataFrame, items: DataFrame, *, top: int = 10) -> DataFrame:
     found = spark.createDataFrame([], "item_id long, doc_id long, score long")
     for block in item_blocks(asked):
         words = sorted({bytes(r["term"]) for r in block})
-        rows = saved(vectors(docs, words), "vectors")
-        size = rows.where("n > 0").agg(F.count("*"), F.sum("n")).first()
-        if not size[0]:
-            break
-        df = {r["term"]: r["df"] for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}
-        sent = spark.sparkContext.broadcast((Queries(block, words, df, size[0]), size[0], size[1]))
-        found = found.union(best_of_tasks(rows.where(F.size("terms") > 0), sent, top))
+        with Run(spark) as run:
+            rows = saved(vectors(docs, words), "vectors")
+            size = rows.where("n > 0").agg(F.count("*"), F.sum("n")).first()
+            if not size[0]:
+                break
+            df = {r["term"]: r["df"] for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}
+            sent = spark.sparkContext.broadcast((Queries(block, words, df, size[0]), size[0], size[1]))
+            best = saved(best_of_tasks(rows.where(F.size("terms") > 0), sent, top), "best")
+            run.keep(best)
+        found = found.union(best)
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()))
     return found.withColumn("rank", place).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")

@@ -5,7 +5,8 @@ segments (a number of whole documents, a few million ids), and Spark's text
 writer stores the segments' bytes, one row each with a line feed after it. A
 segment is
 
-    "CMX1", then little-endian: part u32, number in part u32, documents u32,
+    "CMX1" (or "CMX2", where ids of 65536 and more occur and the low halves of
+    all ids are followed by the high ones), then little-endian: part u32, number in part u32, documents u32,
     ids u64, blocks u32, length of the rest u64; per document doc_id i64, null
     flag u8, ids u32; per block bytes u32, crc32 u32; the blocks.
 
@@ -25,20 +26,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stmtwarden.llm import mixing
-from stmtwarden.llm.common import saved, small_batches
+from stmtwarden.llm.common import Run, saved, small_batches
 from stmtwarden.llm.tokens import encoder
 
 HEAD = struct.Struct("<4sIIIQIQ")
 SEGMENT_IDS = 8_000_000
 MAX_DOCS = 1 << 20
+FILE_SEGMENTS = 16
 
 
 def segment(part: int, number: int, docs: list[tuple[int | None, int]], ids: np.ndarray) -> bytes:
-    blocks = mixing.encode(ids)
+    wide = len(ids) > 0 and int(ids.max()) >= 1 << 16
+    blocks = mixing.encode(np.concatenate([ids & 0xFFFF, ids >> 16]) if wide else ids)
     rest = [struct.pack("<qBI", doc_id or 0, doc_id is None, n) for doc_id, n in docs]
     rest += [struct.pack("<II", len(b), zlib.crc32(b)) for b in blocks]
     body = b"".join(rest + blocks)
-    return HEAD.pack(b"CMX1", part, number, len(docs), len(ids), len(blocks), len(body)) + body
+    return HEAD.pack(b"CMX2" if wide else b"CMX1", part, number, len(docs), len(ids), len(blocks), len(body)) + body
 
 
 def read_segments(content: bytes) -> Iterator[tuple[int, int, list[tuple[int | None, int]], np.ndarray]]:
@@ -46,7 +49,7 @@ def read_segments(content: bytes) -> Iterator[tuple[int, int, list[tuple[int | N
     at = 0
     while at < len(content):
         magic, part, number, n_docs, n_ids, n_blocks, size = HEAD.unpack_from(content, at)
-        if magic != b"CMX1":
+        if magic not in (b"CMX1", b"CMX2"):
             raise ValueError("not a token file")
         at += HEAD.size
         docs = [(None if null else doc_id, n) for doc_id, null, n in struct.iter_unpack("<qBI", content[at : at + 13 * n_docs])]
@@ -58,7 +61,8 @@ def read_segments(content: bytes) -> Iterator[tuple[int, int, list[tuple[int | N
                 raise ValueError(f"block {len(blocks)} of segment {number} in part {part} is damaged")
             blocks.append(block)
             place += length
-        yield part, number, docs, mixing.decode(blocks, n_ids)
+        ids = mixing.decode(blocks, n_ids * (2 if magic == b"CMX2" else 1)).astype(np.int64)
+        yield part, number, docs, ids if magic == b"CMX1" else ids[:n_ids] | ids[n_ids:] << 16
         at += size
         if content[at : at + 1] != b"\n":
             raise ValueError("segment does not end where it should")
@@ -69,7 +73,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) ->
     """Writes the ids of all documents, each followed by ``end_id``, in ascending order of doc_id (null first).
 
     Rows that share a doc_id follow in the order of a hash of their texts: the
-    exchange samples its sort keys through the driver, so texts are none.
+    exchange samples its sort keys through the driver, so texts are none. A
+    null or empty text is the end id alone. A file holds ``FILE_SEGMENTS``
+    segments at most, so that it can be read as one value. Columns besides
+    doc_id and text are not read, whatever their names; an empty table gives
+    files without segments.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -80,18 +88,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) ->
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
                 docs.append((doc_id, len(ids) // 4 + 1))
-                wide = np.frombuffer(ids + end, "<u4")
-                if wide.max() >= 1 << 16:
-                    raise ValueError("ids must be below 65536")
-                data.append(wide.astype(np.uint16))
-                size += len(wide)
+                data.append(np.frombuffer(ids + end, "<u4"))
+                size += len(data[-1])
                 if size >= SEGMENT_IDS or len(docs) == MAX_DOCS:
                     yield pa.RecordBatch.from_pydict({"value": pa.array([segment(part, number, docs, np.concatenate(data))], pa.binary())})
                     docs, data, size, number = [], [], 0, number + 1
         if docs:
             yield pa.RecordBatch.from_pydict({"value": pa.array([segment(part, number, docs, np.concatenate(data))], pa.binary())})
 
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
@@ -117,12 +122,19 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
                             names=[x.split()[0] for x in shape.split(", ")],
                         )
 
-    rows = saved(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, shape), "token-rows")
-    # a row per segment, that is per some million ids
-    sizes = rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("size"))
-    before = (F.sum("size").over(Window.orderBy("part", "number")) - F.col("size")).alias("before")
-    firsts = saved(sizes.select(F.col("part").alias("p"), F.col("number").alias("s"), before), "starts")
+    with Run(spark) as run_:
+        rows, firsts = _starts(spark, path, run, shape)
+        run_.keep(rows, firsts)
     inside = F.sum("n_tokens").over(Window.partitionBy("part", "number").orderBy("nth")) - F.col("n_tokens")
     out = rows.withColumn("inside", inside).join(firsts, (F.col("part") == F.col("p")) & (F.col("number") == F.col("s")))
     cols = ["doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"]
     return out.select(*cols, *(["ids"] if with_ids else []))
+
+
+def _starts(spark: SparkSession, path: str, run, shape: str) -> tuple[DataFrame, DataFrame]:
+    """The documents of the files, and the number of ids before each segment."""
+    rows = saved(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, shape), "token-rows")
+    # a row per segment, that is per some million ids
+    sizes = rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("size"))
+    before = (F.sum("size").over(Window.orderBy("part", "number")) - F.col("size")).alias("before")
+    return rows, saved(sizes.select(F.col("part").alias("p"), F.col("number").alias("s"), before), "starts")

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Splits texts of Latin letters as the file's own pre-tokeniser does; texts with other characters go to the library whole.
-LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-OTHER = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
+#: Splits texts of Latin letters as the file's own pre-tokeniser does; texts with other characters or added tokens go to the library whole.
+LATIN = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[\d²³¹¼½¾]+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+OTHER = "[\x1c-\x1fɐ-\U0010ffff]"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -18,6 +18,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 LETTERS = _byte_letters()
+SEPARATOR = "\x1f"
 
 
 class Encoder:
@@ -32,18 +33,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words, self.known, self.older = words, {}, {}
+        # the library cuts texts at its added tokens before all else
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.other = re.compile("|".join([OTHER, *added]))
 
     def _learn(self, need: set[str]) -> None:
         if len(self.known) > self.words:
             self.known, self.older = {}, self.known
         known, older, tokenize = self.known, self.older, self.tokenizer.model.tokenize
+        new = []
         for w in need.difference(known):
             ids = older.get(w)
             if ids is None:
-                ids = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(LETTERS))]).tobytes()
-            known[w] = ids
+                new.append(w)
+            else:
+                known[w] = ids
+        # no word holds the separator, which sends a text to the library
+        spelt = SEPARATOR.join(new).encode().decode("latin-1").translate(LETTERS).split(LETTERS[ord(SEPARATOR)])
+        for w, letters in zip(new, spelt, strict=False):
+            known[w] = array("I", [t.id for t in tokenize(letters)]).tobytes()
 
     def encode_many(self, texts: list[str | None], chunk: int = 1 << 20) -> list[bytes]:
         out, at = [], 0
@@ -51,7 +60,7 @@ class Encoder:
             parts, need, size = [], set(), 0
             while at < len(texts) and (size < chunk or not parts):
                 text = texts[at] or ""
-                if OTHER.search(text):
+                if self.other.search(text):
                     parts.append(text)
                 else:
                     parts.append(words := LATIN.findall(text))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwarden.llm.common import saved, small_batches
+from stmtwarden.llm.common import Run, saved, saved_by, small_batches
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload string"
@@ -34,10 +34,21 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+    # payloads are written by buckets of page_id once; from there on only headers are shuffled
+    with Run(pages.sparkSession) as run:
+        rows, plain = saved_by(rows, "payloads", "page_id")
+        revisits = _revisits(plain, least_bytes)
+        run.keep(rows, revisits)
+    # the digest is compared after the join, so that page_id alone is its key and the buckets serve
+    other = F.col("digest").contains(F.col("_d"))
+    return rows.join(revisits.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "refers_to"), (F.col("page_id") == F.col("_p")) & other, "left").drop("_p", "_d")
+
+
+def _revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """(page_id, digest, refers_to) of the pages that revisit another."""
     heads = saved(rows.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest"), "heads")
     originals = saved(heads.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least"), "originals")
-    revisits = saved(heads.join(originals, "digest").where("page_id <> refers_to").distinct(), "revisits")
-    return rows.join(revisits.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "refers_to"), (F.col("page_id") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left").drop("_p", "_d")
+    return saved(heads.join(originals, "digest").where("page_id <> refers_to").distinct(), "revisits")
 
 
 def write_archives(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 1000) -> None:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from stmtwarden.llm import chosen_path, forest
@@ -147,3 +148,46 @@ def test_very_long_sets_are_decided_in_integers():
     items = pa.ListArray.from_arrays(pa.array([0, 5 * m, 9 * m], pa.int32()), pa.array(np.concatenate([np.arange(5 * m), np.arange(4 * m)])))
     table = pa.table({"sid": [1, 2], "label": [1, 2], "side": [0, 0], "items": items})
     assert chosen_path._spanning(table, 80).num_rows == 1
+
+
+def test_queries_in_threads_leave_one_another_alone(spark, docs_of):
+    """Several runs at once give what each gives alone; but for the tables their results read nothing stays, in the folder or the catalogue."""
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from stmtwarden.llm import repeats
+    from stmtwarden.llm.common import saved
+    from stmtwarden.session import shared_dir
+
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(rnd.choices(words, k=60)) for _ in range(60)]
+    docs = saved(docs_of(base + [b + " more" for b in base[:30]] + base[:10]), "docs")
+    alone = sorted(map(tuple, chosen_path.near_duplicates(docs, k=2).collect()))
+    cut = sorted((r["doc_id"], r["n_removed"]) for r in repeats.repeats(docs).collect())
+    before, tables = set(os.listdir(shared_dir(spark))), spark.catalog.listTables()
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(lambda: sorted(map(tuple, chosen_path.near_duplicates(docs, k=2).collect()))) for _ in range(3)]
+        other = pool.submit(lambda: sorted((r["doc_id"], r["n_removed"]) for r in repeats.repeats(docs).collect()))
+        assert all(j.result() == alone for j in jobs) and other.result() == cut
+    left = {x.split("-")[0] for x in set(os.listdir(shared_dir(spark))) - before}
+    assert left <= {"classes", "least", "blocks", "answers"}
+    assert spark.catalog.listTables() == tables
+
+
+def test_failed_run_leaves_nothing(spark):
+    from stmtwarden.llm.common import Run, saved
+
+    with pytest.raises(ZeroDivisionError), Run(spark) as run:
+        kept = saved(spark.range(3), "kept")
+        run.keep(kept)
+        raise ZeroDivisionError
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        kept.collect()
+    with Run(spark) as outer:
+        with Run(spark) as inner:
+            one, two = saved(spark.range(3), "one"), saved(spark.range(4), "two")
+            inner.keep(one)
+        assert one.count() == 3 and outer.paths
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        one.collect()

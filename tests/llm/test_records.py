@@ -93,3 +93,20 @@ def test_dedup_stage_keeps_one_of_equal_rows(spark, docs_of, sf_dir):
     out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == [(-1, b), (3, a), (8, ""), (9, "")]
+
+
+def test_payloads_are_not_shuffled(spark):
+    """Without broadcasts the join of the verdicts exchanges and sorts headers only; payloads lie in buckets."""
+    rows = [(i, f"u{i}", "x" * 2000 + str(i % 5)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = warc.with_revisits(pages)
+        assert {(r["page_id"], r["refers_to"]) for r in out.collect()} == {(i, None if i >= 35 else 35 + i % 5) for i in range(40)}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        join = plan[plan.index("SortMergeJoin") :]
+        assert join.count("Exchange") == 1 and "page_id" in join
+        assert "Bucketed: true" in join
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -52,17 +52,42 @@ def test_quality_verdict_is_adaptive(spark, docs_of):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if r["kept"]}
 
 
-def test_quality_fences_match_exact_quartiles(docs_of):
-    """Sketches of small groups hold all values, so fences follow from exact quartiles."""
-    docs = docs_of([" ".join(["x" * (3 + i % 4)] + [f"{'y' * (3 + i % 4)}{j}" for j in range(30)]) for i in range(40)])
+def test_quality_fences_match_exact_quantiles(docs_of):
+    """Sketches of small groups hold all values, so fences follow from exact quantiles; one source leans on nothing but itself."""
+    docs = docs_of([" ".join(["x" * (3 + i % 5), *["#"] * (i % 5)] + [f"{'y' * (3 + i % 5)}{j}" for j in range(30)]) + "\nz" * (i % 7) for i in range(40)])
     rows = quality.measured(docs.select("lang", "source", "text"), "q").select("lang", "source", F.col("q").alias("m"))
     f = quality.fences(rows).first()
-    lengths = sorted(c[1] / c[0] for c in (plain_counts(r["text"]) for r in docs.collect()))
-    lo, hi = lengths[int(0.25 * 40) - 1], lengths[int(0.75 * 40) - 1]
-    assert abs(f["high_word_length"] - (hi + quality.REACH * (hi - lo) + 0.25)) < 0.02 * hi + (hi - lo)
+    found = [quality.counts(r["text"]) for r in docs.collect()]
+
+    def at(values, q):
+        return sorted(values)[max(int(np.ceil(q * 40)) - 1, 0)]
+
+    lengths, symbols, lines = [c[1] / c[0] for c in found], [c[2] / c[0] for c in found], [c[3] / c[5] for c in found]
+    assert f["high_word_length"] == pytest.approx(at(lengths, 0.9) + 2.5 * (at(lengths, 0.9) - at(lengths, 0.5)))
+    assert f["low_word_length"] == pytest.approx(at(lengths, 0.1) - 2.5 * (at(lengths, 0.5) - at(lengths, 0.1)))
+    assert f["high_symbols"] == pytest.approx(max(at(symbols, 0.9) + 2.5 * (at(symbols, 0.9) - at(symbols, 0.5)), 1 / at([c[0] for c in found], 0.5)))
+    assert f["high_dup_lines"] == pytest.approx(max(at(lines, 0.9) + 2.5 * (at(lines, 0.9) - at(lines, 0.5)), 1 / at([c[5] for c in found], 0.5)))
     assert quality.quality_report(docs.limit(0)).count() == 0 and quality.quality_filter(docs.limit(0)).count() == 0
 
 
+def test_all_fences_differ_by_source(docs_of):
+    rnd = random.Random(4)
+
+    def text(word, marks, again):
+        lines = [" ".join("w" * rnd.randrange(2, word) + str(rnd.randrange(10**5)) for _ in range(10)) for _ in range(10)]
+        return "\n".join(lines + lines[: rnd.randrange(again + 1)]) + "#" * rnd.randrange(marks + 1)
+
+    docs = docs_of([text(6, 1, 0) for _ in range(150)], source="prose").unionByName(docs_of([text(24, 60, 6) for _ in range(150)], ids=range(150, 300), source="code"))
+    rows = quality.measured(docs.select("lang", "source", "text"), "q").select("lang", "source", F.col("q").alias("m"))
+    prose, code = (quality.fences(rows).where(F.col("source") == s).first() for s in ("prose", "code"))
+    assert all(code[f"high_{r}"] > 1.15 * prose[f"high_{r}"] for r in quality.RATIOS)
+    kept = {r["doc_id"] for r in quality.quality_filter(docs).collect()}
+    assert len(kept) >= 295
+    # what code may hold, prose may not
+    odd = docs_of([text(6, 0, 0) + "#" * 50], ids=[999], source="prose")
+    assert 999 not in {r["doc_id"] for r in quality.quality_filter(docs.unionByName(odd)).collect()}
+
+
 # --- pseudonyms ----------------------------------------------------------------
 
 def pseudonyms(docs_of, texts):
@@ -187,7 +212,6 @@ def library(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
@@ -257,7 +281,7 @@ def test_coder_compresses_and_blocks_are_independent():
 
 
 def test_token_files(spark, docs_of, tokenizer):
-    texts, ids = [*ODD, "last"], [5, 3, None, 9, 8, 7, 6, 4, 2, 2, 1]
+    texts, ids = [*ODD, "last <|endoftext|> token"], [5, 3, None, 9, 8, 7, 6, 4, 2, 2, 1]
     path = fresh_dir(spark, "tokens")
     docs = docs_of(texts, ids).repartition(4)
     token_files.write_tokens(docs, tokenizer, path)
@@ -273,6 +297,18 @@ def test_token_files(spark, docs_of, tokenizer):
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+def test_wide_ids_are_kept():
+    ids = np.array([5, 70_000, 2**31, 65_535, 65_536] * 2000)
+    (_, _, docs, back), = token_files.read_segments(token_files.segment(0, 0, [(1, len(ids))], ids) + b"\n")
+    assert docs == [(1, len(ids))] and back.tolist() == ids.tolist()
+
+
+def test_encoder_cuts_at_added_tokens(tokenizer):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "<|endoftext", "a\x1fb"]
+    assert [array("I", x).tolist() for x in Encoder(tokenizer).encode_many(texts)] == [library(tokenizer)(t) for t in texts]
+    assert array("I", Encoder(tokenizer).encode(texts[0])).tolist() == [64, 220, 50256, 275]
+
+
 def test_damage_is_found():
     data = bytearray(token_files.segment(0, 0, [(1, 3)], np.array([5, 6, 7])) + b"\n")
     assert [d for _, _, d, _ in token_files.read_segments(bytes(data))] == [[(1, 3)]]
