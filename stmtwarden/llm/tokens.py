@@ -7,7 +7,7 @@ from array import array
 
 #: Splits texts of Latin letters as the file's own pre-tokeniser does; texts with other characters or added tokens go to the library whole.
 LATIN = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[\d²³¹¼½¾]+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-OTHER = "[\x1c-\x1fɐ-\U0010ffff]"
+OTHER = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -18,7 +18,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 LETTERS = _byte_letters()
-SEPARATOR = "\x1f"
+
+
+class Known(dict):
+    """Ids of words, encoded by the model when they are first asked for, or taken over from the ``older`` generation."""
+
+    def __init__(self, tokenize, older: dict[str, bytes]):
+        self.tokenize, self.older = tokenize, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+        self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -33,46 +46,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.known, self.older = words, {}, {}
+        self.words, self.known = words, Known(self.tokenizer.model.tokenize, {})
         # the library cuts texts at its added tokens before all else
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.other = re.compile("|".join([OTHER, *added]))
-
-    def _learn(self, need: set[str]) -> None:
-        if len(self.known) > self.words:
-            self.known, self.older = {}, self.known
-        known, older, tokenize = self.known, self.older, self.tokenizer.model.tokenize
-        new = []
-        for w in need.difference(known):
-            ids = older.get(w)
-            if ids is None:
-                new.append(w)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif OTHER.search(text) or any(a in text for a in self.added):
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                known[w] = ids
-        # no word holds the separator, which sends a text to the library
-        spelt = SEPARATOR.join(new).encode().decode("latin-1").translate(LETTERS).split(LETTERS[ord(SEPARATOR)])
-        for w, letters in zip(new, spelt, strict=False):
-            known[w] = array("I", [t.id for t in tokenize(letters)]).tobytes()
-
-    def encode_many(self, texts: list[str | None], chunk: int = 1 << 20) -> list[bytes]:
-        out, at = [], 0
-        while at < len(texts):
-            parts, need, size = [], set(), 0
-            while at < len(texts) and (size < chunk or not parts):
-                text = texts[at] or ""
-                if self.other.search(text):
-                    parts.append(text)
-                else:
-                    parts.append(words := LATIN.findall(text))
-                    need.update(words)
-                size, at = size + len(text), at + 1
-            self._learn(need)
-            get = self.known.__getitem__
-            for p in parts:
-                if isinstance(p, str):
-                    out.append(array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes())
-                else:
-                    out.append(b"".join(map(get, p)))
+                if len(self.known) > self.words:
+                    self.known.older = {}
+                    self.known = Known(self.known.tokenize, dict(self.known))
+                out.append(b"".join(map(self.known.__getitem__, LATIN.findall(text))))
         return out
 
     def encode(self, text: str | None) -> bytes:

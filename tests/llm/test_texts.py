@@ -75,7 +75,8 @@ def test_all_fences_differ_by_source(docs_of):
 
     def text(word, marks, again):
         lines = [" ".join("w" * rnd.randrange(2, word) + str(rnd.randrange(10**5)) for _ in range(10)) for _ in range(10)]
-        return "\n".join(lines + lines[: rnd.randrange(again + 1)]) + "#" * rnd.randrange(marks + 1)
+        ends = rnd.randrange(again + 1)
+        return "\n".join(x + "\nend if" * (n < ends) for n, x in enumerate(lines)) + "#" * rnd.randrange(marks + 1)
 
     docs = docs_of([text(6, 1, 0) for _ in range(150)], source="prose").unionByName(docs_of([text(24, 60, 6) for _ in range(150)], ids=range(150, 300), source="code"))
     rows = quality.measured(docs.select("lang", "source", "text"), "q").select("lang", "source", F.col("q").alias("m"))
