@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtwarden.llm.common import Run, components, forget, ids_filter, in_filter, map_arrow, mix, saved, saved_by, shingle_set, small_batches
+from stmtwarden.llm.common import Run, components, forget, free, ids_filter, in_filter, map_arrow, mix, saved, saved_by, shingle_set, small_batches
 
 POSITIONS = 64
 _RNG = np.random.default_rng(20240229)
@@ -250,6 +250,7 @@ def _classes(docs: DataFrame, sets: DataFrame, k: int, percent: int, trees: int,
                 active = active.withColumn("label", F.col("sid"))
             active = saved(active, "active")
             forget(nodes)
+            free(spark)
             pivot = F.min(F.struct(F.xxhash64("node", "sid").alias("h"), "sid"))
             # of repeated (node, sid) rows any may be the pivot
             pivots = saved(active.where(F.col("size") > limit).groupBy("node").agg(pivot.alias("m")).select("node", F.col("m.sid").alias("pivot")), "pivots")
@@ -257,6 +258,7 @@ def _classes(docs: DataFrame, sets: DataFrame, k: int, percent: int, trees: int,
                 ids = saved(sets.join(active.select("sid").distinct(), "sid").select("doc_id", "sid"), "needed")
                 items = saved_by(full_sets(docs, ids, k), "items", "sid")
                 run.keep(*items)
+                free(spark)
             top = level >= LAST_LEVEL
             group = active if top else active.where(F.col("size") <= limit)
             a, b = (group.select("node", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
@@ -273,6 +275,7 @@ def _classes(docs: DataFrame, sets: DataFrame, k: int, percent: int, trees: int,
             best = pairs.groupBy("b").agg(F.min(F.struct("dist", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
             sure = saved(confirmed(best, items, percent), "links")
             run.keep(sure)
+            free(spark)
             links = sure if links is None else links.union(sure)
             labels = components(links)
             la, lb = (labels.select(F.col("v").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")

@@ -58,9 +58,13 @@ class Run:
         if self.outer:
             self.outer.paths += [p for p in self.paths if p in kept]
         _delete(self.spark, [p for p in self.paths if p not in kept])
-        # shuffle files go when the driver has forgotten the plans that wrote them
-        gc.collect()
-        self.spark._jvm.System.gc()
+        free(self.spark)
+
+
+def free(spark: SparkSession) -> None:
+    """Spark deletes shuffle files when the driver has forgotten the plans that wrote them: lets it forget those of finished steps."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 _run: contextvars.ContextVar[Run | None] = contextvars.ContextVar("run", default=None)
