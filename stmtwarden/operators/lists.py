@@ -13,44 +13,68 @@ from stmtwarden.functions import ipv4
 ENDPOINT, TEXT, FINGERPRINT, INSTANCE, USER = range(5)
 
 
-_ANCHORS = (4, 1)
+#: Characters of a gram. Patterns meet texts on one gram; shorter patterns are looked for in the row.
+GRAM = 3
+#: An index of at most this many grams or short patterns is looked up in the row; beyond it texts meet it by a join.
+INDEX_ROWS = 4000
 
 
-def _anchor_length(n: Column) -> Column:
-    expr = F.lit(_ANCHORS[-1])
-    for a in reversed(_ANCHORS[:-1]):
-        expr = F.when(n >= a, F.lit(a)).otherwise(expr)
-    return expr
+def _grams(text: Column, length: int = GRAM) -> Column:
+    """Every run of ``length`` characters of a text, once each; none of a shorter text."""
+    n = F.length(text) - (length - 1)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(length)))
+    return F.array_distinct(F.when(n > 0, runs).otherwise(F.array().cast("array<string>")))
+
 
+def _looked_up(texts: DataFrame, pieces: Column, index: DataFrame) -> DataFrame:
+    """(text, piece) for the pieces of each text that the index (piece) holds."""
+    rows = index.limit(INDEX_ROWS + 1).collect()
+    if len(rows) > INDEX_ROWS:
+        return texts.select("text", F.explode(pieces).alias("piece")).join(index, "piece")
+    if not rows:
+        return texts.select("text", F.lit("").alias("piece")).limit(0)
+    held = F.array(*[F.lit(r["piece"]) for r in rows])
+    return texts.select("text", F.explode(F.array_intersect(pieces, held)).alias("piece"))
 
-def _pieces(text: Column, length: int) -> Column:
-    """Every run of ``length`` characters of a text, once each."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (length - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(length))))
+
+def _rarest_grams(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern_id, pattern, piece): each pattern with that of its grams which the fewest texts hold."""
+    cut = patterns.select("pattern_id", "pattern", F.explode(_grams(F.col("pattern"))).alias("piece"))
+    counted = _looked_up(texts, _grams(F.col("text")), cut.select("piece").distinct()).groupBy("piece").agg(F.count("*").alias("n"))
+    rare = F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece")
+    return cut.join(counted, "piece", "left").groupBy("pattern_id", "pattern").agg(rare)
 
 
 def _contains_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(key, pattern_id): the first pattern each text contains.
 
-    A text that contains a pattern also contains the pattern's last few
-    characters, so both sides meet on that piece and the pair is verified.
-    Equal texts are cut up once.
+    A text that contains a pattern contains all its grams. The index holds each
+    pattern's rarest gram, texts give out only grams that it holds, and pairs
+    are verified; so a gram that stands in every text is met only for patterns
+    that have no other. Patterns shorter than a gram are pieces of a text
+    themselves. Equal patterns count as their first, equal texts are cut once.
     """
-    pats = patterns.select("pattern_id", F.lower("pattern").alias("pattern")).withColumn("_len", _anchor_length(F.length("pattern")))
-    pats = pats.withColumn("piece", F.expr("right(pattern, _len)"))
+    pats = patterns.select("pattern_id", F.lower("pattern").alias("pattern")).groupBy("pattern").agg(F.min("pattern_id").alias("pattern_id"))
     texts = texts.select("key", F.lower("text").alias("text"))
-    once = texts.select("text").distinct()
-    pieces = F.array_distinct(F.concat(*[_pieces(F.col("text"), a) for a in _ANCHORS]))
-    met = (
-        once.select("text", F.explode(pieces).alias("piece"))
-        .join(pats.filter(F.length("pattern") > 0), "piece")
-        .filter(F.contains(F.col("text"), F.col("pattern")))
-        .groupBy("text")
-        .agg(F.min("pattern_id").alias("pattern_id"))
-    )
-    # An empty pattern is in every text; only the first such entry can win.
+    once = texts.select("text").where("text IS NOT NULL").distinct()
+    long = pats.where(F.length("pattern") >= GRAM)
+    found = None
+    if not long.isEmpty():
+        index = _rarest_grams(once, long)
+        met = _looked_up(once, _grams(F.col("text")), index.select("piece").distinct())
+        found = met.join(index, "piece").where(F.contains(F.col("text"), F.col("pattern"))).select("text", "pattern_id")
+    lengths = [r[0] for r in pats.select(F.length("pattern").alias("n")).where(F.col("n").between(1, GRAM - 1)).distinct().collect()]
+    for n in sorted(lengths):
+        short = pats.where(F.length("pattern") == n)
+        hits = _looked_up(once, _grams(F.col("text"), n), short.select(F.col("pattern").alias("piece")))
+        hits = hits.join(short.withColumnRenamed("pattern", "piece"), "piece").select("text", "pattern_id")
+        found = hits if found is None else found.union(hits)
+    # an empty pattern is in every text
     blank = pats.filter(F.length("pattern") == 0).agg(F.min("pattern_id")).scalar()
-    return texts.join(met, "text", "left").select("key", F.least("pattern_id", blank).alias("pattern_id")).filter("pattern_id IS NOT NULL")
+    if found is None:
+        return texts.select("key", blank.alias("pattern_id")).filter("pattern_id IS NOT NULL")
+    first = found.groupBy("text").agg(F.min("pattern_id").alias("pattern_id"))
+    return texts.join(first, "text", "left").select("key", F.least("pattern_id", blank).alias("pattern_id")).filter("pattern_id IS NOT NULL")
 
 
 def _joined_matches(statements: DataFrame, blocklist: DataFrame) -> DataFrame:

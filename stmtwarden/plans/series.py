@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from stmtwarden.functions import keys
+from stmtwarden.operators import intervals as I
 from stmtwarden.operators import retention as R
 from stmtwarden.operators import series as X
+from stmtwarden.operators import waits as W
 from stmtwarden.plans import dialect as D
 from stmtwarden.registry import query, texts
 
@@ -111,6 +113,45 @@ def _(t):
     return X.related_transactions(t.lock_waits)
 
 
+# One statement in 900 has no end yet.
+_SPANS = "SELECT id, instance_id, ts AS begun, CASE WHEN id % 900 <> 0 THEN ts + INTERVAL '1' SECOND * rows_examined END AS ended FROM {statement_log}"
+# Held locks, some of them for weeks.
+_HELD = "SELECT event_id AS id, ts AS begun, CASE WHEN event_id % 500 = 0 THEN ts + INTERVAL '20' DAY ELSE ts + INTERVAL '1' SECOND * (event_id % 90) END AS ended FROM {events}"
+
+
+_SPANS_SQL, _HELD_SQL = (text.replace("{", "").replace("}", "") for text in (_SPANS, _HELD))
+
+
+@query("x5_active_trend", f"""
+WITH s AS ({_SPANS_SQL}), e AS (SELECT instance_id, begun AS ts, 1 AS step FROM s UNION ALL SELECT instance_id, ended, -1 FROM s WHERE ended IS NOT NULL),
+g AS (SELECT instance_id, ts, SUM(step) AS step FROM e GROUP BY 1, 2)
+SELECT instance_id, ts, CAST(SUM(step) OVER (PARTITION BY instance_id ORDER BY ts) AS BIGINT) AS active FROM g""")
+def _(t):
+    return I.active_trend(t.sql(_SPANS), "instance_id", "begun", "ended")
+
+
+@query("x6_overlapping_statements", f"""
+WITH s AS ({_SPANS_SQL}), h AS ({_HELD_SQL})
+SELECT h.id AS trx_id, COUNT(*) AS statement_count, MIN(s.id) AS first_id, MAX(s.id) AS last_id, CAST(SUM(s.id % 1009) AS BIGINT) AS id_check
+FROM h JOIN s ON s.begun <= h.ended AND (s.ended IS NULL OR h.begun <= s.ended) GROUP BY 1""")
+def _(t):
+    pairs = I.overlapping(t.sql(_HELD), t.sql(_SPANS), ("id", "begun", "ended"), ("id", "begun", "ended"))
+    s = c("right_id")
+    return pairs.groupBy(c("left_id").alias("trx_id")).agg(F.count("*").alias("statement_count"), F.min(s).alias("first_id"), F.max(s).alias("last_id"), F.sum(s % 1009).alias("id_check"))
+
+
+@query("x7_blocking_chains", """
+WITH RECURSIVE f AS (SELECT waiting_trx AS trx, FIRST(granted_trx ORDER BY wait_started, granted_trx) AS blocker FROM lock_waits GROUP BY 1),
+walk AS (SELECT trx, blocker AS at_trx, 1 AS depth, [trx] AS seen FROM f
+  UNION ALL SELECT w.trx, f.blocker, w.depth + 1, list_append(w.seen, w.at_trx) FROM walk w JOIN f ON f.trx = w.at_trx WHERE NOT list_contains(w.seen, w.at_trx)),
+ends AS (SELECT trx, at_trx, depth, seen FROM walk WHERE at_trx NOT IN (SELECT trx FROM f) OR list_contains(seen, at_trx)),
+told AS (SELECT trx, at_trx, depth, seen, list_contains(seen, at_trx) AS deadlocked, list_position(seen, at_trx) - 1 AS before FROM ends)
+SELECT f.trx, f.blocker, CASE WHEN deadlocked THEN list_min(list_slice(seen, before + 1, len(seen))) ELSE at_trx END AS root_trx,
+  CAST(CASE WHEN deadlocked THEN before ELSE depth END AS BIGINT) AS depth, deadlocked AND before = 0 AS in_cycle, deadlocked FROM told JOIN f USING (trx)""")
+def _(t):
+    return W.blocking_chains(t.lock_waits)
+
+
 @query("r1_expired_workflows", """
 SELECT id, status FROM workflows WHERE created_at < TIMESTAMP '1996-01-01' AND (status IN ('exec_failed', 'finished', 'canceled') OR status IS NULL)""")
 def _(t):

@@ -39,6 +39,8 @@ def expand(text: str) -> str:
         return text.strip()
     head = ",\n".join(f"{n} AS (\n{sql}\n)" for n, sql in ctes)
     body = text.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"
