@@ -15,71 +15,54 @@ ENDPOINT, TEXT, FINGERPRINT, INSTANCE, USER = range(5)
 
 #: Characters of a gram. Patterns meet texts on one gram; shorter patterns are looked for in the row.
 GRAM = 3
-#: An index of at most this many grams or short patterns is looked up in the row; beyond it texts meet it by a join.
-INDEX_ROWS = 4000
+#: Texts from which it is estimated how rare a gram is; the estimate decides which gram is looked up, not what is found.
+RARITY_ROWS = 2000
 
 
 def _grams(text: Column, length: int = GRAM) -> Column:
-    """Every run of ``length`` characters of a text, once each; none of a shorter text."""
-    n = F.length(text) - (length - 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(length)))
-    return F.array_distinct(F.when(n > 0, runs).otherwise(F.array().cast("array<string>")))
-
-
-def _looked_up(texts: DataFrame, pieces: Column, index: DataFrame) -> DataFrame:
-    """(text, piece) for the pieces of each text that the index (piece) holds."""
-    rows = index.limit(INDEX_ROWS + 1).collect()
-    if len(rows) > INDEX_ROWS:
-        return texts.select("text", F.explode(pieces).alias("piece")).join(index, "piece")
-    if not rows:
-        return texts.select("text", F.lit("").alias("piece")).limit(0)
-    held = F.array(*[F.lit(r["piece"]) for r in rows])
-    return texts.select("text", F.explode(F.array_intersect(pieces, held)).alias("piece"))
+    """Every run of ``length`` characters of a text, in one pass over it; none of a shorter text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
 
 def _rarest_grams(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern_id, pattern, piece): each pattern with that of its grams which the fewest texts hold."""
-    cut = patterns.select("pattern_id", "pattern", F.explode(_grams(F.col("pattern"))).alias("piece"))
-    counted = _looked_up(texts, _grams(F.col("text")), cut.select("piece").distinct()).groupBy("piece").agg(F.count("*").alias("n"))
+    """(pattern, pattern_id, piece): each pattern with that of its grams which the fewest of some texts hold."""
+    cut = patterns.select("pattern", "pattern_id", F.explode(F.array_distinct(_grams(F.col("pattern")))).alias("piece"))
+    some = texts.limit(RARITY_ROWS).select(F.explode(F.array_distinct(_grams(F.col("text")))).alias("piece"))
+    counted = some.join(cut.select("piece").distinct(), "piece").groupBy("piece").agg(F.count("*").alias("n"))
     rare = F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece")
-    return cut.join(counted, "piece", "left").groupBy("pattern_id", "pattern").agg(rare)
+    return cut.join(counted, "piece", "left").groupBy("pattern", "pattern_id").agg(rare)
 
 
-def _contains_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(key, pattern_id): the first pattern each text contains.
+def _contains_pairs(texts: DataFrame, patterns: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key, pattern_id): the first pattern each text contains; ``lengths`` are those of the patterns, ``GRAM`` for all from it on.
 
     A text that contains a pattern contains all its grams. The index holds each
-    pattern's rarest gram, texts give out only grams that it holds, and pairs
-    are verified; so a gram that stands in every text is met only for patterns
-    that have no other. Patterns shorter than a gram are pieces of a text
-    themselves. Equal patterns count as their first, equal texts are cut once.
+    pattern's rarest gram, and texts meet it on their grams; pairs are
+    verified. So a gram that stands in every text is met only for patterns that
+    have no other. Patterns shorter than a gram stand in the index themselves.
     """
     pats = patterns.select("pattern_id", F.lower("pattern").alias("pattern")).groupBy("pattern").agg(F.min("pattern_id").alias("pattern_id"))
-    texts = texts.select("key", F.lower("text").alias("text"))
-    once = texts.select("text").where("text IS NOT NULL").distinct()
-    long = pats.where(F.length("pattern") >= GRAM)
-    found = None
-    if not long.isEmpty():
-        index = _rarest_grams(once, long)
-        met = _looked_up(once, _grams(F.col("text")), index.select("piece").distinct())
-        found = met.join(index, "piece").where(F.contains(F.col("text"), F.col("pattern"))).select("text", "pattern_id")
-    lengths = [r[0] for r in pats.select(F.length("pattern").alias("n")).where(F.col("n").between(1, GRAM - 1)).distinct().collect()]
-    for n in sorted(lengths):
-        short = pats.where(F.length("pattern") == n)
-        hits = _looked_up(once, _grams(F.col("text"), n), short.select(F.col("pattern").alias("piece")))
-        hits = hits.join(short.withColumnRenamed("pattern", "piece"), "piece").select("text", "pattern_id")
-        found = hits if found is None else found.union(hits)
-    # an empty pattern is in every text
-    blank = pats.filter(F.length("pattern") == 0).agg(F.min("pattern_id")).scalar()
-    if found is None:
-        return texts.select("key", blank.alias("pattern_id")).filter("pattern_id IS NOT NULL")
-    first = found.groupBy("text").agg(F.min("pattern_id").alias("pattern_id"))
-    return texts.join(first, "text", "left").select("key", F.least("pattern_id", blank).alias("pattern_id")).filter("pattern_id IS NOT NULL")
+    texts = texts.select("key", F.lower("text").alias("text")).where("text IS NOT NULL")
+    found = texts.select("key", F.lit(None).cast("long").alias("pattern_id")).limit(0)
+    if 0 in lengths:
+        # an empty pattern is in every text
+        found = texts.select("key", pats.filter(F.length("pattern") == 0).agg(F.min("pattern_id")).scalar().alias("pattern_id"))
+    if any(lengths):
+        index = pats.where(F.length("pattern").between(1, GRAM - 1)).select("pattern", "pattern_id", F.col("pattern").alias("piece"))
+        if GRAM in lengths:
+            index = index.union(_rarest_grams(texts, pats.where(F.length("pattern") >= GRAM)))
+        pieces = F.concat(*[_grams(F.col("text"), n) for n in lengths if n])
+        met = texts.select("key", "text", F.explode(pieces).alias("piece")).join(index, "piece").where(F.contains(F.col("text"), F.col("pattern")))
+        met = met.select("key", "pattern_id")
+        found = found.unionByName(met) if 0 in lengths else met
+    return found.groupBy("key").agg(F.min("pattern_id").alias("pattern_id"))
 
 
 def _joined_matches(statements: DataFrame, blocklist: DataFrame) -> DataFrame:
     """(id, matched_id) by joins on keys."""
     blocklist = blocklist.filter("content IS NOT NULL")
+    # a row for each kind, with at most GRAM + 1 numbers
+    kinds = {r["filter_type"]: sorted(r["n"]) for r in blocklist.groupBy("filter_type").agg(F.collect_set(F.least(F.length("content"), F.lit(GRAM))).alias("n")).collect()}
     kind = lambda *k: blocklist.filter(F.col("filter_type").isin(*k))
     ends = statements.select(F.col("id").alias("key"), F.posexplode("endpoints").alias("pos", "text"))
     hit = lambda df, rank, pos=F.lit(0), sub=F.lit(0): df.select(
@@ -95,15 +78,15 @@ def _joined_matches(statements: DataFrame, blocklist: DataFrame) -> DataFrame:
     within = prefixes.join(nets, "net").groupBy("text").agg(F.min("pattern_id").alias("pattern_id"))
     by_net = ips.join(within, "text")
     hosts = ends.filter(~ipv4.is_ip(F.col("text"))).select(F.struct("key", "pos").alias("key"), "text")
-    by_host = _contains_pairs(hosts, entry(kind("host"), "pattern")).select(F.col("key.key").alias("key"), F.col("key.pos").alias("pos"), "pattern_id")
+    by_host = _contains_pairs(hosts, entry(kind("host"), "pattern"), kinds.get("host", [])).select(F.col("key.key").alias("key"), F.col("key.pos").alias("pos"), "pattern_id")
     texts = statements.select(F.col("id").alias("key"), F.col("sql_text").alias("text"))
     fps = statements.select(F.col("id").alias("key"), F.col("sql_fingerprint").alias("text"))
     found = [
         hit(by_ip, ENDPOINT, F.col("pos"), F.lit(0)),
         hit(by_net, ENDPOINT, F.col("pos"), F.lit(1)),
         hit(by_host, ENDPOINT, F.col("pos"), F.lit(0)),
-        hit(_contains_pairs(texts, entry(kind("sql"), "pattern")), TEXT),
-        hit(_contains_pairs(fps, entry(kind("fp_sql"), "pattern")), FINGERPRINT),
+        hit(_contains_pairs(texts, entry(kind("sql"), "pattern"), kinds.get("sql", [])), TEXT),
+        hit(_contains_pairs(fps, entry(kind("fp_sql"), "pattern"), kinds.get("fp_sql", [])), FINGERPRINT),
         hit(statements.select(F.col("id").alias("key"), F.col("instance_id").alias("v")).join(entry(kind("instance"), "v"), "v"), INSTANCE),
         hit(
             statements.filter("db_user <> ''").select(F.col("id").alias("key"), F.col("db_user").alias("v")).join(entry(kind("db_user"), "v"), "v"),

@@ -382,8 +382,18 @@ def with_clause(names) -> list[tuple[str, str]]:
     return list(done.items())
 
 
-INPUT_PARTITIONS_CONF = "spark.stmtwarden.inputPartitions"
-SPREAD_TABLES = ("events", "orders")
+#: Bytes of a lone file that is worth dealing out, and beyond which it has row groups enough for Spark to cut it.
+LONE_FILE = (1 << 20, 64 << 20)
+
+
+def dealt_out(table: DataFrame) -> DataFrame:
+    """A table in one file of one row group is one task's work in all that follows: its rows are dealt out over the processors. Larger ones stay as read."""
+    spark, files = table.sparkSession, table.inputFiles()
+    if len(files) != 1 or spark.sparkContext.defaultParallelism < 2:
+        return table
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return table.repartition(spark.sparkContext.defaultParallelism) if LONE_FILE[0] <= size <= LONE_FILE[1] else table
 
 
 class Tables:
@@ -399,10 +409,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in BASE_TABLES:
-                table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-                # for small tables in one file, which Spark cannot cut; unset, tables stay as read
-                parts = self.spark.conf.get(INPUT_PARTITIONS_CONF, "")
-                self._cache[name] = table.repartition(int(parts)) if parts and name in SPREAD_TABLES else table
+                self._cache[name] = dealt_out(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
             else:
                 text = VIEWS[name]
                 self._cache[name] = self.spark.sql(text, **{r: getattr(self, r) for r in references(text)})
