@@ -104,3 +104,20 @@ def _(t):
     J.stream_window_counts(queue, out, fresh_dir(t.spark, "windows-checkpoint")).awaitTermination()
     J.compact(t.spark, out, J.summed_windows)
     return J.window_counts(t.spark, out)
+
+
+@query("t4_within_watermark", "SELECT id, ts, sql_text FROM statement_log")
+def _(t):
+    out = fresh_dir(t.spark, "within")
+    J.stream_within_watermark(log_stream(t), out, fresh_dir(t.spark, "within-checkpoint")).awaitTermination()
+    return J.read_batches(t.spark, out).select("id", "ts", "sql_text")
+
+
+@query("t5_closed_windows", f"""
+WITH q AS ({_QUEUE}), closed AS (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL 2 HOUR AS upto FROM q)
+SELECT date_trunc('hour', ts) AS window_start, sql_id, COUNT(*) AS statement_count FROM q WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT upto FROM closed) GROUP BY 1, 2""")
+def _(t):
+    out = fresh_dir(t.spark, "closed")
+    queue = governance.queue_rows(log_stream(t), "slow_log", "1")
+    J.stream_closed_windows(queue, out, fresh_dir(t.spark, "closed-checkpoint")).awaitTermination()
+    return J.read_batches(t.spark, out)

@@ -192,3 +192,43 @@ def summed_windows(rows: DataFrame) -> DataFrame:
 def window_counts(spark: SparkSession, out: str) -> DataFrame:
     """T5: the counts all stored batches add up to."""
     return summed_windows(read_batches(spark, out))
+
+
+def _once_within(log: DataFrame, delay: str) -> DataFrame:
+    """Rows with a time and an id, once each, as long as the watermark lets them in; the state holds the ids of the last ``delay`` only."""
+    timed = log.where("ts IS NOT NULL AND id IS NOT NULL").withColumn("_at", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark(["id"])
+
+
+def stream_within_watermark(log: DataFrame, out: str, checkpoint: str, delay: str = "2 hours", every: str | None = None):
+    """T4: rows once each that are not more than ``delay`` older than the newest row some batches ago.
+
+    Spark sets the watermark after each batch and takes rows as late by the
+    one that the batch before had, so rows have a batch more time.
+    Unlike :func:`stream_high_water` nothing stored is read again: ids wait in
+    the state store until the watermark has passed them. What comes too late
+    is told by :func:`late_rows`. Rows without a time or an id are told apart
+    by nothing the state could hold and are left to that function as well.
+    """
+    return run_batches(_once_within(log, delay).drop("_at"), lambda batch, batch_id: write_batch(batch, out, batch_id), checkpoint, every)
+
+
+def late_rows(spark: SparkSession, log: DataFrame, out: str) -> DataFrame:
+    """T4: the side output: rows of the log that the watermark shut out, repeated ids once, and all rows without id or time."""
+    stored = read_batches(spark, out)
+    keyed = log.where("ts IS NOT NULL AND id IS NOT NULL")
+    late = keyed.dropDuplicates(["id"])
+    if stored is not None:
+        late = late.join(stored.select("id"), "id", "left_anti").select(log.columns)
+    return late.unionByName(log.where("ts IS NULL OR id IS NULL"))
+
+
+def stream_closed_windows(queue: DataFrame, out: str, checkpoint: str, width: str = "1 hour", delay: str = "2 hours", every: str | None = None):
+    """T5 in append mode: each window's counts are given out once, when the watermark has passed its end.
+
+    Repeated ids count once. The state holds ids of the last ``delay`` and the
+    windows not yet closed.
+    """
+    counts = _once_within(queue, delay).groupBy(F.window("_at", width).alias("_w"), "sql_id").agg(F.count("*").alias("statement_count"))
+    closed = counts.select(F.col("_w.start").cast("timestamp_ntz").alias("window_start"), "sql_id", "statement_count")
+    return run_batches(closed, lambda batch, batch_id: write_batch(batch, out, batch_id), checkpoint, every)

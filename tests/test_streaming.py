@@ -84,3 +84,39 @@ def test_rows_without_id_all_stay(spark, tmp_path):
     read = jobs.read_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
     jobs.stream_high_water(read, out, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.sql_text for r in jobs.read_batches(spark, out).collect()) == ["a", "a", "b", "c", "d"]
+
+
+def test_watermark_shuts_out_and_closes(spark, tmp_path):
+    """Four uneven batches with late and repeated rows: closed windows, open ones and the late rows add up to the batch twin, and the state shrinks."""
+    path, out, windows = (str(tmp_path / x) for x in ("in", "out", "windows"))
+    hour = lambda n, m=0: f"2024-01-10 {n:02d}:{m:02d}:00"
+    first = [(n, hour(n % 3, n % 60)) for n in range(40)]
+    second = [(3, hour(0, 3)), (100, hour(2, 30)), *[(200 + n, hour(12, n)) for n in range(5)]]
+    # rows are late by the watermark of the batch before: 10:04, after the newest row at 12:04
+    third, fourth = [(250, hour(12, 30))], [(300, hour(9)), (301, hour(11)), (5, hour(2, 5)), (200, hour(12)), (302, hour(9)), (302, hour(9)), (303, hour(13)), (None, hour(13)), (304, None)]
+    for rows in (first, second, third, fourth):
+        df = spark.createDataFrame(rows, "id long, t string").select("id", F.col("t").cast("timestamp_ntz").alias("ts")).withColumn("sql_id", F.lit("s"))
+        df.coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    read = lambda: jobs.read_stream(spark, path, schema, files_per_trigger=1)
+    query = jobs.stream_within_watermark(read(), out, str(tmp_path / "cp"))
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) >= 40 and held[-1] <= 9
+    stored = jobs.read_batches(spark, out)
+    assert sorted(r.id for r in stored.collect()) == sorted([*range(40), 100, *range(200, 205), 250, 301, 303])
+    late = jobs.late_rows(spark, spark.read.parquet(path), out)
+    assert sorted((r.id or 0, r.ts is None) for r in late.collect()) == [(0, False), (300, False), (302, False), (304, True)]
+
+    jobs.stream_closed_windows(read(), windows, str(tmp_path / "cp2")).awaitTermination()
+    closed = {r.window_start.hour: r.statement_count for r in jobs.read_batches(spark, windows).collect()}
+    assert closed == {0: 14, 1: 13, 2: 14}
+    by_hour = lambda df: {r["h"]: r["n"] for r in df.groupBy(F.hour("ts").alias("h")).agg(F.count("*").alias("n")).collect()}
+    twin = by_hour(spark.read.parquet(path).where("id IS NOT NULL AND ts IS NOT NULL").dropDuplicates(["id"]))
+    still_open = {h: n for h, n in by_hour(stored).items() if h not in closed}
+    shut_out = by_hour(late.where("id IS NOT NULL AND ts IS NOT NULL"))
+    assert {h: closed.get(h, 0) + still_open.get(h, 0) + shut_out.get(h, 0) for h in twin} == twin
+
+    # a restart neither reads nor gives out anything twice
+    jobs.stream_closed_windows(read(), windows, str(tmp_path / "cp2")).awaitTermination()
+    assert {r.window_start.hour: r.statement_count for r in jobs.read_batches(spark, windows).collect()} == closed
