@@ -95,6 +95,38 @@ def test_dedup_stage_keeps_one_of_equal_rows(spark, docs_of, sf_dir):
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == [(-1, b), (3, a), (8, ""), (9, "")]
 
 
+def test_dedup_stage_judges_rows_without_an_own_id(spark, docs_of, sf_dir):
+    """Near copies without ids, and under a shared id, are reduced to one row; what only shares an id stays."""
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words, f"end{n}"]) for n in range(4)]
+    alone, far = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    kept = lambda texts, ids: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs_of(texts, ids=ids), sf_dir).collect())
+    out = kept([near[0], near[1], near[2], alone], [None, None, None, None])
+    assert len(out) == 2 and out[0] == (-1, alone) and out[1][1] in near
+    # one of the rows under id 7 is a copy of document 3, the other is not
+    assert kept([near[0], near[1], alone, far], [3, 7, 7, 9]) == [(3, near[0]), (7, alone), (9, far)]
+    assert kept([near[0], near[1], near[2]], [None, 5, 4]) == [(4, near[2])]
+    assert kept([near[0], near[0], near[1]], [6, 6, 8]) == [(6, near[0])]
+    assert kept([], []) == []
+
+
+ODD_TEXTS = [None, "", "x", "long " * 30_000, "same words here", "same words here"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows(spark, docs_of, sf_dir, name, stage):
+    docs = docs_of(ODD_TEXTS, ids=[1, 2, 3, None, 5, 5])
+    out = stage(spark, docs, sf_dir)
+    rows = out.collect()
+    if name == "packing":
+        assert {r["doc_id"] for r in rows} == {1, 2, 3, None, 5} and sum(r["length"] for r in rows if r["doc_id"] in (1, 2)) == 2
+    else:
+        assert out.columns == docs.columns
+        assert len(rows) == {"quality rules": 0, "near duplicates": 5}.get(name, 6)
+        assert all(r["found"] == "f" and r["text_"] == "x" for r in rows)
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_payloads_are_not_shuffled(spark):
     """Without broadcasts the join of the verdicts exchanges and sorts headers only; payloads lie in buckets."""
     rows = [(i, f"u{i}", "x" * 2000 + str(i % 5)) for i in range(40)]
