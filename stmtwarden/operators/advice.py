@@ -198,9 +198,9 @@ def extremal_index(columns: DataFrame, scanning: DataFrame, indexes: DataFrame)
 def prefix_index(columns: DataFrame, statements: DataFrame, scanning: DataFrame) -> DataFrame:
     """Columns searched with a leading wildcard (``statements``: id, sql_text)."""
     c = F.col
-    fuzzy = statements.filter(c("sql_text").rlike(r"(?i)\bLIKE\s+'[%_]")).select("id")
+    # the column before each such LIKE, so that others of the statement are not advised
+    named = F.regexp_extract_all("sql_text", F.lit(r"(?i)([\w$]+)[`\"]?\s+(?:NOT\s+)?LIKE\s+(?:BINARY\s+)?'[%_]"), F.lit(1))
+    fuzzy = statements.select("id", F.explode(F.array_distinct(F.transform(named, F.lower))).alias("column_name"))
     rows = columns.filter((c("clause") == "where") & (c("operator") == "LIKE") & c("table_name").isNotNull())
-    rows = rows.join(scanning.select("id"), "id", "left_semi").join(fuzzy, "id", "left_semi")
-    return _advice(
-        rows.select("id", F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name")), F.lit("leading wildcard")
-    )
+    rows = rows.join(scanning.select("id"), "id", "left_semi").select("id", F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name"))
+    return _advice(rows.join(fuzzy, ["id", "column_name"], "left_semi"), F.lit("leading wildcard"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtwarden.operators.reports import CLOSED_STATUSES
+from stmtwarden.session import file_system, written
 
 
 def _before(column: str, moment: str):
@@ -37,6 +38,40 @@ def kept_raw(raw: DataFrame, before: str, time_column: str = "ts") -> DataFrame:
     return raw.filter(~_before(time_column, before))
 
 
+def store_by_day(raw: DataFrame, path: str, time_column: str = "ts") -> None:
+    """Raw statements appended to a folder per day; those without a time go to a folder of their own and never expire."""
+    raw.withColumn("day", F.to_date(time_column)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def expire_days(spark: SparkSession, path: str, before: str, time_column: str = "ts") -> DataFrame:
+    """Rows before a time removed from what :func:`store_by_day` stored; returns removed rows per day.
+
+    Days wholly before the time are counted from file footers and deleted as
+    folders. Only the day the time cuts is read and written again, by way of a
+    saved copy. Files of later days stay untouched. A run that was cut off can
+    be repeated; it returns what was left to remove.
+    """
+    cut = F.to_date(F.lit(before).cast("timestamp_ntz"))
+    table = spark.read.option("basePath", path).parquet(path)
+    whole = table.where(F.col("day") < cut).groupBy("day").agg(F.count("*").alias("removed_count"))
+    gone = _before(time_column, before)
+    edge = table.where((F.col("day") == cut) & gone).groupBy("day").agg(F.count("*").alias("removed_count"))
+    removed = written(whole.unionByName(edge), "expired")
+    days = [d for (d,) in removed.select("day").collect()]  # one row per expired day
+    last = spark.range(1).select(cut).first()[0]
+    fs, _ = file_system(spark, path)
+    drop = [d for d in days if d != last]
+    if last in days:
+        stay = written(table.where((F.col("day") == cut) & ~gone), "kept")
+        if stay.isEmpty():
+            drop.append(last)
+        else:
+            stay.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for day in drop:
+        fs.delete(file_system(spark, f"{path}/day={day}")[1], True)
+    return removed
+
+
 def expired_files(files: DataFrame, workflow_tasks: DataFrame, now: str) -> DataFrame:
     """Older than 24 hours and in no workflow, or older than 7 days."""
     moment = F.lit(now).cast("timestamp_ntz")

@@ -7,9 +7,10 @@ from stmtwarden.functions.statement_columns import statement_columns
 from stmtwarden.operators import profile as P
 from stmtwarden.plans import dialect as D
 from stmtwarden.registry import query, texts
+from stmtwarden.session import written
 
 c = F.col
-COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"]
+COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 def profile(t):
@@ -37,6 +38,16 @@ def _(t):
     return near.join(exact, "column_name").select("table_name", "column_name", "row_count", within.alias("within_error"))
 
 
+@query("p2_merged_profile", _each("COUNT(*) AS row_count, COUNT({c}) AS non_null_count, TRUE AS distinct_within, TRUE AS skewness_within"))
+def _(t):
+    """Monthly states, stored, against the profile of the whole."""
+    states = written(P.profile_states(t.lineitem, COLUMNS, F.date_trunc("month", "l_shipdate"), "lineitem"), "profile-states")
+    exact = profile(t).select("column_name", c("distinct_count").alias("d"), (c("largest_group") / c("row_count")).alias("skewness"))
+    both = P.merged_profile(states).join(exact, "column_name")
+    within = F.abs(c("distinct_count") - c("d")) <= 4 * 1.04 / 64 * c("d") + 1
+    return both.select("table_name", "column_name", "row_count", "non_null_count", within.alias("distinct_within"), c("skewness").between(c("skewness_low"), c("skewness_high")).alias("skewness_within"))
+
+
 @query("p2_column_skewness", _each(_TOP + " AS skewness"))
 def _(t):
     return P.column_skewness(profile(t))
@@ -101,6 +112,25 @@ def _(t):
     return P.affected_rows_by_count(t.lineitem, "l_quantity > 40 AND l_returnflag = 'A'")
 
 
+def _counted() -> list[tuple[int, str, str | None, int | None]]:
+    """A hundred statements on three tables: id, table, condition, LIMIT."""
+    out = []
+    for i in range(100):
+        table, column, step = (("lineitem", "l_quantity", 1), ("orders", "o_totalprice", 5000), ("customer", "c_acctbal", 300))[i % 3]
+        out.append((i, table, None if i % 10 == 9 else f"{column} > {step * (i // 2)}", 50 if i % 4 == 3 else None))
+    return out
+
+
+def _count_sql(i, table, condition, limit):
+    n = f"(SELECT COUNT(*) FROM {table} WHERE {condition or 'TRUE'})"
+    return f"SELECT CAST({i} AS BIGINT) AS id, {n if limit is None else f'LEAST({n}, {limit})'} AS affected_rows"
+
+
+@query("p10_affected_rows_shared", " UNION ALL ".join(_count_sql(*s) for s in _counted()))
+def _(t):
+    return P.affected_rows_shared(_counted(), {"lineitem": t.lineitem, "orders": t.orders, "customer": t.customer})
+
+
 @query("p10_affected_rows_values", f"""
 WITH {D.text_features('statement_corpus')} SELECT id, len(regexp_extract_all(values_list, '~')) AS affected_rows FROM f3
 WHERE kind IN ('INSERT', 'REPLACE') AND contains(values_list, '~')""")

@@ -9,6 +9,7 @@ from stmtwarden.operators import series as X
 from stmtwarden.operators import waits as W
 from stmtwarden.plans import dialect as D
 from stmtwarden.registry import query, texts
+from stmtwarden.session import fresh_dir
 
 c = F.col
 _IN_RANGE = "record_begin_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'"
@@ -171,6 +172,18 @@ def _(t):
     return R.expired_raw(t.statement_log, "2024-01-10 12:00:00").withColumn("day", c("day").cast("string"))
 
 
+@query("r3_expired_partitions", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, COUNT(*) FILTER (WHERE ts < TIMESTAMP '2024-01-10 12:00:00') AS removed_count,
+  COUNT(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-10 12:00:00') AS kept_count FROM statement_log GROUP BY 1""")
+def _(t):
+    path = fresh_dir(t.spark, "raw")
+    R.store_by_day(t.statement_log, path)
+    removed = R.expire_days(t.spark, path, "2024-01-10 12:00:00")
+    kept = t.spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("kept_count"))
+    n = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    return removed.join(kept, "day", "full").select(c("day").cast("string"), n("removed_count"), n("kept_count"))
+
+
 @query("r4_expired_files", """
 SELECT f.id, f.file_name FROM (SELECT id, task_id, file_name, TIMESTAMP '2024-01-01' + CAST(id % 12 AS INTEGER) * INTERVAL 1 DAY AS created_at FROM audit_files) f
 WHERE f.created_at < TIMESTAMP '2024-01-12' - INTERVAL 24 HOUR AND (f.created_at < TIMESTAMP '2024-01-12' - INTERVAL 7 DAY

@@ -14,6 +14,7 @@ from stmtwarden.plans.merge import _QUEUE
 from stmtwarden.registry import query
 from stmtwarden.session import fresh_dir
 from stmtwarden.streaming import jobs as J
+from stmtwarden.streaming import records as R
 from stmtwarden.views import VIEWS, references
 
 c = F.col
@@ -121,3 +122,24 @@ def _(t):
     queue = governance.queue_rows(log_stream(t), "slow_log", "1")
     J.stream_closed_windows(queue, out, fresh_dir(t.spark, "closed-checkpoint")).awaitTermination()
     return J.read_batches(t.spark, out)
+
+
+_SPLIT, _FIRST, _SECOND = "2024-01-15", "2024-02-01", "2024-02-02"
+
+
+@query("t2_audited_records", f"""
+WITH newest AS (SELECT sql_id, COUNT(*) AS counter, MAX(ts) AS ts, ARG_MAX(sql_text, id) AS sql_text FROM ({_QUEUE}) q GROUP BY 1), {D.text_features('newest')},
+v AS ({D.violations('f3', text_rules.RULES, 'sql_id')}),
+r AS (SELECT sql_id, MAX({_LEVELS}) AS k FROM v GROUP BY 1)
+SELECT n.sql_id, n.counter, CASE COALESCE(k, 0) WHEN 3 THEN 'error' WHEN 2 THEN 'warn' WHEN 1 THEN 'notice' ELSE 'normal' END AS audit_level,
+  CASE WHEN n.ts >= TIMESTAMP '{_SPLIT}' THEN TIMESTAMP '{_SECOND}' ELSE TIMESTAMP '{_FIRST}' END AS last_audit_time FROM newest n LEFT JOIN r ON r.sql_id = n.sql_id""")
+def _(t):
+    queue, path = fresh_dir(t.spark, "queue"), fresh_dir(t.spark, "records")
+    rows = governance.queue_rows(t.statement_log, "slow_log", "1")
+    late = c("ts") >= F.lit(_SPLIT).cast("timestamp_ntz")
+    for batch, (part, now) in enumerate([(rows.where(~late), _FIRST), (rows.where(late), _SECOND)]):
+        J.write_batch(J.rolled_up(part), queue, batch)
+        R.drain(t.spark, queue, path, now)
+        version = R.audit(t.spark, path, now)
+    R.clean(t.spark, queue, path)
+    return R.read(t.spark, path, version).select("sql_id", "counter", "audit_level", "last_audit_time")

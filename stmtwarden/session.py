@@ -31,6 +31,12 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path as it takes it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows stored in the shared folder and read again, which cuts lineage."""
     path = fresh_dir(df.sparkSession, label)

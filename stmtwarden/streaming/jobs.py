@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stmtwarden.operators import governance, lists, merge
+from stmtwarden.session import file_system
 
 CARRY = ("sql_fingerprint", "project_id", "schema_name", "instance_id")
 
@@ -44,19 +45,14 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _fs(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def _complete(spark: SparkSession, path: str, name: str) -> list[int]:
     """Numbers of the finished tables ``name=number`` in a folder, ascending."""
-    fs, where = _fs(spark, path)
+    fs, where = file_system(spark, path)
     if not fs.exists(where):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(where)]
     found = sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{name}="))
-    return [n for n in found if fs.exists(_fs(spark, f"{path}/{name}={n}/_SUCCESS")[1])]
+    return [n for n in found if fs.exists(file_system(spark, f"{path}/{name}={n}/_SUCCESS")[1])]
 
 
 def read_batches(spark: SparkSession, path: str, but: int | None = None) -> DataFrame | None:
@@ -82,7 +78,7 @@ def compact(spark: SparkSession, path: str, merge_rows: Callable[[DataFrame], Da
     upto = newer[-1] if newer else (folds[-1] if folds else -1)
     old = [f"{path}/batch_id={n}" for n in batches if n <= upto] + [f"{path}/folded={n}" for n in folds if n < upto]
     for one in old:
-        fs, where = _fs(spark, one)
+        fs, where = file_system(spark, one)
         fs.delete(where, True)
 
 
