@@ -1,8 +1,9 @@
 """Columns a statement uses, and how.
 
-Extraction is by patterns over the statement's outermost level; columns of
-sub-queries are not listed. What the patterns cannot see can be given to the
-lint and advice jobs as a table of the same shape.
+Extraction is by patterns over one level of a statement. ``statement_columns``
+reads the outermost level; ``scoped_columns`` in :mod:`.scopes` peels
+sub-queries off and reads each as a level of its own. What the patterns cannot
+see can be given to the lint and advice jobs as a table of the same shape.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ COMPUTED = rf"(?i)(?:^|[\s(,])({_NAME})\s*([-+*/%])\s*[A-Za-z0-9_.`]+\s*({_OP})\
 SUBQUERY = r"(?i)\(\s*SELECT\b[^()]*(?:\([^()]*\)[^()]*)*\)"
 _END = r"\bWHERE\b|\bGROUP\s+BY\b|\bORDER\s+BY\b|\bHAVING\b|\bLIMIT\b|\bFOR\s+UPDATE\b|\bUNION\b|$"
 JOINS = r"(?i),|\b(?:(?:LEFT|RIGHT|INNER|CROSS|FULL|NATURAL|OUTER)\s+)*JOIN\b|\bSTRAIGHT_JOIN\b"
-TABLE_ITEM = rf"(?i)^\s*({_NAME})(?:\s+(?:AS\s+)?([A-Za-z_][A-Za-z0-9_]*))?"
+TABLE_ITEM = rf"(?i)^\s*({_NAME}|@[0-9]+)(?:\s+(?:AS\s+)?([A-Za-z_][A-Za-z0-9_]*))?"
 SELECT_ITEM = rf"(?i)^\s*(?:DISTINCT\s+)?({_NAME})(?:\s+(?:AS\s+)?([A-Za-z_][A-Za-z0-9_]*))?\s*$"
 STAR_ITEM = rf"(?i)^\s*(?:DISTINCT\s+)?(?:{_NAME}\.)?\*\s*$"
 SET_ITEM = rf"(?i)(?:^|\n)\s*({_NAME})\s*=\s*({_RIGHT})?"
@@ -55,11 +56,18 @@ def _qualifier(name: Column) -> Column:
     return F.replace(head, F.lit("`"), F.lit(""))
 
 
+def _own(tables: Column) -> Column:
+    return F.filter(tables, lambda t: t["slot"] >= 0)
+
+
 def _slot(name: Column, tables: Column) -> Column:
-    """Table (name, alias, slot) a column belongs to: by alias or name, else the only one."""
+    """Table (name, alias, slot) a column belongs to: by alias or name, else the only one of its level.
+
+    Tables of outer levels follow those of the own one and have no slot of their own (-1).
+    """
     q = F.lower(_qualifier(name))
-    named = F.get(F.filter(tables, lambda t: (F.lower(t["alias"]) == q) | (F.lower(t["name"]) == q)), F.lit(0))
-    only = F.when(F.size(tables) == 1, F.get(tables, F.lit(0)))
+    named = F.get(F.filter(tables, lambda t: (F.lower(t["alias"]) == q) | (F.lower(F.substring_index(t["name"], ".", -1)) == q)), F.lit(0))
+    only = F.when(F.size(_own(tables)) == 1, F.get(tables, F.lit(0)))
     return F.when(F.contains(name, F.lit(".")), named).otherwise(only)
 
 
@@ -146,20 +154,23 @@ def statement_tables(statements: DataFrame) -> DataFrame:
     count = F.when(F.contains(c("bare"), F.lit("(")), F.regexp_count("bare", F.lit(r"(?i)\(\s*SELECT\b"))).otherwise(0)
     rounds = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("bare", F.aggregate(rounds, c("bare"), lambda text, _: F.regexp_replace(text, SUBQUERY, "(@)")))
+    return df.withColumn("tables", level_tables(c("bare"), _bare))
+
+
+def level_tables(bare: Column, name) -> Column:
+    """Array of (name, alias, slot) of the tables a level names; ``(@n)``, a sub-query peeled off before, is the table ``@n``."""
     part = (
-        F.when(c("bare").rlike(r"(?i)^UPDATE\b"), _part(c("bare"), r"(?i)^UPDATE\b(.*?)\bSET\b"))
-        .when(c("bare").rlike(r"(?i)\bFROM\b"), _part(c("bare"), rf"(?i)\bFROM\b(.*?)(?:{_END})"))
-        .otherwise(_part(c("bare"), TARGET))
+        F.when(bare.rlike(r"(?i)^UPDATE\b"), _part(bare, r"(?i)^UPDATE\b(.*?)\bSET\b"))
+        .when(bare.rlike(r"(?i)\bFROM\b"), _part(bare, rf"(?i)\bFROM\b(.*?)(?:{_END})"))
+        .otherwise(_part(bare, TARGET))
     )
     # Lists inside ON and USING are folded so that their commas cut nothing.
-    pieces = F.split(F.regexp_replace(part, r"\([^()]*\)", "~"), JOINS)
+    peeled = F.regexp_replace(part, r"(?i)(?:\bLATERAL\s*)?\(@([0-9]+)\)", " @$1 ")
+    pieces = F.split(F.regexp_replace(peeled, r"\([^()]*\)", "~"), JOINS)
     item = lambda x, g: F.regexp_extract(x, TABLE_ITEM, g)
     named = F.filter(pieces, lambda x: item(x, 1) != "")
     alias = lambda x: F.when(~F.upper(item(x, 2)).isin(*NOT_ALIAS), F.nullif(item(x, 2), F.lit("")))
-    return df.withColumn(
-        "tables",
-        F.transform(named, lambda x, n: F.struct(_bare(item(x, 1)).alias("name"), alias(x).alias("alias"), n.cast("int").alias("slot"))),
-    )
+    return F.transform(named, lambda x, n: F.struct(name(item(x, 1)).alias("name"), alias(x).alias("alias"), n.cast("int").alias("slot")))
 
 
 def statement_columns(statements: DataFrame) -> DataFrame:
@@ -171,8 +182,12 @@ def statement_columns(statements: DataFrame) -> DataFrame:
     function or arithmetic sign around the column; ``literal_kind`` tells what a
     condition compares the column with; ``with_or`` that the clause has an OR.
     """
+    return level_columns(statement_tables(statements), "id")
+
+
+def level_columns(df: DataFrame, *keys: str) -> DataFrame:
+    """Column uses of each row's level (``bare``, with its ``tables``), beside the row's keys."""
     c = F.col
-    df = statement_tables(statements)
     b = c("bare")
     df = df.withColumn("_up", F.upper("bare"))
     # A clause is cut out only where its word occurs.
@@ -193,7 +208,7 @@ def statement_columns(statements: DataFrame) -> DataFrame:
     listed = {"_order": ORDER_ITEM, "_group": ORDER_ITEM, "_select": SELECT_ITEM, "_insert": SELECT_ITEM}
     df = df.withColumns({f"{n}_items": _items(c(n)) for n in listed})
     df = df.withColumns({f"{n}_named": F.filter(_numbered(f"{n}_items", p), lambda s: s["g1"] != "") for n, p in listed.items()})
-    return df.select("id", F.explode(_rows_of(df.sparkSession.sparkContext.applicationId)).alias("_r")).select("id", "_r.*")
+    return df.select(*keys, F.explode(_rows_of(df.sparkSession.sparkContext.applicationId)).alias("_r")).select(*keys, "_r.*")
 
 
 @lru_cache(maxsize=1)
@@ -222,8 +237,8 @@ def _rows_of(application: str) -> Column:
         each("_group", lambda s: _row(t, s["g1"], "group", s["n"])),
         each("_select", lambda s: _row(t, s["g1"], "select", s["n"])),
         F.transform(aliased, lambda s: _row(t, s["g2"], "alias", s["n"], other=F.get(F.filter(chosen, lambda x: x == F.lower(s["g2"])), F.lit(0)))),
-        F.flatten(F.transform(starred, lambda x: F.transform(F.filter(t, lambda y: in_star(x, y)), lambda y: _row(t, F.lit("*"), "select", table=y)))),
-        F.transform(t, lambda y: _row(t, None, "table", y["slot"], table=y)),
+        F.flatten(F.transform(starred, lambda x: F.transform(F.filter(_own(t), lambda y: in_star(x, y)), lambda y: _row(t, F.lit("*"), "select", table=y)))),
+        F.transform(_own(t), lambda y: _row(t, None, "table", y["slot"], table=y)),
         F.transform(in_select, lambda x: _row(t, x["g2"], "select", function=x["g1"])),
         each("_insert", lambda s: _row(into, s["g1"], "insert", s["n"])),
     )

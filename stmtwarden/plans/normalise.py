@@ -3,9 +3,14 @@
 from pyspark.sql import functions as F
 
 from stmtwarden.functions import keys, text
+from stmtwarden.functions.scopes import scoped_columns
 from stmtwarden.functions.statement_columns import statement_columns
 from stmtwarden.plans import dialect as D
 from stmtwarden.registry import query, texts
+from stmtwarden.shapes import SHAPE_COUNT, SHAPES
+
+#: The shape that names its table with a schema.
+SHAPED_SCHEMA = next(k for k, s in enumerate(SHAPES) if "FROM shop.orders" in s)
 
 c = F.col
 
@@ -74,3 +79,43 @@ def _(t):
 @query("n9_statement_columns", "SELECT * REPLACE (CAST(position AS VARCHAR) AS position, CAST(with_or AS VARCHAR) AS with_or) FROM statement_columns")
 def _(t):
     return texts(statement_columns(t.statement_corpus), "position", "with_or")
+
+
+# Levels and set members of the corpus shapes beyond the first one, written down by hand:
+# shape, scope, branch, parent, table, select column, its function, where column, operator, literal kind.
+_LEVELS = [
+    (18, 1, 0, 0, "orders", "o_custkey", "MAX", "o_orderkey", "=", "number"),
+    (19, 1, 0, 0, "orders", "o_custkey", None, "o_orderkey", ">", "number"),
+    (20, 1, 0, 2, "t7", "g", None, "h", "=", "number"),
+    (20, 2, 0, 3, "t6", "f", None, "g", "IN", "list"),
+    (20, 3, 0, 4, "t5", "e", None, "f", "IN", "list"),
+    (20, 4, 0, 5, "t4", "d", None, "e", "IN", "list"),
+    (20, 5, 0, 6, "t3", "c", None, "d", "IN", "list"),
+    (20, 6, 0, 0, "t2", "b", None, "c", "IN", "list"),
+    (22, 0, 1, None, "supplier", "s_name", None, "s_suppkey", "=", "number"),
+    (23, 0, 1, None, "supplier", "s_name", None, "s_suppkey", "=", "number"),
+    (77, 1, 0, 0, "orders", None, None, "o_custkey", "=", "number"),
+]
+
+
+def _sql(value):
+    return "NULL" if value is None else str(value) if isinstance(value, int) else f"'{value}'"
+
+
+_LEVEL_VALUES = ", ".join("(" + ", ".join(_sql(v) for v in row) + ")" for row in _LEVELS)
+
+
+@query("n9_scoped_columns", f"""
+WITH lv AS (SELECT o.o_orderkey AS id, v.* FROM orders o JOIN (VALUES {_LEVEL_VALUES})
+    AS v(k, scope, branch, parent, table_name, chosen, called, asked, operator, kind) ON o.o_orderkey % {SHAPE_COUNT} = v.k)
+SELECT id, scope, branch, CAST(parent AS VARCHAR) AS parent, schema_name, table_name, column_name, clause, CAST(position AS VARCHAR) AS position, operator,
+  function, literal_kind, other_table, other_column, CAST(with_or AS VARCHAR) AS with_or FROM (
+  SELECT id, 0 AS scope, 0 AS branch, NULL AS parent, CASE WHEN id % {SHAPE_COUNT} = {SHAPED_SCHEMA} THEN 'shop' END AS schema_name, table_name, column_name,
+    clause, position, operator, function, literal_kind, other_table, other_column, with_or FROM statement_columns
+  UNION ALL SELECT id, scope, branch, parent, NULL, table_name, NULL, 'table', 0, NULL, NULL, NULL, NULL, NULL, NULL FROM lv
+  UNION ALL SELECT id, scope, branch, parent, NULL, table_name, chosen, 'select', CASE WHEN called IS NULL THEN 0 END, NULL, called, NULL, NULL, NULL, NULL
+    FROM lv WHERE chosen IS NOT NULL
+  UNION ALL SELECT id, scope, branch, parent, NULL, table_name, asked, 'where', 0, operator, NULL, kind, NULL, NULL, FALSE FROM lv) x""")
+def _(t):
+    found = scoped_columns(t.statement_corpus).drop("derived_scope", "other_schema", "other_scope")
+    return texts(found, "parent", "position", "with_or")
