@@ -114,10 +114,14 @@ CONSTRAINT_RULES: list[Rule] = [
 
 RULES = COLUMN_RULES + TABLE_RULES + INDEX_RULES + NAME_RULES + CONSTRAINT_RULES
 
+#: What tells tables apart. A catalogue of several servers or schemas passes all it needs, such as
+#: ``("instance_id", "schema_name", "table_name")``; none of the keys may be null, and ``table_name`` is one of them.
+TABLE = ("table_name",)
 
-def indexes_with_columns(indexes: DataFrame) -> DataFrame:
+
+def indexes_with_columns(indexes: DataFrame, keys=TABLE) -> DataFrame:
     """One row per index with its columns in order (a server bounds their number)."""
-    return indexes.groupBy("table_name", "index_name").agg(
+    return indexes.groupBy(*keys, "index_name").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("seq", "column_name"))), lambda s: s["column_name"]).alias("cols"),
         F.count("*").alias("width"),
         F.bool_or("is_unique").alias("is_unique"),
@@ -126,7 +130,7 @@ def indexes_with_columns(indexes: DataFrame) -> DataFrame:
     )
 
 
-def redundant_index(lists: DataFrame) -> DataFrame:
+def redundant_index(lists: DataFrame, keys=TABLE) -> DataFrame:
     """Indexes equal to another (``repeat``) or a left prefix of one (``redundant``).
 
     ``lists``: table_name, index_name, cols. Indexes of a table sit in one
@@ -134,7 +138,7 @@ def redundant_index(lists: DataFrame) -> DataFrame:
     Of equal indexes the one last by name stays.
     """
     entry = F.struct(F.array_join("cols", ",").alias("key"), "index_name", "cols")
-    tables = lists.groupBy("table_name").agg(F.sort_array(F.collect_list(entry)).alias("all"))
+    tables = lists.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("all"))
     a, i = F.col("all"), F.col("i")
     same_later = lambda x, y: (y["key"] == x["key"]) & (y["index_name"] > x["index_name"])
     longer = lambda x, y: (F.size(y["cols"]) > F.size(x["cols"])) & (F.slice(y["cols"], F.lit(1), F.size(x["cols"])) == x["cols"])
@@ -142,48 +146,48 @@ def redundant_index(lists: DataFrame) -> DataFrame:
     kept = F.filter(a, lambda x: ~F.exists(a, lambda y: same_later(x, y) | longer(x, y)))
     twin = F.element_at(F.filter(a, lambda y: y["key"] == i["key"]), -1)["index_name"]
     cover = F.get(F.filter(F.col("kept"), lambda y: longer(i, y)), F.lit(0))["index_name"]
-    marked = tables.withColumn("kept", kept).select("table_name", "all", "kept", F.explode("all").alias("i"))
+    marked = tables.withColumn("kept", kept).select(*keys, "all", "kept", F.explode("all").alias("i"))
     kind = F.when(F.exists(a, lambda y: same_later(i, y)), "repeat").when(cover.isNotNull(), "redundant")
     return marked.select(
-        "table_name", i["index_name"].alias("index_name"), kind.alias("redundancy"), F.when(kind == "repeat", twin).otherwise(cover).alias("covered_by")
+        *keys, i["index_name"].alias("index_name"), kind.alias("redundancy"), F.when(kind == "repeat", twin).otherwise(cover).alias("covered_by")
     ).filter("redundancy IS NOT NULL")
 
 
-def redundant_new_index(lists: DataFrame, new_names: DataFrame) -> DataFrame:
+def redundant_new_index(lists: DataFrame, new_names: DataFrame, keys=TABLE) -> DataFrame:
     """L13 for an ALTER: only pairs that touch one of the new indexes."""
-    found = redundant_index(lists)
-    new = new_names.select("table_name", "index_name").withColumn("_new", F.lit(True))
-    source = new.select("table_name", F.col("index_name").alias("covered_by"), F.col("_new").alias("_new_source"))
-    joined = found.join(new, ["table_name", "index_name"], "left").join(source, ["table_name", "covered_by"], "left")
+    found = redundant_index(lists, keys)
+    new = new_names.select(*keys, "index_name").withColumn("_new", F.lit(True))
+    source = new.select(*keys, F.col("index_name").alias("covered_by"), F.col("_new").alias("_new_source"))
+    joined = found.join(new, [*keys, "index_name"], "left").join(source, [*keys, "covered_by"], "left")
     return joined.filter(F.coalesce("_new", F.lit(False)) | (F.coalesce("_new_source", F.lit(False)) & (F.col("redundancy") == "redundant"))).drop(
         "_new", "_new_source"
     )
 
 
-def index_order_advice(indexes: DataFrame, selectivity: DataFrame) -> DataFrame:
+def index_order_advice(indexes: DataFrame, selectivity: DataFrame, keys=TABLE) -> DataFrame:
     """Composite indexes whose columns do not fall in selectivity, with the order that does."""
-    known = indexes.join(selectivity.select("table_name", "column_name", "selectivity"), ["table_name", "column_name"], "left")
-    per = known.groupBy("table_name", "index_name").agg(
+    known = indexes.join(selectivity.select(*keys, "column_name", "selectivity"), [*keys, "column_name"], "left")
+    per = known.groupBy(*keys, "index_name").agg(
         F.sort_array(F.collect_list(F.struct("seq", "column_name", "selectivity"))).alias("_s"),
         F.sort_array(F.collect_list(F.struct((-F.col("selectivity")).alias("rank"), "seq", "column_name"))).alias("_r"),
         F.bool_and(F.col("selectivity").isNotNull()).alias("_known"),
     )
     now = F.transform("_s", lambda s: s["column_name"])
     best = F.transform("_r", lambda s: s["column_name"])
-    return per.filter(F.col("_known") & (F.size("_s") > 1)).select("table_name", "index_name", now.alias("cols"), best.alias("advised")).filter(
+    return per.filter(F.col("_known") & (F.size("_s") > 1)).select(*keys, "index_name", now.alias("cols"), best.alias("advised")).filter(
         F.col("cols") != F.col("advised")
     )
 
 
-def column_index_count(indexes: DataFrame, limit: int = 2) -> DataFrame:
+def column_index_count(indexes: DataFrame, limit: int = 2, keys=TABLE) -> DataFrame:
     """Columns used in more than ``limit`` indexes."""
-    return indexes.groupBy("table_name", "column_name").agg(F.count_distinct("index_name").alias("index_count")).filter(F.col("index_count") > limit)
+    return indexes.groupBy(*keys, "column_name").agg(F.count_distinct("index_name").alias("index_count")).filter(F.col("index_count") > limit)
 
 
-def charset_mismatch(columns: DataFrame, tables: DataFrame) -> DataFrame:
+def charset_mismatch(columns: DataFrame, tables: DataFrame, keys=TABLE) -> DataFrame:
     """Columns whose character set is not their table's."""
-    joined = columns.filter("charset IS NOT NULL").join(tables.select("table_name", F.col("charset").alias("table_charset")), "table_name")
-    return joined.filter("charset <> table_charset").select("table_name", "column_name", "charset", "table_charset")
+    joined = columns.filter("charset IS NOT NULL").join(tables.select(*keys, F.col("charset").alias("table_charset")), [*keys])
+    return joined.filter("charset <> table_charset").select(*keys, "column_name", "charset", "table_charset")
 
 
 def trx_check(transactions: DataFrame, now: str, seconds: int) -> DataFrame:
@@ -194,24 +198,24 @@ def trx_check(transactions: DataFrame, now: str, seconds: int) -> DataFrame:
     )
 
 
-def catalogue_columns(columns: DataFrame, tables: DataFrame, indexes: DataFrame) -> DataFrame:
+def catalogue_columns(columns: DataFrame, tables: DataFrame, indexes: DataFrame, keys=TABLE) -> DataFrame:
     """Columns with the figures the column rules read."""
-    uses = indexes.groupBy("table_name", "column_name").agg(F.count_distinct("index_name").alias("_uses"))
-    of_table = tables.select("table_name", F.col("charset").alias("table_charset"), F.col("collation_name").alias("table_collation"))
+    uses = indexes.groupBy(*keys, "column_name").agg(F.count_distinct("index_name").alias("_uses"))
+    of_table = tables.select(*keys, F.col("charset").alias("table_charset"), F.col("collation_name").alias("table_collation"))
     return (
-        columns.join(uses, ["table_name", "column_name"], "left")
-        .join(of_table, "table_name", "left")
+        columns.join(uses, [*keys, "column_name"], "left")
+        .join(of_table, [*keys], "left")
         .withColumns({"index_count": F.coalesce("_uses", F.lit(0)), "in_index": F.col("_uses").isNotNull()})
     )
 
 
-def catalogue_tables(tables: DataFrame, columns: DataFrame, indexes: DataFrame) -> DataFrame:
+def catalogue_tables(tables: DataFrame, columns: DataFrame, indexes: DataFrame, keys=TABLE) -> DataFrame:
     """Tables with the figures the table rules read."""
     c = F.col
     now = c("default_value") == "CURRENT_TIMESTAMP"
     renewed = F.contains(F.lower("extra"), F.lit("on update current_timestamp"))
     text = F.expr(_TEXT)
-    per_column = columns.groupBy("table_name").agg(
+    per_column = columns.groupBy(*keys).agg(
         F.count("*").alias("column_count"),
         F.count_if("is_primary_key").alias("pk_columns"),
         F.count_if(c("is_primary_key") & c("is_auto_increment")).alias("pk_auto_increment"),
@@ -222,48 +226,48 @@ def catalogue_tables(tables: DataFrame, columns: DataFrame, indexes: DataFrame)
         F.collect_set(F.when(now, F.upper("column_name"))).alias("created_columns"),
         F.collect_set(F.when(now & renewed, F.upper("column_name"))).alias("updated_columns"),
     )
-    per_index = indexes.groupBy("table_name").agg(
+    per_index = indexes.groupBy(*keys).agg(
         F.count_distinct("index_name").alias("_total"), F.count_distinct(F.when(c("constraint_type") != "PRIMARY KEY", c("index_name"))).alias("_secondary")
     )
-    joined = tables.join(per_column, "table_name").join(per_index, "table_name", "left")
+    joined = tables.join(per_column, [*keys]).join(per_index, [*keys], "left")
     return joined.withColumns({"index_total": F.coalesce("_total", F.lit(0)), "secondary_total": F.coalesce("_secondary", F.lit(0))})
 
 
-def object_names(tables: DataFrame, columns: DataFrame, indexes: DataFrame, reserved=RESERVED_WORDS) -> DataFrame:
+def object_names(tables: DataFrame, columns: DataFrame, indexes: DataFrame, reserved=RESERVED_WORDS, keys=TABLE) -> DataFrame:
     """Names of tables, columns and indexes, each once per table."""
-    name = lambda df, kind, n: df.select("table_name", F.lit(kind).alias("object_type"), F.col(n).alias("object_name"))
+    name = lambda df, kind, n: df.select(*keys, F.lit(kind).alias("object_type"), F.col(n).alias("object_name"))
     names = (
         name(tables, "table", "table_name")
         .unionByName(name(columns, "column", "column_name"))
-        .unionByName(name(indexes.select("table_name", "index_name").distinct(), "index", "index_name"))
+        .unionByName(name(indexes.select(*keys, "index_name").distinct(), "index", "index_name"))
     )
     return names.withColumn("is_reserved", F.upper("object_name").isin(*reserved))
 
 
 def audit_catalog(
-    tables: DataFrame, columns: DataFrame, indexes: DataFrame, constraints: DataFrame | None = None, reserved=RESERVED_WORDS, settings=None
+    tables: DataFrame, columns: DataFrame, indexes: DataFrame, constraints: DataFrame | None = None, reserved=RESERVED_WORDS, settings=None, keys=TABLE
 ) -> DataFrame:
-    """L3: (object_type, table_name, object_name, rule_name, level, message)."""
-    lists = indexes_with_columns(indexes)
-    described = lists.join(redundant_index(lists).select("table_name", "index_name", "redundancy"), ["table_name", "index_name"], "left").withColumn(
+    """L3: (object_type, keys of the table, object_name, rule_name, level, message)."""
+    lists = indexes_with_columns(indexes, keys)
+    described = lists.join(redundant_index(lists, keys).select(*keys, "index_name", "redundancy"), [*keys, "index_name"], "left").withColumn(
         "plain", ~F.col("is_unique") & ~F.col("is_primary")
     )
     typed = lambda df, kind, n: df.withColumns({"object_type": F.lit(kind), "object_name": F.col(n)})
     jobs = [
-        (typed(catalogue_columns(columns, tables, indexes), "column", "column_name"), COLUMN_RULES),
-        (typed(catalogue_tables(tables, columns, indexes), "table", "table_name"), TABLE_RULES),
+        (typed(catalogue_columns(columns, tables, indexes, keys), "column", "column_name"), COLUMN_RULES),
+        (typed(catalogue_tables(tables, columns, indexes, keys), "table", "table_name"), TABLE_RULES),
         (typed(described, "index", "index_name"), INDEX_RULES),
-        (object_names(tables, columns, indexes, reserved), NAME_RULES),
+        (object_names(tables, columns, indexes, reserved, keys), NAME_RULES),
     ]
     if constraints is not None:
-        held = indexes.select("table_name", "column_name").distinct().withColumn("_ix", F.lit(True))
-        joined = constraints.join(held, ["table_name", "column_name"], "left").withColumn("in_index", F.col("_ix").isNotNull())
+        held = indexes.select(*keys, "column_name").distinct().withColumn("_ix", F.lit(True))
+        joined = constraints.join(held, [*keys, "column_name"], "left").withColumn("in_index", F.col("_ix").isNotNull())
         jobs.append((typed(joined, "constraint", "column_name"), CONSTRAINT_RULES))
     found = None
     for df, rules in jobs:
         chosen = configure(rules, settings)
         if chosen:
-            part = violations(df, chosen, "object_type", "table_name", "object_name")
+            part = violations(df, chosen, "object_type", *keys, "object_name")
             found = part if found is None else found.unionByName(part)
     return found
 

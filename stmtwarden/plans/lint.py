@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from stmtwarden.functions.statement_columns import statement_columns
-from stmtwarden.lint import catalog_rules, column_rules, other_rules, plan_rules, profile_rules, text_rules
+from stmtwarden.lint import catalog_rules, column_rules, ddl_rules, other_rules, plan_rules, profile_rules, text_rules
 from stmtwarden.operators import profile as P
 from stmtwarden.plans import dialect as D
 from stmtwarden.registry import query
+from stmtwarden.session import fresh_dir
 
 c = F.col
 TEXT = D.text_features("statement_corpus")
@@ -100,6 +101,49 @@ def _(t):
     return found.select(*_KEYS, "rule_name", "level")
 
 
+_DDL_CATALOG = """
+ddl_col AS (SELECT * REPLACE (is_nullable AND NOT is_primary_key AS is_nullable) FROM schema_columns),
+ddl_ix AS (SELECT * FROM schema_indexes WHERE constraint_type = 'INDEX' AND table_name IN (SELECT table_name FROM schema_tables)
+  UNION ALL SELECT table_name, 'PRIMARY', ordinal + 1, column_name, TRUE, 'BTREE', 'PRIMARY KEY', 0 FROM schema_columns WHERE is_primary_key),""" + (
+    _CATALOG.replace("schema_columns", "ddl_col").replace("schema_indexes", "ddl_ix"))
+
+
+def ddl_texts(t):
+    """One CREATE TABLE statement for each table of the catalogue."""
+    word = lambda test, text: F.when(test, text).otherwise("")
+    quoted = lambda name: F.concat(F.lit("`"), c(name), F.lit("`"))
+    column = F.concat(
+        quoted("column_name"), F.lit(" "), c("data_type"), F.lit("("), c("column_width").cast("string"), F.lit(")"), word(c("is_unsigned"), " UNSIGNED"),
+        word(c("charset").isNotNull(), F.concat(F.lit(" CHARACTER SET "), c("charset"))), word(c("collation_name").isNotNull(), F.concat(F.lit(" COLLATE "), c("collation_name"))),
+        word(~c("is_nullable"), " NOT NULL"), word(c("default_value").isNotNull(), F.concat(F.lit(" DEFAULT "), F.when(c("default_value") == "0", "'0'").otherwise(c("default_value")))),
+        F.lit(" "), c("extra"), word(c("is_auto_increment"), " AUTO_INCREMENT"), word(c("is_primary_key"), " PRIMARY KEY"),
+        word(c("column_comment") != "", F.concat(F.lit(" COMMENT '"), c("column_comment"), F.lit("'"))),
+    )
+    listed = lambda of: F.transform(F.sort_array(F.collect_list(of)), lambda x: x["text"])
+    columns = t.schema_columns.groupBy("table_name").agg(listed(F.struct("ordinal", column.alias("text"))).alias("columns"))
+    kind = F.when(F.bool_or("is_unique"), "UNIQUE KEY ").when(F.max("index_type") != "BTREE", F.concat(F.max("index_type"), F.lit(" INDEX "))).otherwise("KEY ")
+    one = t.schema_indexes.filter("constraint_type = 'INDEX'").groupBy("table_name", "index_name").agg(
+        F.concat(kind, quoted("index_name"), F.lit(" ("), F.array_join(listed(F.struct("seq", quoted("column_name").alias("text"))), ", "), F.lit(")")).alias("text")
+    )
+    indexes = one.groupBy("table_name").agg(F.sort_array(F.collect_list("text")).alias("indexes"))
+    none = F.array().cast("array<string>")
+    items = F.concat("columns", F.coalesce("indexes", none), F.when(c("has_foreign_key"), F.array(F.lit("FOREIGN KEY (c1) REFERENCES other (c1)"))).otherwise(none))
+    text = F.concat(
+        F.lit("CREATE TABLE "), c("schema_name"), F.lit("."), quoted("table_name"), F.lit(" ("), F.array_join(items, ", "), F.lit(") ENGINE="), c("engine"),
+        F.lit(" AUTO_INCREMENT="), c("auto_increment_start").cast("string"), F.lit(" DEFAULT CHARSET="), c("charset"), F.lit(" COLLATE "), c("collation_name"),
+        word(c("table_comment") != "", F.concat(F.lit(" COMMENT='"), c("table_comment"), F.lit("'"))), word(c("is_partitioned"), " PARTITION BY HASH (c0) PARTITIONS 4"),
+    )
+    return t.schema_tables.join(columns, "table_name").join(indexes, "table_name", "left").select(c("table_name").alias("id"), text.alias("sql_text"))
+
+
+# The statements are written from the catalogue; the SQL judges the catalogue itself, so what is read out of the texts must give it back.
+@query("l3_audit_ddl", f"WITH {_DDL_CATALOG} " + " UNION ALL ".join(
+    D.violations(src, rules, *_KEYS).replace("array_contains(", "list_contains(").replace("endswith(", "ends_with(").replace("array_join(", "array_to_string(")
+    for src, rules in (("col", catalog_rules.COLUMN_RULES), ("tab", catalog_rules.TABLE_RULES), ("ind", catalog_rules.INDEX_RULES), ("nam", catalog_rules.NAME_RULES))))
+def _(t):
+    return ddl_rules.audit_definitions(ddl_texts(t), store=fresh_dir(t.spark, "definitions")).select(*_KEYS, "rule_name", "level")
+
+
 @query("l4_audit_plans", "WITH s AS (SELECT p.*, t.size_mb FROM plan_rows p LEFT JOIN schema_tables t ON t.table_name = p.table_name) "
        "SELECT DISTINCT sql_id, rule_name, level FROM (" + D.violations("s", plan_rules.ROW_RULES, "sql_id").replace("concat(',', lower(", "concat(',', lower(") + ") z")
 def _(t):
