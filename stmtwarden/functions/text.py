@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stmtwarden.functions.words import RESERVED_WORDS
+
 STRING = r"""'[^'\\]*+(?:(?:\\[\s\S]|'')[^'\\]*+)*+'|"[^"\\]*+(?:(?:\\[\s\S]|"")[^"\\]*+)*+\""""
 COMMENT = r"/\*[^*]*+\*+(?:[^/*][^*]*+\*+)*+/|--[^\n]*|#[^\n]*"
 NUMBER = r"0[xX][0-9A-Fa-f]+|[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|\.[0-9]+"
@@ -18,7 +20,7 @@ WORD = r"[A-Za-z_$@\x{80}-\x{10FFFF}][A-Za-z0-9_$@\x{80}-\x{10FFFF}]*|`[^`]*`"
 TOKEN = f"{STRING}|{COMMENT}|{WORD}|{NUMBER}|<=>|<=|>=|<>|!=|:=|\\|\\||&&|[^\\s]"
 STRING_OR_COMMENT = f"({STRING})|{COMMENT}"
 
-# Keywords shown in upper case in a fingerprint.
+# Keywords shown in upper case in a fingerprint, beside the reserved words.
 KEYWORDS = """
 ADD AFTER ALL ALTER ANALYZE AND AS ASC AUTO_INCREMENT AVG BEFORE BETWEEN BIGINT BINARY BLOB BY CALL CASCADE CASE CHANGE CHAR CHARACTER
 CHECK COLLATE COLUMN COMMENT COMMIT CONSTRAINT COUNT CREATE CROSS CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP DATABASE DATE DATETIME DECIMAL
@@ -29,6 +31,15 @@ REFERENCES REGEXP RENAME REPLACE REVOKE RIGHT RLIKE ROLLBACK SCHEMA SELECT SESSI
 THEN TIMESTAMP TINYINT TO TRANSACTION TRIGGER TRUE TRUNCATE UNION UNIQUE UNSIGNED UPDATE USE USING VALUES VARCHAR VIEW WHEN WHERE WITH XOR
 """.split()
 
+#: Words always shown in upper case.
+UPPER_WORDS = sorted({*KEYWORDS, *RESERVED_WORDS})
+
+# What stands before a name that a bracket may follow without making it a function.
+BEFORE_NAMES = """
+. INTO TABLE UPDATE INSERT REPLACE IGNORE FROM JOIN KEY INDEX UNIQUE FULLTEXT SPATIAL REFERENCES CONSTRAINT EXISTS WITH RECURSIVE VIEW PROCEDURE FUNCTION
+CALL AS
+""".split()
+
 _LITERAL_STARTS = tuple("'\"0123456789")
 
 
@@ -43,18 +54,32 @@ def _is_comment(t: Column) -> Column:
 
 
 def fingerprint(sql: Column, upper_names: bool = False) -> Column:
-    """Each literal becomes ``?``, keywords (or all words) are upper-cased.
+    """Each literal becomes ``?``, keywords and functions (or all words) are upper-cased.
 
-    Token-level: spacing and comments do not matter, nesting is not looked at.
+    Token-level: spacing and comments do not matter, nesting is not looked at. A
+    function is a word before a bracket, unless what precedes it makes it a name.
     A text without any token is returned as it is.
     """
     upper = F.upper
-    word = upper if upper_names else (lambda t: F.when(upper(t).isin(KEYWORDS), upper(t)).otherwise(t))
     kept = F.filter(tokens(sql), lambda t: ~_is_comment(t) & (t != ";"))
     # ".5" is a literal, a lone "." is not
     is_literal = lambda t: F.substring(t, 1, 1).isin(*_LITERAL_STARTS) | t.rlike(r"^\.[0-9]")
-    shown = F.array_join(F.transform(kept, lambda t: F.when(is_literal(t), "?").otherwise(word(t))), " ")
-    return F.coalesce(F.nullif(shown, F.lit("")), sql)
+
+    def shown(k: Column) -> Column:
+        creates = upper(F.get(k, F.lit(0))) == "CREATE"
+
+        def is_function(t, i):
+            before = F.coalesce(upper(F.get(k, i - 1)), F.lit(""))
+            return (F.get(k, i + 1) == "(") & ~before.isin(BEFORE_NAMES) & ~((before == "ON") & creates) & ~F.startswith(t, F.lit("`"))
+
+        def word(t, i):
+            return upper(t) if upper_names else F.when(upper(t).isin(UPPER_WORDS), upper(t)).when(is_function(t, i), upper(t)).otherwise(t)
+
+        return F.array_join(F.transform(k, lambda t, i: F.when(is_literal(t), "?").otherwise(word(t, i))), " ")
+
+    # An array of one, so that the tokens are cut once and their neighbours looked up.
+    text = F.get(F.transform(F.array(kept), shown), F.lit(0))
+    return F.coalesce(F.nullif(text, F.lit("")), sql)
 
 
 def strip_comments(sql: Column) -> Column:

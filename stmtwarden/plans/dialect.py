@@ -9,15 +9,20 @@ def plain(pattern: str) -> str:
 
 
 def fingerprint(x: str, upper_names: bool = False) -> str:
-    words = ", ".join(f"'{k}'" for k in T.KEYWORDS)
-    word = "UPPER(t)" if upper_names else f"CASE WHEN UPPER(t) IN ({words}) THEN UPPER(t) ELSE t END"
+    quoted = lambda words: ", ".join(f"'{k}'" for k in words)
+    before = "COALESCE(UPPER(k[i - 1]), '')"
+    function = (
+        f"(COALESCE(k[i + 1], '') = '(' AND {before} NOT IN ({quoted(T.BEFORE_NAMES)}) AND NOT ({before} = 'ON' AND UPPER(k[1]) = 'CREATE') "
+        "AND NOT starts_with(t, '`'))"
+    )
+    word = "UPPER(t)" if upper_names else f"CASE WHEN UPPER(t) IN ({quoted(T.UPPER_WORDS)}) OR {function} THEN UPPER(t) ELSE t END"
     kept = (
         f"list_filter(regexp_extract_all({x}, {plain(T.TOKEN)}), lambda t: NOT (starts_with(t, '/*') OR starts_with(t, '--') "
         "OR starts_with(t, '#')) AND t <> ';')"
     )
     shown = (
-        f"array_to_string(list_transform({kept}, lambda t: CASE WHEN regexp_matches(t, '^[''\"0-9]') OR regexp_matches(t, '^\\.[0-9]') "
-        f"THEN '?' ELSE {word} END), ' ')"
+        f"list_transform([{kept}], lambda k: array_to_string(list_transform(k, lambda t, i: CASE WHEN regexp_matches(t, '^[''\"0-9]') "
+        f"OR regexp_matches(t, '^\\.[0-9]') THEN '?' ELSE {word} END), ' '))[1]"
     )
     return f"COALESCE(NULLIF({shown}, ''), {x})"
 

@@ -23,6 +23,15 @@ FINGERPRINTS = [
     ("select '-- no comment' from `my table`", "SELECT ? FROM `my table`"),
     ("update t set a=-1 where b<=.5", "UPDATE t SET a = - ? WHERE b <= ?"),
     ("select ähnlich from größe", "SELECT ähnlich FROM größe"),
+    ("select now(), cast(a as signed), if(b, 1, 2)", "SELECT NOW ( ) , CAST ( a AS signed ) , IF ( b , ? , ? )"),
+    ("SELECT NOW(), CAST(a AS signed), IF(b, 3, 4)", "SELECT NOW ( ) , CAST ( a AS signed ) , IF ( b , ? , ? )"),
+    ("insert into tab (a) values (lower('x'))", "INSERT INTO tab ( a ) VALUES ( LOWER ( ? ) )"),
+    ("insert into db.tab (a) select b from u", "INSERT INTO db . tab ( a ) SELECT b FROM u"),
+    ("create index idx_a on tab (a)", "CREATE INDEX idx_a ON tab ( a )"),
+    ("select a from t join u on lower(t.x) = u.y", "SELECT a FROM t JOIN u ON LOWER ( t . x ) = u . y"),
+    ("create table if not exists tab (a int, key idx (a))", "CREATE TABLE IF NOT EXISTS tab ( a INT , KEY idx ( a ) )"),
+    ("with d (p) as (select 1) select `f` (p), date_format(p, 'x') from d", "WITH d ( p ) AS ( SELECT ? ) SELECT `f` ( p ) , DATE_FORMAT ( p , ? ) FROM d"),
+    ("select a from t where x regexp 'a' order by b", "SELECT a FROM t WHERE x REGEXP ? ORDER BY b"),
     ("", ""),
     ("/* only a comment */", "/* only a comment */"),
 ]
