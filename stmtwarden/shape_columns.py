@@ -1,4 +1,4 @@
-"""Columns of each statement shape, checked by eye against the shape's text.
+"""Columns of each statement shape, taken from a run and then read against the shape's text.
 
 Each line: shape, table, column, clause, position, operator, function, literal kind,
 other table, other column.
