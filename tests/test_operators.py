@@ -230,3 +230,19 @@ def test_kind_of_changes_with_common_tables(spark):
     cases = {"WITH x AS (SELECT 1) DELETE FROM t": "DML", "with x as (select ')' ), y as (select 2) update t set a = 1": "DML", "WITH x AS (SELECT ') DELETE') SELECT 1": "DQL", "(SELECT 1)": "DQL", "DROP TABLE t": "DDL"}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     assert {r.s: r.k for r in df.select("s", sql_kind(F.col("s")).alias("k")).collect()} == cases
+
+
+def test_blocklist_never_sends_statements_to_all_tasks(spark, tmp_path):
+    """A stream's batch is planned from file sizes alone: a small file of statements must not become a join's broadcast side once it is cut into grams."""
+    log = spark.createDataFrame([(n, ["10.0.0.1", "host"], "SELECT a", "SELECT a", "i1", "u1") for n in range(3)], "id long, endpoints array<string>, sql_text string, sql_fingerprint string, instance_id string, db_user string")
+    log.write.parquet(f"{tmp_path}/log")
+    kinds = ("sql", "fp_sql", "host", "instance", "db_user", "ip")
+    spark.createDataFrame([(n, kinds[n % 6], chr(97 + n % 26) + "q") for n in range(3000)] + [(3000, "sql", " a"), (3001, "cidr", "10.0.0.0/8")], BLOCK_SCHEMA).write.parquet(f"{tmp_path}/list")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = lists.blocklist_match(spark.read.parquet(f"{tmp_path}/log"), spark.read.parquet(f"{tmp_path}/list"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {r.matched_id for r in found.collect()} == {3001}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "BuildRight" in plan and "BuildLeft" not in plan
