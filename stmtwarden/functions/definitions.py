@@ -53,8 +53,18 @@ def _marked(text: Column) -> Column:
         )
         return F.struct(F.greatest(F.lit(0), deep + F.when(x == "(", 1).when(x == ")", -1).otherwise(0)).alias("deep"), F.array_append(at["out"], shown).alias("out"))
 
-    start = F.struct(F.lit(0).alias("deep"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(pieces, start, step, lambda at: F.array_join(at["out"], ""))
+    # Pieces are joined in runs of about the root of their number, as each one added to an array copies it.
+    none = F.array().cast("array<string>")
+
+    def run(at, some):
+        return F.aggregate(some, F.struct(at["deep"].alias("deep"), none.alias("out")), step, lambda z: F.struct(z["deep"].alias("deep"), F.array_append(at["out"], F.array_join(z["out"], "")).alias("out")))
+
+    def joined(all_):
+        wide = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / wide).cast("int")), lambda k: F.slice(all_, k * wide + 1, wide))
+        return F.aggregate(runs, F.struct(F.lit(0).alias("deep"), none.alias("out")), run, lambda at: F.array_join(at["out"], ""))
+
+    return F.get(F.transform(F.array(pieces), lambda all_: F.when(F.size(all_) == 0, "").otherwise(joined(all_))), F.lit(0))
 
 
 def _plain(text: Column) -> Column:
@@ -62,13 +72,23 @@ def _plain(text: Column) -> Column:
     return F.translate(text, BODY + ITEM + END, "(,)")
 
 
-def _literal(text: Column) -> Column:
-    """What a numbered literal stands for, without its quotes; other texts as they are."""
-    raw = F.get("_strings", F.regexp_extract(text, "^'([0-9]+)'$", 1).cast("int"))
-    inner = F.substr(raw, F.lit(2), F.length(raw) - 2)
+def _literal(text: Column, raw) -> Column:
+    """What a numbered literal stands for, without its quotes; other texts as they are. ``raw`` gives the literal of a number."""
+    whole = raw(F.regexp_extract(text, "^'([0-9]+)'$", 1))
+    inner = F.substr(whole, F.lit(2), F.length(whole) - 2)
     return F.when(text.rlike("^'[0-9]+'$"), F.regexp_replace(F.regexp_replace(inner, r"''|\"\"", "'"), r"\\(.)", "$1")).otherwise(text)
 
 
+def _nth(number: Column) -> Column:
+    return F.get("_strings", number.try_cast("int"))
+
+
+def _with_literals(items: Column) -> Column:
+    """Items with the literals they hold, so that a row of one item need not carry all of its statement."""
+    numbers = lambda x: F.regexp_extract_all(x["item"], F.lit("'([0-9]+)'"), F.lit(1))
+    return F.transform(items, lambda x: F.struct(x["item"].alias("item"), F.transform(numbers(x), lambda n: F.struct(n.alias("n"), _nth(n).alias("text"))).alias("literals")))
+
+
 def _option(text: Column, word: str, value: str = r"('[0-9]+'|\w+)") -> Column:
     return F.nullif(F.regexp_extract(text, rf"(?i)\b(?:{word})\s*=?\s*{value}", 1), F.lit(""))
 
@@ -83,7 +103,8 @@ def definitions(statements: DataFrame) -> DataFrame:
     c = F.col
     code = F.translate(code_text(c("sql_text")), BODY + ITEM + END + SPEC, "    ")
     df = statements.select("id", code.alias("_code")).filter(c("_code").rlike(r"(?i)^(?:CREATE|ALTER)\b.*\b(?:TABLE|INDEX)\b"))
-    numbered = F.transform(F.split("_code", STRING), lambda x, n: F.concat(x, F.when(n < F.size("_strings"), F.concat(F.lit("'"), n.cast("string"), F.lit("'"))).otherwise("")))
+    # A filter on the text is pushed below its columns, so nothing inside the lambda may read the literals: it would cut them out anew for each piece.
+    numbered = F.transform(F.split("_code", STRING), lambda x, n: F.concat(F.when(n > 0, F.concat(F.lit("'"), (n - 1).cast("string"), F.lit("'"))).otherwise(""), x))
     df = df.withColumn("_strings", F.regexp_extract_all("_code", F.lit(f"({STRING})"), F.lit(1))).withColumn("_text", F.array_join(numbered, ""))
     df = df.withColumn(
         "action", F.when(c("_text").rlike(CREATE), "create").when(c("_text").rlike(ALTER), "alter").when(c("_text").rlike(INDEX_ON), "index")
@@ -126,7 +147,7 @@ def defined_tables(defined: DataFrame) -> DataFrame:
     """One row per CREATE TABLE, in the shape of a catalogue's tables."""
     c = F.col
     o = c("options")
-    text = lambda word: _literal(_option(o, word))
+    text = lambda word: _literal(_option(o, word), _nth)
     return defined.filter("action = 'create'").select(
         *KEYS,
         text("ENGINE").alias("engine"),
@@ -165,9 +186,11 @@ def _column_items(defined: DataFrame) -> DataFrame:
     # Columns of the key that the list itself names as primary: none of them is nullable.
     keys = F.filter("items", lambda x: (x["sort"] == "index") & x["item"].rlike(r"(?i)^\s*(?:CONSTRAINT\b.*?)?PRIMARY\s+KEY\b"))
     named = F.flatten(F.transform(keys, lambda x: F.transform(F.split(F.regexp_extract(x["item"], INDEX, 4), ","), lambda y: F.lower(_bare(F.regexp_extract(y, rf"^\s*({_NAME})", 1))))))
-    rows = defined.select(*KEYS, "_strings", named.alias("_pk"), F.posexplode(own).alias("ordinal", "_item")).filter(c("_item.item").rlike(COLUMN))
+    # What is the same for all columns of a statement is found out before they become rows: beside the explode it would be anew for each.
+    whole = defined.select(*KEYS, named.alias("_pk"), _with_literals(own).alias("_own"))
+    rows = whole.select(*KEYS, "_pk", F.posexplode("_own").alias("ordinal", "_item")).filter(c("_item.item").rlike(COLUMN))
     part = lambda g: F.regexp_extract("_item.item", COLUMN, g)
-    return rows.select(*KEYS, "_strings", "_pk", c("ordinal").cast("bigint").alias("ordinal"), _bare(part(1)).alias("column_name"), F.lower(part(2)).alias("_type"), part(3).alias("_size"), part(4).alias("_rest"))
+    return rows.select(*KEYS, c("_item.literals").alias("_literals"), "_pk", c("ordinal").cast("bigint").alias("ordinal"), _bare(part(1)).alias("column_name"), F.lower(part(2)).alias("_type"), part(3).alias("_size"), part(4).alias("_rest"))
 
 
 def defined_columns(defined: DataFrame) -> DataFrame:
@@ -178,9 +201,10 @@ def defined_columns(defined: DataFrame) -> DataFrame:
     c = F.col
     rows = _column_items(defined)
     rest = c("_rest")
+    held = lambda number: F.get(F.filter("_literals", lambda s: s["n"] == number), F.lit(0))["text"]
     key = rest.rlike(r"(?i)\bPRIMARY\s+KEY\b") | F.array_contains("_pk", F.lower("column_name"))
     value = F.nullif(F.regexp_extract("_rest", DEFAULT, 1), F.lit(""))
-    value = F.when(value.rlike(NOW), "CURRENT_TIMESTAMP").when(F.upper(value) != "NULL", _literal(value))
+    value = F.when(value.rlike(NOW), "CURRENT_TIMESTAMP").when(F.upper(value) != "NULL", _literal(value, held))
     other = c("_type")
     for name, same in TYPE_NAMES.items():
         other = F.when(c("_type") == name, same).otherwise(other)
@@ -196,7 +220,7 @@ def defined_columns(defined: DataFrame) -> DataFrame:
         rest.rlike(r"(?i)\bAUTO_INCREMENT\b").alias("is_auto_increment"),
         value.alias("default_value"),
         F.when(rest.rlike(r"(?i)\bON\s+UPDATE\s+(?:CURRENT_TIMESTAMP|NOW)\b"), "on update CURRENT_TIMESTAMP").otherwise("").alias("extra"),
-        F.coalesce(_literal(_option(rest, "COMMENT", "('[0-9]+')")), F.lit("")).alias("column_comment"),
+        F.coalesce(_literal(_option(rest, "COMMENT", "('[0-9]+')"), held), F.lit("")).alias("column_comment"),
         F.lower(_option(rest, r"CHARACTER\s+SET|CHARSET", r"(\w+)")).alias("charset"),
         F.lower(_option(rest, "COLLATE", r"(\w+)")).alias("collation_name"),
     )

@@ -159,3 +159,20 @@ def test_equal_names_in_two_schemas(spark, keys):
     tables = spark.createDataFrame([("one", "t", "utf8mb4"), ("two", "t", "latin1")], "schema_name string, table_name string, charset string")
     cols = spark.createDataFrame([("one", "t", "a", "latin1"), ("two", "t", "a", "latin1")], "schema_name string, table_name string, column_name string, charset string")
     assert [r.schema_name for r in catalog_rules.charset_mismatch(cols, tables, keys).collect()] == ["one"]
+
+
+def test_long_tables_are_read_in_step_with_their_length(spark):
+    """Columns carry their own literals only, and neither the definition list nor the key is read again for each of them."""
+    cols = ", ".join(f"c{n} int default '{n}' comment 'x, ({n})'" for n in range(300))
+    found = defined(spark, f"create table t ({cols}, primary key (c1, C7)) comment='all'", "create table u (a int (", "create table v")
+    columns = D.defined_columns(found)
+    rows = {(r.id, r.column_name): r for r in columns.collect()}
+    assert len([k for k in rows if k[0] == 0]) == 300
+    assert all((rows[0, f"c{n}"].default_value, rows[0, f"c{n}"].column_comment) == (str(n), f"x, ({n})") for n in range(300))
+    assert [n for n in range(300) if rows[0, f"c{n}"].is_primary_key] == [1, 7]
+    assert D.defined_tables(found).filter("id = 0").first().table_comment == "all"
+    plan = columns._jdf.queryExecution().optimizedPlan().toString()
+    generate = plan[plan.index("Generate"):]
+    carried = generate[: generate.index("\n")]
+    above = plan[: plan.index("Generate")]
+    assert "_strings" not in carried and "items" not in above and "_strings" not in above
