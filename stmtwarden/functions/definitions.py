@@ -188,7 +188,7 @@ def _column_items(defined: DataFrame) -> DataFrame:
     named = F.flatten(F.transform(keys, lambda x: F.transform(F.split(F.regexp_extract(x["item"], INDEX, 4), ","), lambda y: F.lower(_bare(F.regexp_extract(y, rf"^\s*({_NAME})", 1))))))
     # What is the same for all columns of a statement is found out before they become rows: beside the explode it would be anew for each.
     whole = defined.select(*KEYS, named.alias("_pk"), _with_literals(own).alias("_own"))
-    rows = whole.select(*KEYS, "_pk", F.posexplode("_own").alias("ordinal", "_item")).filter(c("_item.item").rlike(COLUMN))
+    rows = whole.select(*KEYS, "_pk", F.posexplode_outer("_own").alias("ordinal", "_item")).filter(c("_item.item").rlike(COLUMN))
     part = lambda g: F.regexp_extract("_item.item", COLUMN, g)
     return rows.select(*KEYS, c("_item.literals").alias("_literals"), "_pk", c("ordinal").cast("bigint").alias("ordinal"), _bare(part(1)).alias("column_name"), F.lower(part(2)).alias("_type"), part(3).alias("_size"), part(4).alias("_rest"))
 

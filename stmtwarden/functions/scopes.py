@@ -43,21 +43,27 @@ def _depth(text: Column) -> Column:
 
 def _peel(at: Column, _) -> Column:
     """One round: queries in innermost parentheses are cut out, other parentheses change their brackets."""
-    text = F.regexp_replace(at["text"], OTHER, f"{OPEN}$1{CLOSE}")
-    found = F.regexp_extract_all(text, F.lit(QUERY), F.lit(0))
     first = F.size(at["levels"]) + 1
-    mark = lambda n: F.when(n < F.size(found), F.concat(F.lit(f"{OPEN}@"), (first + n).cast("string"), F.lit(CLOSE))).otherwise("")
-    left = F.array_join(F.transform(F.split(text, QUERY), lambda piece, n: F.concat(piece, mark(n))), "")
-    cut = F.transform(found, lambda x, n: F.struct((first + n).alias("scope"), x.alias("text")))
-    return F.struct(left.alias("text"), F.concat(at["levels"], cut).alias("levels"))
+
+    def parts(z):
+        mark = lambda n: F.when(n < F.size(z["found"]), F.concat(F.lit(f"{OPEN}@"), (first + n).cast("string"), F.lit(CLOSE))).otherwise("")
+        left = F.array_join(F.transform(F.split(z["text"], QUERY), lambda piece, n: F.concat(piece, mark(n))), "")
+        cut = F.transform(z["found"], lambda x, n: F.struct((first + n).alias("scope"), x.alias("text")))
+        return F.struct(left.alias("text"), F.concat(at["levels"], cut).alias("levels"))
+
+    # The queries are looked for once a round, not once for each piece.
+    read = F.transform(F.array(F.regexp_replace(at["text"], OTHER, f"{OPEN}$1{CLOSE}")), lambda x: F.struct(x.alias("text"), F.regexp_extract_all(x, F.lit(QUERY), F.lit(0)).alias("found")))
+    return F.get(F.transform(read, parts), F.lit(0))
 
 
 def _comparable(text: Column) -> Column:
     """Comparisons that name a constant first, with their sides swapped; ALL, ANY and SOME before a sub-query left out."""
     text = F.regexp_replace(text, r"(?i)\b(?:ALL|ANY|SOME)\s*(?=\(@)", "")
+    swapped = text
     for sign, other in MIRRORED.items():
-        text = F.regexp_replace(text, CONSTANT_FIRST.replace("{op}", rf"{sign}(?![<>=])"), f"$1$4 {other} $2")
-    return text
+        swapped = F.regexp_replace(swapped, CONSTANT_FIRST.replace("{op}", rf"{sign}(?![<>=])"), f"$1$4 {other} $2")
+    # One search tells the texts that have any; what is swapped starts with a name and is not found again.
+    return F.when(text.rlike(CONSTANT_FIRST.replace("{op}", "[<>!=]+")), swapped).otherwise(text)
 
 
 def _full(name: Column) -> Column:
@@ -108,7 +114,9 @@ def statement_scopes(statements: DataFrame) -> DataFrame:
         return F.struct(q["scope"], q["branch"], q["bare"], q["common"], q["tables"], above["scope"].alias("parent"), above["branch"].alias("above"),
                         F.coalesce(beside | defines, F.lit(False)).alias("closed"))
 
-    df = df.withColumn("_placed", F.transform("_queries", placed)).withColumn("q", F.explode("_placed"))
+    # Every statement has a query. Of a plain explode Spark infers that the array is not empty and checks that below
+    # all columns, where each lambda would work out the levels anew.
+    df = df.withColumn("_placed", F.transform("_queries", placed)).withColumn("q", F.explode_outer("_placed"))
 
     def climb(at, _):
         up = F.get(F.filter("_placed", lambda p: (p["scope"] == at["parent"]) & (p["branch"] == at["above"])), F.lit(0))

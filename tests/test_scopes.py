@@ -117,3 +117,11 @@ def test_levels_know_their_parents(spark):
     df = spark.createDataFrame([(1, "select a from t where b in (select x from u where y in (select z from v)) and c in (select k from w)")], "id int, sql_text string")
     got = {(r.scope, r.parent, r.bare[-1]) for r in statement_scopes(df).select("scope", "parent", "bare").collect()}
     assert {(s, p) for s, p, _ in got} == {(0, None), (1, 3), (2, 0), (3, 0)}
+
+
+def test_levels_are_worked_out_once(spark):
+    """No filter below the levels' columns repeats what they are made of."""
+    found = statement_scopes(spark.createDataFrame([(1, "SELECT a FROM (SELECT b FROM t WHERE 5 > c) x")], "id int, sql_text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line.split("[")[0].split("(")[0] and "transform(" in line]
+    assert {(r.scope, r.bare) for r in found.collect()} == {(0, "SELECT a FROM (@1) x"), (1, "SELECT b FROM t WHERE c < 5")}
