@@ -87,30 +87,37 @@ def _kind(right: Column) -> Column:
 
 def _row(tables: Column, name: Column | None, clause: str, position=None, operator=None, function=None, right=None, table=None, other=None, with_or=None) -> Column:
     null = F.lit(None).cast("string")
-    kind = _kind(right) if right is not None else null
+
+    def row(kind, mine, theirs):
+        column = null if name is None else _bare(name)
+        other_table = null if right is None else F.when(kind == "column", theirs["name"])
+        other_column = (null if other is None else other) if right is None else F.when(kind == "column", _bare(right))
+        table_name = mine["name"]
+        if right is not None:
+            # Of two joined columns the one of the later, driven table is named first.
+            swap = F.coalesce((kind == "column") & (theirs["slot"] > mine["slot"]), F.lit(False))
+            table_name, other_table = F.when(swap, theirs["name"]).otherwise(mine["name"]), F.when(swap, mine["name"]).otherwise(other_table)
+            column, other_column = F.when(swap, _bare(right)).otherwise(column), F.when(swap, column).otherwise(other_column)
+        return F.struct(
+            table_name.alias("table_name"),
+            column.alias("column_name"),
+            F.lit(clause).alias("clause"),
+            (F.lit(None).cast("int") if position is None else position.cast("int")).alias("position"),
+            (null if operator is None else F.nullif(F.upper(F.regexp_replace(operator, r"\s+", " ")), F.lit(""))).alias("operator"),
+            (null if function is None else F.upper(function)).alias("function"),
+            kind.alias("literal_kind"),
+            other_table.alias("other_table"),
+            other_column.alias("other_column"),
+            (F.lit(None).cast("boolean") if with_or is None else with_or).alias("with_or"),
+        )
+
     mine = _slot(name, tables) if table is None else table
-    theirs = F.when(kind == "column", _slot(right, tables)) if right is not None else None
-    column = null if name is None else _bare(name)
-    other_table = null if right is None else F.when(kind == "column", theirs["name"])
-    other_column = (null if other is None else other) if right is None else F.when(kind == "column", _bare(right))
-    table_name = mine["name"]
-    if right is not None:
-        # Of two joined columns the one of the later, driven table is named first.
-        swap = F.coalesce((kind == "column") & (theirs["slot"] > mine["slot"]), F.lit(False))
-        table_name, other_table = F.when(swap, theirs["name"]).otherwise(mine["name"]), F.when(swap, mine["name"]).otherwise(other_table)
-        column, other_column = F.when(swap, _bare(right)).otherwise(column), F.when(swap, column).otherwise(other_column)
-    return F.struct(
-        table_name.alias("table_name"),
-        column.alias("column_name"),
-        F.lit(clause).alias("clause"),
-        (F.lit(None).cast("int") if position is None else position.cast("int")).alias("position"),
-        (null if operator is None else F.nullif(F.upper(F.regexp_replace(operator, r"\s+", " ")), F.lit(""))).alias("operator"),
-        (null if function is None else F.upper(function)).alias("function"),
-        kind.alias("literal_kind"),
-        other_table.alias("other_table"),
-        other_column.alias("other_column"),
-        (F.lit(None).cast("boolean") if with_or is None else with_or).alias("with_or"),
-    )
+    if right is None:
+        return row(null, mine, None)
+    # Both tables are looked up once: every use of a lambda's expression is computed for itself.
+    kind = _kind(right)
+    found = F.struct(kind.alias("kind"), mine.alias("mine"), F.when(kind == "column", _slot(right, tables)).alias("theirs"))
+    return F.get(F.transform(F.array(found), lambda z: row(z["kind"], z["mine"], z["theirs"])), F.lit(0))
 
 
 def _pieces(text: Column, pattern: str, groups: int, when: Column) -> Column:
