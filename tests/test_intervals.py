@@ -57,6 +57,42 @@ def test_overlapping_equals_theta_join(spark):
     assert intervals.overlapping(spans(spark, left).limit(0), spans(spark, right), ("id", "b", "e"), ("id", "b", "e")).count() == 0
 
 
+def test_totals_equal_those_of_the_pairs(spark):
+    left, right = drawn(250, 4), [(1000 + i, *r) for i, *r in drawn(200, 5)]
+    # ids and rows may repeat or be null
+    left, right = left + left[:20] + [(None, "a", 5, 3000), (900, "a", 10_000_000, 10_000_001)], right + right[:20] + [(None, "b", 100, 200)]
+    a, b = spans(spark, left), spans(spark, right)
+    s = F.col("id")
+    totals = {"n": ("sum", F.lit(1)), "lo": ("min", s), "hi": ("max", s), "check": ("sum", s % 7)}
+    found = intervals.overlapping(a, b, ("id", "b", "e"), ("id", "b", "e"), totals)
+    pairs = intervals.overlapping(a, b, ("id", "b", "e"), ("id", "b", "e"))
+    r = F.col("right_id")
+    want = pairs.groupBy("left_id").agg(F.count("*").alias("n"), F.min(r).alias("lo"), F.max(r).alias("hi"), F.sum(r % 7).alias("check"))
+    assert found.dtypes == want.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    for x, y in ((a.limit(0), b), (a, b.limit(0))):
+        assert intervals.overlapping(x, y, ("id", "b", "e"), ("id", "b", "e"), totals).count() == 0
+
+
+def test_totals_make_no_pairs(spark):
+    # all spans share a moment: 9 million pairs
+    rows = [(i, "a", i, 100_000 + i) for i in range(3000)]
+    totals = {"n": ("sum", F.lit(1))}
+    got = intervals.overlapping(spans(spark, rows), spans(spark, rows), ("id", "b", "e"), ("id", "b", "e"), totals)
+    assert [tuple(r) for r in got.agg(F.count("*"), F.min("n"), F.max("n")).collect()] == [(3000, 3000, 3000)]
+    x = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 3000).alias("z"))
+    cells = x.select(F.explode(intervals._covering(F.col("a"), F.col("z"), 8)).alias("c")).groupBy("c.level").count()
+    assert cells.agg(F.sum("count")).first()[0] < 3000 * 6 * 8
+
+
+def test_cells_make_up_a_range(spark):
+    rows = [(a, z) for a in range(40) for z in range(a - 1, 64)]
+    df = spark.createDataFrame(rows, "a long, z long").select("a", "z", intervals._covering(F.col("a"), F.col("z"), 4).alias("cells"))
+    for r in df.collect():
+        held = [i for c in r.cells for i in range(c.cell * 4**c.level, (c.cell + 1) * 4**c.level)]
+        assert sorted(held) == list(range(r.a, r.z + 1))
+
+
 def test_long_spans_are_not_cut_small(spark):
     rows = intervals._levelled(spans(spark, [(1, "a", 0, 30_000_000), (2, "a", 5, 5)]), "id", "b", "e")
     cut = intervals._blocks(rows, F.array("level", F.lit(intervals.OPEN)))
