@@ -21,6 +21,8 @@ over the agreement that pairs of similarity 0.8 have in 64 positions, that is
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,6 +41,8 @@ FAR_BITS = 22
 LAST_LEVEL = 40
 #: Three levels along two positions make eight nodes of one; above this share of its size each, they hold as many pairs as it has.
 HARDLY = 0.35
+#: More pairs than these are confirmed in parts, one after the other, so that only one part's sets lie in shuffle files at a time.
+PART_PAIRS, PARTS = 50_000, 4
 
 
 def minwise(values: np.ndarray) -> np.ndarray:
@@ -144,6 +148,19 @@ def confirmed(pairs: DataFrame, sets: tuple[DataFrame, DataFrame], percent: int)
     return both.where(100 * inter >= percent * union).select("a", "b")
 
 
+def confirmed_in_parts(pairs: DataFrame, sets: tuple[DataFrame, DataFrame], percent: int) -> list[DataFrame]:
+    """:func:`confirmed` pairs, stored. Pairs with one ``a`` stay in one part."""
+    parts, out = PARTS if pairs.count() > PART_PAIRS else 1, []
+    bucketed, plain = sets
+    for n in range(parts):
+        def mine(rows: DataFrame, key: str, n: int = n) -> DataFrame:
+            return rows.where(F.pmod(F.xxhash64(key, F.lit(2)), F.lit(parts)) == n) if parts > 1 else rows
+
+        out.append(saved(confirmed(mine(pairs, "a"), (bucketed, mine(plain, "sid")), percent), "links"))
+        free(pairs.sparkSession)
+    return out
+
+
 def _spanning(table: pa.Table, percent: int) -> pa.Table:
     """Confirmed links between the two sides of a pair of blocks (or within one block), one for each union of classes they make."""
     sid, label = table["sid"].to_numpy(), table["label"].to_numpy()
@@ -226,8 +243,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: in
     with Run(spark) as run:
         rows = saved(describe(docs, k), "minwise")
         sets = saved(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sig").alias("sig")), "sets")
+        found = saved(rows.select("doc_id", F.col("n").alias("n_shingles"), "sid"), "found")
+        # the signatures are read from ``sets`` now
+        forget(rows)
+        free(spark)
         labels = _classes(docs, sets, k, percent, trees, first, step, limit, whole)
-        at = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left")
+        at = found.join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left")
         at = saved(at.withColumn("root", F.coalesce("root", "sid")), "classes")
         least = saved(at.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
         run.keep(at, least)
@@ -272,31 +293,35 @@ def _classes(docs: DataFrame, sets: DataFrame, k: int, percent: int, trees: int,
                 found = found.union(star)
             pairs = saved(found.groupBy("a", "b").agg(F.min("dist").alias("dist")), "pairs")
             # first each set's most promising partner, then what is still apart
-            best = pairs.groupBy("b").agg(F.min(F.struct("dist", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-            sure = saved(confirmed(best, items, percent), "links")
-            run.keep(sure)
+            best = saved(pairs.groupBy("b").agg(F.min(F.struct("dist", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "best")
             free(spark)
-            links = sure if links is None else links.union(sure)
+            sure = confirmed_in_parts(best, items, percent)
+            run.keep(*sure)
+            links = reduce(DataFrame.union, sure if links is None else [links, *sure])
             labels = components(links)
             la, lb = (labels.select(F.col("v").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
             apart = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-            apart = apart.join(best, ["a", "b"], "left_anti")
+            apart = saved(apart.join(best, ["a", "b"], "left_anti"), "apart")
             deeper = None
             if not top:
                 # of a large node only members of different classes still matter; the pivot stands for the main class
                 wide = active.where(F.col("size") > limit).join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
-                wide = saved(wide.select("node", "size", "was", "sid", "n", "sketch", "label").join(pivots, "node"), "wide")
+                wide = all_wide = saved(wide.select("node", "size", "was", "sid", "n", "sketch", "label").join(pivots, "node"), "wide")
                 main = wide.where(F.col("sid") == F.col("pivot")).select("node", F.col("label").alias("main")).distinct()
                 mixed = wide.where("sid <> pivot").join(main, "node").groupBy("node").agg(F.first("main").alias("main"), F.max(F.col("label") != F.col("main")).alias("mixed")).where("mixed").select("node", "main")
                 wide = saved(wide.join(saved(mixed, "mixed"), "node"), "wide")
+                forget(all_wide)
                 split = (F.col("size") > whole) & ~F.coalesce(F.col("size") > HARDLY * F.col("was"), F.lit(False))
                 group = wide.where(~split).groupBy("main", "sid").agg(F.first("label").alias("label"))
                 deeper = wide.where(split)
-            more = confirmed(apart, items, percent)
+            forget(active)
+            free(spark)
+            more = confirmed_in_parts(apart, items, percent)
             if not top:
-                more = more.union(within_groups(saved(group, "group"), items[0], percent))
-            more = saved(more, "links")
-            run.keep(more)
+                more.append(saved(within_groups(saved(group, "group"), items[0], percent), "links"))
+                free(spark)
+            run.keep(*more)
+            more = reduce(DataFrame.union, more)
             if not more.isEmpty():
                 links = links.union(more)
                 labels = components(links)

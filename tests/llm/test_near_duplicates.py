@@ -1,6 +1,7 @@
 """Chosen-path near-dedup and the projection forest against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stmtwarden.llm import chosen_path, forest
 from stmtwarden.llm.common import components
+from stmtwarden.session import shared_dir
 from tests.llm import brute
 
 
@@ -49,6 +51,27 @@ def test_large_groups_split_and_meet_in_blocks(docs_of):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: v[1] for d, v in want.items()}
 
 
+def test_pairs_confirmed_in_parts(docs_of, monkeypatch):
+    """Parts find the same links, and what earlier steps wrote is gone by then."""
+    seen, texts = [], corpus()
+    whole = chosen_path.confirmed
+
+    def noted(pairs, sets, percent):
+        folder = Path(shared_dir(pairs.sparkSession).removeprefix("file:"))
+        seen.append({p.name.rsplit("-", 1)[0] for p in folder.iterdir()} - before)
+        return whole(pairs, sets, percent)
+
+    docs = docs_of(texts)
+    before = {p.name.rsplit("-", 1)[0] for p in Path(shared_dir(docs.sparkSession).removeprefix("file:")).iterdir()}
+    monkeypatch.setattr(chosen_path, "PART_PAIRS", 2)
+    monkeypatch.setattr(chosen_path, "confirmed", noted)
+    want = brute.near_duplicates(list(enumerate(texts)), 2, 80)
+    got = chosen_path.near_duplicates(docs, k=2, limit=3, trees=24).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: v[1] for d, v in want.items()}
+    assert len(seen) >= 2 * chosen_path.PARTS and not any("minwise" in s for s in seen)
+    assert "active" not in seen[chosen_path.PARTS]
+
+
 def test_rows_that_repeat_or_lack_ids(docs_of):
     got = chosen_path.near_duplicates(docs_of(["a b c", "a b c", "a b c", None, "z"], ids=[7, 7, None, None, 9]), k=2).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in got if r["n_shingles"] > 1) == [(-1, 7, False), (7, 7, True), (7, 7, True)]
