@@ -11,7 +11,13 @@ one entry per block ("lane") and a step codes one id of each. An id is coded as
 
 Mixing is in the logistic domain with integer weights learnt per block. All
 arithmetic is on integers, so any machine reads what another wrote. The coder
-is a carry-less range coder on 48 bits that puts out 16-bit words.
+is a range coder on 64 bits that puts out 16-bit words and adds carries to
+those it has put out; two decisions or two half-bytes go by before it shifts.
+
+A step is some two hundred numpy calls whatever the number of lanes, so what
+is alike for both orders or all three probabilities is one array with a row
+for each, and the order-1 decision is taken for all lanes, at no cost in range
+for those that need none.
 """
 
 from __future__ import annotations
@@ -25,183 +31,232 @@ BLOCK_IDS = 4096
 SLOTS = 2048
 #: Contexts of the four half-bytes: what stands before is hashed from the fourth on.
 NIBBLES = (1, 16, 256, 512)
-#: Running sums as a product, exact in single precision for sums below 2^24.
-UPTO = np.triu(np.ones((16, 16), np.float32))
-LOW = np.uint64((1 << 48) - 1)
-TOP, BOTTOM = np.uint64(1 << 32), np.uint64(1 << 24)
-LIMIT = 4000  # of a half-byte's counts
+FULL = np.uint64((1 << 64) - 1)
+#: An interval below one of these is shifted by a word more: from 48 bits on, two half-bytes leave 16 or more.
+FLOORS = tuple(np.uint64(1 << n) for n in (48, 32))
+ONES = np.uint64(0x0101010101010101)
+ROUND = np.uint64((1 << 48) - 1)
+LIMIT = 60_000  # of the sum of a half-byte's counts
+#: What a half-byte adds to the sums of counts up to each of the sixteen.
+STEPS = (np.triu(np.ones((16, 16), np.uint16)) * 24).astype(np.uint16)
+#: A confidence after a miss and after a hit, in its place in an entry.
+SURE = np.array([[max(c - 2, 1), min(c + 1, 7)] for c in range(8)], np.int32).reshape(-1) << 16
+HEAVY = 1 << 18  # bound of the weights: sums of three weighed logits stay within 32 bits
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """squash: 12-bit probability of a logit in 1/256 from -2047 on; stretch: its inverse."""
+    """squash: 12-bit probability of a logit in 1/256 from -2047 on, never certain; stretch: its inverse."""
     with localcontext() as c:
         c.prec = 20
         squash = np.array([int(4096 / (1 + (Decimal(-x) / 256).exp())) for x in range(-2047, 2048)], np.int64).clip(1, 4095)
     stretch = np.searchsorted(squash, np.arange(4096), side="left").clip(0, 4094) - 2047
-    return squash, stretch.astype(np.int64)
+    return squash.clip(16, 4080).astype(np.int32), stretch.astype(np.int32)
 
 
 SQUASH, STRETCH = _tables()
 
 
 class RangeCoder:
-    """Encodes when made without data, decodes the words given otherwise."""
+    """Encodes when made without data, decodes the words given otherwise.
+
+    ``value`` is what decisions since the last shift add to ``low`` when
+    encoding, and the code less the interval's low end when decoding.
+    """
 
     def __init__(self, lanes: int, words: list[np.ndarray] | None = None, ids: int = BLOCK_IDS):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, LOW)
-        self.at, self.decoding = np.zeros(lanes, np.int64), words is not None
+        self.decoding = words is not None
+        self.range = np.full(lanes, FULL)
         if self.decoding:
-            width = max(map(len, words), default=0) + 4
-            self.out = np.zeros((lanes, width), np.uint16)
-            for i, w in enumerate(words):
-                self.out[i, : len(w)] = w
-            o = self.out.astype(np.uint64)
-            self.code = o[:, 0] << np.uint64(32) | o[:, 1] << np.uint64(16) | o[:, 2]
-            self.at += 3
+            # zeros follow a block's words; each place shows the four words from there on
+            sizes = np.array([len(w) + 8 for w in words])
+            self.place, size = np.cumsum(sizes) - sizes, int(sizes.sum())
+            flat = np.zeros(size + 3, np.uint16)
+            for at, w in zip(self.place, words, strict=True):
+                flat[at : at + len(w)] = w
+            self.window = np.zeros(size, np.uint64)
+            for n in range(4):
+                self.window |= flat[n : n + size].astype(np.uint64) << np.uint64(48 - 16 * n)
+            self.value = self.window[self.place]
+            self.place = self.place + 4
         else:
-            self.out = np.zeros((lanes, ids + 64 * 16 + 8), np.uint16)
+            self.low, self.value = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
+            self.width = ids + 64 * 16 + 8
+            self.flat = np.zeros(lanes * self.width, np.uint16)
+            self.place = np.arange(lanes) * self.width
         self.steps = 0
-        self._flatten()
-
-    def _flatten(self) -> None:
-        self.width = self.out.shape[1]
-        self.flat = self.out.reshape(-1)
 
     def reserve(self) -> None:
         """Called once per id, which takes fewer than 16 words: the output grows while it is not full."""
         self.steps += 1
-        if self.steps % 64 == 0 and not self.decoding and len(self.at) and self.at.max() + 64 * 16 > self.width:
-            self.out = np.pad(self.out, ((0, 0), (0, self.width // 2 + 64 * 16)))
-            self._flatten()
-
-    def _settle(self, lane: np.ndarray, low: np.ndarray, span: np.ndarray, where: np.ndarray | slice) -> None:
-        """Stores the interval and shifts out the words that no longer change."""
-        self.low[where], self.range[where] = low, span
-        ready = ((low ^ (low + span)) < TOP) | (span < BOTTOM)
-        while ready.any():
-            some = np.flatnonzero(ready)
-            lane, low, span = lane[some], low[some], span[some]
-            cut = (low ^ (low + span)) >= TOP
-            span = np.where(cut, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), span)
-            place = lane * self.width + self.at[lane]
-            if self.decoding:
-                self.code[lane] = (self.code[lane] << np.uint64(16)) & LOW | self.flat[place]
-            else:
-                self.flat[place] = (low >> np.uint64(32)).astype(np.uint16)
-            self.at[lane] += 1
-            low, span = (low << np.uint64(16)) & LOW, span << np.uint64(16)
-            self.low[lane], self.range[lane] = low, span
-            ready = ((low ^ (low + span)) < TOP) | (span < BOTTOM)
-
-    def bit(self, lane: np.ndarray, p: np.ndarray, bit: np.ndarray | None, where: np.ndarray | slice) -> np.ndarray:
-        """Codes a yes or no whose yes has probability p / 4096. ``where`` names the same lanes, as a slice if they are the first ones."""
-        low, span = self.low[where], self.range[where]
-        part = (span >> np.uint64(12)) * p.astype(np.uint64)
+        if self.steps % 64 == 0 and not self.decoding:
+            begin = np.arange(len(self.place)) * self.width
+            if (self.place - begin).max() + 64 * 16 > self.width:
+                more = self.width // 2 + 64 * 16
+                self.flat = np.pad(self.flat.reshape(-1, self.width), ((0, 0), (0, more))).reshape(-1)
+                self.place += np.arange(len(self.place)) * more
+                self.width += more
+
+    def part(self, where: np.ndarray | slice) -> RangeCoder:
+        """The state of some lanes, to be given back by :meth:`put`."""
+        some = object.__new__(RangeCoder)
+        some.decoding = self.decoding
+        some.range, some.value, some.place = self.range[where], self.value[where], self.place[where]
+        if self.decoding:
+            some.window = self.window
+        else:
+            some.low, some.flat = self.low[where], self.flat
+        return some
+
+    def put(self, some: RangeCoder, where: np.ndarray | slice) -> None:
+        self.range[where], self.value[where], self.place[where] = some.range, some.value, some.place
+        if not self.decoding:
+            self.low[where] = some.low
+
+    def shift(self) -> None:
+        """Shifts out the words that no longer change but for a carry, so that the interval has 48 bits or more."""
+        words = (self.range < FLOORS[0]).astype(np.int64)
+        words += self.range < FLOORS[1]
+        by = (words << 4).astype(np.uint64)
+        if self.decoding:
+            self.value = self.value << by | self.window.take(self.place, mode="clip") >> np.uint64(1) >> np.uint64(63) - by
+        else:
+            low = self.low + self.value
+            self._carry(self.place[low < self.value] - 1)
+            for n in range(int(words.max())):
+                self.flat[self.place + n if n else self.place] = (low >> np.uint64(48 - 16 * n)).astype(np.uint16)
+            self.low, self.value = low << by, np.zeros_like(low)
+        self.range = self.range << by
+        self.place = self.place + words
+
+    def _carry(self, place: np.ndarray) -> None:
+        while len(place):
+            self.flat[place] += np.uint16(1)
+            place = place[self.flat[place] == 0] - 1
+
+    def bit(self, p: np.ndarray, bit: np.ndarray | None, asked: np.ndarray | None = None) -> np.ndarray:
+        """Codes a yes or no whose yes has probability p / 4096; lanes not ``asked`` say yes at no cost."""
+        part = (self.range >> np.uint64(12)) * p.astype(np.uint64)
+        if asked is not None:
+            part = np.where(asked, part, self.range)
         if bit is None:
-            bit = ((self.code[where] - low) & LOW) < part
-        self._settle(lane, np.where(bit, low, (low + part) & LOW), np.where(bit, part, span - part), where)
+            bit = self.value < part
+            self.value = np.where(bit, self.value, self.value - part)
+        else:
+            self.value = np.where(bit, self.value, self.value + part)
+        self.range = np.where(bit, part, self.range - part)
         return bit
 
-    def symbol(self, lane: np.ndarray, upto: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        """Codes one of 16 symbols with cumulative counts ``upto`` (one row per lane)."""
-        low, span = self.low[lane], self.range[lane]
-        total = upto[:, 15].astype(np.uint64)
-        unit = span // total
+    def symbol(self, upto: np.ndarray, symbol: np.ndarray | None, begins: np.ndarray) -> np.ndarray:
+        """Codes one of 16 symbols with cumulative counts ``upto`` (one row per lane, from ``begins`` on in all of them)."""
+        unit = self.range // upto[:, 15].astype(np.uint64)
         if symbol is None:
-            value = np.minimum(((self.code[lane] - low) & LOW) // unit, total - np.uint64(1)).astype(np.int32)
-            symbol = np.count_nonzero(upto <= value[:, None], axis=1)
-        row = np.arange(len(lane)) * 16 + symbol
-        flat = upto.reshape(-1)
-        end = flat[row].astype(np.uint64)
-        begin = np.where(symbol > 0, flat[row - 1], 0).astype(np.uint64)
-        self._settle(lane, (low + begin * unit) & LOW, (end - begin) * unit, lane)
+            value = (self.value // unit).astype(np.uint16)
+            # true is a byte of one: their number is the last byte of a product
+            below = (upto <= value[:, None]).view(np.uint64)
+            symbol = ((below[:, 0] + below[:, 1]) * ONES >> np.uint64(56)).astype(np.int64)
+        row, flat = begins + symbol, upto.reshape(-1)
+        begin = flat.take(row - 1, mode="clip") * (symbol > 0)
+        left = begin * unit
+        self.value = self.value - left if self.decoding else self.value + left
+        self.range = (flat.take(row, mode="clip") - begin) * unit
         return symbol
 
     def finish(self) -> list[bytes]:
-        """The words of each lane, three more to fix the last interval."""
-        lanes = np.arange(len(self.low))
-        for shift in (32, 16, 0):
-            self.flat[lanes * self.width + self.at] = (self.low >> np.uint64(shift)).astype(np.uint16)
-            self.at += 1
-        return [self.out[i, :n].tobytes() for i, n in enumerate(self.at)]
+        """The words of each lane, one more to fix the last interval."""
+        low = self.low + ROUND
+        self._carry(self.place[low < ROUND] - 1)
+        self.flat[self.place] = (low >> np.uint64(48)).astype(np.uint16)
+        out = self.flat.reshape(-1, self.width)
+        return [out[i, :n].tobytes() for i, n in enumerate(self.place + 1 - np.arange(len(out)) * self.width)]
 
 
 class Mixed:
-    """Three adaptive probabilities by context and the weights that mix them, per lane."""
-
-    SIZES = (8, 16, 8)
+    """Three adaptive probabilities by context (8, 16 and 8 of them) and the weights that mix them, per lane."""
 
     def __init__(self, lanes: int):
-        self.p = [np.full(lanes * n, 1 << 15, np.int64) for n in self.SIZES]
-        self.w = [np.full(lanes, 1 << 14, np.int64) for _ in self.SIZES]
-
-    def code(self, coder: RangeCoder, lane: np.ndarray, where: np.ndarray | slice, contexts: tuple[np.ndarray, ...], bit: np.ndarray | None) -> np.ndarray:
-        places = [lane * n + c for n, c in zip(self.SIZES, contexts, strict=True)]
-        probs = [p[at] for p, at in zip(self.p, places, strict=True)]
-        logits = [STRETCH[x >> 4] for x in probs]
-        weights = [w[where] for w in self.w]
-        mixed = (logits[0] * weights[0] + logits[1] * weights[1] + logits[2] * weights[2]) >> 15
-        p = SQUASH[np.clip(mixed, -2047, 2047) + 2047].clip(16, 4080)
-        bit = coder.bit(lane, p, bit, where)
-        yes = bit.astype(np.int64)
-        err = (yes << 12) - p
-        for i in range(3):
-            self.p[i][places[i]] = probs[i] + ((yes * 65535 - probs[i]) >> 4)
-            self.w[i][where] = weights[i] + ((logits[i] * err) >> 9)
+        self.p = np.full(lanes * 32, 1 << 15, np.int32)
+        self.base = np.arange(lanes) * 32 + np.array([[0], [8], [24]])
+        self.w = np.full((3, lanes), 1 << 14, np.int32)
+
+    def code(self, coder: RangeCoder, contexts: np.ndarray, bit: np.ndarray | None, asked: np.ndarray | None = None) -> np.ndarray:
+        n = contexts.shape[1]
+        places = self.base[:, :n] + contexts
+        probs = self.p.take(places, mode="clip")
+        logits = STRETCH.take(probs >> 4, mode="clip")
+        weights = self.w[:, :n]
+        mixed = logits * weights
+        mixed = mixed[0] + mixed[1] + mixed[2] >> 15
+        p = SQUASH.take(mixed + 2047, mode="clip")
+        bit = coder.bit(p, bit, asked)
+        yes = bit.astype(np.int32)
+        err, move = (yes << 12) - p, yes * 65535 - probs >> 4
+        if asked is not None:
+            err *= asked
+            move *= asked
+        np.put(self.p, places, probs + move)
+        weights += logits * err >> 9
+        np.minimum(np.maximum(weights, -HEAVY, out=weights), HEAVY, out=weights)
         return bit
 
 
 class Model:
     def __init__(self, lanes: int):
-        self.two, self.one = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
+        #: Per lane what followed two ids, then what followed one: id + 65536 * confidence.
+        self.table = np.full(lanes * 2 * SLOTS, 0, np.int32)
+        self.base = np.arange(lanes) * (2 * SLOTS) + np.array([[0], [SLOTS]])
         self.first, self.second = Mixed(lanes), Mixed(lanes)
-        self.counts = [np.ones((lanes * n, 16), np.uint16) for n in NIBBLES]
-        self.flat = [c.reshape(-1) for c in self.counts]
+        self.counts = [np.tile(np.arange(1, 17, dtype=np.uint16), lanes * n).view("V32") for n in NIBBLES]
+        self.begins = np.arange(lanes) * 16
         self.recent = np.zeros(lanes, np.int64)
 
-    @staticmethod
-    def _learn(table: np.ndarray, place: np.ndarray, entry: np.ndarray, ids: np.ndarray, hit: np.ndarray) -> None:
-        """An entry is id + 65536 * confidence; a miss lowers confidence and at the bottom replaces the id."""
-        sure = entry >> 16
-        keep = (sure - 2).astype(np.uint32) << 16 | entry & 0xFFFF
-        new = np.where(hit, np.minimum(sure + 1, 7) << 16 | ids, np.where(sure > 2, keep, 1 << 16 | ids))
-        table[place] = new.astype(np.uint32)
-
-    def step(self, coder: RangeCoder, lane: np.ndarray, last: np.ndarray, before: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+    def _half_byte(self, coder: RangeCoder, n: int, place: np.ndarray, want: np.ndarray | None) -> np.ndarray:
+        """Codes a half-byte under the counts at ``place``, and counts it; counts are kept summed up."""
+        upto = self.counts[n].take(place, mode="clip").view(np.uint16).reshape(-1, 16)
+        got = coder.symbol(upto, want, self.begins[: len(place)])
+        upto += STEPS.take(got, axis=0, mode="clip")
+        full = np.flatnonzero(upto[:, 15] > LIMIT)
+        if len(full):
+            upto[full] = np.cumsum(np.diff(upto[full], axis=1, prepend=np.uint16(0)) >> 1 | 1, axis=1)
+        np.put(self.counts[n], place, upto.reshape(-1).view("V32"))
+        return got
+
+    def step(self, coder: RangeCoder, last: np.ndarray, before: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """Codes one id in each of the first lanes, after the ids ``before`` and ``last``."""
-        at2 = lane * SLOTS + ((before * 40503 + last * 60493 >> 4) & (SLOTS - 1))
-        at1 = lane * SLOTS + ((last * 40503 >> 3) & (SLOTS - 1))
-        e2, e1 = self.two[at2].astype(np.int64), self.one[at1].astype(np.int64)
-        p2, c2, p1, c1 = e2 & 0xFFFF, e2 >> 16, e1 & 0xFFFF, e1 >> 16
-        whole = slice(0, len(lane))
-        recent = self.recent[whole]
-        hit = self.first.code(coder, lane, whole, (c2, c1 * 2 + (p1 == p2), recent), None if ids is None else ids == p2)
-        out = np.where(hit, p2, 0)
-        try_one = np.flatnonzero(~hit & (p1 != p2))
-        done = hit.copy()
-        if len(try_one):
-            got = self.second.code(coder, lane[try_one], lane[try_one], (c1[try_one], c2[try_one] * 2, recent[try_one]), None if ids is None else ids[try_one] == p1[try_one])
-            some = try_one[got]
-            out[some] = p1[some]
-            done[some] = True
+        n = len(last)
+        whole = slice(0, n)
+        at = np.empty((2, n), np.int64)
+        at[0] = before * 40503 + last * 60493 >> 4
+        at[1] = last * 40503 >> 3
+        at &= SLOTS - 1
+        at += self.base[:, whole]
+        entry = self.table.take(at, mode="clip")
+        guess, sure = entry & 0xFFFF, entry >> 16
+        recent, same = self.recent[whole], guess[0] == guess[1]
+        contexts = np.empty((3, n), np.int64)
+        contexts[0], contexts[1], contexts[2] = sure[0], sure[1] * 2 + same, recent
+        now = coder.part(whole)
+        hit = self.first.code(now, contexts, None if ids is None else ids == guess[0])
+        asked = ~(hit | same)
+        contexts[0], contexts[1] = sure[1], sure[0] * 2
+        done = hit | self.second.code(now, contexts, None if ids is None else (ids == guess[1]) | ~asked, asked) & asked
+        now.shift()
+        coder.put(now, whole)
+        out = np.where(hit, guess[0], guess[1]).astype(np.int64)
         left = np.flatnonzero(~done)
         if len(left):
-            mine, made = lane[left], np.zeros(len(left), np.int64)
-            for n in range(4):
-                place = mine * NIBBLES[n] + (made if n < 3 else made * 2654435761 >> 12 & 511)
-                rows = self.counts[n][place]
-                want = None if ids is None else ids[left] >> (12 - 4 * n) & 15
-                got = coder.symbol(mine, (rows.astype(np.float32) @ UPTO).astype(np.int32), want)
-                at = place * 16 + got
-                new = self.flat[n][at] + np.uint16(24)
-                self.flat[n][at] = new
-                full = np.flatnonzero(new > LIMIT // 4)
-                if len(full):
-                    self.counts[n][place[full]] = (self.counts[n][place[full]] >> 1) | 1
-                made = made * 16 + got
+            some, made = coder.part(left), np.zeros(len(left), np.int64)
+            mine = None if ids is None else ids[left]
+            for k in range(4):
+                place = left * NIBBLES[k] + (made if k < 3 else made * 2654435761 >> 12 & 511)
+                made = made * 16 + self._half_byte(some, k, place, None if mine is None else mine >> (12 - 4 * k) & 15)
+                if k % 2:
+                    some.shift()
+            coder.put(some, left)
             out[left] = made
-        self._learn(self.two, at2, e2, out, out == p2)
-        self._learn(self.one, at1, e1, out, out == p1)
+        # a miss lowers confidence and at the bottom replaces the id
+        right = guess == out
+        kept = right | (sure > 2)
+        np.put(self.table, at, SURE.take(sure * 2 + right, mode="clip") | np.where(kept, guess, out))
         self.recent[whole] = (recent << 1 | done) & 7
         return out
 
@@ -219,12 +274,11 @@ def encode(ids: np.ndarray, size: int = BLOCK_IDS) -> list[bytes]:
     grid.reshape(-1)[: len(ids)] = ids
     coder, model = RangeCoder(len(lengths), ids=size), Model(len(lengths))
     last, before = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    every = np.arange(len(lengths))
     for t in range(int(lengths.max())):
         n = len(lengths) - (lengths[-1] <= t)
         now = grid[:n, t].astype(np.int64)
         coder.reserve()
-        model.step(coder, every[:n], last[:n], before[:n], now)
+        model.step(coder, last[:n], before[:n], now)
         before[:n], last[:n] = last[:n], now
     return coder.finish()
 
@@ -239,10 +293,9 @@ def decode(blocks: list[bytes], n: int, size: int = BLOCK_IDS) -> np.ndarray:
     coder, model = RangeCoder(len(blocks), [np.frombuffer(b, np.uint16) for b in blocks]), Model(len(blocks))
     grid = np.zeros((len(blocks), size), np.int32)
     last, before = np.zeros(len(blocks), np.int64), np.zeros(len(blocks), np.int64)
-    every = np.arange(len(lengths))
     for t in range(int(lengths.max())):
         m = len(lengths) - (lengths[-1] <= t)
-        now = model.step(coder, every[:m], last[:m], before[:m], None)
+        now = model.step(coder, last[:m], before[:m], None)
         grid[:m, t] = now
         before[:m], last[:m] = last[:m], now
     return grid.reshape(-1)[:n]

@@ -5,7 +5,7 @@ segments (a number of whole documents, a few million ids), and Spark's text
 writer stores the segments' bytes, one row each with a line feed after it. A
 segment is
 
-    "CMX1" (or "CMX2", where ids of 65536 and more occur and the low halves of
+    "CMX3" (or "CMX4", where ids of 65536 and more occur and the low halves of
     all ids are followed by the high ones), then little-endian: part u32, number in part u32, documents u32,
     ids u64, blocks u32, length of the rest u64; per document doc_id i64, null
     flag u8, ids u32; per block bytes u32, crc32 u32; the blocks.
@@ -41,7 +41,7 @@ def segment(part: int, number: int, docs: list[tuple[int | None, int]], ids: np.
     rest = [struct.pack("<qBI", doc_id or 0, doc_id is None, n) for doc_id, n in docs]
     rest += [struct.pack("<II", len(b), zlib.crc32(b)) for b in blocks]
     body = b"".join(rest + blocks)
-    return HEAD.pack(b"CMX2" if wide else b"CMX1", part, number, len(docs), len(ids), len(blocks), len(body)) + body
+    return HEAD.pack(b"CMX4" if wide else b"CMX3", part, number, len(docs), len(ids), len(blocks), len(body)) + body
 
 
 def read_segments(content: bytes) -> Iterator[tuple[int, int, list[tuple[int | None, int]], np.ndarray]]:
@@ -49,7 +49,7 @@ def read_segments(content: bytes) -> Iterator[tuple[int, int, list[tuple[int | N
     at = 0
     while at < len(content):
         magic, part, number, n_docs, n_ids, n_blocks, size = HEAD.unpack_from(content, at)
-        if magic not in (b"CMX1", b"CMX2"):
+        if magic not in (b"CMX3", b"CMX4"):
             raise ValueError("not a token file")
         at += HEAD.size
         docs = [(None if null else doc_id, n) for doc_id, null, n in struct.iter_unpack("<qBI", content[at : at + 13 * n_docs])]
@@ -61,8 +61,8 @@ def read_segments(content: bytes) -> Iterator[tuple[int, int, list[tuple[int | N
                 raise ValueError(f"block {len(blocks)} of segment {number} in part {part} is damaged")
             blocks.append(block)
             place += length
-        ids = mixing.decode(blocks, n_ids * (2 if magic == b"CMX2" else 1)).astype(np.int64)
-        yield part, number, docs, ids if magic == b"CMX1" else ids[:n_ids] | ids[n_ids:] << 16
+        ids = mixing.decode(blocks, n_ids * (2 if magic == b"CMX4" else 1)).astype(np.int64)
+        yield part, number, docs, ids if magic == b"CMX3" else ids[:n_ids] | ids[n_ids:] << 16
         at += size
         if content[at : at + 1] != b"\n":
             raise ValueError("segment does not end where it should")

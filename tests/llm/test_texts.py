@@ -281,6 +281,34 @@ def test_coder_compresses_and_blocks_are_independent():
     assert blocks[1] == mixing.encode(x[4096:8192])[0]
 
 
+def test_coder_shifts_three_times_an_id_at_most(monkeypatch):
+    calls, shift = [], mixing.RangeCoder.shift
+    monkeypatch.setattr(mixing.RangeCoder, "shift", lambda self: (calls.append(1), shift(self)))
+    x = np.random.default_rng(1).integers(0, 65536, 4 * 500)
+    blocks = mixing.encode(x, 500)
+    assert len(calls) == 3 * 500
+    assert mixing.decode(blocks, len(x), 500).tolist() == x.tolist() and len(calls) == 6 * 500
+
+
+def test_coder_keeps_the_least_likely():
+    """Sure guesses and heavy counts that turn out wrong leave the interval wide enough."""
+    rng = np.random.default_rng(2)
+    same, turns, likely = np.full(4096, 7), np.tile([3, 9], 2048), np.where(rng.random(4096) < 0.99, 0, 65535)
+    odd = [np.where(rng.random(4096) < 0.004, rng.integers(0, 65536, 4096), x) for x in (same, turns, likely)]
+    x = np.concatenate([same, turns, likely, *odd, rng.integers(0, 65536, 4096), rng.choice([0, 1, 0x1000, 0xFFFF], 4000)])
+    assert (mixing.decode(mixing.encode(x), len(x)) == x).all()
+
+
+def test_carries_run_through_full_words():
+    coder = mixing.RangeCoder(2, ids=10)
+    coder.flat[:4], coder.flat[coder.width :][:2] = [4, 0xFFFF, 0xFFFF, 8], [1, 2]
+    coder.place += [3, 2]
+    coder.low[:], coder.value[:] = 1 << 63, [1 << 63, 5]
+    coder.range[:] = 1 << 40
+    coder.shift()
+    assert coder.flat[:4].tolist() == [5, 0, 0, 0] and coder.flat[coder.width :][:3].tolist() == [1, 2, 1 << 15]
+
+
 def test_token_files(spark, docs_of, tokenizer):
     texts, ids = [*ODD, "last <|endoftext|> token"], [5, 3, None, 9, 8, 7, 6, 4, 2, 2, 1]
     path = fresh_dir(spark, "tokens")
