@@ -1,23 +1,25 @@
 """An adaptive context-mixing range coder for token ids, run for many blocks side by side.
 
 Every block starts from the same state, so blocks are independent; arrays hold
-one entry per block ("lane") and a step codes one id of each. An id is coded as
+one entry per block ("lane") and a step codes one id of each. An id has two
+guesses, what followed the last two ids before (order 2) and what followed the
+last id (order 1). It is coded as
 
-- whether it is the one that followed the last two ids before (order 2), at a
-  probability mixed from three adaptive ones: by confidence of the order-2
-  entry, by confidence and agreement of the order-1 entry, and by recent hits;
-- if not, whether it is the one that followed the last id (order 1), likewise;
-- if not, four half-bytes under adaptive counts (order 0).
+- if one of them has been right before: whether it is a guess, at a probability
+  mixed from three adaptive ones: by confidence of the order-2 entry, by
+  confidence and agreement of the order-1 entry, and by recent hits;
+- if it is and the guesses differ: which of them, mixed likewise;
+- else: the id itself under counts of all ids (order 0), which are taken once
+  over what is coded together and go along with it (:class:`Counts`).
 
 Mixing is in the logistic domain with integer weights learnt per block. All
 arithmetic is on integers, so any machine reads what another wrote. The coder
 is a range coder on 64 bits that puts out 16-bit words and adds carries to
-those it has put out; two decisions or two half-bytes go by before it shifts.
+those it has put out; it shifts after each of the three.
 
-A step is some two hundred numpy calls whatever the number of lanes, so what
-is alike for both orders or all three probabilities is one array with a row
-for each, and the order-1 decision is taken for all lanes, at no cost in range
-for those that need none.
+A step is some numpy calls whatever the number of lanes, so what is alike for
+both orders or all three probabilities is one array with a row for each. The
+tables of order 0 are the same for all lanes, which keeps them in the cache.
 """
 
 from __future__ import annotations
@@ -28,19 +30,17 @@ from decimal import Decimal, localcontext
 import numpy as np
 
 BLOCK_IDS = 4096
-SLOTS = 2048
-#: Contexts of the four half-bytes: what stands before is hashed from the fourth on.
-NIBBLES = (1, 16, 256, 512)
+SLOTS = 512
+#: Counts of ids are scaled to this sum, so that an interval of 48 bits leaves 30 or more.
+TOTAL_BITS = 18
 FULL = np.uint64((1 << 64) - 1)
-#: An interval below one of these is shifted by a word more: from 48 bits on, two half-bytes leave 16 or more.
+#: An interval below one of these is shifted by a word more.
 FLOORS = tuple(np.uint64(1 << n) for n in (48, 32))
-ONES = np.uint64(0x0101010101010101)
 ROUND = np.uint64((1 << 48) - 1)
-LIMIT = 60_000  # of the sum of a half-byte's counts
-#: What a half-byte adds to the sums of counts up to each of the sixteen.
-STEPS = (np.triu(np.ones((16, 16), np.uint16)) * 24).astype(np.uint16)
 #: A confidence after a miss and after a hit, in its place in an entry.
 SURE = np.array([[max(c - 2, 1), min(c + 1, 7)] for c in range(8)], np.int32).reshape(-1) << 16
+#: Of the parts of an entry: an id that came once, and the least of one that was right when it was guessed.
+ONCE, TWICE = 1 << 16, 2 << 16
 HEAVY = 1 << 18  # bound of the weights: sums of three weighed logits stay within 32 bits
 
 
@@ -56,6 +56,31 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 SQUASH, STRETCH = _tables()
 
 
+class Counts:
+    """How often ids below 65536 occur, scaled to a sum of 2 ** TOTAL_BITS with one or more for each that does; all alike if not told."""
+
+    def __init__(self, ids: np.ndarray | None = None, shares: np.ndarray | None = None):
+        self.ids = np.arange(1 << 16) if ids is None else ids.astype(np.int64)
+        self.shares = np.full(len(self.ids), 1 << TOTAL_BITS - 16, np.int64) if shares is None else shares.astype(np.int64)
+        if self.shares.sum() != 1 << TOTAL_BITS:
+            raise ValueError("counts do not add up")
+        ends = np.cumsum(self.shares)
+        # begin and share of an id in one number
+        self.spans = np.zeros(1 << 16, np.uint64)
+        self.spans[self.ids] = (ends - self.shares << 32 | self.shares).astype(np.uint64)
+        self.slots = np.repeat(self.ids.astype(np.uint16), self.shares)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Counts:
+        times = np.bincount(ids, minlength=1 << 16)
+        known = np.flatnonzero(times)
+        if not len(known):
+            return cls()
+        shares = 1 + times[known] * ((1 << TOTAL_BITS) - len(known)) // len(ids)
+        shares[shares.argmax()] += (1 << TOTAL_BITS) - shares.sum()
+        return cls(known, shares)
+
+
 class RangeCoder:
     """Encodes when made without data, decodes the words given otherwise.
 
@@ -122,7 +147,7 @@ class RangeCoder:
         else:
             low = self.low + self.value
             self._carry(self.place[low < self.value] - 1)
-            for n in range(int(words.max())):
+            for n in range(int(words.max(initial=0))):
                 self.flat[self.place + n if n else self.place] = (low >> np.uint64(48 - 16 * n)).astype(np.uint16)
             self.low, self.value = low << by, np.zeros_like(low)
         self.range = self.range << by
@@ -133,11 +158,9 @@ class RangeCoder:
             self.flat[place] += np.uint16(1)
             place = place[self.flat[place] == 0] - 1
 
-    def bit(self, p: np.ndarray, bit: np.ndarray | None, asked: np.ndarray | None = None) -> np.ndarray:
-        """Codes a yes or no whose yes has probability p / 4096; lanes not ``asked`` say yes at no cost."""
+    def bit(self, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Codes a yes or no whose yes has probability p / 4096."""
         part = (self.range >> np.uint64(12)) * p.astype(np.uint64)
-        if asked is not None:
-            part = np.where(asked, part, self.range)
         if bit is None:
             bit = self.value < part
             self.value = np.where(bit, self.value, self.value - part)
@@ -146,19 +169,16 @@ class RangeCoder:
         self.range = np.where(bit, part, self.range - part)
         return bit
 
-    def symbol(self, upto: np.ndarray, symbol: np.ndarray | None, begins: np.ndarray) -> np.ndarray:
-        """Codes one of 16 symbols with cumulative counts ``upto`` (one row per lane, from ``begins`` on in all of them)."""
-        unit = self.range // upto[:, 15].astype(np.uint64)
+    def symbol(self, counts: Counts, symbol: np.ndarray | None, done: np.ndarray) -> np.ndarray:
+        """Codes an id under ``counts``; the lanes ``done`` have theirs, and take the whole of their interval."""
+        unit = self.range >> np.uint64(TOTAL_BITS)
         if symbol is None:
-            value = (self.value // unit).astype(np.uint16)
-            # true is a byte of one: their number is the last byte of a product
-            below = (upto <= value[:, None]).view(np.uint64)
-            symbol = ((below[:, 0] + below[:, 1]) * ONES >> np.uint64(56)).astype(np.int64)
-        row, flat = begins + symbol, upto.reshape(-1)
-        begin = flat.take(row - 1, mode="clip") * (symbol > 0)
-        left = begin * unit
+            symbol = counts.slots.take((self.value // unit).view(np.int64), mode="clip").astype(np.int64)
+        span = counts.spans.take(symbol, mode="clip")
+        span[done] = 1 << TOTAL_BITS
+        left = (span >> np.uint64(32)) * unit
         self.value = self.value - left if self.decoding else self.value + left
-        self.range = (flat.take(row, mode="clip") - begin) * unit
+        self.range = (span & np.uint64(0xFFFFFFFF)) * unit
         return symbol
 
     def finish(self) -> list[bytes]:
@@ -175,89 +195,81 @@ class Mixed:
 
     def __init__(self, lanes: int):
         self.p = np.full(lanes * 32, 1 << 15, np.int32)
-        self.base = np.arange(lanes) * 32 + np.array([[0], [8], [24]])
-        self.w = np.full((3, lanes), 1 << 14, np.int32)
-
-    def code(self, coder: RangeCoder, contexts: np.ndarray, bit: np.ndarray | None, asked: np.ndarray | None = None) -> np.ndarray:
-        n = contexts.shape[1]
-        places = self.base[:, :n] + contexts
+        self.rows, self.begins = np.array([[0], [1], [2]]) * lanes, np.array([[0], [8], [24]])
+        self.w = np.full(3 * lanes, 1 << 14, np.int32)
+
+    def code(self, coder: RangeCoder, lanes: np.ndarray, contexts: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Codes a decision of some lanes."""
+        places = contexts + self.begins
+        places += lanes << 5
+        rows = self.rows + lanes
         probs = self.p.take(places, mode="clip")
         logits = STRETCH.take(probs >> 4, mode="clip")
-        weights = self.w[:, :n]
+        weights = self.w.take(rows, mode="clip")
         mixed = logits * weights
         mixed = mixed[0] + mixed[1] + mixed[2] >> 15
         p = SQUASH.take(mixed + 2047, mode="clip")
-        bit = coder.bit(p, bit, asked)
+        bit = coder.bit(p, bit)
         yes = bit.astype(np.int32)
-        err, move = (yes << 12) - p, yes * 65535 - probs >> 4
-        if asked is not None:
-            err *= asked
-            move *= asked
-        np.put(self.p, places, probs + move)
-        weights += logits * err >> 9
-        np.minimum(np.maximum(weights, -HEAVY, out=weights), HEAVY, out=weights)
+        probs += yes * 65535 - probs >> 4
+        self.p[places] = probs
+        weights += logits * ((yes << 12) - p) >> 9
+        self.w[rows] = np.minimum(np.maximum(weights, -HEAVY, out=weights), HEAVY, out=weights)
         return bit
 
 
 class Model:
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, counts: Counts | None = None):
         #: Per lane what followed two ids, then what followed one: id + 65536 * confidence.
         self.table = np.full(lanes * 2 * SLOTS, 0, np.int32)
         self.base = np.arange(lanes) * (2 * SLOTS) + np.array([[0], [SLOTS]])
         self.first, self.second = Mixed(lanes), Mixed(lanes)
-        self.counts = [np.tile(np.arange(1, 17, dtype=np.uint16), lanes * n).view("V32") for n in NIBBLES]
-        self.begins = np.arange(lanes) * 16
+        self.counts = counts or Counts()
         self.recent = np.zeros(lanes, np.int64)
 
-    def _half_byte(self, coder: RangeCoder, n: int, place: np.ndarray, want: np.ndarray | None) -> np.ndarray:
-        """Codes a half-byte under the counts at ``place``, and counts it; counts are kept summed up."""
-        upto = self.counts[n].take(place, mode="clip").view(np.uint16).reshape(-1, 16)
-        got = coder.symbol(upto, want, self.begins[: len(place)])
-        upto += STEPS.take(got, axis=0, mode="clip")
-        full = np.flatnonzero(upto[:, 15] > LIMIT)
-        if len(full):
-            upto[full] = np.cumsum(np.diff(upto[full], axis=1, prepend=np.uint16(0)) >> 1 | 1, axis=1)
-        np.put(self.counts[n], place, upto.reshape(-1).view("V32"))
-        return got
-
     def step(self, coder: RangeCoder, last: np.ndarray, before: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """Codes one id in each of the first lanes, after the ids ``before`` and ``last``."""
         n = len(last)
-        whole = slice(0, n)
         at = np.empty((2, n), np.int64)
         at[0] = before * 40503 + last * 60493 >> 4
         at[1] = last * 40503 >> 3
         at &= SLOTS - 1
-        at += self.base[:, whole]
+        at += self.base[:, :n]
         entry = self.table.take(at, mode="clip")
-        guess, sure = entry & 0xFFFF, entry >> 16
-        recent, same = self.recent[whole], guess[0] == guess[1]
-        contexts = np.empty((3, n), np.int64)
+        out = np.zeros(n, np.int64) if ids is None else ids
+        # lanes with a guess that has been right before
+        asked = np.flatnonzero((entry[0] | entry[1]) >= TWICE)
+        own = entry.take(asked, axis=1, mode="clip")
+        guess, sure = own & 0xFFFF, own >> 16
+        recent, same = self.recent.take(asked, mode="clip"), guess[0] == guess[1]
+        contexts = np.empty((3, len(asked)), np.int64)
         contexts[0], contexts[1], contexts[2] = sure[0], sure[1] * 2 + same, recent
-        now = coder.part(whole)
-        hit = self.first.code(now, contexts, None if ids is None else ids == guess[0])
-        asked = ~(hit | same)
-        contexts[0], contexts[1] = sure[1], sure[0] * 2
-        done = hit | self.second.code(now, contexts, None if ids is None else (ids == guess[1]) | ~asked, asked) & asked
+        right = None if ids is None else guess == ids.take(asked, mode="clip")
+        now = coder.part(asked)
+        hit = self.first.code(now, asked, contexts, None if ids is None else right[0] | right[1])
+        now.shift()
+        both = np.flatnonzero(hit & ~same)
+        some = now.part(both)
+        second = self.second.code(some, asked.take(both, mode="clip"), contexts.take(both, axis=1, mode="clip"), None if ids is None else right[0].take(both, mode="clip"))
+        some.shift()
+        now.put(some, both)
+        coder.put(now, asked)
+        now, done = coder.part(slice(0, n)), asked[hit]
+        got = now.symbol(self.counts, ids, done)
         now.shift()
-        coder.put(now, whole)
-        out = np.where(hit, guess[0], guess[1]).astype(np.int64)
-        left = np.flatnonzero(~done)
-        if len(left):
-            some, made = coder.part(left), np.zeros(len(left), np.int64)
-            mine = None if ids is None else ids[left]
-            for k in range(4):
-                place = left * NIBBLES[k] + (made if k < 3 else made * 2654435761 >> 12 & 511)
-                made = made * 16 + self._half_byte(some, k, place, None if mine is None else mine >> (12 - 4 * k) & 15)
-                if k % 2:
-                    some.shift()
-            coder.put(some, left)
-            out[left] = made
-        # a miss lowers confidence and at the bottom replaces the id
-        right = guess == out
-        kept = right | (sure > 2)
-        np.put(self.table, at, SURE.take(sure * 2 + right, mode="clip") | np.where(kept, guess, out))
-        self.recent[whole] = (recent << 1 | done) & 7
+        coder.put(now, slice(0, n))
+        if ids is None:
+            found = guess[0].copy()
+            found[both] = np.where(second, guess[0].take(both, mode="clip"), guess[1].take(both, mode="clip"))
+            out = got
+            out[done] = found[hit]
+            right = guess == out[asked]
+        # an entry not yet right takes the id or is right now; others lose confidence by a miss and at the bottom take the id
+        fresh = out.astype(np.int32) + np.int32(ONCE)
+        new = fresh + ((entry == fresh).view(np.int8).astype(np.int32) << 16)
+        new[:, asked] = SURE.take(sure * 2 + right, mode="clip") | np.where(right | (sure > 2), guess, out.take(asked, mode="clip"))
+        self.table[at] = new
+        self.recent[asked] = (recent << 1 | hit) & 7
         return out
 
 
@@ -265,40 +277,41 @@ def _blocks(n: int, size: int) -> list[int]:
     return [min(size, n - at) for at in range(0, n, size)]
 
 
-def encode(ids: np.ndarray, size: int = BLOCK_IDS) -> list[bytes]:
-    """One byte string per block of ``size`` ids below 65536."""
+def encode(ids: np.ndarray, size: int = BLOCK_IDS, counts: Counts | None = None) -> list[bytes]:
+    """One byte string per block of ``size`` ids below 65536; all of them must occur in ``counts``, if given."""
     lengths = np.array(_blocks(len(ids), size), np.int64)
     if not len(lengths):
         return []
     grid = np.zeros((len(lengths), size), np.int32)
     grid.reshape(-1)[: len(ids)] = ids
-    coder, model = RangeCoder(len(lengths), ids=size), Model(len(lengths))
+    grid = np.ascontiguousarray(grid.T)
+    coder, model = RangeCoder(len(lengths), ids=size), Model(len(lengths), counts)
     last, before = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for t in range(int(lengths.max())):
         n = len(lengths) - (lengths[-1] <= t)
-        now = grid[:n, t].astype(np.int64)
+        now = grid[t, :n].astype(np.int64)
         coder.reserve()
         model.step(coder, last[:n], before[:n], now)
         before[:n], last[:n] = last[:n], now
     return coder.finish()
 
 
-def decode(blocks: list[bytes], n: int, size: int = BLOCK_IDS) -> np.ndarray:
-    """The ``n`` ids of the blocks that :func:`encode` made."""
+def decode(blocks: list[bytes], n: int, size: int = BLOCK_IDS, counts: Counts | None = None) -> np.ndarray:
+    """The ``n`` ids of the blocks that :func:`encode` made with the same ``counts``."""
     lengths = np.array(_blocks(n, size), np.int64)
     if len(lengths) != len(blocks):
         raise ValueError("number of blocks does not fit the number of ids")
     if not n:
         return np.empty(0, np.int64)
-    coder, model = RangeCoder(len(blocks), [np.frombuffer(b, np.uint16) for b in blocks]), Model(len(blocks))
-    grid = np.zeros((len(blocks), size), np.int32)
+    coder, model = RangeCoder(len(blocks), [np.frombuffer(b, np.uint16) for b in blocks]), Model(len(blocks), counts)
+    grid = np.zeros((size, len(blocks)), np.int32)
     last, before = np.zeros(len(blocks), np.int64), np.zeros(len(blocks), np.int64)
     for t in range(int(lengths.max())):
         m = len(lengths) - (lengths[-1] <= t)
         now = model.step(coder, last[:m], before[:m], None)
-        grid[:m, t] = now
+        grid[t, :m] = now
         before[:m], last[:m] = last[:m], now
-    return grid.reshape(-1)[:n]
+    return grid.T.reshape(-1)[:n]
 
 
 def checksums(blocks: list[bytes]) -> list[int]:

@@ -5,12 +5,14 @@ segments (a number of whole documents, a few million ids), and Spark's text
 writer stores the segments' bytes, one row each with a line feed after it. A
 segment is
 
-    "CMX3" (or "CMX4", where ids of 65536 and more occur and the low halves of
+    "CMX5" (or "CMX6", where ids of 65536 and more occur and the low halves of
     all ids are followed by the high ones), then little-endian: part u32, number in part u32, documents u32,
-    ids u64, blocks u32, length of the rest u64; per document doc_id i64, null
-    flag u8, ids u32; per block bytes u32, crc32 u32; the blocks.
+    ids u64, blocks u32, distinct ids u32, length of the rest u64, crc32 of the lists u32; the
+    lists: per document doc_id i64, null flag u8, ids u32; per distinct id the
+    id u16 and its count u32 (scaled, see ``mixing.Counts``); per block bytes u16, crc32 u32; the blocks.
 
-Blocks of 4096 ids are coded and checked independently of each other.
+Blocks of 1024 ids are coded and checked independently of each other, under the
+counts of their segment: many short blocks side by side cost less than few long ones.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from stmtwarden.llm import mixing
 from stmtwarden.llm.common import Run, saved, small_batches
 from stmtwarden.llm.tokens import encoder
 
-HEAD = struct.Struct("<4sIIIQIQ")
+HEAD = struct.Struct("<4sIIIQIIQI")
+SHARES = np.dtype([("id", "<u2"), ("share", "<u4")])
+BLOCK_IDS = 1024
 SEGMENT_IDS = 8_000_000
 MAX_DOCS = 1 << 20
 FILE_SEGMENTS = 16
@@ -37,32 +41,41 @@ FILE_SEGMENTS = 16
 
 def segment(part: int, number: int, docs: list[tuple[int | None, int]], ids: np.ndarray) -> bytes:
     wide = len(ids) > 0 and int(ids.max()) >= 1 << 16
-    blocks = mixing.encode(np.concatenate([ids & 0xFFFF, ids >> 16]) if wide else ids)
-    rest = [struct.pack("<qBI", doc_id or 0, doc_id is None, n) for doc_id, n in docs]
-    rest += [struct.pack("<II", len(b), zlib.crc32(b)) for b in blocks]
-    body = b"".join(rest + blocks)
-    return HEAD.pack(b"CMX4" if wide else b"CMX3", part, number, len(docs), len(ids), len(blocks), len(body)) + body
+    halves = (np.concatenate([ids & 0xFFFF, ids >> 16]) if wide else ids).astype(np.int64)
+    counts = mixing.Counts.of(halves)
+    blocks = mixing.encode(halves, BLOCK_IDS, counts)
+    shares = np.empty(len(counts.ids), SHARES)
+    shares["id"], shares["share"] = counts.ids, counts.shares
+    lists = [struct.pack("<qBI", doc_id or 0, doc_id is None, n) for doc_id, n in docs] + [shares.tobytes()]
+    lists = b"".join(lists + [struct.pack("<HI", len(b), zlib.crc32(b)) for b in blocks])
+    body = b"".join([lists, *blocks])
+    return HEAD.pack(b"CMX6" if wide else b"CMX5", part, number, len(docs), len(ids), len(blocks), len(shares), len(body), zlib.crc32(lists)) + body
 
 
 def read_segments(content: bytes) -> Iterator[tuple[int, int, list[tuple[int | None, int]], np.ndarray]]:
     """(part, number, documents, ids) of each segment of a file; a damaged block raises."""
     at = 0
     while at < len(content):
-        magic, part, number, n_docs, n_ids, n_blocks, size = HEAD.unpack_from(content, at)
-        if magic not in (b"CMX3", b"CMX4"):
+        magic, part, number, n_docs, n_ids, n_blocks, n_shares, size, check = HEAD.unpack_from(content, at)
+        if magic not in (b"CMX5", b"CMX6"):
             raise ValueError("not a token file")
         at += HEAD.size
-        docs = [(None if null else doc_id, n) for doc_id, null, n in struct.iter_unpack("<qBI", content[at : at + 13 * n_docs])]
-        index = list(struct.iter_unpack("<II", content[at + 13 * n_docs : at + 13 * n_docs + 8 * n_blocks]))
-        place, blocks = at + 13 * n_docs + 8 * n_blocks, []
+        ends = np.cumsum([at, 13 * n_docs, SHARES.itemsize * n_shares, 6 * n_blocks]).tolist()
+        if zlib.crc32(content[at : ends[3]]) != check:
+            raise ValueError(f"lists of segment {number} in part {part} are damaged")
+        docs = [(None if null else doc_id, n) for doc_id, null, n in struct.iter_unpack("<qBI", content[at : ends[1]])]
+        shares = np.frombuffer(content[ends[1] : ends[2]], SHARES)
+        index = list(struct.iter_unpack("<HI", content[ends[2] : ends[3]]))
+        place, blocks = ends[3], []
         for length, crc in index:
             block = content[place : place + length]
             if zlib.crc32(block) != crc:
                 raise ValueError(f"block {len(blocks)} of segment {number} in part {part} is damaged")
             blocks.append(block)
             place += length
-        ids = mixing.decode(blocks, n_ids * (2 if magic == b"CMX4" else 1)).astype(np.int64)
-        yield part, number, docs, ids if magic == b"CMX3" else ids[:n_ids] | ids[n_ids:] << 16
+        counts = mixing.Counts(shares["id"], shares["share"])
+        ids = mixing.decode(blocks, n_ids * (2 if magic == b"CMX6" else 1), BLOCK_IDS, counts)
+        yield part, number, docs, ids if magic == b"CMX5" else ids[:n_ids].astype(np.int64) | ids[n_ids:].astype(np.int64) << 16
         at += size
         if content[at : at + 1] != b"\n":
             raise ValueError("segment does not end where it should")

@@ -299,6 +299,27 @@ def test_coder_keeps_the_least_likely():
     assert (mixing.decode(mixing.encode(x), len(x)) == x).all()
 
 
+def test_ids_share_counts_and_guesses_wait():
+    """Ids that nothing foretells cost their entropy under shared counts; a guess is asked about once it has been right, so rarely here."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 40_000, 1 << 16)[rng.zipf(1.3, 40_000).clip(max=1 << 16) - 1]
+    counts, asked = mixing.Counts.of(x), []
+
+    class Noted(mixing.Mixed):
+        def code(self, coder, lanes, contexts, bit):
+            asked.append(len(lanes))
+            return super().code(coder, lanes, contexts, bit)
+
+    assert counts.shares.sum() == 1 << mixing.TOTAL_BITS and (counts.shares > 0).all() and set(counts.ids) == set(x)
+    blocks = mixing.encode(x, 1000, counts)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(mixing, "Mixed", Noted)
+        assert (mixing.decode(blocks, len(x), 1000, counts) == x).all()
+    p = np.bincount(x)[x] / len(x)
+    assert sum(map(len, blocks)) * 8 < 1.1 * -np.log2(p).sum()
+    assert sum(asked) < len(x)
+
+
 def test_carries_run_through_full_words():
     coder = mixing.RangeCoder(2, ids=10)
     coder.flat[:4], coder.flat[coder.width :][:2] = [4, 0xFFFF, 0xFFFF, 8], [1, 2]
@@ -332,6 +353,16 @@ def test_wide_ids_are_kept():
     assert docs == [(1, len(ids))] and back.tolist() == ids.tolist()
 
 
+def test_lists_of_a_segment_are_checked():
+    ids = np.random.default_rng(4).integers(0, 65536, 5000)
+    data = bytearray(token_files.segment(0, 0, [(1, 2000), (None, 3000)], ids) + b"\n")
+    (_, _, docs, back), = token_files.read_segments(bytes(data))
+    assert docs == [(1, 2000), (None, 3000)] and back.tolist() == ids.tolist()
+    data[token_files.HEAD.size + 40] ^= 1
+    with pytest.raises(ValueError, match="damaged"):
+        list(token_files.read_segments(bytes(data)))
+
+
 def test_encoder_cuts_at_added_tokens(tokenizer):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "<|endoftext", "a\x1fb"]
     assert [array("I", x).tolist() for x in Encoder(tokenizer).encode_many(texts)] == [library(tokenizer)(t) for t in texts]
