@@ -151,6 +151,76 @@ def test_dense_group_of_unequal_vectors_keeps_its_links(spark):
     assert [got[i] for i in range(len(x))] == want.tolist(), f"{missed // 2} of {want.sum() // 2} links missed"
 
 
+def grouped_vectors(n, groups, seed, dims=16):
+    """Vectors on their own, then groups of near copies of (members, noise)."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    x = np.vstack([x, *(rng.standard_normal(dims) + rng.standard_normal((members, dims)) * noise for members, noise in groups)])
+    return [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+
+
+def test_what_leaves_hold_alike_is_compared_once(spark, monkeypatch):
+    """Pairs that all trees find do not come back from each leaf, nor do the vectors without links."""
+    rows = grouped_vectors(1500, [(2, 0.02)] * 100, 12, dims=64)
+    kept, write = {}, forest.saved
+
+    def noted(df, label):
+        kept[label] = write(df, label)
+        if label == "classes":
+            kept["rows"] = kept[label].count()
+        return kept[label]
+
+    monkeypatch.setattr(forest, "saved", noted)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in forest.similar(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == forest_truth(rows)
+    assert 200 <= kept["rows"] <= 2 * 200
+
+
+def test_leaves_are_split_on_as_the_sample_lets_expect(spark, monkeypatch):
+    """A sample of a tenth of the rows: splits expected from it, then level by level, with a mass that stays whole."""
+    monkeypatch.setattr(forest, "SAMPLE_ROWS", 120)
+    rows = grouped_vectors(700, [(400, 0.02), *[(3, 0.1)] * 30, *[(5, 0.2)] * 10], 13)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in forest.similar(df, limit=10).collect()}
+    assert got == forest_truth(rows)
+    x = np.array([e for _, e, _ in rows[:700]])
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    trees = forest.Forest(x[:120], 16, 24, 0.01, 0.95, rows=len(x) * 20, limit=40)
+    names, row, _ = trees.placed(x)
+    assert trees.levels.max() > 1 and set(row.tolist()) == set(range(700))
+    assert max(np.unique(names, return_counts=True)[1]) < max(np.unique(trees.leaves_of(x)[0], return_counts=True)[1])
+
+
+def test_pairs_that_share_an_earlier_name_are_dropped():
+    """Few pairs and many names, and the other way round, against plain sets; all of one block, and two blocks."""
+    rng = np.random.default_rng(14)
+    for n, names, each, share in ((40, 400, 20, 0.02), (40, 30, 6, 0.9), (60, 3000, 60, 0.5), (5, 3, 2, 1.0), (5, 1, 0, 1.0)):
+        of = [set(rng.integers(0, names, each).tolist()) for _ in range(n)]
+        owner = np.repeat(np.arange(n), [len(o) for o in of])
+        listed = np.array([x for o in of for x in sorted(o)], np.int64)
+        for left, right in ((np.arange(n), np.arange(n)), (np.arange(n // 2), np.arange(n // 2, n)), (np.arange(0), np.arange(n))):
+            near = rng.random((len(left), len(right))) < share
+            want = [[bool(near[i, j]) and not of[a] & of[b] for j, b in enumerate(right)] for i, a in enumerate(left)]
+            forest.first_here(near, left, right, owner, listed)
+            assert near.tolist() == want
+
+
+def test_groups_reach_over_batches():
+    rng = np.random.default_rng(15)
+    a, b = np.sort(rng.integers(0, 12, 200)), rng.integers(0, 3, 200)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    a[60:140], b[60:140] = 5, 1
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    whole = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(200))], names=["a", "b", "c"])
+    want = sorted((int(p), int(q), int(m)) for (p, q), m in zip(*np.unique(np.stack([a, b], axis=1), axis=0, return_counts=True), strict=True) if m > 1)
+    run = forest.in_groups(lambda g: [g.column(0)[:1], g.column(1)[:1], pa.array([g.num_rows])], 2, ["a", "b", "n"])
+    for size in (1, 2, 7, 50, 200):
+        got = [tuple(r.values()) for out in run(iter([whole.slice(at, size) for at in range(0, 200, size)])) for r in out.to_pylist()]
+        assert sorted(got) == want, size
+
+
 def test_pairs_at_the_threshold_meet_at_every_depth():
     """Signatures that agree in each position with probability 0.8, in the default trees down to level nine."""
     rng = np.random.default_rng(8)
