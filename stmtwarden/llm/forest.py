@@ -39,6 +39,8 @@ EXPECTED_LEVELS = 64
 ROOM = 0.7
 #: A leaf of so many times the limit is compared whole, in single floats, in less time than the copies made by another split take.
 WHOLE = 4
+#: Components of vectors that a task takes at a time, as it makes many copies of each.
+HELD = 1 << 18
 _AT = np.arange(0, 8, 1 / 64)
 _TAIL = np.array([math.erfc(x / math.sqrt(2)) / 2 for x in _AT])
 
@@ -156,18 +158,21 @@ class Forest:
             done = self.levels[top] <= level
             out.append((names[done], row[done], top[done]))
             names, row, top = names[~done], row[~done], top[~done]
-            names, took = self.deeper(names, top, x[row], level)
+            names, took = self.deeper(names, top, x, row, level)
             row, top = row[took], top[took]
             level += 1
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (names, row, top)
 
-    def deeper(self, names: np.ndarray, tops: np.ndarray, x: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """One more split of unfitted leaves, through the centres of the fitted ones (``tops``) they come from: (name, row).
+    def deeper(self, names: np.ndarray, tops: np.ndarray, x: np.ndarray, row: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """One more split of unfitted leaves, through the centres of the fitted ones (``tops``) they come from: (name, place in ``row``).
 
         No direction comes twice below a fitted leaf, as long as there are fewer levels than directions.
         """
-        d = self.pool[((self.tops[tops] >> np.uint64(20)) + np.uint64(level)) % np.uint64(POOL)]
-        far = np.einsum("ij,ij->i", x, d) - np.einsum("ij,ij->i", self.centres[tops], d)
+        far, step = np.empty(len(row)), max(HELD // max(x.shape[1], 1), 1)
+        for at in range(0, len(row), step):
+            top = tops[at : at + step]
+            d = self.pool[((self.tops[top] >> np.uint64(20)) + np.uint64(level)) % np.uint64(POOL)]
+            far[at : at + step] = np.einsum("ij,ij->i", x[row[at : at + step]], d) - np.einsum("ij,ij->i", self.centres[top], d)
         sides = [np.flatnonzero(far <= self.wide), np.flatnonzero(far > -self.wide)]
         return np.concatenate([mix(names[some] + np.uint64(side + 1)) for side, some in enumerate(sides)]), np.concatenate(sides)
 
@@ -426,10 +431,15 @@ def _links(unique: DataFrame, least: float, trees: int, leaf: int, spill: float,
         was = pa.array(np.zeros(len(top), np.int64), mask=~sent.value.masses[top])
         return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), batch.column(0).take(pa.array(row)), was, pa.array(top.astype(np.int32))], names=["node", "key", "was", "top"])
 
-    def place_all(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = _matrix(batch.column(1))
-        names, row, _ = sent.value.placed(x)
-        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *[c.take(pa.array(row)) for c in (batch.column(0), halves(x))]], names=["node", "key", "u"])
+    def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            step = max(HELD // max(x.shape[1], 1), 1)
+            for at in range(0, len(x), step):
+                names, row, _ = sent.value.placed(x[at : at + step])
+                some = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), batch.column(0).slice(at, step).take(some), halves(x[at : at + step]).take(some)], names=["node", "key", "u"])
+        trim()
 
     def halves(x: np.ndarray) -> pa.Array:
         width = 2 * x.shape[1]
@@ -441,14 +451,14 @@ def _links(unique: DataFrame, least: float, trees: int, leaf: int, spill: float,
 
     def split(level: int):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names, row = sent.value.deeper(batch.column(0).to_numpy().view(np.uint64), batch.column(4).to_numpy(), _matrix(batch.column(2)), EXPECTED_LEVELS + level)
+            names, row = sent.value.deeper(batch.column(0).to_numpy().view(np.uint64), batch.column(4).to_numpy(), _matrix(batch.column(2)), np.arange(batch.num_rows), EXPECTED_LEVELS + level)
             take = pa.array(row)
             return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *[batch.column(i).take(take) for i in (1, 3, 4)]], names=["node", "key", "was", "top"])
 
         return run
 
     vectors = unique.select("key", "v")
-    leaves, masses = map_arrow(vectors, place_all, "node long, key long, u binary"), None
+    leaves, masses = vectors.mapInArrow(place_all, "node long, key long, u binary"), None
     nodes = map_arrow(vectors, place, "node long, key long, was long, top int")
     for level in range(LAST_LEVEL + 1):
         nodes = saved(nodes, "leaves")
